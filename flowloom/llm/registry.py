@@ -4,34 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, exact_dedup, licenses, mixing, pii, quality, simhash, suffixes, token_histogram, warc
 from .common import table, tune
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
-def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
 
-    from .bpe import encode_documents
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to dictionary-compressed archives and read them back."""
+    archives = warc.write_archives(table(tune(spark), sf_dir, "pages"))
+    return warc.read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-    docs = table(tune(spark), sf_dir, "documents")
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(table(tune(spark), sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
-def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .exact_dedup import exact_dedup
 
+def op4_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents")
-    return exact_dedup(docs.select("doc_id", "text")).select("__row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return token_histogram.length_histogram(token_histogram.token_lengths(docs, VOCABULARY, public_tokenizers.PATTERN))
+
+
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("__row.doc_id", "__row.source", "block", "slot", "place")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(tune(spark), sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(tune(spark), sf_dir, "documents"))
+
+
+def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(tune(spark), sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
+    return found.select("__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.exact_dedup(docs).select("__row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_byte_bpe": op6_byte_bpe,
-    "op10_exact_dedup": op10_exact_dedup,
+    f.__name__: f for f in (op1_warc, op2_license_scan, op3_simhash, op4_token_histogram, op5_pfair_mixing, op6_byte_bpe, op7_pii, op8_repeated_spans, op9_quality_rules, op10_exact_dedup)
 }
 
+#: op1's base-32 digests, op3, op4, op6, op7, op8 and op9 can't be said in SQL; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.oracle(),
+    "op5_pfair_mixing": mixing.SQL,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
