@@ -58,8 +58,8 @@ def ascii_lower(c: Column) -> Column:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected graph ``links(a, b)``.
 
-    Returns ``(node, root)`` for every node that has a link; the root is the
-    smallest node of its component.  Alternates large-star and small-star
+    Returns ``(node, root)`` for every linked node that is not a root itself; the
+    root is the smallest node of its component.  Alternates large-star and small-star
     contraction; each round is written to the shared folder.  A hub is met only
     by a pre-aggregated minimum and a join that adaptive execution may split.
     Empty links give no rows; self-links and repeated links do no harm.

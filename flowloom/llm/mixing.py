@@ -94,7 +94,7 @@ best AS (
   UNION ALL
   SELECT t + 1,
          list_transform(k, lambda x, i: CASE WHEN i = now THEN x + 1 ELSE x END), now
-  FROM (SELECT t, k, list_min(list_transform(k, (x, i) ->
+  FROM (SELECT t, k, list_min(list_transform(k, lambda x, i:
                  CASE WHEN x * period // ps[i] <= t
                       THEN ((x + 1) * period + ps[i] - 1) // ps[i] * 100000 + i END)) % 100000 AS now
         FROM best, one WHERE t < period)),

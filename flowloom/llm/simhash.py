@@ -39,14 +39,14 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` of every whole text, fp as a signed long; null counts as empty."""
+    """``(id, md5, fp)`` of every whole text, fp as a signed long; null counts as empty."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([fingerprint(t) for t in b.column("text").to_pylist()], pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("md5"), pa.array([fingerprint(t) for t in b.column("text").to_pylist()], pa.int64())], names=["id", "md5", "fp"])
 
-    src = packed(docs, id=F.col(f"`{id_col}`").cast("long"), text=text_of(text_col)).select("id", "text")
-    return src.mapInArrow(go, "id long, fp long")
+    src = packed(docs, id=F.col(f"`{id_col}`").cast("long"), md5=F.md5(text_of(text_col)), text=text_of(text_col)).select("id", "md5", "text")
+    return src.mapInArrow(go, "id long, md5 string, fp long")
 
 
 LOW = 0xFFFFFFFF
@@ -102,6 +102,17 @@ def near_links(nodes: DataFrame, small: int = 32) -> DataFrame:
     return direct.unionByName(starred).distinct()
 
 
+def labelled(docs: DataFrame, id_col: str, text_col: str, small: int) -> DataFrame:
+    """``(id, md5, fp, root, component_id)`` of every row; the root is the component's smallest fingerprint."""
+    prints = durable(fingerprints(docs, id_col, text_col), "prints")
+    nodes = durable(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    roots = components(near_links(nodes.select("fp"), small))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    label = durable(named.join(lowest, "root").select("fp", "root", "component_id"), "labels")
+    return prints.join(label, "fp").select("id", "md5", "fp", "root", "component_id")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 32) -> DataFrame:
     """``(id, fp, component_id)`` of every row: fingerprints within 3 bits are linked, and the
     component's name is the smallest id that can be reached.
@@ -111,13 +122,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other; null ids are never a component's name unless it has no
     other; repeated rows stay repeated; an empty table gives no rows.
     """
-    prints = durable(fingerprints(docs, id_col, text_col), "prints")
-    nodes = durable(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    roots = components(near_links(nodes.select("fp"), small))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = durable(named.join(lowest, "root").select("fp", "component_id"), "labels")
-    return prints.join(label, "fp").select("id", "fp", "component_id")
+    return labelled(docs, id_col, text_col, small).select("id", "fp", "component_id")
 
 
 def hex_print(fp):
@@ -131,7 +136,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows that share that id, the one with the smallest digest of its text
     stays, and of rows equal in both exactly one.
     """
-    label = durable(near_components(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("component_id").alias("__of")).where("__id <=> __of").distinct(), "kept")
-    rows = packed(docs, __id=F.col(f"`{id_col}`").cast("long"), __text=text_of(text_col))
-    kept = rows.join(label, F.expr("__id <=> __of"), "left_semi").withColumn("__at", F.md5("__text"))
-    return kept.withColumn("__n", F.expr("row_number() over (partition by __id order by __at)")).where("__n = 1").select("__row.*")
+    found = labelled(docs, id_col, text_col, 32)
+    keep = durable(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "md5")).alias("k")).select(F.col("k.id").alias("__keep"), F.col("k.md5").alias("__of")), "kept")
+    rows = packed(docs, __id=F.col(f"`{id_col}`").cast("long"), __md5=F.md5(text_of(text_col)))
+    kept = rows.join(keep, F.expr("__id <=> __keep and __md5 = __of"), "left_semi")
+    return kept.withColumn("__n", F.expr("row_number() over (partition by __id, __md5 order by __md5)")).where("__n = 1").select("__row.*")

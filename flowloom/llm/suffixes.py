@@ -39,19 +39,17 @@ def runs(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def minimisers(words: np.ndarray, k: int, window: int) -> np.ndarray:
-    """Positions whose k-word hash is the least of some ``window`` consecutive ones, the first on a tie.
+    """For each ``window`` consecutive k-word runs, where the one with the least hash starts, the first on a tie.
 
-    They depend on the content of the window alone, so every passage of
-    ``k + window - 1`` words has one at the same place wherever it stands.
+    That depends on the content of the window alone, so every passage of
+    ``k + window - 1`` words has its suffix at the same place wherever it stands.
     """
     h = runs(words, k)
-    if len(h) < window:
-        return np.zeros(0, dtype=np.int64)
-    out = []
+    out = [np.zeros(0, dtype=np.int64)]
     for at in range(0, len(h) - window + 1, 100_000):
         part = h[at : at + 100_000 + window - 1]
-        out.append(np.unique(np.lib.stride_tricks.sliding_window_view(part, window).argmin(axis=1) + np.arange(len(part) - window + 1)) + at)
-    return np.unique(np.concatenate(out))
+        out.append(np.lib.stride_tricks.sliding_window_view(part, window).argmin(axis=1) + np.arange(at, at + len(part) - window + 1))
+    return np.concatenate(out)
 
 
 def _words(text: str) -> np.ndarray:
@@ -66,7 +64,7 @@ def anchors(rows: DataFrame, k: int, window: int) -> DataFrame:
             ids, keys, at = [], [], []
             for i, t in zip(b.column("__id").to_pylist(), b.column("__text").to_pylist()):
                 w = _words(t)
-                pos = minimisers(w, k, window)
+                pos = np.unique(minimisers(w, k, window))
                 if len(pos):
                     ids.append((i, len(pos)))
                     keys.append(runs(w, k)[pos].view(np.int64))
@@ -77,13 +75,6 @@ def anchors(rows: DataFrame, k: int, window: int) -> DataFrame:
     return rows.select("__id", "__text").mapInArrow(go, "id long, key long, pos int")
 
 
-def _owned(pos: np.ndarray, shared: np.ndarray, window: int, last: int) -> np.ndarray:
-    """Starts of the passages whose first suffix is a shared one: back from it to the suffix before it."""
-    before = np.concatenate([[-1], pos[:-1]])
-    out = [np.arange(max(b + 1, p - window + 1), min(p, last) + 1) for b, p in zip(before[shared].tolist(), pos[shared].tolist())]
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, k: int = 16) -> DataFrame:
     """Every maximal span of words of which each ``min_words`` stand elsewhere too.
 
@@ -93,9 +84,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The sparse suffix array has a suffix at each minimiser.  Suffixes are sorted
     by their first k words and one that differs from both neighbours is out; a
     passage of ``min_words`` has a suffix in its first ``min_words - k + 1`` words,
-    so the rest hold every repeat.  From each survivor the match is extended to
-    the left, as far as the suffix before it, and to the right to ``min_words``;
-    those passages are sorted in turn, and equal neighbours are repeats.  Hot
+    so the rest hold every repeat.  From each survivor the match is extended left
+    and right to the passages of ``min_words`` whose suffix it is; those are
+    sorted in turn, and equal neighbours are repeats.  Hot
     passages are counted in the tasks first and are joined back to their places,
     which adaptive execution may split; no list of partners is made.
 
@@ -113,8 +104,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             for i, t, live, key in zip(*(b.column(c).to_pylist() for c in ("__id", "__text", "alive", "__key"))):
                 w = _words(t)
-                pos = minimisers(w, k, window)
-                starts = _owned(pos, np.isin(pos, np.asarray(live)), window, len(w) - min_words)
+                starts = np.flatnonzero(np.isin(minimisers(w, k, window), np.asarray(live)))
                 if len(starts):
                     h = runs(w, min_words)[starts].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(starts), key, dtype=np.int64)), pa.array(starts.astype(np.int32))], names=["h", "key", "start"])
