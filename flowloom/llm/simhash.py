@@ -74,8 +74,8 @@ def near_links(nodes: DataFrame, small: int = 32) -> DataFrame:
     ball: itself, and, from the even one of a pair that differs in one bit (the
     other is odd), the 32 one-bit flips.  Variants shuffle and meet.
 
-    A variant that few fingerprints share has its pairs verified directly.  For
-    one that many share, the other half meets in the middle in turn: those on
+    Where few fingerprints have the variant as their exact half, each that meets
+    them is verified against those few.  Where many do, the other half meets in the middle in turn: those on
     the exact half are centres and emit its one-bit ball, the rest and (for
     three bits in this half) the even ones' two-bit sphere are points; whatever
     meets a centre there differs from it in three bits at most, so a link to the
@@ -87,13 +87,13 @@ def near_links(nodes: DataFrame, small: int = 32) -> DataFrame:
     flipped = halves.where(_even(F.col("own"))).select("side", F.explode(_flips(F.col("own"), 1)).alias("v"), "fp", F.lit(False).alias("exact"))
     emitted = exact.unionByName(flipped)
     crowd = emitted.groupBy("side", "v").agg(F.count("*").alias("n"), F.count_if("exact").alias("n0")).where("n > 1 and n0 > 0")
-    met = durable(emitted.join(crowd.drop("n0"), ["side", "v"]), "met")
+    met = durable(emitted.join(crowd.drop("n"), ["side", "v"]), "met")
 
-    few = met.where(F.col("n") <= small)
+    few = met.where(F.col("n0") <= small)
     a, b = few.where("exact").select("side", "v", F.col("fp").alias("a")), few.select("side", "v", F.col("fp").alias("b"), "exact")
     direct = a.join(b, ["side", "v"]).where("a <> b and (not exact or a < b)").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3).select("a", "b")
 
-    many = met.where(F.col("n") > small).withColumn("rest", _half(F.col("fp"), 1 - F.col("side")))
+    many = met.where(F.col("n0") > small).withColumn("rest", _half(F.col("fp"), 1 - F.col("side")))
     one = many.select("side", "v", "fp", "exact", F.explode(F.concat(F.array("rest"), _flips(F.col("rest"), 1))).alias("w"))
     two = many.where("exact").where(_even(F.col("rest"))).select("side", "v", "fp", F.lit(False).alias("exact"), F.explode(_flips(F.col("rest"), 2)).alias("w"))
     points = one.unionByName(two)
