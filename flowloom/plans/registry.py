@@ -1,4 +1,13 @@
-"""Registered queries of the flow engine."""
+"""Registered queries of the flow engine and the SQL that says the same."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from . import events, star
+
+MODULES = [star, events]
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
+
+
+def flagship(spark, sf_dir):
+    return star.star_participants(spark, sf_dir)
