@@ -13,10 +13,14 @@ from . import graph
 from .tree import KEY, ancestors, callable_blocks, parents
 
 START, END = -1, -2
-LOGICAL = F.col("kind").isin("Parentheses", "ControlParentheses") | F.coalesce(F.col("operator").isin("And", "Or", "Not"), F.lit(False))
 COMPOUND = ("Block", "If", "While", "DoWhile", "For", "Try", "Synchronized", "Switch", "Label")
 
 
+def logical() -> Column:
+    """Whether a node only combines conditions."""
+    return F.col("kind").isin("Parentheses", "ControlParentheses") | F.coalesce(F.col("operator").isin("And", "Or", "Not"), F.lit(False))
+
+
 def units(nodes: DataFrame) -> DataFrame:
     """What control flow visits: simple statements, and the leaves of conditions.
 
@@ -28,11 +32,11 @@ def units(nodes: DataFrame) -> DataFrame:
     simple = simple.where("kind <> 'ForEach'").select(*KEY, "pre", F.lit(False).alias("is_condition"))
     each = nodes.where("kind = 'ForEach' or (kind = 'Case' and coalesce(name, '') <> 'default')").select(*KEY, "pre", F.lit(True).alias("is_condition"))
     below = nodes.where("role = 'condition'").select(*KEY, "kind", "operator", "pre")
-    found = below.where(~LOGICAL)
+    found = below.where(~logical())
     for _ in range(8):  # operators in a condition, nested this deep
-        inner = below.where(LOGICAL).select("file_id", F.col("node_id").alias("parent_id"))
+        inner = below.where(logical()).select("file_id", F.col("node_id").alias("parent_id"))
         below = nodes.join(inner, ["file_id", "parent_id"]).select(*KEY, "kind", "operator", "pre")
-        found = found.unionByName(below.where(~LOGICAL))
+        found = found.unionByName(below.where(~logical()))
     return simple.unionByName(each).unionByName(found.select(*KEY, "pre", F.lit(True).alias("is_condition"))).distinct()
 
 
