@@ -133,25 +133,21 @@ def read_archive(uri: str) -> Iterator[bytes]:
         if magic != DICTIONARY_FRAME:
             raise ValueError(f"{uri}: no dictionary frame")
         unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(f.read(n)))
-        rest = b""
-        while True:
-            more = f.read(1 << 20)
-            if not more:
-                break
-            rest += more
-            at = 0
-            while at < len(rest):
-                one = unpacker.decompressobj()
+        one, parts = None, []
+        while data := f.read(1 << 20):
+            while data:
+                if one is None:
+                    one, parts = unpacker.decompressobj(), []
                 try:
-                    raw = one.decompress(rest[at:] if at else rest)
+                    parts.append(one.decompress(data))
                 except zstandard.ZstdError as e:
                     raise ValueError(f"{uri}: damaged record") from e
                 if not one.eof:
                     break
-                at = len(rest) - len(one.unused_data)
-                yield raw
-            rest = rest[at:]
-        if rest:
+                data = one.unused_data
+                one = None
+                yield b"".join(parts)
+        if one is not None:
             raise ValueError(f"{uri}: cut short")
 
 
