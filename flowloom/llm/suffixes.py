@@ -13,24 +13,24 @@ from .common import durable, packed, text_of
 from .quality import word_hashes
 
 #: Odd multipliers of the rolling hashes.
-ROLL = np.uint64(0xD6E8FEB86659FD93)
+ROLL, AGAIN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def _sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(words: np.ndarray, roll: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of words times powers, and the inverse powers, so that any run has a hash of its own."""
     with np.errstate(over="ignore"):
-        p = np.full(len(words), ROLL, dtype=np.uint64)
-        inv = np.full(len(words) + 1, np.uint64(pow(int(ROLL), -1, 1 << 64)), dtype=np.uint64)
+        p = np.full(len(words), roll, dtype=np.uint64)
+        inv = np.full(len(words) + 1, np.uint64(pow(int(roll), -1, 1 << 64)), dtype=np.uint64)
         p[:1] = inv[:1] = 1
         g = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.multiply.accumulate(p), dtype=np.uint64)])
         return g, np.multiply.accumulate(inv)
 
 
-def runs(words: np.ndarray, n: int) -> np.ndarray:
+def runs(words: np.ndarray, n: int, roll: np.uint64 = ROLL) -> np.ndarray:
     """A 64-bit hash of each run of ``n`` words."""
     if len(words) < n:
         return np.zeros(0, dtype=np.uint64)
-    g, inv = _sums(words)
+    g, inv = _sums(words, roll)
     with np.errstate(over="ignore"):
         h = (g[n:] - g[:-n]) * inv[: len(words) - n + 1]
         h ^= h >> np.uint64(31)
@@ -107,12 +107,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts = np.flatnonzero(np.isin(minimisers(w, k, window), np.asarray(live)))
                 if len(starts):
                     h = runs(w, min_words)[starts].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(starts), key, dtype=np.int64)), pa.array(starts.astype(np.int32))], names=["h", "key", "start"])
+                    more = (runs(w, min_words, AGAIN)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(more), pa.array(np.full(len(starts), key, dtype=np.int64)), pa.array(starts.astype(np.int32))], names=["h", "more", "key", "start"])
 
     met = durable(rows.join(alive, F.expr("__id <=> id")).select("__id", "__text", "alive", F.xxhash64("__id", "__text").alias("__key")), "texts")
-    passages = met.mapInArrow(extend, "h long, key long, start int")
-    twice = passages.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = durable(passages.join(twice, "h").groupBy("key").agg(F.collect_set("start").alias("starts")), "places")  # as many as the text has
+    passages = met.mapInArrow(extend, "h long, more int, key long, start int")
+    twice = passages.groupBy("h", "more").agg(F.count("*").alias("n")).where("n > 1").drop("n")  # 96 bits of two hashes
+    places = durable(passages.join(twice, ["h", "more"]).groupBy("key").agg(F.collect_set("start").alias("starts")), "places")  # as many as the text has
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
