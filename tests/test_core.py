@@ -362,3 +362,15 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream(spark, tmp_path):
+    from flowloom.streaming import incremental
+
+    folder = str(tmp_path / "in")
+    frame(spark, lower("a", method(S[0]))).write.parquet(folder)
+    nodes = incremental.arriving_nodes(spark, folder)
+    for df, mode in ((incremental.arriving_calls(nodes, "a.B s*(..)"), "append"), (incremental.files_seen_using(nodes, ["a.B s*(..)"]), "update")):
+        q = df.writeStream.format("memory").queryName(f"found_{mode}").outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / mode)).start()
+        q.awaitTermination(120)
+        assert spark.table(f"found_{mode}").count() == 1
