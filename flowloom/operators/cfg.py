@@ -175,6 +175,11 @@ def counts(cfg_nodes: DataFrame, cfg_edges: DataFrame) -> DataFrame:
     return per.join(exits, ["file_id", "graph_id"], "left").withColumn("ex", F.coalesce("ex", F.lit(0)))
 
 
+def summary_text(counted: DataFrame) -> DataFrame:
+    """``(file_id, graph_id, text)``: the counts in words."""
+    return counted.select("file_id", "graph_id", F.format_string("BB: %d CN: %d EX: %d", "bb", "cn", "ex").alias("text"))
+
+
 def keep_edges(cfg_edges: DataFrame, cfg_nodes: DataFrame, nodes: DataFrame, barrier: Callable[[DataFrame], tuple[Column, Column]] | None = None) -> DataFrame:
     """The edges that can be taken: a literal condition keeps one side, and a barrier guard closes the side it holds on.
 

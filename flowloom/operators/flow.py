@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import durable
 from . import graph
-from .scope import reaching_writes
+from .scope import flow_before
 from .traits import var_access
 from .tree import KEY, lambda_results, parents
 
@@ -55,14 +56,14 @@ class TaintSpec(FlowSpec):
 def value_edges(nodes: DataFrame) -> DataFrame:
     """``(file_id, src, dst, kind)``: steps that keep a value whole.
 
-    value to the variable that it initialises or is assigned to, that write to
-    every read that sees it, through casts and parentheses, from a ternary's branches,
-    and from a lambda's result to the lambda.
+    A value to the variable that it initialises or is assigned to, that write along
+    the reads that see it, through casts and parentheses, from a ternary's
+    branches, and from a lambda's result to the lambda.
     """
     p = parents(nodes, "kind")
     into = p.where("(parent_kind = 'VariableDeclaration' and role = 'initializer') or (parent_kind = 'Assignment' and role = 'assignment')").select("file_id", F.col("node_id").alias("src"), F.col("parent_id").alias("dst"), F.lit("write").alias("kind"))
     through = p.where("parent_kind in ('TypeCast', 'Parentheses') or (parent_kind = 'Ternary' and role in ('true_part', 'false_part'))").select("file_id", F.col("node_id").alias("src"), F.col("parent_id").alias("dst"), F.lit("through").alias("kind"))
-    seen = reaching_writes(nodes).select("file_id", F.col("write_id").alias("src"), F.col("node_id").alias("dst"), F.lit("read").alias("kind"))
+    seen = flow_before(nodes).select("file_id", F.col("seen_id").alias("src"), F.col("node_id").alias("dst"), F.lit("read").alias("kind"))
     result = lambda_results(nodes).select("file_id", F.col("node_id").alias("src"), F.col("lambda_id").alias("dst"), F.lit("result").alias("kind"))
     return into.unionByName(through).unionByName(seen).unionByName(result).dropDuplicates(["file_id", "src", "dst"])
 
@@ -96,8 +97,10 @@ def local_marks(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None =
         edges = edges.join(keep, ["root", "dst"], "left_semi")
     sources = alive.where(spec.is_source(alive)).select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
     sinks = alive.where(spec.is_sink(alive)).select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
-    ahead = graph.reach(edges, sources)
-    back = graph.reach(graph.backward(edges), sinks.join(ahead, ["root", "node"], "left_semi"))
+    edges = durable(edges)
+    ahead = graph.reach(edges, sources, doublings=2)
+    live = edges.join(ahead.withColumnRenamed("node", "src"), ["root", "src"], "left_semi")
+    back = graph.reach(graph.backward(live), sinks.join(ahead, ["root", "node"], "left_semi"), doublings=2)
     on = ahead.join(back, ["root", "node"], "left_semi")
     marked = on.join(sources.withColumn("is_source", F.lit(True)), ["root", "node"], "left").join(sinks.withColumn("is_sink", F.lit(True)), ["root", "node"], "left")
     return marked.select(F.col("root").alias("file_id"), F.col("node").alias("node_id"), F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_sink", F.lit(False)).alias("is_sink"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import canonical_kinds, positions, signature_matches
 from . import graph
+from .traits import arguments
+from .tree import lambda_results, parents
 
 
 def hierarchy(type_edges: DataFrame) -> DataFrame:
@@ -83,3 +85,46 @@ def sink_nodes(call_args: DataFrame, shapes: DataFrame, kind: str) -> DataFrame:
     args = call_args.join(met.where("shape <> 'return'"), "method_type").where(call_args["position"] == met["position"]).select("file_id", "node_id")
     calls = call_args.select("file_id", F.col("call_id").alias("node_id"), "method_type").distinct().join(met.where("shape = 'return'").select("method_type"), "method_type").select("file_id", "node_id")
     return args.unionByName(calls).distinct()
+
+
+def call_arguments(nodes: DataFrame) -> DataFrame:
+    """``(file_id, call_id, position, node_id, method_type, kind)`` of every receiver (position -1) and argument."""
+    kinds = nodes.select("file_id", "node_id", "kind")
+    given = arguments(nodes).select("file_id", "call_id", F.col("ordinal").alias("position"), "node_id", "method_type")
+    receiver = parents(nodes, "kind", "method_type").where("role = 'select' and parent_kind = 'MethodInvocation'").select("file_id", F.col("parent_id").alias("call_id"), F.lit(-1).alias("position"), "node_id", F.col("parent_method_type").alias("method_type"))
+    return given.unionByName(receiver).where("method_type is not null").join(kinds, ["file_id", "node_id"])
+
+
+def callback_edges(nodes: DataFrame, call_args: DataFrame, callbacks: DataFrame) -> DataFrame:
+    """``(file_id, src, dst, kind)`` into the parameters of lambda arguments, and out of what they return."""
+    lam = call_args.where("kind = 'Lambda'").join(callbacks.withColumnRenamed("kind", "model_kind"), "method_type").where("position = callback_arg").select("file_id", "call_id", F.col("node_id").alias("lambda_id"), "direction", "parameter", "other", F.col("model_kind").alias("kind"))
+    side = call_args.select("file_id", "call_id", F.col("position").alias("other"), F.col("node_id").alias("other_id"))
+    params = nodes.where("role = 'parameter'").select("file_id", F.col("parent_id").alias("lambda_id"), F.col("ordinal").alias("parameter"), F.col("node_id").alias("parameter_id"))
+    into = lam.where("direction = 'INTO'").join(side, ["file_id", "call_id", "other"]).join(params, ["file_id", "lambda_id", "parameter"]).select("file_id", F.col("other_id").alias("src"), F.col("parameter_id").alias("dst"), "kind")
+    out = lam.where("direction = 'OUT'").join(lambda_results(nodes).withColumnRenamed("node_id", "result_id"), ["file_id", "lambda_id"])
+    to_call = out.where("other is null").select("file_id", F.col("result_id").alias("src"), F.col("call_id").alias("dst"), "kind")
+    to_side = out.join(side, ["file_id", "call_id", "other"]).select("file_id", F.col("result_id").alias("src"), F.col("other_id").alias("dst"), "kind")
+    return into.unionByName(to_call).unionByName(to_side).distinct()
+
+
+def model_edges(nodes: DataFrame, models: DataFrame, types: DataFrame | None = None, kinds: tuple[str, ...] = ("value", "taint")) -> DataFrame:
+    """Every step that the models add to ``nodes``, by argument and by callback: a ``step`` for a flow specification."""
+    args = call_arguments(nodes)
+    used = models_in_use(used_methods(args), models, types)
+    return step_edges(args.drop("kind"), model_steps(used), kinds).unionByName(callback_edges(nodes, args, model_callbacks(used).where(F.col("kind").isin(*kinds)))).distinct()
+
+
+def declaration_of(used: DataFrame, declared: DataFrame) -> DataFrame:
+    """``(method_type, declaration)``: the declared method of each call's, itself where none is known.
+
+    ``declared(method_type, type_variables)``: one with the same type, name, flags and arity whose
+    parameters are equal, or are type variables that each stand for one type.
+    """
+    u = used.select("method_type", F.col("method_type.declaring").alias("d"), F.col("method_type.name").alias("n"), F.size("method_type.params").alias("k")).distinct()
+    v = declared.select(F.col("method_type").alias("declaration"), "type_variables", F.col("method_type.declaring").alias("d"), F.col("method_type.name").alias("n"), F.size("method_type.params").alias("k"))
+    pairs = F.zip_with("method_type.params", "declaration.params", lambda a, b: F.struct(b.alias("want"), a.alias("got")))
+    bound = F.filter("pairs", lambda x: F.array_contains("type_variables", x["want"]))
+    ok = F.forall("pairs", lambda x: (x["want"] == x["got"]) | F.array_contains("type_variables", x["want"])) & (F.size(F.array_distinct(bound)) == F.size(F.array_distinct(F.transform(bound, lambda x: x["want"]))))
+    same = F.array_sort("method_type.flags") == F.array_sort("declaration.flags")
+    met = u.join(v, ["d", "n", "k"]).where(same).withColumn("pairs", pairs).where(ok).groupBy("method_type").agg(F.min("declaration").alias("declaration"))
+    return u.select("method_type").join(met, "method_type", "left").select("method_type", F.coalesce("declaration", "method_type").alias("declaration"))

@@ -58,26 +58,44 @@ def literals_of(folded: DataFrame, as_type: str) -> DataFrame:
     return folded.where("literal is not null").withColumn("value", F.col("literal").try_cast(as_type)).where("value is not null").select(*KEY, "constant_id", "value")
 
 
-def reaching_writes(nodes: DataFrame) -> DataFrame:
-    """``(file_id, node_id, write_id)``: the write that each read sees.
+def _visible(nodes: DataFrame, with_reads: bool) -> DataFrame:
+    """``(file_id, node_id, seen_id)``: the last binding of its name that each read sees.
 
     Declarations and plain assignments bind a name; each kills what the name held.
-    A block works on a copy of its surroundings, so what is written in a branch
-    is forgotten behind it: a write is seen from its own block and the blocks
+    A block works on a copy of its surroundings, so what is bound in a branch
+    is forgotten behind it: a binding is seen from its own block and the blocks
     inside it.  A read therefore asks each block around it for the last
-    write before it, and the latest of the answers wins.  That is one window
-    over writes and questions for each name and block.
+    binding before it, and the latest of the answers wins.  That is one window
+    over bindings and questions for each name and block.
     """
     blocks = ancestors(nodes, nodes.where("kind in ('VariableDeclaration', 'Identifier')"), columns=("kind",)).where("anc_kind in ('Block', 'MethodDeclaration', 'Lambda')")
     access = var_access(nodes)
     stmt = nodes.where("kind = 'Assignment'").select("file_id", F.col("node_id").alias("parent_id"), F.col("post").alias("at"))
-    writes = nodes.where("kind = 'VariableDeclaration'").select(*KEY, "name", "owner", F.col("post").alias("at"), F.col("node_id").alias("write_id")).unionByName(
-        access.where("role = 'variable' and not is_rvalue").join(stmt, ["file_id", "parent_id"]).select(*KEY, "name", "owner", "at", F.col("parent_id").alias("write_id"))
+    bindings = nodes.where("kind = 'VariableDeclaration'").select(*KEY, "name", "owner", F.col("post").alias("at"), F.col("node_id").alias("seen_id")).unionByName(
+        access.where("role = 'variable' and not is_rvalue").join(stmt, ["file_id", "parent_id"]).select(*KEY, "name", "owner", "at", F.col("parent_id").alias("seen_id"))
     )
+    reads = access.where("is_rvalue")
+    if with_reads:
+        bindings = bindings.unionByName(reads.select(*KEY, "name", "owner", F.col("pre").alias("at"), F.col("node_id").alias("seen_id")))
     inner = blocks.groupBy(*KEY).agg(F.min_by("anc_id", "up").alias("anc_id"))
-    bound = writes.join(inner, list(KEY)).select("file_id", "name", "owner", "anc_id", "at", "write_id", F.lit(None).cast("bigint").alias("read_id"))
-    asked = access.where("is_rvalue").join(blocks, list(KEY)).select("file_id", "name", "owner", "anc_id", F.col("pre").alias("at"), F.lit(None).cast("bigint").alias("write_id"), F.col("node_id").alias("read_id"))
+    # a read asks before it binds
+    bound = bindings.join(inner, list(KEY)).select("file_id", "name", "owner", "anc_id", (F.col("at") * 2 + 1).alias("at"), "seen_id", F.lit(None).cast("bigint").alias("read_id"))
+    asked = reads.join(blocks, list(KEY)).select("file_id", "name", "owner", "anc_id", (F.col("pre") * 2).alias("at"), F.lit(None).cast("bigint").alias("seen_id"), F.col("node_id").alias("read_id"))
     before = Window.partitionBy("file_id", "owner", "name", "anc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.last(F.when(F.col("write_id").isNotNull(), F.struct("at", "write_id")), ignorenulls=True).over(before)
+    seen = F.last(F.when(F.col("seen_id").isNotNull(), F.struct("at", "seen_id")), ignorenulls=True).over(before)
     answers = bound.unionByName(asked).withColumn("seen", seen).where("read_id is not null and seen is not null")
-    return answers.groupBy("file_id", F.col("read_id").alias("node_id")).agg(F.max("seen").alias("s")).select(*KEY, F.col("s.write_id").alias("write_id"))
+    return answers.groupBy("file_id", F.col("read_id").alias("node_id")).agg(F.max("seen").alias("s")).select(*KEY, F.col("s.seen_id").alias("seen_id"))
+
+
+def reaching_writes(nodes: DataFrame) -> DataFrame:
+    """``(file_id, node_id, write_id)``: the write that each read sees."""
+    return _visible(nodes, False).withColumnRenamed("seen_id", "write_id")
+
+
+def flow_before(nodes: DataFrame) -> DataFrame:
+    """``(file_id, node_id, seen_id)``: the write or earlier read that a read's value flows on from.
+
+    Reads of one write form a chain, so that what a call does to a variable that it
+    is given reaches the reads behind it, and few edges leave a node.
+    """
+    return _visible(nodes, True)

@@ -137,3 +137,15 @@ def selects(nodes: DataFrame) -> DataFrame:
     call = pairs.where("anc_kind = 'MethodInvocation' and up > 0").groupBy(*KEY).agg(F.min(F.struct("up", "anc_id")).alias("c"))
     below = pairs.select(*KEY, F.col("up").alias("below"), "anc_role")
     return call.join(below, list(KEY)).where("below = c.up - 1 and below = 0 and anc_role = 'select'").select(*KEY, F.col("c.anc_id").alias("call_id"))
+
+
+def views_or_errors(nodes: DataFrame, **views: Column) -> DataFrame:
+    """``(file_id, node_id, view, errors)``: the first view that accepts a node, or why each does not."""
+    view = first_of(*[(test, F.lit(name)) for name, test in views.items()])
+    errors = F.array(*[F.concat(F.lit(f"{name} expected, found "), "kind") for name in views])
+    return nodes.select(*KEY, view.alias("view"), F.when(view.isNull(), errors).otherwise(F.array().cast("array<string>")).alias("errors"))
+
+
+def field_key(owner: Column, name: Column, type_: Column) -> Column:
+    """A stable identity for a field that is known from its type alone."""
+    return F.md5(F.concat_ws("#", owner, name, type_))

@@ -194,7 +194,11 @@ SQL["folded_constants"] = SQL["values_assigned"].replace("SELECT file_id, decl_i
     rd AS (SELECT n.file_id, n.node_id, (SELECT max_by(d.node_id, d.pre) FROM nodes d WHERE d.kind = 'VariableDeclaration' AND d.owner = n.owner AND d.name = n.name AND d.pre <= n.pre) AS decl_id FROM nodes {_P} WHERE {_READ})
     SELECT rd.file_id, rd.node_id, coalesce(one.value_id, rd.node_id) AS constant_id, l.literal_value AS literal FROM rd LEFT JOIN one USING (decl_id) LEFT JOIN nodes l ON l.node_id = one.value_id AND l.kind = 'Literal'"""
 SQL["folded_doubles"] = "SELECT file_id, node_id, constant_id, CAST(literal AS DOUBLE) AS value FROM (" + SQL["folded_constants"] + ") WHERE literal IS NOT NULL"
-SQL["flow_edges"] = SQL["writes_seen"].replace("SELECT r.file_id", ", ws AS (SELECT r.file_id", 1) + """)
+SQL["flow_edges"] = SQL["writes_seen"].replace("SELECT r.file_id", ", ws AS (SELECT r.file_id", 1).replace(
+    ") w ON w.owner = r.owner AND w.name = r.name AND w.at <= r.pre",
+    """ UNION ALL SELECT i.owner, i.name, i.node_id, i.pre, max_by(k.node_id, k.depth) FROM nodes i JOIN nodes k ON k.owner = i.owner AND k.kind = 'Block' AND k.pre < i.pre AND k.post > i.post WHERE i.kind = 'Identifier' AND i.role <> 'variable' GROUP BY ALL) w
+        ON w.owner = r.owner AND w.name = r.name AND w.at <= r.pre AND w.id <> r.node_id""",
+) + """)
     SELECT file_id, node_id AS src, parent_id AS dst, 'write' AS kind FROM nodes WHERE role IN ('initializer', 'assignment')
     UNION ALL SELECT file_id, write_id, node_id, 'read' FROM ws"""
 SQL["local_flow"] = "WITH RECURSIVE fe AS (" + SQL["flow_edges"] + f"""), nn AS ({_sql("SELECT * FROM nodes")}),

@@ -275,6 +275,34 @@ def test_local_flow(spark):
     assert {r[0] for r in flow.files_with_flow(nodes, marks, wanted=False).collect()} == {"kill"}
 
 
+def test_model_flow(spark):
+    """list.add(source()); use(list.get()); list.forEach(x -> use(x))."""
+    t = lambda n, *p: ("java.util.List", n, list(p), "void", [])
+    on = lambda name, role, *args: ("MethodInvocation", role, {"name": name, "method_type": t(name, *["java.lang.Object"] * len(args))}, [ident("l", "select"), *args])
+    lam = ("Lambda", "argument", {}, [("VariableDeclaration", "parameter", {"name": "x"}, []), call("use", "lambda_body", ident("x", "argument"))])
+    program = method(declare("l", lit(0, "x")), on("add", "statement", call("source", "argument")), call("use", "statement", on("get", "argument")), on("forEach", "statement", lam))
+    nodes = frame(spark, lower("f", program))
+    rows = [("java.util", "Collection", True, "add", "", "Argument[0]", "Argument[this].Element", "value"), ("java.util", "List", False, "get", "", "Argument[this].Element", "ReturnValue", "value"), ("java.lang", "Iterable", True, "forEach", "", "Argument[-1].Element", "Argument[0].Parameter[0]", "value")]
+    known = model_files.compiled(spark.createDataFrame(rows, "package string, type string, subtypes boolean, name string, signature string, input string, output string, kind string"))
+    types = spark.createDataFrame([("java.util.List", "java.util.Collection"), ("java.util.List", "java.lang.Iterable")], "sub string, super string")
+    spec = flow.FlowSpec(lambda n: F.coalesce(F.col("name") == "source", F.lit(False)), lambda n: F.col("role") == "argument", step=lambda n: models.model_edges(n, known, types))
+    marks = flow.local_marks(nodes, spec).where("is_sink").join(nodes, ["file_id", "node_id"])
+    assert {(r["kind"], r["name"]) for r in marks.collect()} == {("MethodInvocation", "source"), ("MethodInvocation", "get"), ("Identifier", "x")}
+
+
+def test_declarations_and_views(spark):
+    t = "struct<declaring:string,name:string,params:array<string>,ret:string,flags:array<string>>"
+    used = spark.createDataFrame([(("a.B", "put", ["java.lang.String", "int"], "int", []),), (("a.B", "two", ["int", "long"], "int", []),), (("a.B", "none", [], "int", []),)], f"method_type {t}")
+    declared = spark.createDataFrame([(("a.B", "put", ["K", "V"], "V", []), ["K", "V"]), (("a.B", "two", ["T", "T"], "T", []), ["T"])], f"method_type {t}, type_variables array<string>")
+    got = {r["method_type"]["name"]: r["declaration"]["params"] for r in models.declaration_of(used, declared).collect()}
+    assert got == {"put": ["K", "V"], "two": ["int", "long"], "none": []}
+    nodes = frame(spark, lower("f", method(S[0])))
+    views = {r["view"]: r["errors"] for r in traits.views_or_errors(nodes, call=F.col("kind") == "MethodInvocation", block=F.col("kind") == "Block").collect()}
+    assert views == {"call": [], "block": [], None: ["call expected, found MethodDeclaration", "block expected, found MethodDeclaration"]}
+    counted = spark.createDataFrame([("f", 1, 4, 2, 2)], "file_id string, graph_id long, bb long, cn long, ex long")
+    assert cfg.summary_text(counted).first()["text"] == "BB: 4 CN: 2 EX: 2"
+
+
 def by_file(marks):
     out = {}
     for r in marks.collect():
