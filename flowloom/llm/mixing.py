@@ -12,8 +12,8 @@ def target_shares(rows: DataFrame, power: float, resolution: int) -> DataFrame:
     """``(__src, p)``: how many of about ``resolution`` slots each source gets, in proportion to its row
     count raised to ``power``; one slot at least."""
     counted = rows.groupBy("__src").agg(F.count("*").alias("n")).withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
-    total = counted.agg(F.sum("w").alias("all_w"))
-    return counted.join(F.broadcast(total)).select("__src", F.greatest(F.lit(1), F.round(F.col("w") / F.col("all_w") * resolution)).cast("long").alias("p"))
+    total = F.sum("w").over(Window.partitionBy(F.lit(0)))  # a row for each source
+    return counted.select("__src", F.greatest(F.lit(1), F.round(F.col("w") / total * resolution)).cast("long").alias("p"))
 
 
 def schedule(shares: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     hist = durable(lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN)), "histogram")
     sums = hist.groupBy("span").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
     over_spans = Window.orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    longer = sums.select("span", F.coalesce(F.sum("d").over(over_spans), F.lit(0)).alias("d"), F.coalesce(F.sum("t").over(over_spans), F.lit(0)).alias("t"))
-    total = sums.agg(F.sum("d").alias("all_docs"), F.sum("t").alias("all_tokens"))
+    every = Window.partitionBy(F.lit(0))
+    longer = sums.select("span", F.coalesce(F.sum("d").over(over_spans), F.lit(0)).alias("d"), F.coalesce(F.sum("t").over(over_spans), F.lit(0)).alias("t"), F.sum("d").over(every).alias("all_docs"), F.sum("t").over(every).alias("all_tokens"))
     inside = Window.partitionBy("span").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
     out = (
         hist.withColumn("di", F.coalesce(F.sum("docs").over(inside), F.lit(0)))
@@ -53,7 +53,6 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
         .join(longer, "span")
         .withColumn("docs_over", F.col("d") + F.col("di"))
         .withColumn("tokens_over", F.col("t") + F.col("ti"))
-        .join(F.broadcast(total))  # one row
     )
     return out.select(
         "n_tokens",
