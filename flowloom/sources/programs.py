@@ -60,7 +60,7 @@ def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer → order → line → {part, supplier} as ``(src, dst, kind)``."""
+    """customer → order → line → {part, supplier} as ``(src, dst, kind)``; repeated rows make repeated edges."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l", F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey"))
     return (
@@ -68,7 +68,6 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(line.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.col("l").alias("dst"), F.lit("has").alias("kind")))
         .unionByName(line.select(F.col("l").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.lit("of").alias("kind")))
         .unionByName(line.select(F.col("l").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.lit("from").alias("kind")))
-        .distinct()
     )
 
 
