@@ -117,6 +117,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(margin) + self.offset, -30, 30)))
 
 
+def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that make margins probabilities: Newton's steps on smoothed targets, each halved until it
+    lowers the loss, so that held-out rows that separate cleanly give finite numbers too."""
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+
+    def loss(ab):
+        z = ab[0] * x + ab[1]
+        return (np.logaddexp(0, z) - t * z).sum()
+
+    ab = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(ab[0] * x + ab[1], -500, 500)))
+        h = p * (1 - p)
+        g = np.array([((p - t) * x).sum(), (p - t).sum()])
+        step = np.linalg.solve(np.array([[(h * x * x).sum() + 1e-6, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]]), g)
+        now, size = loss(ab), 1.0
+        while loss(ab - size * step) > now and size > 1e-10:
+            size /= 2
+        ab = ab - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(ab[0]), float(ab[1])
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 150, held_out: int = 5) -> Model | None:
     """Logistic regression by Adagrad on all but every ``held_out``-th row, calibrated (Platt) on those.
 
@@ -146,17 +170,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
         w, b = w - 0.3 * g / np.sqrt(gw), b - 0.3 * d.sum() / np.sqrt(gb)
     m, slope, offset = margins(), 1.0, 0.0
     if calibrate.any():
-        x, t = m[calibrate], y[calibrate]
-        t = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
-            h = p * (1 - p) + 1e-9
-            g = np.array([((p - t) * x).sum(), (p - t).sum()])
-            hess = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-3]])
-            step = np.linalg.solve(hess, g)
-            slope, offset = slope - step[0], offset - step[1]
-            if np.abs(step).max() < 1e-9:
-                break
+        slope, offset = platt(m[calibrate], y[calibrate])
         if slope <= 0:  # held-out rows too few to tell
             slope, offset = 1.0, 0.0
     return Model(w, float(b), float(slope), float(offset))

@@ -388,8 +388,19 @@ def test_quality_facts(spark, docs, rows):
         assert tuple(r)[1:7] == slow_facts(r["text"]) and r["kept"] == (not r["base_failed"]) and r["probability"] is None
 
 
+def test_platt():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=4000) * 2
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(1.5 * x - 0.7)))).astype(float)
+    a, b = quality.platt(x, y)
+    assert abs(a - 1.5) < 0.15 and abs(b + 0.7) < 0.15
+    a, b = quality.platt(np.array([-9.0, -8.0, 9.0, 11.0, 12.0, 14.0]), np.array([0, 0, 1, 1, 1, 1.0]))
+    assert 0 < a < 1 and abs(b) < 5
+
+
 def test_quality_model(spark, empty):
-    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    larger = SF.replace("sf0.001", "sf0.01")  # about 200 labelled rows on either side
+    docs, labels = common.table(spark, larger, "documents"), common.table(spark, larger, "labels")
     train, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     model = quality.train(docs, train)
     got = quality.score(docs, model).select("__row.doc_id", "probability", "base_failed", "kept").join(held, "doc_id").toPandas()
