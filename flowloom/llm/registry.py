@@ -66,8 +66,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_license_scan, op3_simhash, op4_token_histogram, op5_pfair_mixing, op6_byte_bpe, op7_pii, op8_repeated_spans, op9_quality_rules, op10_exact_dedup)
 }
 
-#: op1's base-32 digests, op3, op4, op6, op7, op8 and op9 can't be said in SQL; tests/llm compares them with brute force.
+#: op3, op4, op6, op7, op8 and op9 can't be said in SQL; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        g AS (SELECT h, min(page_id) AS low, sha1(h) AS x FROM p GROUP BY h),
+        b AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INT), 5) AS INT)) AS v FROM g),
+        d AS (SELECT h, low, array_to_string(list_transform(v, lambda n: array_to_string(list_transform([32768, 1024, 32, 1], lambda k:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(n // k % 32 + 1 AS INT), 1)), '')), '') AS payload_digest FROM b)
+        SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM low AND low IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM low THEN low END AS refers_to
+        FROM p JOIN d USING (h)""",
     "op2_license_scan": licenses.oracle(),
     "op5_pfair_mixing": mixing.SQL,
     "op10_exact_dedup": """
