@@ -132,6 +132,26 @@ def graph_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cfg.numbered(cfg_nodes, nodes).select("file_id", "node_id", "label")
 
 
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, blocks, conditions and end of every graph, reached from either side."""
+    _, cfg_edges, _ = cfg.control_flow(event_nodes(spark, sf_dir))
+    return cfg.all_nodes(cfg_edges)
+
+
+def scoped_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accesses to each variable inside the block that declares it."""
+    nodes = event_nodes(spark, sf_dir)
+    blocks = tree.parents(nodes, "pre", "post").where("kind = 'VariableDeclaration'").select("file_id", F.col("node_id").alias("decl_id"), F.col("parent_pre").alias("scope_pre"), F.col("parent_post").alias("scope_post"))
+    return scope.accesses_in_scope(scope.resolve(traits.var_access(nodes), scope.declarations(nodes)), blocks)
+
+
+def branch_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The innermost block that holds all views of a user, by the shortest path of blocks."""
+    nodes = event_nodes(spark, sf_dir)
+    views = nodes.where("kind = 'MethodInvocation'").select(F.col("owner").alias("group"), "file_id", "node_id")
+    return tree.common_block(views, tree.ancestors(nodes, columns=("kind",)))
+
+
 def _sql(query: str, more: str = "") -> str:
     return EVENT_PROGRAM.replace("{k}", "json_extract_string(props, '$.k')") + more + query
 
@@ -189,6 +209,13 @@ SQL = {
         _CFG,
     ),
 }
+SQL["graph_nodes"] = _sql(
+    """, ids AS (SELECT base, leader * 2 AS cfg_id FROM lead UNION ALL SELECT base, (base + rn * 8 + 1) * 2 + 1 FROM errs UNION ALL SELECT DISTINCT base, -1 FROM g UNION ALL SELECT DISTINCT base, -2 FROM g)
+    SELECT concat('f', CAST((base // 4294967296) % 16 AS STRING)) AS file_id, base + 1 AS graph_id, cfg_id FROM ids""",
+    _CFG,
+)
+SQL["scoped_accesses"] = "SELECT r.file_id, r.node_id, r.decl_id FROM (" + SQL["resolved_variables"] + ") r JOIN (" + _sql("SELECT n.node_id, n.pre, d.node_id AS did, b.pre AS bpre, b.post AS bpost FROM nodes n JOIN nodes d ON d.owner = n.owner AND d.kind = 'VariableDeclaration' AND d.name = n.name JOIN nodes b ON b.node_id = d.parent_id WHERE n.kind = 'Identifier'") + ") x ON x.node_id = r.node_id AND x.did = r.decl_id WHERE bpre <= pre AND bpost >= pre"
+SQL["branch_summaries"] = _sql("""SELECT u AS "group", blk AS block_id FROM (SELECT owner AS u, parent_id AS blk, row_number() OVER (PARTITION BY owner ORDER BY depth, node_id) AS rn FROM nodes WHERE kind = 'MethodInvocation') WHERE rn = 1""")
 SQL["folded_constants"] = SQL["values_assigned"].replace("SELECT file_id, decl_id, value_id FROM (", ", va AS (SELECT file_id, decl_id, value_id FROM (", 1) + f"""),
     one AS (SELECT decl_id, min(value_id) AS value_id FROM va GROUP BY 1 HAVING count(*) = 1),
     rd AS (SELECT n.file_id, n.node_id, (SELECT max_by(d.node_id, d.pre) FROM nodes d WHERE d.kind = 'VariableDeclaration' AND d.owner = n.owner AND d.name = n.name AND d.pre <= n.pre) AS decl_id FROM nodes {_P} WHERE {_READ})
@@ -209,6 +236,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         ancestor_counts, enclosing_if, bodies, branch_blocks, variable_accesses, expression_views, statement_views, method_views, declared_variables, call_views, first_arguments, filled_parameters, guard_nodes,
-        resolved_variables, values_assigned, folded_constants, folded_doubles, writes_seen, flow_nodes, flow_edges, local_flow, method_calls, flow_graphs, guarded_reach, graph_labels,
+        resolved_variables, values_assigned, folded_constants, folded_doubles, writes_seen, flow_nodes, flow_edges, local_flow, method_calls, flow_graphs, guarded_reach, graph_labels, graph_nodes, scoped_accesses, branch_summaries,
     )
 }

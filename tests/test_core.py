@@ -369,7 +369,7 @@ def test_empty(spark):
     assert cfg.counts(*cfg.control_flow(none)[:2]).count() == 0
 
 
-SLOW = {"local_flow", "guarded_reach", "graph_labels", "star_flow_summary", "star_summary_of_customers"}
+SLOW = {"graph_nodes", "local_flow", "guarded_reach", "graph_labels", "star_flow_summary", "star_summary_of_customers"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - SLOW))
