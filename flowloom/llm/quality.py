@@ -154,7 +154,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
         calibrate = np.zeros(len(y), dtype=bool)
     at = np.concatenate([r[0] for r in rows])
     val = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * (~calibrate)
     balance /= balance.sum()
     w, b = np.zeros(DIMENSIONS), 0.0
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     got["key"] = [hash(x) for x in zip(got["id"], got["at"].map(len))]
     got = got.sort_values(["id", "key"])
-    rows = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for a, v in zip(got["at"], got["v"])]
+    rows = [(np.frombuffer(a, "<u2"), np.frombuffer(v, "<f4")) for a, v in zip(got["at"], got["v"])]  # views, not copies
     return fit(rows, got["y"].to_numpy())
 
 
