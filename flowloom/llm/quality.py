@@ -160,12 +160,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
     w, b = np.zeros(DIMENSIONS), 0.0
     gw, gb = np.full(DIMENSIONS, 1e-8), 1e-8
 
+    pieces = [slice(i, i + (1 << 19)) for i in range(0, max(1, len(at)), 1 << 19)]  # so that a step's temporaries stay small
+
     def margins():
-        return np.bincount(row, weights=val * w[at], minlength=len(rows)) + b
+        return sum(np.bincount(row[p], weights=val[p] * w[at[p]], minlength=len(rows)) for p in pieces) + b
 
     for _ in range(rounds):
         d = (1 / (1 + np.exp(-np.clip(margins(), -30, 30))) - y) * balance
-        g = np.bincount(at, weights=val * d[row], minlength=DIMENSIONS) + 1e-6 * w
+        g = sum(np.bincount(at[p], weights=val[p] * d[row[p]], minlength=DIMENSIONS) for p in pieces) + 1e-6 * w
         gw, gb = gw + g * g, gb + d.sum() ** 2
         w, b = w - 0.3 * g / np.sqrt(gw), b - 0.3 * d.sum() / np.sqrt(gb)
     m, slope, offset = margins(), 1.0, 0.0

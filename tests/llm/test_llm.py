@@ -408,6 +408,8 @@ def test_quality_model(spark, empty):
     assert quality.train(docs, labels.where("quality = 1")) is None and quality.train(docs, labels.limit(0)) is None and quality.train(empty, labels) is None
     odd = labels.unionByName(spark.createDataFrame([(None, 1, 0), (1, None, 0), (2, 7, 0)], labels.schema))
     assert quality.train(docs, odd) is not None
+    blank = spark.createDataFrame([(i, None) for i in range(20)], "doc_id long, text string")
+    assert quality.score(blank, quality.train(blank, blank.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))).where("kept").count() == 0
     assert quality.keep_quality(empty, labels).count() == 0
 
 
