@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +19,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a later start in a run of digits can't match where its first one doesn't
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NUMBERS = re.compile(r"[0-9]{3}|@")
+TOKENS = re.compile(r"\S+")
+GROUPS = re.compile(r"\+?\(?[0-9](?:[().-]*[0-9])*")  # a run of digit groups goes on over the characters of PHONE
 WORDS = re.compile(r"\S+")
 
 
@@ -66,52 +69,87 @@ def spans_text(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def shape(s: str) -> str:
-    """Digits and letters by class, runs by length class: what an identifier looks like."""
-    s = re.sub(r"[^\W\d_]+", lambda m: f"a{min(len(m[0]), 9)}", s[:64])
-    return re.sub(r"(?<!a)[0-9]+", lambda m: f"9x{min(len(m[0]), 20)}", s)
+def looks(s: str) -> str:
+    """What an identifier looks like at most: with an @, of digits alone, or mixed."""
+    return "@" if "@" in s else "a9" if any(c.isalpha() for c in s) else "9"
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: its shape with the words on either side (digits masked, A-Z lower-cased)."""
+    """Lexical patterns around a span: the words on either side (digits masked, lower-cased).
+
+    Two words on the left stand alone; a single one also tells by :func:`looks`.
+    """
 
     def plain(w: str) -> str:
         return re.sub(r"[0-9]+", "0", w.lower())[:40]
 
     left = [plain(w) for w in WORDS.findall(text[max(0, start - 120) : start])[-2:]]
     right = [plain(w) for w in WORDS.findall(text[end : end + 60])[:1]]
-    form, out = shape(text[start:end]), []
+    form, out = looks(text[start:end]), []
     if left:
         out.append(f"l1|{left[-1]}|{form}")
         if right:
             out.append(f"lr|{left[-1]}|{right[0]}|{form}")
     if len(left) > 1:
-        out.append(f"l2|{left[0]} {left[1]}|{form}")
+        out.append(f"l2|{left[0]} {left[1]}")
     return out
 
 
+def instance(s: str) -> str:
+    """The string itself, lower-cased, or a digest that stands for a long one."""
+    s = s.lower()
+    return s if len(s) <= 64 else hashlib.md5(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _number_runs(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """From every digit group on, as many groups as PHONE would join, up to the 19 digits of the longest base pattern."""
+    found = [(m.start(), m.end()) for m in GROUPS.finditer(text, low, high)]
+    runs: list[list[tuple[int, int]]] = []
+    for s, e in found:
+        if (s > 0 and (text[s - 1].isalnum() or text[s - 1] == "_")) or (e < len(text) and (text[e].isalpha() or text[e] == "_")):
+            runs.append([])  # part of a token with letters
+        elif runs and runs[-1] and text[s] != "+" and not text[runs[-1][-1][1] : s].strip(" ().-"):
+            runs[-1].append((s, e))
+        else:
+            runs.append([(s, e)])
+    for run in runs:
+        sizes, last, total = [len(_digits(text[s:e])) for s, e in run], 0, 0
+        for i, (s, _) in enumerate(run):
+            while last < len(run) and (last == i or total + sizes[last] <= 19):
+                total += sizes[last]
+                last += 1
+            if total >= 6:
+                yield s, run[last - 1][1]
+            total -= sizes[i]
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens that look like identifiers (six digits or more, or an @ inside) and lie outside the base spans."""
-    out, done, held = [], 0, sorted((s, e) for _, s, e in taken)
-    for m in NUMBERS.finditer(text):
-        if m.start() < done:
-            continue
-        a, b = m.start(), m.end()
-        while a > done and b - a < 64 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and b - a < 64 and not text[b].isspace():
-            b += 1
-        done = b
-        while a < b and not text[a].isalnum() and text[a] != "+":
+    """What may be an identifier outside the base spans: tokens with six digits or more or an @ inside, and
+    runs of digit groups with six digits or more; at full length, the longest from each start."""
+    held: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if held and s < held[-1][1]:
+            held[-1][1] = max(held[-1][1], e)
+        else:
+            held.append([s, e])
+    starts, out = [s for s, _ in held], {}
+    for m in TOKENS.finditer(text):
+        a, b = m.span()
+        while a < b and not text[a].isalnum() and text[a] not in "+(":
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
+        if a < b and text[a] == "(" and not (a + 1 < b and "0" <= text[a + 1] <= "9"):
+            while a < b and not text[a].isalnum() and text[a] != "+":
+                a += 1
+        at = bisect_right(starts, b - 1) - 1
         token = text[a:b]
-        if (len(_digits(token)) >= 6 or 0 < token.find("@") < len(token) - 1) and not any(s < b and a < e for s, e in held):
-            out.append((a, b))
-    return out
-
-
+        if (len(_digits(token)) >= 6 or 0 < token.find("@") < len(token) - 1) and (at < 0 or held[at][1] <= a):
+            out[a] = b
+    for low, high in zip([0, *[e for _, e in held]], [*starts, len(text)], strict=True):
+        for s, e in _number_runs(text, low, high):
+            out[s] = max(e, out.get(s, 0))
+    return sorted(out.items())
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
@@ -125,13 +163,13 @@ def occurrences(rows: DataFrame) -> DataFrame:
                 found = base_spans(t)
                 base.append([list(x) for x in found])
                 at = [(k, s, e) for k, s, e in found] + [(-1, s, e) for s, e in candidates(t, found)]
-                seen.append([{"kind": k, "start": s, "end": e, "instance": t[s:e].lower(), "patterns": contexts(t, s, e)} for k, s, e in at])
+                seen.append([{"kind": k, "start": s, "end": e, "instance": instance(t[s:e]), "patterns": contexts(t, s, e)} for k, s, e in at])
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__key"), pa.array(base, pa.list_(pa.list_(pa.int32()))), pa.array(seen, pa.list_(kinds))], names=["__id", "__key", "base", "seen"])
 
     return rows.select("__id", "__key", "__text").mapInArrow(go, "__id long, __key string, base array<array<int>>, seen array<struct<kind:int,start:int,end:int,instance:string,patterns:array<string>>>")
 
 
-def bootstrap(seen: DataFrame, rounds: int = 3, min_support: int = 5, pattern_score: float = 0.9, instance_score: float = 0.9) -> DataFrame:
+def bootstrap(seen: DataFrame, max_rounds: int = 100, min_support: int = 5, pattern_score: float = 0.9, instance_score: float = 0.9) -> DataFrame:
     """``(instance, kind)`` of identifiers that no base pattern has, learned from the seeds.
 
     ``seen(kind, instance, patterns)``; kind -1 is unknown.  In each round a
@@ -139,12 +177,14 @@ def bootstrap(seen: DataFrame, rounds: int = 3, min_support: int = 5, pattern_sc
     one counts as 0 until it is accepted), and is trusted from ``min_support``
     instances and ``pattern_score`` on; an unknown instance takes its best
     trusted pattern's score, and is accepted for the next round from
-    ``instance_score`` on.  The graph stays distributed: it is grouped by
-    pattern after map-side sums, and joined by instance.
+    ``instance_score`` on.  What is accepted keeps its kind and its best score, so
+    rounds only add, and they end when one adds nothing.  The graph stays
+    distributed: it is grouped by pattern after map-side sums, and joined by instance.
     """
     edges = durable(seen.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("kind").alias("kind")), "edges")
     known = edges.where("kind < 0").select("instance").distinct().select("instance", F.lit(-1).alias("kind"), F.lit(0.0).alias("score")).limit(0)
-    for n in range(rounds):
+    before = 0
+    for n in range(max_rounds):
         now = edges.where("kind >= 0").select("pattern", "instance", "kind", F.lit(1.0).alias("score")).unionByName(
             edges.where("kind < 0").drop("kind").join(known, "instance", "left").select("pattern", "instance", F.coalesce("kind", F.lit(-1)).alias("kind"), F.coalesce("score", F.lit(0.0)).alias("score"))
         )
@@ -152,8 +192,13 @@ def bootstrap(seen: DataFrame, rounds: int = 3, min_support: int = 5, pattern_sc
         full = sums.groupBy("pattern").agg(F.sum("n").alias("support"), F.max(F.when(F.col("kind") >= 0, F.struct("s", "kind"))).alias("top"))
         trusted = full.where(f"support >= {min_support} and top is not null and top.s / support >= {pattern_score}").select("pattern", "top.kind", (F.col("top.s") / F.col("support")).alias("p"))
         reached = edges.where("kind < 0").select("instance", "pattern").join(trusted, "pattern").groupBy("instance").agg(F.max(F.struct("p", F.col("kind"))).alias("best"))
-        known = durable(reached.where(f"best.p >= {instance_score}").select("instance", "best.kind", F.col("best.p").alias("score")), f"known{n}")
-    return known
+        both = reached.where(f"best.p >= {instance_score}").select("instance", "best.kind", F.col("best.p").alias("score"), F.lit(1).alias("new")).unionByName(known.withColumn("new", F.lit(0)))
+        known = durable(both.groupBy("instance").agg(F.min_by("kind", "new").alias("kind"), F.max("score").alias("score")), f"known{n}")
+        count = known.count()
+        if count == before:
+            return known
+        before = count
+    raise RuntimeError("the bootstrap did not settle; raise max_rounds")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -168,7 +213,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     seen = found.select("__id", "__key", F.explode("seen").alias("o")).select("__id", "__key", "o.*")
     learned = bootstrap(seen.select("kind", "instance", "patterns"), **options)
     more = seen.where("kind < 0").drop("kind").join(learned.select("instance", "kind"), "instance").select("__id", "__key", F.array("kind", "start", "end").alias("span"))
-    extra = more.groupBy("__id", "__key").agg(F.collect_set("span").alias("more"))
+    extra = more.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.expr("array(span[1], -span[2], span[0])"))).alias("more"))
+    # by start, longest first: what lies inside an earlier span goes
+    outer = "aggregate(more, array(array(-1, 0, -1)), (a, x) -> if(x[1] >= element_at(a, -1)[1], a, concat(a, array(x))), a -> transform(slice(a, 2, size(a)), x -> array(x[2], x[0], -x[1])))"
+    extra = extra.withColumn("more", F.expr(outer))
     a, b = found.select("__id", "__key", "base").alias("a"), extra.alias("b")
     met = a.join(b, F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__key") == F.col("b.__key")), "left").select(F.col("a.__id").alias("doc_id"), "base", F.coalesce("more", F.array().cast("array<array<int>>")).alias("more"))
     name = F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (k, n)])

@@ -323,6 +323,29 @@ def test_pii_bootstrap(spark):
     assert [(r["instance"], r["kind"]) for r in got.collect()] == [("b@local", 0)]
 
 
+def test_pii_unseen(spark):
+    """What looks like no base match is found by its context, in as many rounds as it takes."""
+    lines = [f"call desk {n} now +1 (456) 555-{1000 + n} or so" for n in range(12)] + [f"the user mail is u{n}@mail.example.com today" for n in range(20)]
+    lines += ["call desk 7 now (456) 555-9999 or so"] * 2 + ["the user mail is u77@localhost today", "the value is 1234567 today"]
+    lines += [f"ring room 5 {'+1 ' if n else ''}(456) 556-{1000 + n} soon" for n in range(12)]  # after a number
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert [got[n] for n in range(32, 37)] == ["phone:16:30", "phone:16:30", "email:17:30", "", "phone:12:26"]
+    # each pattern is trusted only after the one before it has had its unknown ones accepted
+    chain = [(3, f"seed{n}", ["p0"]) for n in range(20)]
+    for k in range(6):
+        chain += [(-1, f"x{k}-{n}", [f"p{k}", f"p{k + 1}"]) for n in range(2)] + [(3, f"s{k}-{n}", [f"p{k + 1}"]) for n in range(25)]
+    found = pii.bootstrap(spark.createDataFrame(chain, "kind int, instance string, patterns array<string>")).collect()
+    assert {r["instance"] for r in found} == {f"x{k}-{n}" for k in range(6) for n in range(2)}
+    with pytest.raises(RuntimeError):
+        pii.bootstrap(spark.createDataFrame(chain, "kind int, instance string, patterns array<string>"), max_rounds=3)
+
+
+def test_pii_candidates():
+    t = "a 7 (456) 555-9999 b +12 34567 x123456y 4465758382889437 4465758382889437 [u@h], " + "9" * 70
+    assert [t[a:b] for a, b in pii.candidates(t, [])] == ["7 (456) 555-9999", "(456) 555-9999", "555-9999", "+12 34567", "x123456y", "4465758382889437", "4465758382889437", "u@h", "9" * 70]
+    assert pii.candidates("1234567 10.0.0.1 x", [(1, 8, 16)]) == [(0, 7)]
+
+
 def slow_repeats(texts, n):
     """Covered word positions by whole windows that stand at two places or more."""
     where = {}
