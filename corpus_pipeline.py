@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowloom.llm import bpe, common, exact_dedup, mixing, quality, simhash
 
@@ -32,9 +33,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document, and its position in the mixing schedule."""
     common.tune(spark)
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    placed = mixing.written_order(docs).select(F.struct("doc_id", "position").alias("at"), "text")
+    found = bpe.encode_documents(placed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, id_col="at")
+    return found.select("at.doc_id", *found.columns[1:], "at.position")
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", drop_exact), ("near dedup", drop_near), ("mixing", mix_sources), ("encoding", encode)]

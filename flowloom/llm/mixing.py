@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,24 @@ def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     return mix(docs, **options).repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select("__row.*")
 
 
+def written_order(docs: DataFrame, name: str = "position") -> DataFrame:
+    """``docs`` with each row's number, from 0, in the order in which its files were written: by part, and by row in a part.
+
+    A reader deals files out by size, so the order of :func:`in_mixed_order` is
+    in the files alone.  Rows that don't come straight from files are written first.
+    Only the files' counts, one row a file, are summed in one task and broadcast.
+    """
+    try:
+        rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__nr"))
+    except AnalysisException:
+        return written_order(durable(docs, "order"), name)
+    part = F.regexp_extract("__file", r"/part-([0-9]+)[^/]*$", 1).try_cast("long")
+    files = rows.groupBy("__file").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(part, "__file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.select("__file", F.coalesce(before, F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(starts), "__file").select("__row.*", (F.col("__start") + F.col("__nr")).alias(name))
+
+
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),

@@ -457,6 +457,29 @@ def test_pipeline(spark, empty):
         assert stage(spark, empty, SF).columns == empty.columns and stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_order(spark):
+    """The mixing order reaches the pipeline's result, whatever order the files are read in."""
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    n = {"a": 900, "b": 100, "c": 400}
+    given = [(i, words(rng, rng.choice((1, 1, 60))), "en", s, 1) for i, s in enumerate(x for s, k in n.items() for x in [s] * k)]
+    docs = spark.createDataFrame(given, DOCS)
+    mixed = common.durable(p.STAGES[-2][1](spark, docs, SF), "mixed")
+    got = {r["position"]: r["doc_id"] for r in p.STAGES[-1][1](spark, mixed, SF).collect()}
+    want = mixing.mix(docs).select("__row.doc_id", "slot", "place").collect()
+    assert [got[k] for k in range(len(given))] == [r["doc_id"] for r in sorted(want, key=lambda r: (r["slot"], r["place"]))]
+    again = p.encode(spark, docs.where("source = 'b'"), SF).collect()  # not from files
+    assert sorted(r["position"] for r in again) == list(range(100))
+    total, seen = sum(k**0.5 for k in n.values()), dict.fromkeys(n, 0)
+    for k in range(len(given)):
+        seen[given[got[k]][3]] += 1
+        if any(n[s] - seen[s] < 16 for s in n):
+            break
+        assert all(abs(seen[s] - (k + 1) * n[s] ** 0.5 / total) <= 17 for s in n), k  # a block, and the rounding of shares
+    assert k > 300
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracles(spark, name):
     import duckdb
