@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..common import durable
 from ..schema import LOOPS, STATEMENTS
 from . import graph
-from .tree import KEY, ancestors, callable_blocks, parents
+from .tree import KEY, STRIDE, ancestors, callable_blocks, parents
 
 START, END = -1, -2
+#: Operators nested in a condition; more is an error.
+MAX_LEVELS = 10_000
 COMPOUND = ("Block", "If", "While", "DoWhile", "For", "Try", "Synchronized", "Switch", "Label")
 
 
@@ -33,10 +35,17 @@ def units(nodes: DataFrame) -> DataFrame:
     each = nodes.where("kind = 'ForEach' or (kind = 'Case' and coalesce(name, '') <> 'default')").select(*KEY, "pre", F.lit(True).alias("is_condition"))
     below = nodes.where("role = 'condition'").select(*KEY, "kind", "operator", "pre")
     found = below.where(~logical())
-    for _ in range(8):  # operators in a condition, nested this deep
+    for n in range(1, MAX_LEVELS + 1):
         inner = below.where(logical()).select("file_id", F.col("node_id").alias("parent_id"))
         below = nodes.join(inner, ["file_id", "parent_id"]).select(*KEY, "kind", "operator", "pre")
         found = found.unionByName(below.where(~logical()))
+        if n % STRIDE == 0:
+            below = durable(below.where(logical()))
+            if below.isEmpty():
+                break
+            found = durable(found)
+    else:
+        raise ValueError(f"a condition nests operators more than {MAX_LEVELS} levels deep")
     return simple.unionByName(each).unionByName(found.select(*KEY, "pre", F.lit(True).alias("is_condition"))).distinct()
 
 
@@ -86,7 +95,7 @@ def build(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     moved = broken.unionByName(again).select("file_id", F.col("node_id").alias("src"), "dst", F.lit(None).cast("string").alias("branch"))
 
     # a leaf climbs to the operator or statement that its outcome decides; every "not" on the way turns the outcome round
-    climb = steps.join(u.where("is_condition").select(*KEY), list(KEY), "left_semi").where("up < 64")
+    climb = steps.join(u.where("is_condition").select(*KEY), list(KEY), "left_semi")
     order = Window.partitionBy(*KEY).orderBy("up").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     self_op = nodes.select("file_id", F.col("node_id").alias("anc_id"), F.col("operator").alias("self_op"))
     turned = climb.join(self_op, ["file_id", "anc_id"]).withColumn("turns", F.sum(F.when((F.col("up") > 0) & (F.col("self_op") == "Not"), 1).otherwise(0)).over(order))

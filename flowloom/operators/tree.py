@@ -16,22 +16,37 @@ def parents(nodes: DataFrame, *columns: str) -> DataFrame:
     return nodes.join(up, ["file_id", "parent_id"], "left")
 
 
-def ancestors(nodes: DataFrame, of: DataFrame | None = None, max_depth: int = 64, include_self: bool = False, columns: tuple[str, ...] = ("kind", "role", "pre", "post", "depth")) -> DataFrame:
+#: Levels of joins in one plan; deeper trees are written in between.
+STRIDE = 8
+
+
+def ancestors(nodes: DataFrame, of: DataFrame | None = None, max_depth: int | None = None, include_self: bool = False, columns: tuple[str, ...] = ("kind", "role", "pre", "post", "depth")) -> DataFrame:
     """``(file_id, node_id, anc_id, up, anc_*)``: every ancestor of each node of ``of``, ``up`` levels above it.
 
     Walks parent links level by level with equi-joins, which a hot file splits,
-    where an interval join would compare all its nodes.  ``max_depth`` bounds the tree's depth.
+    where an interval join would compare all its nodes.  The tree's own depth says how many
+    levels there are; an ancestor above them, or beyond ``max_depth`` levels where that is given, is an error.
     """
     of = nodes if of is None else of
     above = nodes.select("file_id", F.col("node_id").alias("anc_id"), F.col("parent_id").alias("next_id"), *[F.col(c).alias(f"anc_{c}") for c in columns])
     deepest = nodes.agg(F.max("depth")).first()[0]
-    levels = min(max_depth, (deepest if deepest is not None else 0) + 1)
+    levels = (deepest if deepest is not None else 0) + 1
+    levels = levels if max_depth is None else min(max_depth, levels)
     now = of.select("file_id", "node_id", F.col("node_id").alias("anc_id")).join(above, ["file_id", "anc_id"]).withColumn("up", F.lit(0))
-    out = now if include_self else now.limit(0)
+    out, done = now if include_self else now.limit(0), None
     for n in range(1, levels):
+        if n % STRIDE == 0:
+            out = durable(out)
+            done = out if done is None else done.unionByName(out)
+            now = out.where(F.col("up") == n - 1)
+            out = out.limit(0)
         now = now.select("file_id", "node_id", F.col("next_id").alias("anc_id")).where("anc_id is not null").join(above, ["file_id", "anc_id"]).withColumn("up", F.lit(n))
         out = out.unionByName(now)
-    return durable(out.drop("next_id"))
+    out = durable(out)
+    last = out.where(F.col("up") == levels - 1) if levels > 1 or include_self else now
+    if not last.select("file_id", F.col("next_id").alias("anc_id")).join(above, ["file_id", "anc_id"], "left_semi").isEmpty():
+        raise ValueError(f"nodes have ancestors more than {levels - 1} levels above them; check their depth or raise max_depth")
+    return (out if done is None else done.unionByName(out)).drop("next_id")
 
 
 def nearest(pairs: DataFrame, wanted: Column, *columns: str) -> DataFrame:

@@ -103,6 +103,36 @@ def programs(spark):
     return nodes, *cfg.control_flow(nodes)
 
 
+def test_depth(spark):
+    """Conditions and trees of any depth are whole; a bound that cuts is an error."""
+    chain = call("a0", "x")
+    for k in range(1, 20):
+        chain = op("And", "left", chain, call(f"a{k}", "right"))
+    total = lit(0, "left")
+    for k in range(70):
+        total = op("Plus", "left", total, lit(k, "right"))
+    nodes = frame(spark, lower("and", method(if_(chain, [ret()]), ret("5"))), lower("sum", method(if_(op("Not", "x", op("Equals", "operand", total, lit(1, "right"))), [S[0]]))))
+    parent = {(r["file_id"], r["node_id"]): r["parent_id"] for r in nodes.collect()}
+
+    def climb(key):
+        up, out = 0, set()
+        while key in parent:
+            out.add((*key, up))
+            key, up = (key[0], parent[key]), up + 1
+        return out
+
+    got = tree.ancestors(nodes, include_self=True, columns=()).collect()
+    want = {(f, n, a, up) for f, n in parent for _, a, up in climb((f, n))}
+    assert len(got) == len(want) and {(r["file_id"], r["node_id"], r["anc_id"], r["up"]) for r in got} == want and max(w[3] for w in want) > 64
+    with pytest.raises(ValueError):
+        tree.ancestors(nodes, max_depth=64, columns=())
+    small = nodes.where("file_id like '%and%'")
+    assert small.count() > 0 and cfg.units(small).where("is_condition").count() == 20
+    u, edges = cfg.build(small)
+    taken = edges.where("branch is not null").groupBy("branch").agg(F.count("*"), F.countDistinct("dst")).collect()
+    assert {r[0]: (r[1], r[2]) for r in taken} == {"true": (20, 20), "false": (20, 1)}
+
+
 def test_cfg_counts(programs):
     nodes, cfg_nodes, cfg_edges, _ = programs
     got = {r["file_id"]: (r["bb"], r["cn"], r["ex"]) for r in cfg.counts(cfg_nodes, cfg_edges).collect()}
