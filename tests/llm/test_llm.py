@@ -253,11 +253,12 @@ def slow_scan(text):
         places += at
         labels |= {label} if at else set()
     more, best = set(), 0.0
-    for line in low.split("\n"):
-        block = set(re.findall(licenses.WORD, line))
-        for t, label in licenses.TEMPLATES:
-            share = len(block & set(t.split())) / len(set(t.split()))
-            if share >= 0.8 - 1e-12:
+    for t, label, required in licenses.TEMPLATES:
+        of, n = set(t.split()), -(-len(t.split()) * 5 // 4)
+        for i in range(len(w)):
+            block = set(w[i : i + n])
+            share = len(block & of) / len(of)
+            if share >= 0.8 - 1e-12 and set(required.split()) <= block:
                 more.add(label)
                 best = max(best, share)
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more)), 1.0 if labels else best)
@@ -265,16 +266,21 @@ def slow_scan(text):
 
 def test_licenses(spark, docs, rows, empty):
     extra = ["cc by cc by", "GNU  general-public LICENSE", "MIT license mit", licenses.TEMPLATES[6][0].upper() + "\nx", "redistribution and use in source and binary forms with or without", "gnu general public\nlicense"]
+    wrapped = licenses.TEMPLATES[7][0].split()
+    extra += ["\n".join(" ".join(wrapped[i : i + 6]) for i in range(0, len(wrapped), 6)), "licensed under cc by 4.0", "licensed under cc by-nc 4.0", "released under the gpl license", words(random.Random(6), 200) + " " + licenses.TEMPLATES[2][0]]
     rng = random.Random(5)
-    for t, _ in licenses.TEMPLATES:
+    for t, _, _ in licenses.TEMPLATES:
         w = t.split()
         for cut in (0.7, 0.8, 0.9, 1.0):
             extra.append(" ".join(rng.sample(w, round(cut * len(w))) + words(rng, 5).split()) + "\n" + words(rng, 20))
     more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string")
     given = [(r[0], r[1]) for r in rows] + [(1000 + i, t) for i, t in enumerate(extra)]
     got = licenses.license_scan(docs.select("doc_id", "text").union(more)).collect()
-    assert sorted(map(str, [(i, *slow_scan(t)) for i, t in given])) == sorted(str(tuple(r)) for r in got)
+    want, found = sorted(map(str, [(i, *slow_scan(t)) for i, t in given])), sorted(str(tuple(r)) for r in got)
+    assert [(a, b) for a, b in zip(want, found) if a != b] == []
     assert licenses.license_scan(empty).count() == 0
+    labels = {r["doc_id"]: r["labels"] for r in got}
+    assert [labels[1000 + i] for i in range(6, 11)] == ["bsd", "cc-by", "cc-by,cc-by-nc", "", "lgpl"]
 
 
 def slow_spans(text):
