@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, text_of
+from .common import durable, packed, text_of
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
@@ -71,6 +72,10 @@ def facts(text: str, raw: np.ndarray, words: np.ndarray) -> Facts:
         same = order[1:] == order[:-1]
         if same.any():
             found = np.isin(three, np.unique(order[1:][same]))
+            at, spelt = np.flatnonzero(found), raw.tobytes().split()
+            windows = [(spelt[i], spelt[i + 1], spelt[i + 2]) for i in at.tolist()]  # hashes choose, words decide
+            times = Counter(windows)
+            found[at] = [times[w] > 1 for w in windows]
             marks = np.zeros(n, dtype=bool)
             for k in range(3):
                 marks[k : n - 2 + k] |= found
@@ -78,8 +83,8 @@ def facts(text: str, raw: np.ndarray, words: np.ndarray) -> Facts:
     return Facts(n, int((inside & ((raw & 0xC0) != 0x80)).sum()), int(SYMBOL[raw].sum()), len(lines) - len(set(lines)), repeated)
 
 
-def features(raw: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed counts of words, word pairs and runs of 2 to 4 bytes, each kind of length one."""
+def features(text: str, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed counts of words, word pairs and runs of 2 to 4 characters (code points), each kind of length one."""
     ids, values = [], []
 
     def add(h: np.ndarray, kind: int) -> None:
@@ -94,12 +99,11 @@ def features(raw: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndar
     with np.errstate(over="ignore"):
         add(words, 1)
         add(words[:-1] * BASE + words[1:], 2)
-        r = raw.astype(np.uint64)
+        c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+        h = c * MIX
         for n in (2, 3, 4):
-            if len(r) >= n:
-                h = np.zeros(len(r) - n + 1, dtype=np.uint64)
-                for k in range(n):
-                    h = h << np.uint64(8) | r[k : len(r) - n + 1 + k]
+            if len(c) >= n:
+                h = h[:-1] * BASE + c[n - 1 :] * MIX
                 add(h, 2 + n)
     return (np.concatenate(ids), np.concatenate(values)) if ids else (np.zeros(0, np.int64), np.zeros(0))
 
@@ -182,11 +186,12 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000, max_bytes: int = 1 << 27) -> Model | None:
     """Fit on ``per_class`` labelled rows of each kind at most, those with the smallest hashed ids.
 
-    That bound is the only sample in this module; the texts are whole and
-    their features are made on the executors.  Labels other than 0 and 1, null
+    The features of these texts, made on the executors from whole texts, are what reaches the driver:
+    of each kind's rows, in that order, as many as begin within half of ``max_bytes``.
+    These two bounds make the only sample in this module.  Labels other than 0 and 1, null
     ids and labels without a document are ignored.
     """
     usable = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("y in (0, 1) and id is not null")
@@ -200,12 +205,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = []
             for t in b.column("text").to_pylist():
                 raw = _bytes(t)
-                at, v = features(raw, *word_hashes(raw))
+                at, v = features(t, word_hashes(raw)[2])
                 found.append((at.astype("<u2").tobytes(), v.astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["id", "y", "at", "v"])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(text_col).alias("text")).where("id is not null")
-    got = src.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(go, "id long, y int, at binary, v binary").toPandas()  # 2 * per_class documents
+    made = durable(src.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(go, "id long, y int, at binary, v binary"), "features")  # 2 * per_class documents
+    before = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = made.groupBy("id", "y").agg(F.sum(F.length("at") + F.length("v")).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    got = made.join(F.broadcast(sizes.where(F.col("before") < max_bytes // 2).select("id", "y")), ["id", "y"]).toPandas()
     if not len(got):
         return None
     got["key"] = [hash(x) for x in zip(got["id"], got["at"].map(len))]
@@ -234,7 +242,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5, text_col
         f = facts(text, raw, words)
         failed, p = f.n_words < 50 or 100 * f.n_repeat_words > 50 * f.n_words, None
         if m is not None:
-            at, v = features(raw, start, end, words)
+            at, v = features(text, words)
             p = float(m.probability((v * m.weights[at]).sum() + m.bias))
         return {"n_words": f.n_words, "word_chars": f.word_chars, "n_symbols": f.n_symbols, "n_dup_lines": f.n_dup_lines, "n_repeat_words": f.n_repeat_words, "base_failed": failed, "probability": p, "kept": not failed and (p is None or p >= threshold)}
 
