@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, packed
 
 
-def target_shares(rows: DataFrame, power: float, resolution: int) -> DataFrame:
-    """``(__src, p)``: how many of about ``resolution`` slots each source gets, in proportion to its row
-    count raised to ``power``; one slot at least."""
-    counted = rows.groupBy("__src").agg(F.count("*").alias("n")).withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
-    total = F.sum("w").over(Window.partitionBy(F.lit(0)))  # a row for each source
-    return counted.select("__src", F.greatest(F.lit(1), F.round(F.col("w") / total * resolution)).cast("long").alias("p"))
+def _source(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("n"))
+
+
+def root_weights(docs: DataFrame, source_col: str = "source", power: float = 0.5, resolution: int = 1000, per_source: int = 50) -> DataFrame:
+    """``(source, weight)``: whole target weights in proportion to each source's row count raised to ``power``.
+
+    They add up to about ``resolution``, or ``per_source`` for each source where that is more, so
+    that many sources don't all end at the least weight, one.
+    """
+    counted = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("w"))
+    every = Window.partitionBy(F.lit(0))  # a row for each source
+    slots = F.greatest(F.lit(resolution), F.count("*").over(every) * per_source)
+    return counted.select("source", F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(every) * slots)).cast("long").alias("weight"))
+
+
+def target_shares(rows: DataFrame, weights: DataFrame, max_steps: int) -> DataFrame:
+    """``(__src, p)``: the whole weight of each source of ``rows``, over their greatest common divisor.
+
+    The sum of all p is the period of the schedule, which takes period times sources
+    steps in one task; beyond ``max_steps`` that is an error, and the weights must be coarser.
+    """
+    target = weights.select(_source("source").alias("__src"), F.col("weight").cast("long").alias("p")).where("p >= 1").dropDuplicates(["__src"])
+    shares = durable(rows.select("__src").distinct().join(target, "__src", "left").select("__src", F.coalesce("p", F.lit(1)).cast("long").alias("p")), "shares")
+    sources, total, least = shares.agg(F.count("*"), F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.min("p"), F.lit(1))).first()
+    common = math.gcd(least, *[r["p"] for r in shares.select("p").distinct().limit(least + 1).collect()]) if least > 1 else 1
+    if sources * (total // common) > max_steps:
+        raise ValueError(f"{sources} sources over a period of {total // common} slots are more than {max_steps} steps; give coarser weights")
+    return shares.withColumn("p", F.expr(f"p div {common}"))
 
 
 def schedule(shares: DataFrame) -> DataFrame:
@@ -44,9 +69,14 @@ def schedule(shares: DataFrame) -> DataFrame:
     return slots.withColumn("nth", F.row_number().over(Window.partitionBy("__src").orderBy("slot")).cast("long") - 1)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", power: float = 0.5, resolution: int = 1000, block_rows: int = 16) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, max_steps: int = 20_000_000) -> DataFrame:
     """Every row of ``docs`` as struct ``__row`` with its block, slot and place in the slot.
 
+    ``weights(source, weight)`` are the target weights, whole numbers of at least one; the
+    share of a source is its weight over the sum of those of all sources that have rows,
+    and is kept exactly, however many slots there are.  A source without such a weight has
+    weight one.  None stands for :func:`root_weights`.
+
     Each source is cut into blocks of ``block_rows`` rows in the order of the MD5
     of the id; reading by (slot, place) keeps every source within one block of
     its target share for as long as no source has run out.  A source that has run
@@ -57,18 +87,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", pow
     are added up, so a source that holds a third of all rows is shared by many
     tasks.  A null source is a source of its own; a null id sorts as the text
     'null'; rows that tie in the id are in any order among themselves; an empty
-    table gives no rows.
+    table gives no rows.  What is broadcast, a row a slot of the period at most, is within ``max_steps``.
     """
-    rows = packed(docs, __id=id_col, __src=F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("n")))
+    weights = root_weights(docs, source_col) if weights is None else weights
+    rows = packed(docs, __id=id_col, __src=_source(source_col))
     rows = rows.withColumn("__h", F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("null")))).withColumn("__part", F.substring("__h", 1, 3))
-    template = durable(schedule(target_shares(rows, power, resolution)), "schedule")
+    template = durable(schedule(target_shares(rows, weights, max_steps)), "schedule")
     before = Window.partitionBy("__src").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = durable(rows.groupBy("__src", "__part").agg(F.count("*").alias("__n")).select("__src", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")), "parts")
     shares = template.select("__src", "p", "period").distinct()
     within = Window.partitionBy("__src", "__part").orderBy("__h", "__id")
     ranked = (
         rows.withColumn("__nr", F.row_number().over(within).cast("long") - 1)
-        .join(parts.join(F.broadcast(shares), "__src"), ["__src", "__part"])  # the schedule has about `resolution` rows
+        .join(parts.join(F.broadcast(shares), "__src"), ["__src", "__part"])  # 4,096 rows a source; sources and period are checked
         .withColumn("__rank", F.col("__nr") + F.col("__before"))
         .withColumn("block", F.expr(f"__rank div {block_rows}"))
         .withColumn("place", F.col("__rank") % block_rows)

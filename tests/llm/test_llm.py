@@ -60,6 +60,33 @@ def test_exact_dedup(docs, rows, empty):
     kept = exact_dedup.drop_exact_copies(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
     assert exact_dedup.drop_exact_copies(empty).count() == 0
+    # digests that clash are split by their bytes; a filter that must not be sent lets every row through
+    for more in ({"digest": lambda t: F.sha2(F.substring(t, 1, 1), 256)}, {"filter_bytes": 0}):
+        other = exact_dedup.exact_dedup(docs, memtable_rows=5, **more).select("__row.doc_id", "__row.text", "keep_id", "group_size", "kept", "text_sha256").collect()
+        assert sorted(map(str, other)) == sorted(map(str, got))
+
+
+def test_merge_index(spark, monkeypatch):
+    rng = random.Random(9)
+    given = [(rng.randint(0, 40), rng.choice([None, 1, 2, 3, 4, 5])) for _ in range(700)]
+    rows = spark.createDataFrame(given, "x int, id long").select(F.unhex(F.sha2(F.col("x").cast("string"), 256)).alias("digest"), "id", "x").repartition(5)
+    index = exact_dedup.merge_index(rows.select("digest", "id"), memtable_rows=30)
+    want = {}
+    for x, i in given:
+        want.setdefault(hashlib.sha256(str(x).encode()).digest(), []).append(i)
+    ranks = {d: max((i for i in ids if i is not None), default=None) for d, ids in want.items()}
+    got = {bytes(r["digest"]): (r["high"], r["n"], r["ties"]) for r in index.where("n > 0").collect()}
+    assert got == {d: (ranks[d], len(ids), ids.count(ranks[d])) for d, ids in want.items()}
+    test = exact_dedup.may_repeat(index)
+    once = spark.range(5000).select(F.unhex(F.sha2(F.concat(F.lit("z"), F.col("id").cast("string")), 256)).alias("digest"))
+    assert {bytes(r[0]) for r in rows.where(~test(F.col("digest"))).select("digest").collect()} <= {d for d, ids in want.items() if len(ids) == 1}
+    assert once.where(test(F.col("digest"))).count() < 500
+    # the index decides: with a wrong one the result is wrong
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    real = exact_dedup.merge_index
+    monkeypatch.setattr(exact_dedup, "merge_index", lambda *a: real(*a).withColumn("high", F.col("high") - 1).withColumn("n", F.col("n") * 2))
+    got = {tuple(r) for r in exact_dedup.exact_dedup(docs).select("__row.doc_id", "keep_id", "group_size", "kept").collect()}
+    assert {(1, 1, 4, True), (2, 1, 4, False)} <= got
 
 
 def test_bpe(docs, rows, empty):
@@ -222,25 +249,33 @@ def test_histogram(spark, docs, rows, empty):
 
 
 def test_mixing(docs, rows, empty):
-    got = mixing.mix(docs, resolution=40, block_rows=2).select("__row.*", F.col("slot").alias("at"), "block", "place").collect()
+    got = mixing.mix(docs, mixing.root_weights(docs, resolution=40, per_source=1), block_rows=2).select("__row.*", F.col("slot").alias("at"), "block", "place").collect()
     assert len(got) == len(rows) and mixing.mix(empty).count() == 0
     assert len({(r["at"], r["place"]) for r in got}) == len(rows)
     mixed = mixing.in_mixed_order(docs, block_rows=2)
     assert mixed.columns == docs.columns and mixed.count() == len(rows)
 
 
-def test_mixing_deviation(spark):
+@pytest.mark.parametrize("weights", [None, {"hot": 5000, "s0": 1234, "s1": 7, "s2": 333, "gone": 50, "s4": 0}, {"hot": 2000, None: 3000, **{f"s{k}": 1000 for k in range(11)}}])
+def test_mixing_deviation(spark, weights):
+    """Less than one block from the exact target share, whatever the weights."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('s', id % 11) end").alias("source"))
-    got = mixing.mix(docs, block_rows=1, resolution=100).select("__row.source", "slot").toPandas()
-    sizes = got.groupby("source", dropna=False).size()
-    p = {s: max(1, round(np.sqrt(n) / np.sqrt(sizes).sum() * 100)) for s, n in sizes.items()}
-    period = sum(p.values())
-    last = int(got.groupby("source", dropna=False)["slot"].max().min())
-    seen = {s: 0 for s in p}
-    order = got.sort_values("slot")["source"].tolist()
-    for t in range(last):
-        seen[next(s for s in p if s == order[t] or (s != s or s is None) and order[t] is None or s != s and order[t] != order[t])] += 1
-        assert all(abs(seen[s] - (t + 1) * p[s] / period) < 1 for s in p)
+    given = None if weights is None else spark.createDataFrame(list(weights.items()), "source string, weight long")
+    p = {r["source"]: r["weight"] for r in (mixing.root_weights(docs) if given is None else given).collect()}
+    got = mixing.mix(docs, given, block_rows=1).select("__row.source", "slot").collect()
+    last = {}
+    for r in got:
+        last[r["source"]] = max(r["slot"], last.get(r["source"], 0))
+    share = {s: max(1, p.get(s, 1)) for s in last}
+    total, seen = sum(share.values()), dict.fromkeys(share, 0)
+    order = {r["slot"]: r["source"] for r in got}
+    end = min(last.values())
+    assert len(order) == 3000 and end > 50 and set(range(end + 1)) <= set(order)
+    for t in range(end):
+        seen[order[t]] += 1
+        assert all(abs(seen[s] * total - (t + 1) * share[s]) < total for s in share)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, given, max_steps=10)
 
 
 def slow_scan(text):
@@ -390,9 +425,39 @@ def test_repeated_spans(spark, n, k):
     assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got.collect()) == slow_repeats(texts, n)
 
 
-def test_repeated_spans_odd_rows(docs, empty):
-    assert suffixes.repeated_spans(docs).count() > 0
+def test_repeated_spans_odd_rows(docs, rows, empty):
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    want = sorted((-1 if rows[d][0] is None else rows[d][0], a, b) for d, a, b in slow_repeats([r[1] for r in rows], 20))
+    got = suffixes.repeated_spans(docs, min_words=20, k=6).collect()
+    assert sorted(key(r[:3]) for r in got) == want and len(want) > 25
+    assert all(r["span_chars"] >= 39 for r in got)
     assert suffixes.repeated_spans(empty).count() == 0
+    assert suffixes.drop_repeats(docs).columns == docs.columns and suffixes.drop_repeats(docs).count() == len(rows) and suffixes.drop_repeats(empty).count() == 0
+
+
+def test_drop_repeats(spark):
+    rng, n = random.Random(4), 8
+    shared = [words(rng, m).split() for m in (n, 2 * n, 40)]
+    texts = [None, "", "a b"]
+    for _ in range(40):
+        s = rng.choice(shared)
+        texts.append(" ".join(words(rng, rng.randint(0, 30)).split() + s[rng.randint(0, 3) :] + words(rng, rng.randint(0, 12)).split()) + "\n")
+    texts += [texts[5]] * 4
+    where, ws = {}, [(t or "").split() for t in texts]
+    for d, w in enumerate(ws):
+        for i in range(len(w) - n + 1):
+            where.setdefault(tuple(w[i : i + n]), []).append((d, i))
+    gone, stay = set(), set()
+    for (d, i), *more in where.values():
+        if more:
+            stay |= {(d, i + k) for k in range(n)}
+            gone |= {(e, j + k) for e, j in more for k in range(n)}
+    docs = spark.createDataFrame([(d, t, d) for d, t in enumerate(texts)], "doc_id long, text string, starts int").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in suffixes.drop_repeats(docs, min_words=n, k=3).collect()}
+    assert got[0] is None and got[1] == ""
+    for d, w in enumerate(ws):
+        assert (got[d] or "").split() == [x for i, x in enumerate(w) if (d, i) not in gone - stay], d
+    assert sum(len((x or "").split()) for x in got.values()) < sum(map(len, ws))
 
 
 def slow_facts(text):
@@ -417,6 +482,29 @@ def test_quality_facts(spark, docs, rows):
         assert tuple(r)[1:7] == slow_facts(r["text"]) and r["kept"] == (not r["base_failed"]) and r["probability"] is None
 
 
+def test_quality_features():
+    mask, mix, base = (1 << 64) - 1, int(quality.MIX), int(quality.BASE)
+    for text in ("", "é", "aé日\U0001f600 aé日\U0001f600 b", "x y x y x"):
+        spelt = quality.word_hashes(quality._bytes(text))[2].tolist()
+        kinds = {1: spelt, 2: [(a * base + b) & mask for a, b in zip(spelt, spelt[1:])]}
+        for n in (2, 3, 4):
+            kinds[2 + n] = [sum((ord(c) + 1) * mix * base ** (n - 1 - k) for k, c in enumerate(text[i : i + n])) & mask for i in range(len(text) - n + 1)]
+        want = []
+        for kind, hashes in kinds.items():
+            slots = pd.Series([((h + kind) * mix & mask) >> 48 for h in hashes]).value_counts().sort_index()
+            want += [(at, (n / slots.sum()) ** 0.5) for at, n in slots.items()]
+        at, v = quality.features(text, np.array(spelt, dtype=np.uint64))
+        assert [a for a, _ in want] == at.tolist() and np.allclose([x for _, x in want], v)
+
+
+def test_quality_bound(spark):
+    docs = spark.createDataFrame([(i, "good words " * 30 if i % 2 else "bad terms " * 30) for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    few = quality.train(docs, labels, max_bytes=2)  # one row of each kind
+    assert few is not None and quality.train(docs, labels, per_class=1) is not None
+    assert np.array_equal(few.weights, quality.train(docs, labels, per_class=1).weights) and not np.array_equal(few.weights, quality.train(docs, labels).weights)
+
+
 def test_platt():
     rng = np.random.default_rng(0)
     x = rng.normal(size=4000) * 2
