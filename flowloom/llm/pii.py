@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from .common import durable, packed, text_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of base patterns, and one that only the method adds.
+ALL_KINDS = (*KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a later start in a run of digits can't match where its first one doesn't
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Seeds of the added kind: what stands after a word for a credential and a sign of assignment.
+SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_.=-]{16,})")
 TOKENS = re.compile(r"\S+")
 GROUPS = re.compile(r"\+?\(?[0-9](?:[().-]*[0-9])*")  # a run of digit groups goes on over the characters of PHONE
-WORDS = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -65,8 +68,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secrets(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Values of at least 16 characters, letters and digits, that a word before them calls a credential, outside the base spans."""
+    out = []
+    for m in SECRET.finditer(text):
+        s, e = m.span(1)
+        value = m[1].rstrip(".")
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(a < e and s < b for _, a, b in taken):
+            out.append((len(KINDS), s, s + len(value)))
+    return out
+
+
 def spans_text(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
 def looks(s: str) -> str:
@@ -74,22 +88,39 @@ def looks(s: str) -> str:
     return "@" if "@" in s else "a9" if any(c.isalpha() for c in s) else "9"
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
+def tokens(text: str) -> tuple[list[int], list[int]]:
+    """Where the runs without white space start and end."""
+    found = [m.span() for m in TOKENS.finditer(text)]
+    return [s for s, _ in found], [e for _, e in found]
+
+
+def contexts(text: str, start: int, end: int, at: tuple[list[int], list[int]] | None = None) -> list[str]:
     """Lexical patterns around a span: the words on either side (digits masked, lower-cased).
 
-    Two words on the left stand alone; a single one also tells by :func:`looks`.
+    Two words on the left stand alone; a single one also tells by :func:`looks`.  A word on the
+    left goes on over the signs after it.  Words are whole; a digest stands for a long one.
     """
+    starts, ends = tokens(text) if at is None else at
 
     def plain(w: str) -> str:
-        return re.sub(r"[0-9]+", "0", w.lower())[:40]
-
-    left = [plain(w) for w in WORDS.findall(text[max(0, start - 120) : start])[-2:]]
-    right = [plain(w) for w in WORDS.findall(text[end : end + 60])[:1]]
+        return instance(re.sub(r"[0-9]+", "0", w))
+
+    left, signs, i = [], "", bisect_left(starts, start)
+    while i > 0 and len(left) < 2:
+        i -= 1
+        w = text[starts[i] : min(ends[i], start)]
+        if any(c.isalnum() for c in w) or len(signs) > 8:
+            left.insert(0, plain(w + signs))
+            signs = ""
+        else:
+            signs = f" {w}{signs}"
+    j = bisect_right(ends, end)
+    right = plain(text[max(starts[j], end) : ends[j]]) if j < len(ends) else None
     form, out = looks(text[start:end]), []
     if left:
         out.append(f"l1|{left[-1]}|{form}")
-        if right:
-            out.append(f"lr|{left[-1]}|{right[0]}|{form}")
+        if right is not None:
+            out.append(f"lr|{left[-1]}|{right}|{form}")
     if len(left) > 1:
         out.append(f"l2|{left[0]} {left[1]}")
     return out
@@ -162,8 +193,10 @@ def occurrences(rows: DataFrame) -> DataFrame:
             for t in b.column("__text").to_pylist():
                 found = base_spans(t)
                 base.append([list(x) for x in found])
-                at = [(k, s, e) for k, s, e in found] + [(-1, s, e) for s, e in candidates(t, found)]
-                seen.append([{"kind": k, "start": s, "end": e, "instance": instance(t[s:e]), "patterns": contexts(t, s, e)} for k, s, e in at])
+                seeds = found + secrets(t, found)
+                at = seeds + [(-1, s, e) for s, e in candidates(t, seeds)]
+                where = tokens(t) if at else None
+                seen.append([{"kind": k, "start": s, "end": e, "instance": instance(t[s:e]), "patterns": contexts(t, s, e, where)} for k, s, e in at])
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__key"), pa.array(base, pa.list_(pa.list_(pa.int32()))), pa.array(seen, pa.list_(kinds))], names=["__id", "__key", "base", "seen"])
 
     return rows.select("__id", "__key", "__text").mapInArrow(go, "__id long, __key string, base array<array<int>>, seen array<struct<kind:int,start:int,end:int,instance:string,patterns:array<string>>>")
@@ -204,6 +237,8 @@ def bootstrap(seen: DataFrame, max_rounds: int = 100, min_support: int = 5, patt
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row of ``docs``: doc_id, counts by kind, and all spans; base_sha256 is over the base spans alone.
 
+    The spans that the method adds are those of its own kind of seeds, secrets, and those of identifiers that
+    the bootstrap learned; n_added counts them, and has_pii says whether there is any span.
     A null or empty text has no spans.  Repeated rows have repeated results;
     rows that share an id but not the text are told apart by the text's MD5.
     An empty table gives no rows.
@@ -212,14 +247,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = durable(occurrences(rows), "spans")
     seen = found.select("__id", "__key", F.explode("seen").alias("o")).select("__id", "__key", "o.*")
     learned = bootstrap(seen.select("kind", "instance", "patterns"), **options)
-    more = seen.where("kind < 0").drop("kind").join(learned.select("instance", "kind"), "instance").select("__id", "__key", F.array("kind", "start", "end").alias("span"))
+    more = seen.where("kind < 0").drop("kind").join(learned.select("instance", "kind"), "instance").unionByName(seen.where(f"kind = {len(KINDS)}")).select("__id", "__key", F.array("kind", "start", "end").alias("span"))
     extra = more.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.expr("array(span[1], -span[2], span[0])"))).alias("more"))
     # by start, longest first: what lies inside an earlier span goes
     outer = "aggregate(more, array(array(-1, 0, -1)), (a, x) -> if(x[1] >= element_at(a, -1)[1], a, concat(a, array(x))), a -> transform(slice(a, 2, size(a)), x -> array(x[2], x[0], -x[1])))"
     extra = extra.withColumn("more", F.expr(outer))
     a, b = found.select("__id", "__key", "base").alias("a"), extra.alias("b")
     met = a.join(b, F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__key") == F.col("b.__key")), "left").select(F.col("a.__id").alias("doc_id"), "base", F.coalesce("more", F.array().cast("array<array<int>>")).alias("more"))
-    name = F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (k, n)])
+    name = F.create_map(*[F.lit(x) for k, n in enumerate(ALL_KINDS) for x in (k, n)])
 
     def told(c):
         return F.array_join(F.transform(F.array_sort(c), lambda s: F.concat_ws(":", F.element_at(name, s[0]), s[1].cast("string"), s[2].cast("string"))), ",")
@@ -228,4 +263,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return F.size(F.filter("base", lambda s: s[0] == k)).cast("long")
 
     counts = [number(k).alias(f"n_{n}") for k, n in enumerate(KINDS)]
-    return met.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.array_distinct(F.concat("base", "more"))).alias("spans"))
+    every = F.array_distinct(F.concat("base", "more"))
+    added = (F.size(every) - F.size(F.array_distinct("base"))).cast("long")
+    return met.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"), added.alias("n_added"), (F.size(every) > 0).alias("has_pii"))

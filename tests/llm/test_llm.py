@@ -371,6 +371,11 @@ def test_pii_unseen(spark):
     lines += [f"ring room 5 {'+1 ' if n else ''}(456) 556-{1000 + n} soon" for n in range(12)]  # after a number
     got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert [got[n] for n in range(32, 37)] == ["phone:16:30", "phone:16:30", "email:17:30", "", "phone:12:26"]
+    secret = [f'word{n} token = "{hashlib.sha1(str(n).encode()).hexdigest()}" more' for n in range(9)] + ['a token = "x1234567" b', 'password: Hunter2Hunter2Hunter2.', "token = 1234567890123456789 x", "a key = 12 and token"]
+    secret += [f"{'w' * 70} {'x' * 50}: {n}@mail.example.com z" for n in range(9)] + [f"{'w' * 70} {'x' * 50}: 9@localhost z"]  # long words
+    found = {r["doc_id"]: (r["spans"], r["n_added"], r["has_pii"]) for r in pii.find_pii(spark.createDataFrame(list(enumerate(secret)), "doc_id long, text string")).collect()}
+    assert [found[n] for n in (0, 9, 10, 12)] == [("secret:15:55", 1, True), ("secret:11:19", 1, True), ("secret:10:31", 1, True), ("", 0, False)]
+    assert "secret" not in found[11][0] and found[22] == ("email:123:134", 1, True) and found[21][1:] == (0, True)
     # each pattern is trusted only after the one before it has had its unknown ones accepted
     chain = [(3, f"seed{n}", ["p0"]) for n in range(20)]
     for k in range(6):
