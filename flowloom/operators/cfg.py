@@ -114,7 +114,7 @@ def build(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     yes = own.select("file_id", F.col("node_id").alias("src"), F.coalesce("inner", F.when(F.col("kind") == "Case", F.col("follow")).otherwise(F.col("node_id"))).alias("dst"), F.lit("true").alias("branch"))
     no = own.select("file_id", F.col("node_id").alias("src"), F.when(F.col("kind") == "Case", F.coalesce("next_case", "past", "follow")).otherwise(F.col("follow")).alias("dst"), F.lit("false").alias("branch"))
 
-    home = callable_blocks(nodes)
+    home = callable_blocks(nodes, chain)
     start = home.join(u, list(KEY), "left_semi").join(u.select(*KEY, "pre"), list(KEY)).groupBy("file_id", F.col("block_id").alias("graph_id"), "graph_type").agg(F.min_by("node_id", "pre").alias("dst"))
     inside = home.select("file_id", F.col("node_id").alias("src"), F.col("block_id").alias("graph_id"))
     edges = go.unionByName(leave).unionByName(moved).unionByName(taken).unionByName(yes).unionByName(no).join(inside, ["file_id", "src"]).select("file_id", "graph_id", "src", F.coalesce("dst", F.lit(END)).cast("bigint").alias("dst"), "branch")
@@ -133,24 +133,45 @@ def unit_reach(edges: DataFrame) -> DataFrame:
     return graph.reach(steps, seeds, doublings=3).select("root.file_id", "root.graph_id", F.col("node").alias("node_id"))
 
 
-def contract(u: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(cfg_nodes, cfg_edges, block_units)``: units in a row without a branch form a basic block.
+def heads(edges: DataFrame) -> DataFrame:
+    """``(file_id, graph_id, node_id, head)``: the unit that leads each unit's row of units without a branch.
 
-    A unit leads a block when it is entered by a branch, from the start, or from
-    more than one place; the others join their predecessor's, found by pointer
-    doubling.  A condition's leaf is evaluated at the end of its block, and a condition node
-    follows it.  Blocks are named 2 * leader, condition nodes 2 * leaf + 1.
+    A unit leads when it is entered by a branch, from the start, or from
+    more than one place; the others join their predecessor's row, found by pointer doubling.
     """
     at = ["file_id", "graph_id"]
     real = edges.where(F.col("dst") != END)
     into = real.groupBy(*at, F.col("dst").alias("node_id")).agg(F.count("*").alias("n"), F.count_if((F.col("src") == START) | F.col("branch").isNotNull()).alias("hard"), F.max("src").alias("only"))
     point = durable(into.select(*at, "node_id", F.when((F.col("n") > 1) | (F.col("hard") > 0), F.col("node_id")).otherwise(F.col("only")).alias("head")))
-    while True:
+    longest = point.groupBy(*at).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(1, longest.bit_length()) + 1):
         jump = point.select(*at, F.col("node_id").alias("head"), F.col("head").alias("next"))
         moved = durable(point.join(jump, [*at, "head"]).select(*at, "node_id", "head", "next"))
         point = moved.select(*at, "node_id", F.col("next").alias("head"))
         if moved.where("head <> next").isEmpty():
-            break
+            return point
+    # what has no leader after that many steps goes round in a loop that nothing enters
+    return moved.select(*at, "node_id", F.when(F.col("head") == F.col("next"), F.col("head")).otherwise(F.col("node_id")).alias("head"))
+
+
+def live_heads(edges: DataFrame, point: DataFrame) -> DataFrame:
+    """``(file_id, graph_id, head)`` that control flow reaches from the start: a row of units is reached whole, so only the
+    steps between rows are walked."""
+    at = ["file_id", "graph_id"]
+    lead = point.where("node_id = head").select(*at, F.col("node_id").alias("dst"))
+    into = edges.join(lead, [*at, "dst"]).join(point.withColumnRenamed("node_id", "src"), [*at, "src"], "left")
+    steps = durable(into.select(_graph_key().alias("root"), F.coalesce("head", "src").alias("src"), "dst").distinct())
+    seeds = steps.where(F.col("src") == START).select("root", F.col("src").alias("node")).distinct()
+    return graph.reach(steps, seeds, doublings=3).where(F.col("node") != START).select("root.file_id", "root.graph_id", F.col("node").alias("head"))
+
+
+def contract(u: DataFrame, edges: DataFrame, point: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(cfg_nodes, cfg_edges, block_units)``: units in a row without a branch, as :func:`heads` finds them, form a basic block.
+
+    A condition's leaf is evaluated at the end of its block, and a condition node
+    follows it.  Blocks are named 2 * leader, condition nodes 2 * leaf + 1.
+    """
+    at = ["file_id", "graph_id"]
     conditions = u.where("is_condition").select("file_id", "node_id")
     blocks = point.groupBy(*at, "head").agg(F.count("*").alias("units"))
     leaf = point.join(conditions, ["file_id", "node_id"])
@@ -173,8 +194,13 @@ def contract(u: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, Data
 def control_flow(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """:func:`build`, without the code that is never reached, and :func:`contract`."""
     u, edges = build(nodes)
-    live = unit_reach(edges).withColumnRenamed("node_id", "src")
-    return tuple(map(durable, contract(u, durable(edges.join(live, ["file_id", "graph_id", "src"], "left_semi")))))
+    point = heads(edges)
+    live = point.join(live_heads(edges, point), ["file_id", "graph_id", "head"], "left_semi")
+    dead = durable(point.join(live.select("file_id", "graph_id", "node_id"), ["file_id", "graph_id", "node_id"], "left_anti").select("file_id", "graph_id", F.col("node_id").alias("src")))
+    if not dead.isEmpty():  # rows that only dead code kept apart grow together
+        edges = durable(edges.join(dead, ["file_id", "graph_id", "src"], "left_anti"))
+        point = heads(edges)
+    return tuple(map(durable, contract(u, edges, point)))
 
 
 def counts(cfg_nodes: DataFrame, cfg_edges: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import durable
-from . import graph
+from . import cfg, graph
+from .models import call_arguments, declaration_of
 from .scope import flow_before
 from .traits import var_access
-from .tree import KEY, lambda_results, parents
+from .tree import KEY, ancestors, lambda_results, nearest, parents
 
 
 def nothing(nodes: DataFrame) -> Column:
@@ -24,13 +25,15 @@ class FlowSpec:
     """What to follow: predicates over a ``nodes`` table, as columns.
 
     ``step`` adds edges to those of plain data flow; it gets the nodes and returns
-    ``(file_id, src, dst)``.
+    ``(file_id, src, dst)``.  ``is_barrier_guard`` gets the nodes and returns two columns: whether a condition
+    lets nothing through when it is true, and when it is false.
     """
 
     is_source: Callable[[DataFrame], Column]
     is_sink: Callable[[DataFrame], Column]
     is_barrier: Callable[[DataFrame], Column] = nothing
     step: Callable[[DataFrame], DataFrame] | None = None
+    is_barrier_guard: Callable[[DataFrame], tuple[Column, Column]] | None = None
 
     def edges(self, nodes: DataFrame) -> DataFrame:
         found = value_edges(nodes)
@@ -85,16 +88,28 @@ def _rooted(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("file_id", "root")
 
 
+def live_code(nodes: DataFrame, guard: Callable[[DataFrame], tuple[Column, Column]] | None = None) -> DataFrame:
+    """``(file_id, node_id)`` of all nodes but those that control flow never reaches: after a return, behind a literal
+    condition or behind a barrier guard.  What belongs to no body is live, and a lambda is where it stands."""
+    nodes = durable(nodes)
+    cfg_nodes, cfg_edges, units = cfg.control_flow(nodes)
+    reached = cfg.reachable_blocks(cfg.keep_edges(cfg_edges, cfg_nodes, nodes, guard))
+    live = units.join(reached, ["file_id", "graph_id", "cfg_id"], "left_semi").select(*KEY, F.lit(True).alias("live"))
+    told = cfg.units(nodes).select(*KEY).join(live, list(KEY), "left").select("file_id", F.col("node_id").alias("anc_id"), F.coalesce("live", F.lit(False)).alias("live"))
+    dead = ancestors(nodes, include_self=True, columns=()).join(told, ["file_id", "anc_id"]).groupBy(*KEY).agg(F.bool_or("live").alias("live")).where("not live")
+    return nodes.select(*KEY).join(dead, list(KEY), "left_anti")
+
+
 def local_marks(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None = None) -> DataFrame:
     """``(file_id, node_id, is_source, is_sink)`` of every node on a flow from a source to a sink of its file.
 
-    ``reachable(file_id, node_id)``, when given, leaves out code that control flow never reaches.
+    Only code in ``reachable(file_id, node_id)`` counts; None stands for :func:`live_code` under the specification's barrier guards.
     """
-    alive = nodes if reachable is None else nodes.join(reachable, list(KEY), "left_semi")
+    keep = durable(live_code(nodes, spec.is_barrier_guard) if reachable is None else reachable.select(*KEY).distinct())
+    alive = nodes.join(keep, list(KEY), "left_semi")
     edges = _rooted(spec.edges(nodes)).select("root", "src", "dst")
-    if reachable is not None:
-        keep = reachable.select(F.col("file_id").alias("root"), F.col("node_id").alias("dst"))
-        edges = edges.join(keep, ["root", "dst"], "left_semi")
+    for end in ("src", "dst"):
+        edges = edges.join(keep.select(F.col("file_id").alias("root"), F.col("node_id").alias(end)), ["root", end], "left_semi")
     sources = alive.where(spec.is_source(alive)).select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
     sinks = alive.where(spec.is_sink(alive)).select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
     edges = durable(edges)
@@ -128,6 +143,50 @@ def return_edges(returns: DataFrame, calls: DataFrame) -> DataFrame:
     return returns.join(calls, "method").select(F.col("node").alias("src"), F.col("call").alias("dst"), F.lit("return").alias("kind"), "call")
 
 
+def returned_values(nodes: DataFrame) -> DataFrame:
+    """``(file_id, node_id, method_type)``: expressions that a method declaration returns; those of lambdas are not among them."""
+    value = parents(nodes, "kind").where("parent_kind = 'Return'").select(*KEY, "parent_id")
+    owner = nearest(ancestors(nodes, value, columns=("kind", "method_type")), F.col("anc_kind").isin("Lambda", "MethodDeclaration"), "kind", "method_type")
+    return owner.where("found_kind = 'MethodDeclaration' and found_method_type is not null").select(*KEY, F.col("found_method_type").alias("method_type"))
+
+
+def global_edges(nodes: DataFrame, spec: FlowSpec, type_variables: DataFrame | None = None) -> DataFrame:
+    """``(src, dst, kind, call)`` over all files; nodes are named ``(file_id, node_id)``.
+
+    The local steps of every node, arguments to the parameters that they fill, and returned values to the calls. Calls meet the
+    declared method of theirs (:func:`models.declaration_of`); ``type_variables(method_type, type_variables)`` of the
+    declared methods that have some.  A varargs parameter takes all arguments from its position on.
+    """
+    nodes = durable(nodes)
+    at = F.struct("file_id", "node_id")
+    local = spec.edges(nodes).select(F.struct("file_id", F.col("src").alias("node_id")).alias("src"), F.struct("file_id", F.col("dst").alias("node_id")).alias("dst"), F.lit("local").alias("kind"))
+    declared = nodes.where("kind = 'MethodDeclaration' and method_type is not null").select(*KEY, "method_type")
+    known = declared.select("method_type").distinct()
+    known = known.withColumn("type_variables", F.array().cast("array<string>")) if type_variables is None else known.join(type_variables, "method_type", "left").withColumn("type_variables", F.coalesce("type_variables", F.array().cast("array<string>")))
+    called = nodes.where("kind in ('MethodInvocation', 'NewClass') and method_type is not null").select(*KEY, "method_type")
+    names = durable(declaration_of(called, known))
+    given = call_arguments(nodes).where("position >= 0").join(names, "method_type")
+    last = F.size("declaration.params") - 1
+    filled = F.when(F.array_contains("declaration.flags", "Varargs"), F.least("position", last)).otherwise(F.col("position"))
+    arguments = given.select(F.col("declaration").alias("method"), filled.alias("position"), at.alias("node"), F.struct("file_id", F.col("call_id").alias("node_id")).alias("call"))
+    slots = nodes.where("role = 'parameter'").select("file_id", "node_id", F.col("ordinal").alias("position"), F.col("parent_id").alias("of"))
+    parameters = slots.join(declared.select("file_id", F.col("node_id").alias("of"), "method_type"), ["file_id", "of"]).select(F.col("method_type").alias("method"), "position", at.alias("node"))
+    returns = returned_values(nodes).select(F.col("method_type").alias("method"), at.alias("node"))
+    calls = called.join(names, "method_type").select(F.col("declaration").alias("method"), at.alias("call"))
+    between = argument_edges(arguments, parameters).unionByName(return_edges(returns, calls))
+    return local.withColumn("call", F.lit(None).cast(between.schema["call"].dataType)).unionByName(between).distinct()
+
+
+def global_marks(nodes: DataFrame, spec: FlowSpec, type_variables: DataFrame | None = None) -> DataFrame:
+    """``(file_id, node_id, is_source, is_sink)`` of every node on a flow from a source to a sink, through calls and over files."""
+    nodes = durable(nodes)
+    at = F.struct("file_id", "node_id").alias("node")
+    sources, sinks = nodes.where(spec.is_source(nodes)).select(at).distinct(), nodes.where(spec.is_sink(nodes)).select(at).distinct()
+    on = graph.participants(global_edges(nodes, spec, type_variables), sources, sinks)
+    marked = on.join(sources.withColumn("is_source", F.lit(True)), "node", "left").join(sinks.withColumn("is_sink", F.lit(True)), "node", "left")
+    return marked.select("node.file_id", "node.node_id", F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
+
+
 def shortcut_edges(arguments: DataFrame) -> DataFrame:
     """Any argument to its call: more than what flows, to be pruned by the steps that do."""
     return arguments.select(F.col("node").alias("src"), F.col("call").alias("dst"), F.lit("shortcut").alias("kind"), "call")

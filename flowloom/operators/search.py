@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import durable
 from ..functions.matching import any_matches, matching_calls, method_matches
 from . import flow, graph
 from .tree import KEY, parents
@@ -18,7 +19,7 @@ def find_methods(nodes: DataFrame, pattern: str, hierarchy: DataFrame | None = N
         return hits
     edges = flow.value_edges(nodes)
     if follow == "taint":
-        edges = edges.unionByName(flow.taint_edges(nodes, ("concat", "substring", "trim", "toLowerCase", "toUpperCase", "toString")))
+        edges = edges.unionByName(flow.taint_edges(nodes, PASSES_TAINT))
     seeds = hits.select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
     found = graph.reach(edges.select(F.col("file_id").alias("root"), "src", "dst"), seeds)
     return found.select(F.col("root").alias("file_id"), F.col("node").alias("node_id"))
@@ -61,6 +62,31 @@ def flow_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: in
     return on.join(a, "node", "left").join(b, "node", "left").select("node", F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_sink", F.lit(False)).alias("is_sink"), F.lit(True).alias("is_participant"))
 
 
+#: What a method may be asked for: its receiver, its arguments or both.
+TARGETS = {"Select": ("select",), "Arguments": ("argument",), "Both": ("select", "argument")}
+#: Calls that pass taint from receiver and arguments on, where no model says so.
+PASSES_TAINT = ("concat", "substring", "trim", "toLowerCase", "toUpperCase", "toString")
+
+
+def flow_between_methods(nodes: DataFrame, start: str, end: str, target: str = "Both", kind: str = "Data", start_types: DataFrame | None = None, end_types: DataFrame | None = None) -> DataFrame:
+    """``(file_id, node_id, is_source, is_sink)``: flow from calls that match ``start`` to the ``target`` of calls that match ``end``.
+
+    The patterns are those of :func:`find_methods`; ``*_types``, where given, let overrides match.  Follows data or taint,
+    through calls and over files.  Another target or kind is an error.
+    """
+    if target not in TARGETS or kind not in ("Data", "Taint"):
+        raise ValueError(f"unknown target or kind of flow: {target}, {kind}")
+    nodes = durable(nodes)
+    calls = nodes.where("kind in ('MethodInvocation', 'NewClass')")
+    starts = matching_calls(calls, start, start_types).select(*KEY, F.lit(True).alias("starts_here"))
+    ends = matching_calls(calls, end, end_types).select("file_id", F.col("node_id").alias("parent_id"))
+    into = nodes.where(F.col("role").isin(*TARGETS[target])).join(ends, ["file_id", "parent_id"]).select(*KEY, F.lit(True).alias("ends_here"))
+    told = nodes.join(starts.distinct(), list(KEY), "left").join(into.distinct(), list(KEY), "left")
+    here = lambda c: lambda n: F.coalesce(c, F.lit(False))
+    spec = flow.TaintSpec(here("starts_here"), here("ends_here"), through=PASSES_TAINT) if kind == "Taint" else flow.FlowSpec(here("starts_here"), here("ends_here"))
+    return flow.global_marks(told, spec)
+
+
 def secure_scheme(c: Column) -> Column:
     """A literal with http:// at its start gets https://."""
     return F.when(c.startswith("http://"), F.concat(F.lit("https://"), F.substr(c, F.lit(8)))).otherwise(c)
@@ -69,7 +95,7 @@ def secure_scheme(c: Column) -> Column:
 def insecure_uri_literals(nodes: DataFrame) -> DataFrame:
     """``(file_id, node_id, fixed)``: http literals that flow into URI.create, with what they should be.
 
-    The left side of any binary passes the value on; a condition that calls String.replace guards its branch.
+    The left side of any binary passes the value on; a condition that calls String.replace lets nothing through, whatever it says, nor what follows.
     """
     p = parents(nodes, "kind", "method_type", "operator")
 
@@ -77,7 +103,11 @@ def insecure_uri_literals(nodes: DataFrame) -> DataFrame:
         return parents(n, "kind").where("parent_kind = 'Binary' and role = 'left'").select("file_id", F.col("node_id").alias("src"), F.col("parent_id").alias("dst"))
 
     sink = p.where("parent_kind = 'MethodInvocation' and role = 'argument' and parent_method_type.declaring = 'java.net.URI' and parent_method_type.name = 'create'").select(*KEY, F.lit(True).alias("to_uri"))
-    spec = flow.FlowSpec(lambda n: (F.col("kind") == "Literal") & F.coalesce(F.col("literal.value").startswith("http://"), F.lit(False)), lambda n: F.coalesce("to_uri", F.lit(False)), step=left)
+    def replaces(n: DataFrame) -> tuple[Column, Column]:
+        m = F.coalesce((F.col("method_type.declaring") == "java.lang.String") & (F.col("method_type.name") == "replace"), F.lit(False))
+        return m, m
+
+    spec = flow.FlowSpec(lambda n: (F.col("kind") == "Literal") & F.coalesce(F.col("literal.value").startswith("http://"), F.lit(False)), lambda n: F.coalesce("to_uri", F.lit(False)), step=left, is_barrier_guard=replaces)
     marks = flow.local_marks(nodes.join(sink, list(KEY), "left"), spec)
     return marks.where("is_source").join(nodes, list(KEY)).select(*KEY, secure_scheme(F.col("literal.value")).alias("fixed"))
 

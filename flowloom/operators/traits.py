@@ -85,8 +85,8 @@ def statements(nodes: DataFrame) -> DataFrame:
 
 def methods(nodes: DataFrame) -> DataFrame:
     """Callables: method declarations, lambdas and initializer blocks, with a name and a return type (void where there is none)."""
-    name = first_of(((F.col("role") == "static_init"), F.lit("<clinit>")), ((F.col("role") == "init"), F.lit("<obinit>")), ((F.col("kind") == "Lambda"), F.coalesce("method_type.name", F.lit("<lambda>"))), ((F.col("kind") == "MethodDeclaration"), F.col("name")))
-    return nodes.where("kind in ('MethodDeclaration', 'Lambda') or role in ('static_init', 'init')").select(*KEY, "kind", name.alias("method_name"), F.coalesce("method_type.ret", F.lit("void")).alias("return_type"))
+    name = first_of(((F.col("role") == "static_init"), F.lit("<clinit>")), ((F.col("role") == "instance_init"), F.lit("<obinit>")), ((F.col("kind") == "Lambda"), F.coalesce("method_type.name", F.lit("<lambda>"))), ((F.col("kind") == "MethodDeclaration"), F.col("name")))
+    return nodes.where("kind in ('MethodDeclaration', 'Lambda') or role in ('static_init', 'instance_init')").select(*KEY, "kind", name.alias("method_name"), F.coalesce("method_type.ret", F.lit("void")).alias("return_type"))
 
 
 def single_abstract_methods(type_methods: DataFrame) -> DataFrame:

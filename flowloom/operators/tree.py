@@ -23,30 +23,31 @@ STRIDE = 8
 def ancestors(nodes: DataFrame, of: DataFrame | None = None, max_depth: int | None = None, include_self: bool = False, columns: tuple[str, ...] = ("kind", "role", "pre", "post", "depth")) -> DataFrame:
     """``(file_id, node_id, anc_id, up, anc_*)``: every ancestor of each node of ``of``, ``up`` levels above it.
 
-    Walks parent links level by level with equi-joins, which a hot file splits,
-    where an interval join would compare all its nodes.  The tree's own depth says how many
+    Each node climbs its parent links, a level an equi-join, which a hot file splits,
+    where an interval join would compare all its nodes; what it has met travels with it as an array.
+    The tree's own depth says how many
     levels there are; an ancestor above them, or beyond ``max_depth`` levels where that is given, is an error.
     """
     of = nodes if of is None else of
-    above = nodes.select("file_id", F.col("node_id").alias("anc_id"), F.col("parent_id").alias("next_id"), *[F.col(c).alias(f"anc_{c}") for c in columns])
     deepest = nodes.agg(F.max("depth")).first()[0]
     levels = (deepest if deepest is not None else 0) + 1
     levels = levels if max_depth is None else min(max_depth, levels)
-    now = of.select("file_id", "node_id", F.col("node_id").alias("anc_id")).join(above, ["file_id", "anc_id"]).withColumn("up", F.lit(0))
-    out, done = now if include_self else now.limit(0), None
-    for n in range(1, levels):
-        if n % STRIDE == 0:
-            out = durable(out)
-            done = out if done is None else done.unionByName(out)
-            now = out.where(F.col("up") == n - 1)
-            out = out.limit(0)
-        now = now.select("file_id", "node_id", F.col("next_id").alias("anc_id")).where("anc_id is not null").join(above, ["file_id", "anc_id"]).withColumn("up", F.lit(n))
-        out = out.unionByName(now)
-    out = durable(out)
-    last = out.where(F.col("up") == levels - 1) if levels > 1 or include_self else now
-    if not last.select("file_id", F.col("next_id").alias("anc_id")).join(above, ["file_id", "anc_id"], "left_semi").isEmpty():
+    met = F.struct(F.col("node_id").alias("anc_id"), *[F.col(c).alias(f"anc_{c}") for c in columns])
+    above = nodes.select("file_id", F.col("node_id").alias("next_id"), F.col("parent_id").alias("further_id"), met.alias("met"))
+    # a node at the root stays at its own id, where nothing is joined, so that no task gets all that have arrived
+    more = (F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.next_id") == F.col("b.next_id")) & F.col("climbs")
+    now = of.select("file_id", "node_id", F.col("node_id").alias("next_id"), F.lit(True).alias("climbs"), F.array().cast(f"array<{above.schema['met'].dataType.simpleString()}>").alias("path"))
+    for n in range(levels):
+        now = now.alias("a").join(above.alias("b"), more, "left").select(
+            "a.file_id", "a.node_id", F.coalesce("further_id", "a.node_id").alias("next_id"), F.col("further_id").isNotNull().alias("climbs"), F.when(F.col("met").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("met"))).alias("path")
+        )
+        if n % STRIDE == STRIDE - 1:
+            now = durable(now)
+    now = durable(now)
+    if not now.where("climbs").join(nodes.select("file_id", F.col("node_id").alias("next_id")), ["file_id", "next_id"], "left_semi").isEmpty():
         raise ValueError(f"nodes have ancestors more than {levels - 1} levels above them; check their depth or raise max_depth")
-    return (out if done is None else done.unionByName(out)).drop("next_id")
+    out = now.select(*KEY, F.posexplode("path").alias("up", "met")).select(*KEY, "met.anc_id", "up", *[f"met.anc_{c}" for c in columns])
+    return out if include_self else out.where("up > 0")
 
 
 def nearest(pairs: DataFrame, wanted: Column, *columns: str) -> DataFrame:
@@ -74,7 +75,7 @@ def callable_blocks(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFra
     """
     pairs = ancestors(nodes, include_self=True, columns=("kind", "role", "depth")) if pairs is None else pairs
     blocks = pairs.where("anc_kind = 'Block'")
-    init = blocks.where("anc_role in ('static_init', 'init')").groupBy(*KEY).agg(F.min(F.struct("up", "anc_id")).alias("init"))
+    init = blocks.where("anc_role in ('static_init', 'instance_init')").groupBy(*KEY).agg(F.min(F.struct("up", "anc_id")).alias("init"))
     method = pairs.where("anc_kind = 'MethodDeclaration'").groupBy(*KEY).agg(F.min("up").alias("method_up"))
     body = blocks.join(method, list(KEY)).where("up < method_up").groupBy(*KEY).agg(F.max(F.struct("up", "anc_id")).alias("body"))
     lam = blocks.where("anc_role = 'lambda_body'").groupBy(*KEY).agg(F.min(F.struct("up", "anc_id")).alias("lam"))
@@ -83,7 +84,7 @@ def callable_blocks(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFra
     return met.select(
         *KEY,
         F.when(first, F.col("init.anc_id")).otherwise(F.coalesce("body.anc_id", "lam.anc_id")).alias("block_id"),
-        F.when(first | F.col("body").isNotNull(), "METHOD_BODY_OR_STATIC_INITIALIZER_OR_INSTANCE_INITIALIZER").otherwise("LAMBDA").alias("graph_type"),
+        F.when(first | F.col("body").isNotNull(), "callable").otherwise("lambda").alias("graph_type"),
     ).where("block_id is not null")
 
 

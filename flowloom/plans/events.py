@@ -214,7 +214,10 @@ SQL["graph_nodes"] = _sql(
     SELECT concat('f', CAST((base // 4294967296) % 16 AS STRING)) AS file_id, base + 1 AS graph_id, cfg_id FROM ids""",
     _CFG,
 )
-SQL["scoped_accesses"] = "SELECT r.file_id, r.node_id, r.decl_id FROM (" + SQL["resolved_variables"] + ") r JOIN (" + _sql("SELECT n.node_id, n.pre, d.node_id AS did, b.pre AS bpre, b.post AS bpost FROM nodes n JOIN nodes d ON d.owner = n.owner AND d.kind = 'VariableDeclaration' AND d.name = n.name JOIN nodes b ON b.node_id = d.parent_id WHERE n.kind = 'Identifier'") + ") x ON x.node_id = r.node_id AND x.did = r.decl_id WHERE bpre <= pre AND bpost >= pre"
+SQL["scoped_accesses"] = _sql("""SELECT r.file_id, r.node_id, d.node_id AS decl_id
+    FROM (SELECT *, max(CASE WHEN kind = 'VariableDeclaration' THEN pre END) OVER (PARTITION BY owner, name ORDER BY pre) AS dpre FROM nodes WHERE kind IN ('Identifier', 'VariableDeclaration')) r
+    JOIN nodes d ON d.owner = r.owner AND d.pre = r.dpre JOIN nodes b ON b.owner = d.owner AND b.node_id = d.parent_id
+    WHERE r.kind = 'Identifier' AND b.pre <= r.pre AND b.post >= r.pre""")
 SQL["branch_summaries"] = _sql("""SELECT u AS "group", blk AS block_id FROM (SELECT owner AS u, parent_id AS blk, row_number() OVER (PARTITION BY owner ORDER BY depth, node_id) AS rn FROM nodes WHERE kind = 'MethodInvocation') WHERE rn = 1""")
 SQL["folded_constants"] = SQL["values_assigned"].replace("SELECT file_id, decl_id, value_id FROM (", ", va AS (SELECT file_id, decl_id, value_id FROM (", 1) + f"""),
     one AS (SELECT decl_id, min(value_id) AS value_id FROM va GROUP BY 1 HAVING count(*) = 1),

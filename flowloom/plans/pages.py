@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import flow, tree
-from ..sources.dom import TAGS, page_nodes
+from ..sources.dom import ENDS, TAGS_A_PAGE, VOID, page_nodes
 
 
 def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,19 +44,35 @@ def answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.return_edges(returns, calls.distinct()).select("src", "dst", "kind")
 
 
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _told(which: int) -> str:
+    return "CASE " + " ".join(f"WHEN kind IN {tuple(rule[0]) + ('',)} THEN {_list(rule[which])}" for rule in ENDS) + " ELSE CAST([] AS VARCHAR[]) END"
+
+
+#: Tag by tag over all pages at once: the open elements, innermost first, before and after each tag.
 _OPEN = rf"""
-WITH h AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<(script|style)\b.*?</(script|style)>', '', 'gis') AS h FROM pages),
-a AS (SELECT page_id, regexp_extract_all(h, '</?(?:{"|".join(TAGS)})\b[^>]*>') AS tags FROM h),
+WITH RECURSIVE h AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->|<script\b[^>]*>.*?</script\s*>', '', 'gis'), '<style\b[^>]*>.*?</style\s*>', '', 'gis') AS h FROM pages),
+a AS (SELECT page_id, regexp_extract_all(h, '</?[A-Za-z][A-Za-z0-9-]*\b[^>]*>') AS tags FROM h),
 t AS (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM a),
-l AS (SELECT page_id, pos, tag, starts_with(tag, '</') AS shut, regexp_extract(tag, '[a-z0-9]+') AS kind,
-      sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos) + CASE WHEN starts_with(tag, '</') THEN 1 ELSE 0 END AS lv FROM t),
-o AS (SELECT page_id, pos, kind, lv, coalesce((SELECT min(c.pos) FROM l c WHERE c.page_id = l.page_id AND c.lv = l.lv AND c.pos > l.pos), 1099511627776 - lv) AS post FROM l WHERE NOT shut),
-x AS (SELECT n.page_id, n.pos, n.kind, n.lv, a.pos AS apos, a.kind AS akind, a.lv AS alv FROM o n JOIN o a ON a.page_id = n.page_id AND a.pos < n.pos AND a.post > n.pos)
+k AS (SELECT page_id, pos, starts_with(tag, '</') AS shut, ends_with(tag, '/>') AS alone, lower(regexp_extract(tag, '[A-Za-z][A-Za-z0-9-]*')) AS kind FROM t),
+r AS (SELECT *, {_told(1)} AS ends, {_told(2)} AS within FROM k),
+s AS (
+  SELECT page_id, -1::BIGINT AS pos, CAST([] AS STRUCT(pos BIGINT, kind VARCHAR)[]) AS around, CAST([] AS STRUCT(pos BIGINT, kind VARCHAR)[]) AS stack, NULL::VARCHAR AS kind, true AS shut FROM h
+  UNION ALL
+  SELECT page_id, pos, rest, CASE WHEN shut OR alone OR kind IN {VOID} THEN rest ELSE [struct_pack(pos := pos, kind := kind)] || rest END, kind, shut
+  FROM (SELECT q.*, CASE WHEN shut AND hit > 0 OR NOT shut AND hit > 0 AND list_contains(ends, before[hit].kind) THEN before[hit + 1 :] ELSE before END AS rest
+        FROM (SELECT r.*, s.stack AS before, coalesce(list_position(list_transform(s.stack, lambda x: CASE WHEN r.shut THEN x.kind = r.kind ELSE list_contains(r.ends, x.kind) OR list_contains(r.within, x.kind) END), true), 0) AS hit
+              FROM s JOIN r ON r.page_id = s.page_id AND r.pos = s.pos + 1) q)),
+o AS (SELECT page_id, pos, kind, around FROM s WHERE NOT shut),
+x AS (SELECT page_id, pos, kind, unnest(around).pos AS apos, unnest(around).kind AS akind FROM o)
 """
 SQL = {
-    "page_trees": _OPEN + "SELECT concat('page', page_id) AS file_id, page_id * 65536 + pos AS node_id, page_id * 65536 + (SELECT max(apos) FROM x WHERE x.page_id = o.page_id AND x.pos = o.pos AND alv = o.lv - 1) AS parent_id, lv - 1 AS depth, kind FROM o",
-    "page_landmarks": _OPEN + "SELECT concat('page', page_id) AS file_id, page_id * 65536 + pos AS node_id, page_id * 65536 + max(apos) AS found_id, max_by(akind, apos) AS landmark FROM x WHERE kind = 'a' AND akind IN ('nav', 'article', 'footer', 'body') GROUP BY page_id, pos",
-    "page_outermost": _OPEN + "SELECT concat('page', page_id) AS file_id, page_id * 65536 + pos AS node_id, page_id * 65536 + min(apos) AS found_id FROM x WHERE kind = 'a' AND akind NOT IN ('html', 'body') GROUP BY page_id, pos",
+    "page_trees": _OPEN + f"SELECT concat('page', page_id) AS file_id, page_id * {TAGS_A_PAGE} + pos AS node_id, page_id * {TAGS_A_PAGE} + around[1].pos AS parent_id, len(around)::INT AS depth, kind FROM o",
+    "page_landmarks": _OPEN + f"SELECT concat('page', page_id) AS file_id, page_id * {TAGS_A_PAGE} + pos AS node_id, page_id * {TAGS_A_PAGE} + max(apos) AS found_id, max_by(akind, apos) AS landmark FROM x WHERE kind = 'a' AND akind IN ('nav', 'article', 'footer', 'body') GROUP BY page_id, pos",
+    "page_outermost": _OPEN + f"SELECT concat('page', page_id) AS file_id, page_id * {TAGS_A_PAGE} + pos AS node_id, page_id * {TAGS_A_PAGE} + min(apos) AS found_id FROM x WHERE kind = 'a' AND akind NOT IN ('html', 'body') GROUP BY page_id, pos",
     "answered_turns": "SELECT a.turn AS src, max(u.turn) AS dst, 'return' AS kind FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.role = 'user' AND u.turn <= a.turn WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn",
 }
 QUERIES = {f.__name__: f for f in (page_trees, page_landmarks, page_outermost, answered_turns)}

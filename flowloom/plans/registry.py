@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import events, pages, star
+from . import customers, events, pages, star
 
-MODULES = [star, events, pages]
+MODULES = [star, events, pages, customers]
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 

@@ -21,7 +21,7 @@ SINK_MODELS = "package string, type string, subtypes boolean, name string, signa
 
 #: Names of the kinds.
 CALLS = ("MethodInvocation", "NewClass")
-STATEMENTS = ("Assignment", "Block", "Break", "Continue", "DoWhile", "ForEach", "If", "MethodInvocation", "NewClass", "Return", "Throw", "Try", "VariableDeclaration", "While", "Empty", "Assert", "ClassDeclaration", "Unary", "CompoundAssignment", "Synchronized", "Switch", "Label")
+STATEMENTS = ("Assignment", "Block", "Break", "Continue", "DoWhile", "For", "ForEach", "If", "MethodInvocation", "NewClass", "Return", "Throw", "Try", "VariableDeclaration", "While", "Empty", "Assert", "ClassDeclaration", "Unary", "CompoundAssignment", "Synchronized", "Switch", "Label")
 LOOPS = ("While", "DoWhile", "ForEach", "For")
 
 

@@ -1,41 +1,87 @@
-"""Web pages as trees of their well-nested tags."""
+"""Web pages as trees of their tags."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import as_nodes
 
-TAGS = ("html", "head", "title", "body", "nav", "ul", "li", "a", "div", "article", "h1", "footer")
-TAG = r"</?(?:" + "|".join(TAGS) + r")\b[^>]*>"
+#: Elements without content.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+#: Start tags, the open elements that they end, and the elements around which they don't look further.
+ENDS = [
+    (("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"), ("p",), ("table", "td", "th", "button")),
+    (("li",), ("li",), ("ul", "ol")),
+    (("dt", "dd"), ("dt", "dd"), ("dl",)),
+    (("td", "th"), ("td", "th"), ("tr", "table")),
+    (("tr",), ("tr",), ("table",)),
+    (("option",), ("option",), ("select",)),
+]
+#: What is no markup of the page: comments, and the content of scripts and styles.
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)\b[^>]*?(/?)>")
+#: Tags of a page are numbered below this.
+TAGS_A_PAGE = 1 << 32
 
+_ROW = "page_id long, pos long, parent long, post long, depth int, kind string, tag string"
+_RULE = {start: (ends, within) for starts, ends, within in ENDS for start in starts}
 
-def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``nodes`` of every page: tags in document order, nested by a running sum of what opens and closes.
 
-    Scripts and styles go first, as their literals hold tags.  At each depth the
-    tags open and close in turn, so a tag ends where the next one of its
-    depth stands, or with the page.
+def elements(html: str) -> list[list]:
+    """``[pos, parent, post, depth, kind, tag]`` of each start tag, in order of the tags' numbers.
+
+    An end tag ends the innermost open element of its name and what is open inside, or
+    nothing.  A start tag first ends what :data:`ENDS` says.  Void and self-closed
+    elements hold nothing; what is still open ends with the page.
     """
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>", "").alias("h"))
-    tags = pages.select("page_id", F.posexplode(F.regexp_extract_all("h", F.lit(f"({TAG})"), 1)).alias("pos", "tag"))
-    shut = F.col("tag").startswith("</")
-    order = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    level = tags.withColumn("shut", shut).withColumn("level", F.sum(F.when(shut, -1).otherwise(1)).over(order) + F.when(shut, 1).otherwise(0)).withColumn("kind", F.regexp_extract("tag", r"([a-z0-9]+)", 1))
-    same = Window.partitionBy("page_id", "level").orderBy("pos")
-    open_ = level.withColumn("post", F.coalesce(F.lead("pos").over(same).cast("long"), F.lit(1 << 40) - F.col("level"))).where("not shut and level > 0")
-    parent = [F.last(F.when(F.col("level") == d, F.col("pos")), ignorenulls=True).over(order) for d in range(1, 12)]
-    up = F.coalesce(*[F.when(F.col("level") == d + 1, parent[d - 1]) for d in range(1, 12)])
+    out, stack, pos = [], [], -1
+    for pos, m in enumerate(TAG.finditer(html)):
+        kind = m[2].lower()
+        if m[1]:
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][4] == kind), len(stack))
+        else:
+            ends, within = _RULE.get(kind, ((), ()))
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][4] in ends or stack[i][4] in within), len(stack))
+            if at < len(stack) and stack[at][4] in within:
+                at = len(stack)
+        for closed in stack[at:]:
+            closed[2] = pos
+        del stack[at:]
+        if not m[1]:
+            out.append([pos, stack[-1][0] if stack else None, pos, len(stack), kind, m[0]])
+            if kind not in VOID and not m[3]:
+                stack.append(out[-1])
+    for left in stack:
+        left[2] = pos + 1
+    return out
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nodes`` of every page: an element a start tag, of whatever name and depth.  A page is a row, so no page meets another."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("html", F.lit("")), HIDDEN, "").alias("h"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *e) for i, h in zip(b.column("page_id").to_pylist(), b.column("h").to_pylist()) for e in elements(h)]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _ROW.split(", ")])
+
+    found = pages.mapInArrow(go, _ROW)
     return as_nodes(
-        open_.withColumn("parent", up).select(
+        found.select(
             F.concat(F.lit("page"), "page_id").alias("file_id"),
-            (F.col("page_id") * 65536 + F.col("pos")).alias("node_id"),
-            (F.col("page_id") * 65536 + F.col("parent")).alias("parent_id"),
+            (F.col("page_id") * TAGS_A_PAGE + F.col("pos")).alias("node_id"),
+            (F.col("page_id") * TAGS_A_PAGE + F.col("parent")).alias("parent_id"),
             F.lit("child").alias("role"),
-            F.col("pos").cast("long").alias("pre"),
+            F.col("pos").alias("pre"),
             "post",
-            (F.col("level") - 1).alias("depth"),
+            "depth",
             "kind",
             F.col("tag").alias("text"),
         )
