@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -469,7 +470,8 @@ def slow_facts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    inside = {i + k for i, x in enumerate(three) if three.count(x) > 1 for k in range(3)}
+    times = Counter(three)
+    inside = {i + k for i, x in enumerate(three) if times[x] > 1 for k in range(3)}
     seen, dup = set(), 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
@@ -554,6 +556,62 @@ def test_pipeline(spark, empty):
     assert all(r["token_ids"] == one.encode(texts[r["doc_id"]]) for r in got)
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, empty, SF).columns == empty.columns and stage(spark, empty, SF).count() == 0
+    assert p.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
+def test_pipeline_odd_rows(spark, docs, rows):
+    """Each stage on nulls, ties, repeated rows, long texts and clashing columns."""
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    texts = [(r[0], r[1] or "") for r in rows]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+
+    def run(name):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == docs.columns
+        return sorted(out.collect(), key=key)
+
+    good = run("quality rules")
+    assert 0 < len(good) < len(rows) and not any(slow_facts(r["text"])[-1] for r in good if len(r["text"]) < 5000) and all(r["kept"] == "mine" and r["slot"] == "s" for r in good)
+    kept = {}
+    for r in run("exact dedup"):
+        assert kept.setdefault(r["text"] or "", r["doc_id"]) == r["doc_id"]
+    assert set(kept) == {t for _, t in texts}
+    assert all(i == max((j for j, t in texts if t == text and j is not None), default=None) for text, i in kept.items())
+    prints = {i: slow_fingerprint(t) for i, (_, t) in enumerate(texts)}
+    group = brute_components([prints[i] for i in range(len(texts))])
+    lowest = sorted(min((texts[i][0] for i in g if texts[i][0] is not None), default=-1) for g in set(group.values()))
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in run("near dedup")) == lowest
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in run("mixing")) == sorted((str(i), t) for i, t in texts)
+    one = bpe.ByteBpe(bpe.read_ranks(registry.VOCABULARY), public_tokenizers.PATTERN)
+    coded = stages["encoding"](spark, docs, SF).collect()
+    assert sorted(r["position"] for r in coded) == list(range(len(rows)))
+    assert sorted((str(r["doc_id"]), r["token_ids"]) for r in coded) == sorted((str(i), one.encode(t)) for i, t in texts)
+
+
+def test_queries_without_sql(spark):
+    """The registered queries that SQL can't express, against brute force on the whole table."""
+    docs = {r["doc_id"]: r["text"] or "" for r in common.table(spark, SF, "documents").collect()}
+    ids = sorted(docs)
+    prints = [slow_fingerprint(docs[i]) for i in ids]
+    group = brute_components(prints)
+    assert sorted(tuple(r) for r in registry.op3_simhash(spark, SF).collect()) == [(i, f"{p:016x}", min(ids[j] for j in group[n])) for n, (i, p) in enumerate(zip(ids, prints))]
+    one = bpe.ByteBpe(bpe.read_ranks(registry.VOCABULARY), public_tokenizers.PATTERN)
+    lengths = [len(one.encode(docs[i])) for i in ids]
+    hist = {r["n_tokens"]: (r["docs"], r["docs_over"], r["tokens_over"], r["tokens_kept"]) for r in registry.op4_token_histogram(spark, SF).collect()}
+    assert hist == {n: (lengths.count(n), sum(x > n for x in lengths), sum(x for x in lengths if x > n), sum(min(x, n) for x in lengths)) for n in set(lengths)}
+    found = {r["doc_id"]: r for r in registry.op7_pii(spark, SF).collect()}
+    assert sorted(found) == ids
+    for i in ids:
+        s = slow_spans(docs[i])
+        assert [found[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in s) for k in range(4)] and found[i]["base_sha256"] == hashlib.sha256(pii.spans_text(s).encode()).hexdigest()
+        assert set(filter(None, pii.spans_text(s).split(","))) <= set(filter(None, found[i]["spans"].split(",")))
+    repeats = slow_repeats([docs[i] for i in ids], 50)
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in registry.op8_repeated_spans(spark, SF).collect()) == [(ids[d], a, b) for d, a, b in repeats]
+    scored = {r["doc_id"]: r for r in registry.op9_quality_rules(spark, SF).collect()}
+    for i in ids:
+        assert tuple(scored[i])[1:7] == slow_facts(docs[i]) and not (scored[i]["kept"] and scored[i]["base_failed"])
 
 
 def test_pipeline_order(spark):
