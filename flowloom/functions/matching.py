@@ -104,6 +104,7 @@ def type_name(kind: Column, name: Column) -> Column:
     return F.when(kind == "array", F.concat(name, F.lit("[]"))).when(kind == "unknown", F.lit("*")).when((kind == "primitive") & (name == "String"), F.lit("java.lang.String")).when(kind.isin("primitive", "class"), name)
 
 
+#: Names of the primitive types.
 PRIMITIVES = ("boolean", "byte", "char", "short", "int", "long", "float", "double", "void")
 
 

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import durable
-from ..schema import LOOPS, STATEMENTS
+from ..schema import LOOPS, NODES, STATEMENTS, as_nodes
 from . import graph
-from .tree import KEY, STRIDE, ancestors, callable_blocks, parents
+from .tree import KEY, ancestors, parents
 
 START, END = -1, -2
 #: Operators nested in a condition; more is an error.
 MAX_LEVELS = 10_000
+#: Levels of operators in one plan.
+STRIDE = 4
 COMPOUND = ("Block", "If", "While", "DoWhile", "For", "Try", "Synchronized", "Switch", "Label")
 
 
@@ -23,30 +26,55 @@ def logical() -> Column:
     return F.col("kind").isin("Parentheses", "ControlParentheses") | F.coalesce(F.col("operator").isin("And", "Or", "Not"), F.lit(False))
 
 
+def completed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the condition that a ``for`` without one stands for: a literal true, named by the negated id of its loop."""
+    loops = nodes.where("kind = 'For'").select("file_id", F.col("node_id").alias("parent_id"), "pre", "depth", "owner")
+    parts = nodes.where("role in ('condition', 'init')").groupBy("file_id", "parent_id").agg(F.max(F.when(F.col("role") == "init", F.col("post"))).alias("after"), F.count_if(F.col("role") == "condition").alias("conditions"))
+    bare = loops.join(parts, ["file_id", "parent_id"], "left").where("coalesce(conditions, 0) = 0")
+    at = F.coalesce("after", "pre")
+    true = F.struct(F.lit("boolean").alias("type"), F.lit("true").alias("value"))
+    made = bare.select(
+        "file_id", (-F.col("parent_id") - 10).alias("node_id"), "parent_id", F.lit("condition").alias("role"), F.lit(0).alias("ordinal"), at.alias("pre"), at.alias("post"), (F.col("depth") + 1).alias("depth"),
+        F.lit("Literal").alias("kind"), F.lit("boolean").alias("type"), true.alias("literal"), "owner", F.lit("true").alias("text"),
+    )
+    return nodes.select(*NODES).unionByName(as_nodes(made))
+
+
 def units(nodes: DataFrame) -> DataFrame:
     """What control flow visits: simple statements, and the leaves of conditions.
 
     ``(file_id, node_id, pre, is_condition)``.  A leaf is what is left of a
     condition below and, or, not and parentheses; a for-each and each
-    case that is no default are conditions of their own.
+    case that is no default are conditions of their own, and either value of a ternary is a unit.
     """
     simple = nodes.where(F.col("kind").isin(*[k for k in STATEMENTS if k not in COMPOUND]) & F.col("role").isin("statement", "body", "true_part", "false_part", "init", "update", "resource") & ~F.col("role").isin("static_init"))
     simple = simple.where("kind <> 'ForEach'").select(*KEY, "pre", F.lit(False).alias("is_condition"))
     each = nodes.where("kind = 'ForEach' or (kind = 'Case' and coalesce(name, '') <> 'default')").select(*KEY, "pre", F.lit(True).alias("is_condition"))
     below = nodes.where("role = 'condition'").select(*KEY, "kind", "operator", "pre")
-    found = below.where(~logical())
-    for n in range(1, MAX_LEVELS + 1):
-        inner = below.where(logical()).select("file_id", F.col("node_id").alias("parent_id"))
-        below = nodes.join(inner, ["file_id", "parent_id"]).select(*KEY, "kind", "operator", "pre")
-        found = found.unionByName(below.where(~logical()))
-        if n % STRIDE == 0:
-            below = durable(below.where(logical()))
-            if below.isEmpty():
-                break
-            found = durable(found)
+    leaves = [below.where(~logical())]
+    for n in range(0, MAX_LEVELS, STRIDE):
+        below = durable(below.where(logical()))
+        if below.isEmpty():
+            break
+        for _ in range(STRIDE):
+            inner = below.where(logical()).select("file_id", F.col("node_id").alias("parent_id"))
+            below = nodes.join(inner, ["file_id", "parent_id"]).select(*KEY, "kind", "operator", "pre")
+            leaves.append(below.where(~logical()))
+        leaves = [durable(reduce(DataFrame.unionByName, leaves))]
     else:
         raise ValueError(f"a condition nests operators more than {MAX_LEVELS} levels deep")
-    return simple.unionByName(each).unionByName(found.select(*KEY, "pre", F.lit(True).alias("is_condition"))).distinct()
+    found = reduce(DataFrame.unionByName, leaves)
+    values = parents(nodes, "kind").where("parent_kind = 'Ternary' and role in ('true_part', 'false_part')").select(*KEY, "pre", F.lit(False).alias("is_condition"))
+    return simple.unionByName(each).unionByName(values).unionByName(found.select(*KEY, "pre", F.lit(True).alias("is_condition"))).distinct()
+
+
+def graph_blocks(chain: DataFrame) -> DataFrame:
+    """``(file_id, node_id, block_id)``: the innermost body of a method, an initialiser or a lambda around each node, from its
+    ancestors and itself; each has a graph of its own."""
+    method = chain.where("anc_kind = 'MethodDeclaration'").groupBy(*KEY).agg(F.min("up").alias("method_up"))
+    blocks = chain.where("anc_kind = 'Block'").join(method, list(KEY), "left")
+    own = blocks.where("anc_role in ('lambda_body', 'static_init', 'instance_init') or up = method_up - 1")
+    return own.groupBy(*KEY).agg(F.min_by("anc_id", "up").alias("block_id"))
 
 
 def build(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,23 +83,48 @@ def build(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``dst`` is :data:`END` where the block is left and ``src`` is :data:`START` where it is
     entered.  Returns and throws leave; break and continue go by the nearest loop
     (labels are not asked); a finally block follows its try body; catch bodies are
-    not visited; a local class is one unit.  All steps are equi-joins on (file, node),
+    not visited; a local class is one unit; a lambda's body is a graph of its own.  Units inside a unit, those of its ternaries,
+    come before it.  All steps are equi-joins on (file, node),
     and the nearest ancestor is an aggregate over the levels of the tree.
     """
-    nodes = durable(nodes)
+    nodes = durable(completed(nodes))
     u = durable(units(nodes))
-    chain = durable(ancestors(nodes, u, include_self=True, columns=("kind", "role")).join(u.select(*KEY, F.col("pre").alias("unit_pre")), list(KEY)))
-    entry = chain.groupBy("file_id", "anc_id").agg(F.min_by("node_id", "unit_pre").alias("entry"), F.min_by(F.when(F.col("up") > 0, F.col("node_id")), F.when(F.col("up") > 0, F.col("unit_pre"))).alias("inner")).withColumnRenamed("anc_id", "node_id")
+    chain = durable(ancestors(nodes, u, include_self=True, columns=("kind", "role", "post")).join(u.select(*KEY, F.col("pre").alias("unit_pre")), list(KEY)))
+    home = durable(graph_blocks(chain))
+    top = chain.join(home, list(KEY)).where("anc_id = block_id").select(*KEY, F.col("up").alias("top"))
+    chain = durable(chain.join(top, list(KEY), "left").where("top is null or up <= top").drop("top"))  # a lambda's units are not its statement's
+
+    # the unit that a ternary's units are inside of, and what follows the ternary there: its next unit, or the unit itself
+    holds = nodes.where("kind not in ('ForEach', 'Case')").select(*KEY).join(u.select(*KEY), list(KEY), "left_semi").select("file_id", F.col("node_id").alias("anc_id"))
+    inner = durable(chain.where("up > 0").join(holds, ["file_id", "anc_id"], "left_semi").groupBy(*KEY).agg(F.min_by("anc_id", "up").alias("host"), F.first("unit_pre").alias("unit_pre")))
+    hosts = inner.select("file_id", F.col("host").alias("node_id")).distinct()
+    leafy = chain.join(hosts, list(KEY), "left_anti")
+    entry = leafy.groupBy("file_id", "anc_id").agg(F.min_by("node_id", "unit_pre").alias("entry"), F.min_by(F.when(F.col("up") > 0, F.col("node_id")), F.when(F.col("up") > 0, F.col("unit_pre"))).alias("inner")).withColumnRenamed("anc_id", "node_id")
+    values = chain.where("up = 0 and anc_role in ('true_part', 'false_part')").select(*KEY)
+    ends = chain.where("up = 1 and anc_kind = 'Ternary'").join(values, list(KEY), "left_semi").join(inner.select(*KEY, "host"), list(KEY))
+    ends = ends.select("file_id", "host", F.col("anc_post").alias("at"), F.lit(None).cast("bigint").alias("unit"), "node_id")
+    starts = inner.join(entry, list(KEY)).select("file_id", "host", F.col("unit_pre").alias("at"), F.col("entry").alias("unit"), F.lit(None).cast("bigint").alias("node_id"))
+    coming = Window.partitionBy("file_id", "host").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    after = ends.unionByName(starts).withColumn("after", F.coalesce(F.first("unit", ignorenulls=True).over(coming), "host")).where("node_id is not null").select(*KEY, "after")
+
     told = durable(parents(nodes, "kind", "operator", "role").join(entry, list(KEY), "left"))
 
     slots = {r: F.max(F.when(F.col("role") == r, F.col("entry"))).alias(f"to_{r}") for r in ("condition", "body", "update", "true_part", "false_part", "right", "finally", "init")}
     child = told.groupBy("file_id", F.col("parent_id").alias("node_id")).agg(*slots.values())
     later = Window.partitionBy("file_id", "parent_id", "role").orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
     up = child.withColumnRenamed("node_id", "parent_id")
-    info = told.withColumn("next_entry", F.first(F.when(F.col("role").isin("statement", "init", "update", "resource"), F.col("entry")), ignorenulls=True).over(later)).withColumn("next_case", F.first(F.when(F.col("kind") == "Case", F.col("entry")), ignorenulls=True).over(later)).withColumn("fall", F.first(F.when(F.col("kind") == "Case", F.when(F.col("name") == "default", F.col("entry")).otherwise(F.col("inner"))), ignorenulls=True).over(later)).join(up, ["file_id", "parent_id"], "left")
+    in_row = F.col("role").isin("statement", "init", "update", "resource")
+    # a case falls through to the body of the one behind it
+    case_body = F.when(F.col("name") == "default", F.col("entry")).otherwise(F.col("inner"))
+    info = (
+        told.withColumn("next_entry", F.first(F.when(in_row, F.col("entry")), ignorenulls=True).over(later))
+        .withColumn("next_case", F.first(F.when(F.col("kind") == "Case", F.col("entry")), ignorenulls=True).over(later))
+        .withColumn("fall", F.first(F.when(F.col("kind") == "Case", case_body), ignorenulls=True).over(later))
+        .join(up, ["file_id", "parent_id"], "left")
+    )
     loop_in_for = F.coalesce("to_condition", "to_body")
     jump = (
-        F.when(F.col("role").isin("statement", "init", "update", "resource") & F.col("next_entry").isNotNull(), F.col("next_entry"))
+        F.when(in_row & F.col("next_entry").isNotNull(), F.col("next_entry"))
         .when((F.col("kind") == "Case") & F.col("fall").isNotNull(), F.col("fall"))
         .when((F.col("role") == "body") & F.col("parent_kind").isin("While", "DoWhile"), F.col("to_condition"))
         .when((F.col("role") == "body") & (F.col("parent_kind") == "For"), F.coalesce("to_update", "to_condition", "to_body"))
@@ -80,12 +133,13 @@ def build(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when((F.col("role") == "try_body") & F.col("to_finally").isNotNull(), F.col("to_finally"))
         .when((F.col("role").isin("body", "lambda_body") & F.col("parent_kind").isin("MethodDeclaration", "Lambda")) | F.col("role").isin("static_init", "instance_init"), F.lit(END))
     )
-    jumps = durable(info.withColumn("jump", jump).select(F.col("node_id").alias("anc_id"), "file_id", "jump", F.col("role").alias("y_role"), F.col("parent_operator").alias("y_op"), F.col("parent_kind").alias("y_parent"), F.col("parent_id").alias("y_parent_id"), F.col("to_right").alias("y_right"), "next_case"))
+    around = {"role": "y_role", "parent_operator": "y_op", "parent_kind": "y_parent", "parent_id": "y_parent_id", "to_right": "y_right"}
+    jumps = durable(info.select("file_id", F.col("node_id").alias("anc_id"), jump.alias("jump"), *[F.col(c).alias(y) for c, y in around.items()], "next_case"))
     steps = durable(chain.join(jumps, ["file_id", "anc_id"]))
     follow = steps.where("jump is not null").groupBy(*KEY).agg(F.min_by("jump", "up").alias("follow"))
 
     kinds = nodes.select(*KEY, "kind")
-    plain = u.where("not is_condition").join(kinds, list(KEY)).join(follow, list(KEY), "left")
+    plain = u.where("not is_condition").join(kinds, list(KEY)).join(follow, list(KEY), "left").join(after, list(KEY), "left").withColumn("follow", F.coalesce("after", "follow"))
     go = plain.where("kind not in ('Return', 'Throw', 'Break', 'Continue')").select("file_id", F.col("node_id").alias("src"), F.col("follow").alias("dst"), F.lit(None).cast("string").alias("branch"))
     leave = plain.where("kind in ('Return', 'Throw')").select("file_id", F.col("node_id").alias("src"), F.lit(END).cast("bigint").alias("dst"), F.lit(None).cast("string").alias("branch"))
     loop = steps.where(F.col("anc_kind").isin(*LOOPS, "Switch")).groupBy(*KEY).agg(F.min(F.when(F.col("anc_kind") != "Switch", F.col("up"))).alias("loop_up"), F.min("up").alias("break_up"))
@@ -110,16 +164,24 @@ def build(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("value"), F.coalesce("to_body", "to_update", "to_condition"))
     )
     taken = stop.join(owner, ["file_id", "y_parent_id"], "left").join(follow, list(KEY), "left").select("file_id", F.col("node_id").alias("src"), F.coalesce(target, "follow").alias("dst"), F.when(F.col("outcome"), "true").otherwise("false").alias("branch"))
-    own = told.where("kind in ('ForEach', 'Case')").select(*KEY, "kind", "inner").join(u.where("is_condition").select(*KEY), list(KEY), "left_semi").join(follow, list(KEY), "left").join(jumps.select("file_id", F.col("anc_id").alias("node_id"), "next_case"), list(KEY)).join(steps.where("anc_kind = 'Switch' and jump is not null").groupBy(*KEY).agg(F.min_by("jump", "up").alias("past")), list(KEY), "left")
+    past = steps.where("anc_kind = 'Switch' and jump is not null").groupBy(*KEY).agg(F.min_by("jump", "up").alias("past"))
+    own = (
+        told.where("kind in ('ForEach', 'Case')")
+        .select(*KEY, "kind", "inner")
+        .join(u.where("is_condition").select(*KEY), list(KEY), "left_semi")
+        .join(follow, list(KEY), "left")
+        .join(jumps.select("file_id", F.col("anc_id").alias("node_id"), "next_case"), list(KEY))
+        .join(past, list(KEY), "left")
+    )
     yes = own.select("file_id", F.col("node_id").alias("src"), F.coalesce("inner", F.when(F.col("kind") == "Case", F.col("follow")).otherwise(F.col("node_id"))).alias("dst"), F.lit("true").alias("branch"))
     no = own.select("file_id", F.col("node_id").alias("src"), F.when(F.col("kind") == "Case", F.coalesce("next_case", "past", "follow")).otherwise(F.col("follow")).alias("dst"), F.lit("false").alias("branch"))
 
-    home = callable_blocks(nodes, chain)
-    start = home.join(u, list(KEY), "left_semi").join(u.select(*KEY, "pre"), list(KEY)).groupBy("file_id", F.col("block_id").alias("graph_id"), "graph_type").agg(F.min_by("node_id", "pre").alias("dst"))
+    first = home.join(hosts, list(KEY), "left_anti").join(u.select(*KEY, "pre"), list(KEY)).groupBy("file_id", F.col("block_id").alias("graph_id")).agg(F.min_by("node_id", "pre").alias("dst"))
+    start = first.select("file_id", "graph_id", F.lit(START).cast("bigint").alias("src"), "dst", F.lit(None).cast("string").alias("branch"))
     inside = home.select("file_id", F.col("node_id").alias("src"), F.col("block_id").alias("graph_id"))
-    edges = go.unionByName(leave).unionByName(moved).unionByName(taken).unionByName(yes).unionByName(no).join(inside, ["file_id", "src"]).select("file_id", "graph_id", "src", F.coalesce("dst", F.lit(END)).cast("bigint").alias("dst"), "branch")
-    edges = edges.unionByName(start.select("file_id", "graph_id", F.lit(START).cast("bigint").alias("src"), "dst", F.lit(None).cast("string").alias("branch")))
-    return u, durable(edges.distinct())
+    every = reduce(DataFrame.unionByName, (go, leave, moved, taken, yes, no))
+    edges = every.join(inside, ["file_id", "src"]).select("file_id", "graph_id", "src", F.coalesce("dst", F.lit(END)).cast("bigint").alias("dst"), "branch")
+    return u, durable(edges.unionByName(start).distinct())
 
 
 def _graph_key() -> Column:
@@ -144,9 +206,11 @@ def heads(edges: DataFrame) -> DataFrame:
     into = real.groupBy(*at, F.col("dst").alias("node_id")).agg(F.count("*").alias("n"), F.count_if((F.col("src") == START) | F.col("branch").isNotNull()).alias("hard"), F.max("src").alias("only"))
     point = durable(into.select(*at, "node_id", F.when((F.col("n") > 1) | (F.col("hard") > 0), F.col("node_id")).otherwise(F.col("only")).alias("head")))
     longest = point.groupBy(*at).count().agg(F.max("count")).first()[0] or 0
-    for _ in range(max(1, longest.bit_length()) + 1):
+    for _ in range(longest.bit_length() // 2 + 2):  # four times as far a round
         jump = point.select(*at, F.col("node_id").alias("head"), F.col("head").alias("next"))
-        moved = durable(point.join(jump, [*at, "head"]).select(*at, "node_id", "head", "next"))
+        twice = point.join(jump, [*at, "head"]).select(*at, "node_id", F.col("next").alias("head"))
+        again = twice.select(*at, F.col("node_id").alias("head"), F.col("head").alias("next"))
+        moved = durable(twice.join(again, [*at, "head"]).select(*at, "node_id", "head", "next"))
         point = moved.select(*at, "node_id", F.col("next").alias("head"))
         if moved.where("head <> next").isEmpty():
             return point
@@ -222,7 +286,8 @@ def keep_edges(cfg_edges: DataFrame, cfg_nodes: DataFrame, nodes: DataFrame, bar
     """
     shut_true, shut_false = barrier(nodes) if barrier else (F.lit(False), F.lit(False))
     guard = nodes.select("file_id", F.col("node_id").alias("guard_node_id"), F.when(F.col("kind") == "Literal", F.col("literal.value")).alias("fixed"), shut_true.alias("shut_true"), shut_false.alias("shut_false"))
-    told = cfg_nodes.where("kind = 'condition'").join(guard, ["file_id", "guard_node_id"]).select("file_id", "graph_id", F.col("cfg_id").alias("src"), "fixed", "shut_true", "shut_false")
+    made = F.when(F.col("guard_node_id") < 0, "true")  # of a loop without a condition
+    told = cfg_nodes.where("kind = 'condition'").join(guard, ["file_id", "guard_node_id"], "left").withColumn("fixed", F.coalesce("fixed", made)).select("file_id", "graph_id", F.col("cfg_id").alias("src"), "fixed", "shut_true", "shut_false")
     met = cfg_edges.join(told, ["file_id", "graph_id", "src"], "left")
     shut = F.when(F.col("fixed").isin("true", "false"), F.col("branch") != F.col("fixed")).when(F.col("branch") == "true", F.col("shut_true")).when(F.col("branch") == "false", F.col("shut_false"))
     return met.where(~F.coalesce(shut, F.lit(False))).select("file_id", "graph_id", "src", "dst", "branch")
@@ -258,20 +323,28 @@ def invalid(cfg_nodes: DataFrame, cfg_edges: DataFrame) -> DataFrame:
     return met.withColumn("rule", rule).where("rule is not null").select("file_id", "graph_id", "cfg_id", "kind", "rule")
 
 
+def check(cfg_nodes: DataFrame, cfg_edges: DataFrame) -> None:
+    """An error that names some of the nodes that break a rule, if any does."""
+    broken = invalid(cfg_nodes, cfg_edges).limit(5).collect()
+    if broken:
+        raise ValueError("control flow is unsound: " + "; ".join(f"{r['file_id']}, graph {r['graph_id']}, {r['kind']} {r['cfg_id']}: {r['rule']}" for r in broken))
+
+
 def numbered(cfg_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(file_id, graph_id, node_id, label)``: block leaders nL and conditions nC (operator), numbered in document order."""
     at = F.when(F.col("kind") == "block", F.expr("cfg_id div 2")).otherwise(F.col("guard_node_id"))
+    nodes = completed(nodes)
     seen = cfg_nodes.where("kind in ('block', 'condition')").withColumn("node_id", at).join(nodes.select(*KEY, "pre", "operator"), list(KEY))
     n = F.row_number().over(Window.partitionBy("file_id", "graph_id", "kind").orderBy("pre"))
     mark = F.when(F.col("kind") == "block", F.concat(n, F.lit("L"))).otherwise(F.concat(n, F.lit("C"), F.coalesce(F.concat(F.lit(" ("), "operator", F.lit(")")), F.lit(""))))
     return seen.select("file_id", "graph_id", "node_id", mark.alias("label"))
 
 
-def dot(cfg_nodes: DataFrame, cfg_edges: DataFrame, text: DataFrame, dark: bool = False) -> DataFrame:
+def dot(cfg_nodes: DataFrame, cfg_edges: DataFrame, text: DataFrame, dark: bool = False, kept: DataFrame | None = None) -> DataFrame:
     """``(file_id, graph_id, dot)``: one drawing a graph; ``text(file_id, cfg_id, label)``.
 
     Nodes stand in the order start, block, condition, end and then by label;
-    edges say which outcome they follow.
+    edges say which outcome they follow, and that they are unreachable where they are not among ``kept``, if given.
     """
     rank = F.element_at(F.create_map(*[F.lit(x) for pair in (("start", 0), ("block", 1), ("condition", 2), ("end", 3)) for x in pair]), F.col("kind"))
     shape = F.element_at(F.create_map(*[F.lit(x) for pair in (("start", "circle"), ("block", "box"), ("condition", "diamond"), ("end", "circle")) for x in pair]), F.col("kind"))
@@ -282,7 +355,12 @@ def dot(cfg_nodes: DataFrame, cfg_edges: DataFrame, text: DataFrame, dark: bool
     boxes = named.groupBy("file_id", "graph_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x["t"]), "\n").alias("boxes"))
     ids = named.select("file_id", "graph_id", "cfg_id", "n")
     met = cfg_edges.join(ids.withColumnsRenamed({"cfg_id": "src", "n": "a"}), ["file_id", "graph_id", "src"]).join(ids.withColumnsRenamed({"cfg_id": "dst", "n": "b"}), ["file_id", "graph_id", "dst"])
-    style = F.when(F.col("branch") == "true", ' [label="True", color="green"]').when(F.col("branch") == "false", ' [label="False", color="red"]').otherwise("")
+    shut = F.lit(False)
+    if kept is not None:
+        open_ = kept.select("file_id", "graph_id", "src", "dst", F.coalesce("branch", F.lit("")).alias("way")).distinct().withColumn("open", F.lit(True))
+        met = met.withColumn("way", F.coalesce("branch", F.lit(""))).join(open_, ["file_id", "graph_id", "src", "dst", "way"], "left")
+        shut = F.col("open").isNull()
+    style = F.when(shut, ' [label="Unreachable", color="grey", style="dashed"]').when(F.col("branch") == "true", ' [label="True", color="green"]').when(F.col("branch") == "false", ' [label="False", color="red"]').otherwise("")
     arrow = F.concat(F.lit("    "), "a", F.lit(" -> "), "b", style, F.lit(";"))
     arrows = met.groupBy("file_id", "graph_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", arrow.alias("t")))), lambda x: x["t"]), "\n").alias("arrows"))
     head = "digraph cfg {\n" + ('    bgcolor="black"; node [color="white", fontcolor="white"]; edge [fontcolor="white"];\n' if dark else "")

@@ -60,15 +60,17 @@ def value_edges(nodes: DataFrame) -> DataFrame:
     """``(file_id, src, dst, kind)``: steps that keep a value whole.
 
     A value to the variable that it initialises or is assigned to, that write along
-    the reads that see it, through casts and parentheses, from a ternary's
-    branches, and from a lambda's result to the lambda.
+    the reads that see it, the right side of a compound assignment to its variable, through casts
+    and parentheses, from a ternary's branches, and from a lambda's result to the lambda.
     """
     p = parents(nodes, "kind")
     into = p.where("(parent_kind = 'VariableDeclaration' and role = 'initializer') or (parent_kind = 'Assignment' and role = 'assignment')").select("file_id", F.col("node_id").alias("src"), F.col("parent_id").alias("dst"), F.lit("write").alias("kind"))
+    target = nodes.where("role = 'variable' and kind = 'Identifier'").select("file_id", "parent_id", F.col("node_id").alias("dst"))
+    mixed = p.where("parent_kind = 'CompoundAssignment' and role = 'assignment'").select("file_id", "parent_id", F.col("node_id").alias("src")).join(target, ["file_id", "parent_id"]).select("file_id", "src", "dst", F.lit("write").alias("kind"))
     through = p.where("parent_kind in ('TypeCast', 'Parentheses') or (parent_kind = 'Ternary' and role in ('true_part', 'false_part'))").select("file_id", F.col("node_id").alias("src"), F.col("parent_id").alias("dst"), F.lit("through").alias("kind"))
     seen = flow_before(nodes).select("file_id", F.col("seen_id").alias("src"), F.col("node_id").alias("dst"), F.lit("read").alias("kind"))
     result = lambda_results(nodes).select("file_id", F.col("node_id").alias("src"), F.col("lambda_id").alias("dst"), F.lit("result").alias("kind"))
-    return into.unionByName(through).unionByName(seen).unionByName(result).dropDuplicates(["file_id", "src", "dst"])
+    return into.unionByName(mixed).unionByName(through).unionByName(seen).unionByName(result).dropDuplicates(["file_id", "src", "dst"])
 
 
 def taint_edges(nodes: DataFrame, through: tuple[str, ...]) -> DataFrame:
@@ -90,29 +92,36 @@ def _rooted(df: DataFrame) -> DataFrame:
 
 def live_code(nodes: DataFrame, guard: Callable[[DataFrame], tuple[Column, Column]] | None = None) -> DataFrame:
     """``(file_id, node_id)`` of all nodes but those that control flow never reaches: after a return, behind a literal
-    condition or behind a barrier guard.  What belongs to no body is live, and a lambda is where it stands."""
+    condition or behind a barrier guard, and what lies inside.  What belongs to no body is live."""
     nodes = durable(nodes)
     cfg_nodes, cfg_edges, units = cfg.control_flow(nodes)
     reached = cfg.reachable_blocks(cfg.keep_edges(cfg_edges, cfg_nodes, nodes, guard))
     live = units.join(reached, ["file_id", "graph_id", "cfg_id"], "left_semi").select(*KEY, F.lit(True).alias("live"))
-    told = cfg.units(nodes).select(*KEY).join(live, list(KEY), "left").select("file_id", F.col("node_id").alias("anc_id"), F.coalesce("live", F.lit(False)).alias("live"))
-    dead = ancestors(nodes, include_self=True, columns=()).join(told, ["file_id", "anc_id"]).groupBy(*KEY).agg(F.bool_or("live").alias("live")).where("not live")
+    chain = ancestors(nodes, include_self=True, columns=("kind", "role"))
+    unit = cfg.units(nodes).select(*KEY)
+    told = unit.join(cfg.graph_blocks(chain), list(KEY), "left_semi").join(live, list(KEY), "left").where("live is null").select("file_id", F.col("node_id").alias("anc_id"))
+    dead = chain.join(told, ["file_id", "anc_id"], "left_semi").select(*KEY).distinct()
     return nodes.select(*KEY).join(dead, list(KEY), "left_anti")
 
 
-def local_marks(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None = None) -> DataFrame:
-    """``(file_id, node_id, is_source, is_sink)`` of every node on a flow from a source to a sink of its file.
-
-    Only code in ``reachable(file_id, node_id)`` counts; None stands for :func:`live_code` under the specification's barrier guards.
-    """
+def _local_graph(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The nodes that count, and the steps ``(root, src, dst)`` between them."""
     keep = durable(live_code(nodes, spec.is_barrier_guard) if reachable is None else reachable.select(*KEY).distinct())
     alive = nodes.join(keep, list(KEY), "left_semi")
     edges = _rooted(spec.edges(nodes)).select("root", "src", "dst")
     for end in ("src", "dst"):
         edges = edges.join(keep.select(F.col("file_id").alias("root"), F.col("node_id").alias(end)), ["root", end], "left_semi")
+    return alive, durable(edges)
+
+
+def local_marks(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None = None) -> DataFrame:
+    """``(file_id, node_id, is_source, is_sink)`` of every node on a flow from a source to a sink of its file.
+
+    Only code in ``reachable(file_id, node_id)`` counts; None stands for :func:`live_code` under the specification's barrier guards.
+    """
+    alive, edges = _local_graph(nodes, spec, reachable)
     sources = alive.where(spec.is_source(alive)).select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
     sinks = alive.where(spec.is_sink(alive)).select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
-    edges = durable(edges)
     ahead = graph.reach(edges, sources, doublings=2)
     live = edges.join(ahead.withColumnRenamed("node", "src"), ["root", "src"], "left_semi")
     back = graph.reach(graph.backward(live), sinks.join(ahead, ["root", "node"], "left_semi"), doublings=2)
@@ -121,6 +130,16 @@ def local_marks(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None =
     return marked.select(F.col("root").alias("file_id"), F.col("node").alias("node_id"), F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
 
 
+def local_paths(nodes: DataFrame, spec: FlowSpec, depth: int, reachable: DataFrame | None = None) -> DataFrame:
+    """``(file_id, source_id, path, sink_id)``: the simple paths of ``depth`` steps at most from a source to a sink of its file, in code
+    that counts as for :func:`local_marks`.  A source that is a sink is a path of one node."""
+    alive, edges = _local_graph(nodes, spec, reachable)
+    named = lambda c: F.struct(F.col("root").alias("file_id"), F.col(c).alias("node_id")).alias(c)
+    ends = [alive.where(test(alive)).select(F.struct("file_id", "node_id").alias("node")) for test in (spec.is_source, spec.is_sink)]
+    found = graph.paths(edges.select(named("src"), named("dst")), *ends, depth)
+    return found.select("source.file_id", F.col("source.node_id").alias("source_id"), F.transform("path", lambda x: x["node_id"]).alias("path"), F.col("sink.node_id").alias("sink_id"))
+
+
 def files_with_flow(nodes: DataFrame, marks: DataFrame, wanted: bool = True) -> DataFrame:
     """Files in which some node lies on a flow, or (``wanted=False``) none does."""
     return nodes.select("file_id").distinct().join(marks.select("file_id").distinct(), "file_id", "left_semi" if wanted else "left_anti")
@@ -204,11 +223,16 @@ def matched_reach(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame
     The stack of open calls travels with the flow, so equal flows with equal
     stacks meet; ``depth`` bounds the edges of a flow.
     """
-    steps = edges.select("src", "dst", "kind", "call").distinct()
+    steps = durable(edges.select("src", "dst", "kind", "call").distinct())
+    returns, others = steps.where("kind = 'return'"), steps.where("kind <> 'return'")
     level = sources.select(F.col("node").alias("source"), "node", F.array().cast(f"array<{edges.schema['call'].dataType.simpleString()}>").alias("stack")).distinct()
     out = level.select("source", "node")
+    told = ("source", "stack", "dst", "kind", "call")
     for _ in range(depth):
-        moved = level.withColumnRenamed("node", "src").join(steps, "src").where("kind <> 'return' or size(stack) = 0 or try_element_at(stack, -1) = call")
+        at = level.withColumnRenamed("node", "src")
+        # a method that many calls share leaves by the call on top of the stack, which is part of the key
+        inside = at.where("size(stack) > 0").withColumn("call", F.try_element_at("stack", F.lit(-1)))
+        moved = at.join(others, "src").select(*told).unionByName(inside.join(returns, ["src", "call"]).select(*told)).unionByName(at.where("size(stack) = 0").join(returns, "src").select(*told))
         stack = F.when(F.col("kind") == "argument", F.array_append("stack", F.col("call"))).when((F.col("kind") == "return") & (F.size("stack") > 0), F.slice("stack", 1, F.size("stack") - 1)).otherwise(F.col("stack"))
         level = moved.select("source", F.col("dst").alias("node"), stack.alias("stack")).distinct()
         out = out.unionByName(level.select("source", "node"))

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import durable
 
 
+#: Ways out of a node up to which steps through it are joined to longer ones.
+FEW = 16
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, doublings: int = 0) -> DataFrame:
     """``(root, node)``: what each ``seeds(root, node)`` reaches along ``edges(src, dst)``, itself included.
 
     A frontier that moves one edge at a time and never visits a pair twice, so
     cycles end; each round's frontier is checkpointed.  An edge table
     with a ``root`` column is walked by that root alone.  Each of ``doublings`` first
-    adds the edges of two steps, so that a round goes twice as far: for long
-    graphs in which few edges leave a node.
+    adds the edges of two steps, so that a round goes twice as far; only through nodes that :data:`FEW` edges
+    leave at most, so that a hub does not pair all its ways in with all its ways out.
     """
-    by_root = "root" in edges.columns
-    steps = edges.select(*(["root"] if by_root else []), "src", "dst").distinct()
+    on = ["root", "src"] if "root" in edges.columns else ["src"]
+    steps = edges.select(*on, "dst").distinct()
     for _ in range(doublings):
-        mid = steps.select(*(["root"] if by_root else []), F.col("src").alias("mid"), F.col("dst"))
-        two = steps.withColumnRenamed("dst", "mid").join(mid, ["root", "mid"] if by_root else ["mid"]).select(steps.columns)
+        narrow = steps.withColumn("ways", F.count("*").over(Window.partitionBy(*on))).where(F.col("ways") <= FEW)
+        two = steps.withColumnRenamed("dst", "mid").join(narrow.drop("ways").withColumnRenamed("src", "mid"), [*on[:-1], "mid"]).select(steps.columns)
         steps = durable(steps.unionByName(two).distinct())
-    on = ["root", "src"] if by_root else ["src"]
     new = durable(seeds.select("root", "node").distinct())
     seen = new
     for n in range(max_rounds):

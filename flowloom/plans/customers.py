@@ -122,7 +122,7 @@ QUERIES = {
 }
 
 #: Blocks, conditions and exits that each construct adds to a graph.
-_GRAPH = {"if_else": (3, 1, 0), "if_and": (3, 2, 0), "while": (3, 1, 0), "do_while": (2, 1, 0), "for": (3, 1, 0), "for_each": (3, 1, 0), "switch": (5, 2, 0), "throw": (2, 1, 1), "jumps": (7, 3, 0), "return": (2, 1, 1), "uri_guarded": (2, 1, 0), "uri_dead": (2, 1, 0)}
+_GRAPH = {"if_else": (3, 1, 0), "if_and": (3, 2, 0), "while": (3, 1, 0), "do_while": (2, 1, 0), "for": (3, 1, 0), "for_each": (3, 1, 0), "switch": (5, 2, 0), "throw": (2, 1, 1), "expression": (3, 1, 0), "jumps": (7, 3, 0), "return": (2, 1, 1), "uri_guarded": (2, 1, 0), "uri_dead": (2, 1, 0)}
 #: How many of what each construct has, the call of ``line`` before it included; of a key, one number, or the count and sums.
 _CALLS_ONLY = {"if_else": 4, "while": 3, "do_while": 3, "try": 4, "jumps": 5}
 _EXPRESSIONS = {k: {"MethodAccess": n} for k, n in _CALLS_ONLY.items()} | {

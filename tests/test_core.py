@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.common import durable
 from flowloom.functions import matching as m
 from flowloom.operators import cfg, flow, graph, models, scope, search, traits, tree
 from flowloom.plans import registry
@@ -77,6 +78,10 @@ def loop(kind, c, *body):
     return (kind, "statement", {}, parts[::-1] if kind == "DoWhile" else parts)
 
 
+def ternary(role, c, yes, no):
+    return ("Ternary", role, {}, [cond(c), (yes[0], "true_part", *yes[2:]), (no[0], "false_part", *no[2:])])
+
+
 A, B, C = (call(n, "x") for n in "abc")
 S = [call(n, "statement") for n in ("s", "t", "u")]
 PROGRAMS = {
@@ -90,6 +95,10 @@ PROGRAMS = {
     "for": (method(("For", "statement", {}, [call("i", "init"), cond(A), call("n", "update"), ("Block", "body", {}, [S[0]])]), S[1]), (4, 1, 1)),
     "each": (method(("ForEach", "statement", {}, [ident("xs", "iterable"), ("Block", "body", {}, [S[0]])]), S[1]), (3, 1, 1)),
     "dead": (method(ret(), S[0], loop("While", A, S[1])), (1, 0, 1)),
+    "ternary": (method(S[0], ("VariableDeclaration", "statement", {"name": "z"}, [ternary("initializer", A, lit(1, "x"), lit(2, "x"))]), S[1]), (4, 1, 1)),
+    "ternary_in_ternary": (method(("Return", "statement", {}, [ternary("expression", op("And", "x", A, C), ternary("x", B, lit(1, "x"), S[0]), lit(3, "x"))])), (8, 3, 1)),
+    "ternaries": (method(call("run", "statement", ("Lambda", "argument", {}, [("Block", "lambda_body", {}, [S[1]])]), ternary("argument", A, lit(1, "x"), lit(2, "x")), ternary("argument", B, lit(1, "x"), lit(2, "x")))), (7, 2, 1)),
+    "for_ever": (method(("For", "statement", {}, [call("i", "init"), ("Block", "body", {}, [S[0], if_(A, [("Break", "statement", {}, [])])])]), S[1]), (5, 2, 1)),
     "dead_loop": (method(S[0], ret(), ("For", "statement", {}, [("Block", "body", {}, [S[0], S[1], S[2]])])), (1, 0, 1)),
     "last_if": (method(if_(A, [S[0]])), (2, 1, 2)),
     "empty_then": (method(if_(A, []), S[0]), (2, 1, 1)),
@@ -136,8 +145,10 @@ def test_depth(spark):
 
 def test_cfg_counts(programs):
     nodes, cfg_nodes, cfg_edges, _ = programs
-    got = {r["file_id"]: (r["bb"], r["cn"], r["ex"]) for r in cfg.counts(cfg_nodes, cfg_edges).collect()}
-    assert got == {k: want for k, (_, want) in PROGRAMS.items()}
+    body = 2  # of a method; a lambda's graph has another id
+    found = cfg.counts(cfg_nodes, cfg_edges).collect()
+    assert {r["file_id"]: (r["bb"], r["cn"], r["ex"]) for r in found if r["graph_id"] == body} == {k: want for k, (_, want) in PROGRAMS.items()}
+    assert [(r["file_id"], r["bb"]) for r in found if r["graph_id"] != body] == [("ternaries", 1)]
     assert cfg.invalid(cfg_nodes, cfg_edges).count() == 0
 
 
@@ -160,6 +171,10 @@ def test_cfg_edges(programs):
     assert {label for _, label in labels} == {"1L", "2L", "3L", "1C"}
     text = search.block_text(units, nodes).select("file_id", "cfg_id", "label")
     drawing = cfg.dot(cfg_nodes, cfg_edges, text).where("file_id = 'call'").first()["dot"]
+    kept = cfg.keep_edges(cfg_edges, cfg_nodes, nodes, lambda n: (F.col("name") == "a", F.lit(False)))
+    shut = {r["file_id"]: r["dot"].count("Unreachable") for r in cfg.dot(cfg_nodes, cfg_edges, text, kept=kept).collect()}
+    # the loop that never ends by itself, and what a condition on a shuts
+    assert (shut["for_ever"], shut["call"], shut["single"], shut["or_not"]) == (2, 1, 0, 1)
     assert drawing.startswith("digraph cfg {\n    0 [shape=circle") and drawing.count("->") == 6 and '[label="True", color="green"]' in drawing
 
 
@@ -293,16 +308,20 @@ def test_local_flow(spark):
     branch = method(declare("n", src), if_(A, [assign("n", lit(1, "x")), use("n")]), use("n"))
     copy = method(declare("n", src), declare("o", ident("n", "x")), use("o"), ("VariableDeclaration", "statement", {"name": "p"}, [("TypeCast", "initializer", {}, [("Parentheses", "expression", {}, [ident("o", "expression")])])]), use("p"))
     text = method(declare("s", src), ("VariableDeclaration", "statement", {"name": "t"}, [("Binary", "initializer", {"operator": "Addition", "type": "java.lang.String"}, [ident("s", "left"), lit("x", "right")])]), use("t"))
+    grown = method(declare("n", lit(0, "x")), ("CompoundAssignment", "statement", {"operator": "Addition"}, [ident("n", "variable"), (src[0], "assignment", src[2], src[3])]), use("n"))
     clean = method(declare("s", src), declare("t", call("sanitize", "x", ident("s", "argument"))), use("t"))
-    nodes = frame(spark, *[lower(k, p) for k, p in {"kill": kill, "branch": branch, "copy": copy, "text": text, "clean": clean}.items()])
+    nodes = frame(spark, *[lower(k, p) for k, p in {"kill": kill, "branch": branch, "copy": copy, "text": text, "clean": clean, "grown": grown}.items()])
     is_source, is_sink = (lambda n: F.coalesce(F.col("name") == "source", F.lit(False))), (lambda n: (F.col("role") == "argument") & (F.col("kind") == "Identifier"))
-    found = {f: sum(r["is_sink"] for r in rows) for f, rows in by_file(flow.local_marks(nodes, flow.FlowSpec(is_source, is_sink))).items()}
-    assert found == {"branch": 1, "copy": 2, "clean": 1}
+    live = durable(flow.live_code(nodes))
+    found = {f: sum(r["is_sink"] for r in rows) for f, rows in by_file(flow.local_marks(nodes, flow.FlowSpec(is_source, is_sink), live)).items()}
+    assert found == {"branch": 1, "copy": 2, "clean": 1, "grown": 1}
+    ways = flow.local_paths(nodes, flow.FlowSpec(is_source, is_sink), 12, live).collect()
+    assert {f: sum(r["file_id"] == f for r in ways) for f in found} == found and all(r["path"][0] == r["source_id"] and r["path"][-1] == r["sink_id"] for r in ways)
     taint = flow.TaintSpec(is_source, is_sink, through=("sanitize",))
-    assert {f: sum(r["is_sink"] for r in rows) for f, rows in by_file(flow.local_marks(nodes, taint)).items()} == {"branch": 1, "copy": 2, "text": 1, "clean": 2}
+    assert {f: sum(r["is_sink"] for r in rows) for f, rows in by_file(flow.local_marks(nodes, taint, live)).items()} == {"branch": 1, "copy": 2, "text": 1, "clean": 2, "grown": 1}
     shut = flow.TaintSpec(is_source, is_sink, through=("sanitize",), sanitizers=("sanitize",))
-    marks = flow.local_marks(nodes, shut)
-    assert {f: sum(r["is_sink"] for r in rows) for f, rows in by_file(marks).items()} == {"branch": 1, "copy": 2, "text": 1, "clean": 1}
+    marks = flow.local_marks(nodes, shut, live)
+    assert {f: sum(r["is_sink"] for r in rows) for f, rows in by_file(marks).items()} == {"branch": 1, "copy": 2, "text": 1, "clean": 1, "grown": 1}
     assert {r[0] for r in flow.files_with_flow(nodes, marks, wanted=False).collect()} == {"kill"}
 
 
@@ -364,16 +383,19 @@ def test_guards_and_dead_code(spark):
     off = lit("false", "x", literal=("boolean", "false"))
     in_lambda = ("MethodInvocation", "statement", {"name": "run", "method_type": ("a.B", "run", ["java.lang.Runnable"], "void", [])}, [("Lambda", "argument", {}, [("Block", "lambda_body", {}, [uri(url("lambda"))])])])
     shut = method(uri(url("before")), if_(replaced, [uri(url("guarded"))], [uri(url("else"))]), uri(url("after")))
-    program = method(if_(off, [uri(url("dead"))]), if_(A, [uri(url("live"))]), in_lambda, ret(), uri(url("late")))
+    program = method(if_(off, [uri(url("dead"))]), if_(A, [uri(url("live"))]), in_lambda, ret(), uri(url("late")), ("MethodInvocation", "statement", {"name": "run"}, in_lambda[3]))
     field = ("ClassDeclaration", "root", {}, [("VariableDeclaration", "field", {"name": "f"}, [(uri(url("field"))[0], "initializer", *uri(url("field"))[2:])]), ("Block", "instance_init", {}, [uri(url("init"))])])
     nodes = frame(spark, lower("f", program), lower("s", shut), lower("c", field))
-    assert {(r["file_id"], r["fixed"][8:]) for r in search.insecure_uri_literals(nodes).collect()} == {("f", "live"), ("f", "lambda"), ("s", "before"), ("c", "field"), ("c", "init")}
+    assert sorted((r["file_id"], r["fixed"][8:]) for r in search.insecure_uri_literals(nodes).collect()) == [("c", "field"), ("c", "init"), ("f", "lambda"), ("f", "live"), ("s", "before")]
     rows = {(r["file_id"], r["node_id"]): r for r in nodes.collect()}
     assert {r["method_name"] for r in traits.methods(nodes).collect()} == {"m", "<lambda>", "<obinit>"}
     loop_ = frame(spark, lower("l", method(("For", "statement", {}, [declare("i", lit(0, "x"))[:1] + ("init",) + declare("i", lit(0, "x"))[2:], cond(A), ("Block", "body", {}, [S[0]])]))))
     assert [r["method_name"] for r in traits.methods(loop_).collect()] == ["m"]
-    graphs = cfg.counts(*cfg.control_flow(nodes)[:2])
-    assert ("c", 1) in {(r["file_id"], r["bb"]) for r in graphs.collect()}
+    cfg_nodes, cfg_edges, _ = cfg.control_flow(nodes)
+    assert sorted((r["file_id"], r["bb"]) for r in cfg.counts(cfg_nodes, cfg_edges).collect()) == [("c", 1), ("f", 1), ("f", 1), ("f", 5), ("s", 4)]  # a lambda and an initialiser are graphs
+    cfg.check(cfg_nodes, cfg_edges)
+    with pytest.raises(ValueError, match="two outcomes"):
+        cfg.check(cfg_nodes, cfg_edges.where("branch is null or branch = 'true'"))
 
 
 def test_global_flow(spark):
@@ -441,6 +463,13 @@ def test_accesses(spark):
     p = method(("CompoundAssignment", "statement", {}, [ident("a", "variable"), ident("b", "assignment")]), ("Unary", "statement", {"operator": "PostIncrement"}, [ident("c", "operand")]), ("FieldAccess", "statement", {"name": "this"}, [ident("d", "name_of_member")]), assign("e", ident("this", "x")))
     got = {r["name"]: (r["is_lvalue"], r["is_rvalue"]) for r in traits.var_access(frame(spark, lower("f", p))).collect()}
     assert got == {"a": (True, True), "b": (False, True), "c": (True, True), "e": (True, False)}
+    nodes = frame(spark, lower("f", p))
+    assert {r["name"] for r in flow.uses_of(nodes).collect()} == {"a", "b", "c"}
+    pairs = nodes.alias("a").join(nodes.alias("n"), tree.is_ancestor("a.pre", "a.post", "n.pre", "n.post"))
+    climbed = tree.ancestors(nodes, include_self=True, columns=())
+    assert {(r[0], r[1]) for r in pairs.select("n.node_id", "a.node_id").collect()} == {(r["node_id"], r["anc_id"]) for r in climbed.collect()}
+    keys = spark.createDataFrame([("A", "x", "int"), ("A", "x", "long"), ("A", "x", "int"), ("B", "x", "int")], "o string, n string, t string").select(traits.field_key(F.col("o"), F.col("n"), F.col("t")).alias("k"))
+    assert keys.distinct().count() == 3
 
 
 def test_matched_calls(spark):
