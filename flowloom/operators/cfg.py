@@ -259,8 +259,8 @@ def control_flow(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """:func:`build`, without the code that is never reached, and :func:`contract`."""
     u, edges = build(nodes)
     point = heads(edges)
-    live = point.join(live_heads(edges, point), ["file_id", "graph_id", "head"], "left_semi")
-    dead = durable(point.join(live.select("file_id", "graph_id", "node_id"), ["file_id", "graph_id", "node_id"], "left_anti").select("file_id", "graph_id", F.col("node_id").alias("src")))
+    live = point.join(live_heads(edges, point), ["file_id", "graph_id", "head"], "left_semi").select("file_id", "graph_id", F.col("node_id").alias("src"))
+    dead = durable(edges.where(F.col("src") != START).join(live, ["file_id", "graph_id", "src"], "left_anti").select("file_id", "graph_id", "src").distinct())
     if not dead.isEmpty():  # rows that only dead code kept apart grow together
         edges = durable(edges.join(dead, ["file_id", "graph_id", "src"], "left_anti"))
         point = heads(edges)

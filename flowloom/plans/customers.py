@@ -211,7 +211,10 @@ SQL = {
     # a guard that shuts both ways lets control flow no further
     "customer_uris": _BASE + f"""SELECT file_id, k * 64 + 2 AS node_id, 'https://a' AS fixed
         FROM (SELECT *, bool_or(c = {list(CONSTRUCTS).index("uri_guarded")}) OVER (PARTITION BY method ORDER BY k) AS shut FROM c) WHERE c = {list(CONSTRUCTS).index("uri")} AND NOT shut""",
-    "customer_callbacks": _BASE + " UNION ALL ".join(f"SELECT file_id, node_id, {a} AS is_source, {b} AS is_sink FROM ({_at('callback', n)})" for n, a, b in ((2, "true", "false"), (4, "false", "false"), (6, "false", "true"))),
+    # a for-each between two callbacks of a method reads the list that flows on from one to the other
+    "customer_callbacks": _BASE + " UNION ALL ".join(f"SELECT file_id, node_id, {a} AS is_source, {b} AS is_sink FROM ({_at('callback', n)})" for n, a, b in ((2, "true", "false"), (4, "false", "false"), (6, "false", "true"))) + f"""
+        UNION ALL SELECT file_id, k * 64 + 3, false, false FROM (SELECT *, bool_or(c = {list(CONSTRUCTS).index("callback")}) OVER (PARTITION BY method ORDER BY k) AS behind, bool_or(c = {list(CONSTRUCTS).index("callback")}) OVER (PARTITION BY method ORDER BY k DESC) AS ahead FROM c)
+        WHERE c = {list(CONSTRUCTS).index("for_each")} AND behind AND ahead""",
     "customer_between": _BASE + f"""SELECT file_id, node_id, true AS is_source, false AS is_sink FROM ({_at('between', 3)}) UNION ALL SELECT file_id, node_id, false, true FROM ({_at('between', 2)})
         UNION ALL SELECT DISTINCT file_id, {LIBRARY_IDS} + nation * 8 + x, false, false FROM c, (VALUES (2), (4)) v(x) WHERE c = {list(CONSTRUCTS).index("between")}""",
 }

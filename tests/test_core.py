@@ -103,6 +103,7 @@ PROGRAMS = {
     "last_if": (method(if_(A, [S[0]])), (2, 1, 2)),
     "empty_then": (method(if_(A, []), S[0]), (2, 1, 1)),
     "try": (method(("Try", "statement", {}, [("Block", "try_body", {}, [S[0]]), ("Block", "catch_body", {}, [S[1]]), ("Block", "finally", {}, [S[2]])])), (1, 0, 1)),
+    "try_more": (method(("Try", "statement", {}, [("Block", "try_body", {}, [S[0]]), ("Block", "catch_body", {}, [S[1]]), ("Block", "finally", {}, [S[2]])]), S[0]), (1, 0, 1)),
     "switch": (method(("Switch", "statement", {}, [("Case", "case", {"name": "1"}, [S[0]]), ("Case", "case", {"name": "2"}, [S[1], ("Break", "statement", {}, [])]), ("Case", "case", {"name": "default"}, [S[2]])]), ret()), (6, 2, 1)),
 }
 
