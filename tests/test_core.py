@@ -490,7 +490,8 @@ def test_empty(spark):
     assert cfg.counts(*cfg.control_flow(none)[:2]).count() == 0
 
 
-SLOW = {"graph_nodes", "local_flow", "guarded_reach", "graph_labels", "star_flow_summary", "star_summary_of_customers"}
+#: Half a minute each; the driver compares them at a larger scale, and their parts are tested above.
+SLOW = {"customer_graphs", "customer_drawings", "customer_uris", "customer_callbacks", "flow_graphs", "graph_nodes", "local_flow", "guarded_reach", "graph_labels", "star_flow_summary", "star_summary_of_customers"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - SLOW))
