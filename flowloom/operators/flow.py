@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..common import durable
 from . import cfg, graph
+from .calls import matched_participants
 from .models import call_arguments, declaration_of
 from .scope import flow_before
 from .traits import var_access
@@ -197,11 +198,14 @@ def global_edges(nodes: DataFrame, spec: FlowSpec, type_variables: DataFrame | N
 
 
 def global_marks(nodes: DataFrame, spec: FlowSpec, type_variables: DataFrame | None = None) -> DataFrame:
-    """``(file_id, node_id, is_source, is_sink)`` of every node on a flow from a source to a sink, through calls and over files."""
+    """``(file_id, node_id, is_source, is_sink)`` of every node on a flow from a source to a sink, through calls and over files.
+
+    A flow that entered a method by a call leaves it by that call (:mod:`calls`).
+    """
     nodes = durable(nodes)
     at = F.struct("file_id", "node_id").alias("node")
     sources, sinks = nodes.where(spec.is_source(nodes)).select(at).distinct(), nodes.where(spec.is_sink(nodes)).select(at).distinct()
-    on = graph.participants(global_edges(nodes, spec, type_variables), sources, sinks)
+    on = matched_participants(durable(global_edges(nodes, spec, type_variables)), sources, sinks)
     marked = on.join(sources.withColumn("is_source", F.lit(True)), "node", "left").join(sinks.withColumn("is_sink", F.lit(True)), "node", "left")
     return marked.select("node.file_id", "node.node_id", F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
 
@@ -216,29 +220,6 @@ def prune_shortcuts(edges: DataFrame, real: DataFrame) -> DataFrame:
     return edges.where("kind <> 'shortcut'").unionByName(edges.where("kind = 'shortcut'").join(real.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select(edges.columns))
 
 
-def matched_reach(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
-    """``(source, node)`` along ``edges(src, dst, kind, call)``, where a flow that entered a method by a
-    call leaves it by that call alone; one that started inside may return to every caller.
-
-    The stack of open calls travels with the flow, so equal flows with equal
-    stacks meet; ``depth`` bounds the edges of a flow.
-    """
-    steps = durable(edges.select("src", "dst", "kind", "call").distinct())
-    returns, others = steps.where("kind = 'return'"), steps.where("kind <> 'return'")
-    level = sources.select(F.col("node").alias("source"), "node", F.array().cast(f"array<{edges.schema['call'].dataType.simpleString()}>").alias("stack")).distinct()
-    out = level.select("source", "node")
-    told = ("source", "stack", "dst", "kind", "call")
-    for _ in range(depth):
-        at = level.withColumnRenamed("node", "src")
-        # a method that many calls share leaves by the call on top of the stack, which is part of the key
-        inside = at.where("size(stack) > 0").withColumn("call", F.try_element_at("stack", F.lit(-1)))
-        moved = at.join(others, "src").select(*told).unionByName(inside.join(returns, ["src", "call"]).select(*told)).unionByName(at.where("size(stack) = 0").join(returns, "src").select(*told))
-        stack = F.when(F.col("kind") == "argument", F.array_append("stack", F.col("call"))).when((F.col("kind") == "return") & (F.size("stack") > 0), F.slice("stack", 1, F.size("stack") - 1)).otherwise(F.col("stack"))
-        level = moved.select("source", F.col("dst").alias("node"), stack.alias("stack")).distinct()
-        out = out.unionByName(level.select("source", "node"))
-    return out.distinct()
-
-
 def summary(marked: DataFrame, all_nodes: DataFrame) -> DataFrame:
     """``(node, is_source, is_sink, is_participant)``, false where a node takes no part."""
     return all_nodes.select("node").join(marked, "node", "left").select("node", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_source", "is_sink", "is_participant")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import durable
@@ -21,22 +21,29 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, doublings:
     adds the edges of two steps, so that a round goes twice as far; only through nodes that :data:`FEW` edges
     leave at most, so that a hub does not pair all its ways in with all its ways out.
     """
+    return extend(edges, seeds, None, max_rounds, doublings)
+
+
+def extend(edges: DataFrame, seeds: DataFrame, seen: DataFrame | None, max_rounds: int = 1000, doublings: int = 0) -> DataFrame:
+    """As :func:`reach`, without the pairs of ``seen(root, node)``, which are neither given back nor walked on from."""
     on = ["root", "src"] if "root" in edges.columns else ["src"]
     steps = edges.select(*on, "dst").distinct()
     for _ in range(doublings):
-        narrow = steps.withColumn("ways", F.count("*").over(Window.partitionBy(*on))).where(F.col("ways") <= FEW)
-        two = steps.withColumnRenamed("dst", "mid").join(narrow.drop("ways").withColumnRenamed("src", "mid"), [*on[:-1], "mid"]).select(steps.columns)
+        many = steps.groupBy(*on).count().where(F.col("count") > FEW)
+        narrow = steps.join(many, on, "left_anti")
+        two = steps.withColumnRenamed("dst", "mid").join(narrow.withColumnRenamed("src", "mid"), [*on[:-1], "mid"]).select(steps.columns)
         steps = durable(steps.unionByName(two).distinct())
-    new = durable(seeds.select("root", "node").distinct())
-    seen = new
+    known = lambda df: df if seen is None else df.join(seen, ["root", "node"], "left_anti")
+    new = durable(known(seeds.select("root", "node").distinct()))
+    out = new
     for n in range(max_rounds):
         ahead = new.withColumnRenamed("node", "src").join(steps, on).select("root", F.col("dst").alias("node")).distinct()
-        new = durable(ahead.join(seen, ["root", "node"], "left_anti"))
+        new = durable(known(ahead.join(out, ["root", "node"], "left_anti")))
         if new.isEmpty():
-            return seen
-        seen = seen.unionByName(new)
+            return out
+        out = out.unionByName(new)
         if n % 16 == 15:
-            seen = durable(seen)  # else its plan grows with the rounds
+            out = durable(out)  # else its plan grows with the rounds
     raise RuntimeError("the closure did not end; raise max_rounds")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.matching import access_path
+from ..operators import calls as matched
 from ..operators import flow, graph, models, search
 from ..sources import programs
 from ..sources.models import compiled
@@ -84,7 +85,7 @@ def matched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, arguments, parameters, body, returns, calls = _global(spark, sf_dir)
     edges = flow.argument_edges(arguments, parameters).unionByName(flow.return_edges(returns, calls)).unionByName(body)
     sources = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
-    return flow.matched_reach(edges, sources, 3)
+    return matched.matched_reach(edges, sources)
 
 
 # --- parts as call sites ----------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.common import durable
 from flowloom.functions import matching as m
-from flowloom.operators import cfg, flow, graph, models, scope, search, traits, tree
+from flowloom.operators import calls, cfg, flow, graph, models, scope, search, traits, tree
 from flowloom.plans import registry
 from flowloom.schema import NODES, as_nodes
 from flowloom.sources import models as model_files
@@ -480,7 +480,7 @@ def test_matched_calls(spark):
     returns, calls = spark.createDataFrame([("id", 6)], "method string, node long"), spark.createDataFrame([("id", 10), ("id", 20)], "method string, call long")
     body = spark.createDataFrame([(5, 6, "local", None)], "src long, dst long, kind string, call long")
     edges = flow.argument_edges(arguments, parameters).unionByName(flow.return_edges(returns, calls)).unionByName(body)
-    got = {tuple(r) for r in flow.matched_reach(edges, spark.createDataFrame([(1,), (6,)], "node long"), 4).collect()}
+    got = {tuple(r) for r in calls.matched_reach(edges, spark.createDataFrame([(1,), (6,)], "node long")).collect()}
     assert got == {(1, 1), (1, 5), (1, 6), (1, 10), (6, 6), (6, 10), (6, 20)}
 
 
