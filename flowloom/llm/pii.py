@@ -21,8 +21,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a later start in a run of digits can't match where its first one doesn't
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Seeds of the added kind: what stands after a word for a credential and a sign of assignment.
-SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_.=-]{16,})")
+#: Seeds of the added kind: what stands after a word for a credential and a sign of assignment; a token of another name, a page's say, is none.
+SECRET = re.compile(r"(?i)(?:(?<![A-Za-z_.-])|(?<=auth[_-])|(?<=access[_-])|(?<=refresh[_-])|(?<=bearer[_-])|(?<=session[_-])|(?<=api[_-]))(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_.=-]{16,})")
+#: What is no identifier though it has many digits: dates and times, and numbers with marks between thousands.
+PLAIN = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9:.]+Z?)?|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}|[0-9]{1,3}(?:[,.'][0-9]{3})+(?:[.,][0-9]+)?")
+MARKED = re.compile(r"[0-9@]")
 TOKENS = re.compile(r"\S+")
 GROUPS = re.compile(r"\+?\(?[0-9](?:[().-]*[0-9])*")  # a run of digit groups goes on over the characters of PHONE
 
@@ -68,6 +71,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def refused(s: str) -> bool:
+    """Whether a candidate is known to be none: its whole is a card number or an address that fails its test, or :data:`PLAIN`."""
+    if PLAIN.fullmatch(s):
+        return True
+    if CARD.fullmatch(s) and len(s) >= 13:
+        return 13 <= len(d := _digits(s)) <= 19 and not luhn(d)
+    return IP.fullmatch(s) is not None
+
+
 def secrets(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Values of at least 16 characters, letters and digits, that a word before them calls a credential, outside the base spans."""
     out = []
@@ -99,6 +111,7 @@ def contexts(text: str, start: int, end: int, at: tuple[list[int], list[int]] |
 
     Two words on the left stand alone; a single one also tells by :func:`looks`.  A word on the
     left goes on over the signs after it.  Words are whole; a digest stands for a long one.
+    The span's own form is a pattern too: every digit a 0, every letter an a.
     """
     starts, ends = tokens(text) if at is None else at
 
@@ -116,7 +129,8 @@ def contexts(text: str, start: int, end: int, at: tuple[list[int], list[int]] |
             signs = f" {w}{signs}"
     j = bisect_right(ends, end)
     right = plain(text[max(starts[j], end) : ends[j]]) if j < len(ends) else None
-    form, out = looks(text[start:end]), []
+    form = looks(text[start:end])
+    out = [f"f|{instance(re.sub('[^\\W_]', 'a', re.sub('[0-9]', '0', text[start:end])))}"]
     if left:
         out.append(f"l1|{left[-1]}|{form}")
         if right is not None:
@@ -191,10 +205,14 @@ def occurrences(rows: DataFrame) -> DataFrame:
         for b in batches:
             base, seen = [], []
             for t in b.column("__text").to_pylist():
+                if MARKED.search(t) is None:  # nor is there a secret: it has digits
+                    base.append([])
+                    seen.append([])
+                    continue
                 found = base_spans(t)
                 base.append([list(x) for x in found])
                 seeds = found + secrets(t, found)
-                at = seeds + [(-1, s, e) for s, e in candidates(t, seeds)]
+                at = seeds + [(-2 if refused(t[s:e]) else -1, s, e) for s, e in candidates(t, seeds)]
                 where = tokens(t) if at else None
                 seen.append([{"kind": k, "start": s, "end": e, "instance": instance(t[s:e]), "patterns": contexts(t, s, e, where)} for k, s, e in at])
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__key"), pa.array(base, pa.list_(pa.list_(pa.int32()))), pa.array(seen, pa.list_(kinds))], names=["__id", "__key", "base", "seen"])
@@ -202,29 +220,30 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return rows.select("__id", "__key", "__text").mapInArrow(go, "__id long, __key string, base array<array<int>>, seen array<struct<kind:int,start:int,end:int,instance:string,patterns:array<string>>>")
 
 
-def bootstrap(seen: DataFrame, max_rounds: int = 100, min_support: int = 5, pattern_score: float = 0.9, instance_score: float = 0.9) -> DataFrame:
-    """``(instance, kind)`` of identifiers that no base pattern has, learned from the seeds.
+def bootstrap(seen: DataFrame, max_rounds: int = 100, min_support: int = 5, pattern_score: float = 0.9, instance_score: float = 0.9, known_share: float = 0.4) -> DataFrame:
+    """``(instance, kind)`` of identifiers that no fixed pattern has, learned from the seeds.
 
-    ``seen(kind, instance, patterns)``; kind -1 is unknown.  In each round a
-    pattern scores, for each kind, the mean score of its distinct instances (an unknown
-    one counts as 0 until it is accepted), and is trusted from ``min_support``
-    instances and ``pattern_score`` on; an unknown instance takes its best
+    ``seen(kind, instance, patterns)``; kind -1 is unknown, -2 known to be no identifier.  In each round a
+    pattern scores, for each kind, its instances of that kind over all that are known, refused ones among them.  It is trusted from ``min_support``
+    instances of the kind and ``pattern_score`` on, if at least ``known_share`` of all that stands in it is known to be of the kind: what
+    is not known yet counts for nothing in the score, but must not be the rule.  An unknown instance takes its best
     trusted pattern's score, and is accepted for the next round from
     ``instance_score`` on.  What is accepted keeps its kind and its best score, so
     rounds only add, and they end when one adds nothing.  The graph stays
     distributed: it is grouped by pattern after map-side sums, and joined by instance.
     """
     edges = durable(seen.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("kind").alias("kind")), "edges")
-    known = edges.where("kind < 0").select("instance").distinct().select("instance", F.lit(-1).alias("kind"), F.lit(0.0).alias("score")).limit(0)
+    known = edges.where("false").select("instance", "kind", F.lit(0.0).alias("score"))
+    open_ = edges.where("kind = -1").select("instance", "pattern")
     before = 0
     for n in range(max_rounds):
-        now = edges.where("kind >= 0").select("pattern", "instance", "kind", F.lit(1.0).alias("score")).unionByName(
-            edges.where("kind < 0").drop("kind").join(known, "instance", "left").select("pattern", "instance", F.coalesce("kind", F.lit(-1)).alias("kind"), F.coalesce("score", F.lit(0.0)).alias("score"))
+        now = edges.where("kind <> -1").select("pattern", "kind", F.lit(1.0).alias("score")).unionByName(
+            edges.where("kind = -1").drop("kind").join(known, "instance", "left").select("pattern", F.coalesce("kind", F.lit(-1)).alias("kind"), F.coalesce("score", F.lit(0.0)).alias("score"))
         )
         sums = now.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
-        full = sums.groupBy("pattern").agg(F.sum("n").alias("support"), F.max(F.when(F.col("kind") >= 0, F.struct("s", "kind"))).alias("top"))
-        trusted = full.where(f"support >= {min_support} and top is not null and top.s / support >= {pattern_score}").select("pattern", "top.kind", (F.col("top.s") / F.col("support")).alias("p"))
-        reached = edges.where("kind < 0").select("instance", "pattern").join(trusted, "pattern").groupBy("instance").agg(F.max(F.struct("p", F.col("kind"))).alias("best"))
+        full = sums.groupBy("pattern").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("kind") != -1, F.col("n"))).alias("told"), F.max(F.when(F.col("kind") >= 0, F.struct("s", "kind", "n"))).alias("top"))
+        trusted = full.where(f"top is not null and top.n >= {min_support} and top.s / told >= {pattern_score} and top.n >= {known_share} * all").select("pattern", "top.kind", (F.col("top.s") / F.col("told")).alias("p"))
+        reached = open_.join(trusted, "pattern").groupBy("instance").agg(F.max(F.struct("p", F.col("kind"))).alias("best"))
         both = reached.where(f"best.p >= {instance_score}").select("instance", "best.kind", F.col("best.p").alias("score"), F.lit(1).alias("new")).unionByName(known.withColumn("new", F.lit(0)))
         known = durable(both.groupBy("instance").agg(F.min_by("kind", "new").alias("kind"), F.max("score").alias("score")), f"known{n}")
         count = known.count()
@@ -237,8 +256,8 @@ def bootstrap(seen: DataFrame, max_rounds: int = 100, min_support: int = 5, patt
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row of ``docs``: doc_id, counts by kind, and all spans; base_sha256 is over the base spans alone.
 
-    The spans that the method adds are those of its own kind of seeds, secrets, and those of identifiers that
-    the bootstrap learned; n_added counts them, and has_pii says whether there is any span.
+    The method adds the seeds of its own kind, secrets, which n_secrets counts, and what the bootstrap learned, which no fixed
+    pattern names and n_learned counts; n_added is both.  has_pii says whether there is any span.
     A null or empty text has no spans.  Repeated rows have repeated results;
     rows that share an id but not the text are told apart by the text's MD5.
     An empty table gives no rows.
@@ -247,10 +266,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = durable(occurrences(rows), "spans")
     seen = found.select("__id", "__key", F.explode("seen").alias("o")).select("__id", "__key", "o.*")
     learned = bootstrap(seen.select("kind", "instance", "patterns"), **options)
-    more = seen.where("kind < 0").drop("kind").join(learned.select("instance", "kind"), "instance").unionByName(seen.where(f"kind = {len(KINDS)}")).select("__id", "__key", F.array("kind", "start", "end").alias("span"))
-    extra = more.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.expr("array(span[1], -span[2], span[0])"))).alias("more"))
+    spanned = lambda df, new: df.select("__id", "__key", F.array(F.col("kind"), F.col("start"), F.col("end"), F.lit(new)).alias("span"))
+    more = spanned(seen.where("kind = -1").drop("kind").join(learned.select("instance", "kind"), "instance"), 1).unionByName(spanned(seen.where(f"kind = {len(KINDS)}"), 0))
+    extra = more.groupBy("__id", "__key").agg(F.array_sort(F.collect_set(F.expr("array(span[1], -span[2], span[0], span[3])"))).alias("more"))
     # by start, longest first: what lies inside an earlier span goes
-    outer = "aggregate(more, array(array(-1, 0, -1)), (a, x) -> if(x[1] >= element_at(a, -1)[1], a, concat(a, array(x))), a -> transform(slice(a, 2, size(a)), x -> array(x[2], x[0], -x[1])))"
+    outer = "aggregate(more, array(array(-1, 0, -1, 0)), (a, x) -> if(x[1] >= element_at(a, -1)[1], a, concat(a, array(x))), a -> transform(slice(a, 2, size(a)), x -> array(x[2], x[0], -x[1], x[3])))"
     extra = extra.withColumn("more", F.expr(outer))
     a, b = found.select("__id", "__key", "base").alias("a"), extra.alias("b")
     met = a.join(b, F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__key") == F.col("b.__key")), "left").select(F.col("a.__id").alias("doc_id"), "base", F.coalesce("more", F.array().cast("array<array<int>>")).alias("more"))
@@ -263,6 +283,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return F.size(F.filter("base", lambda s: s[0] == k)).cast("long")
 
     counts = [number(k).alias(f"n_{n}") for k, n in enumerate(KINDS)]
-    every = F.array_distinct(F.concat("base", "more"))
-    added = (F.size(every) - F.size(F.array_distinct("base"))).cast("long")
-    return met.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"), added.alias("n_added"), (F.size(every) > 0).alias("has_pii"))
+    every = F.concat(F.array_distinct("base"), F.transform("more", lambda s: F.slice(s, 1, 3)))
+    added, learnt = F.size("more").cast("long"), F.size(F.filter("more", lambda s: s[3] == 1)).cast("long")
+    return met.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"), added.alias("n_added"), (added - learnt).alias("n_secrets"), learnt.alias("n_learned"), (F.size(every) > 0).alias("has_pii"))

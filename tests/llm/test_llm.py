@@ -378,15 +378,42 @@ def test_pii_unseen(spark):
     assert [found[n] for n in (0, 9, 10, 12)] == [("secret:15:55", 1, True), ("secret:11:19", 1, True), ("secret:10:31", 1, True), ("", 0, False)]
     assert "secret" not in found[11][0] and found[22] == ("email:123:134", 1, True) and found[21][1:] == (0, True)
     # each pattern is trusted only after the one before it has had its unknown ones accepted
-    chain = [(3, f"seed{n}", ["p0"]) for n in range(20)]
+    chain = [(3, f"seed{n}", ["p0"]) for n in range(30)]
     for k in range(6):
-        chain += [(-1, f"x{k}-{n}", [f"p{k}", f"p{k + 1}"]) for n in range(2)] + [(3, f"s{k}-{n}", [f"p{k + 1}"]) for n in range(25)]
+        chain += [(-1, f"x{k}-{n}", [f"p{k}", f"p{k + 1}"]) for n in range(30)] + [(3, f"s{k}-{n}", [f"p{k + 1}"]) for n in range(10)]
     found = pii.bootstrap(spark.createDataFrame(chain, "kind int, instance string, patterns array<string>")).collect()
-    assert {r["instance"] for r in found} == {f"x{k}-{n}" for k in range(6) for n in range(2)}
+    assert {r["instance"] for r in found} == {f"x{k}-{n}" for k in range(6) for n in range(30)}
     with pytest.raises(RuntimeError):
         pii.bootstrap(spark.createDataFrame(chain, "kind int, instance string, patterns array<string>"), max_rounds=3)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.25, 0.5])
+def test_pii_learns(spark, share):
+    """Forms that no fixed pattern has, as a share of a wording, are found; what stands in other wordings, or is known to be none, is not."""
+    n = round(40 * share / (1 - share))
+    wordings = {
+        "phone": ("my number is", [f"+1 (456) 555-{1000 + i}" for i in range(40)], [f"(456) 555-{2000 + i}" for i in range(n)]),
+        "email": ("write to", [f"user{i}@mail.example.com" for i in range(40)], [f"user{i}@localhost" for i in range(n)]),
+        "ring": ("ring me at", [f"+44 456 555 {1000 + i}" for i in range(40)], [f"0456 555 {2000 + i}" for i in range(n)]),
+        "card": ("paid with", [c for i in range(400) if pii.luhn(c := str(4111111111110000 + i))], []),
+    }
+    lines, planted = [], {}
+    for kind, (before, seeds, unseen) in wordings.items():
+        for x in seeds + unseen:
+            planted[len(lines)] = f"{kind.replace('ring', 'phone')}:{len(before) + 7}:{len(before) + 7 + len(x)}"
+            lines.append(f"hello {before} {x} thanks")
+    clean = [f"order no {i}234567 shipped" for i in range(30)] + [f"on {y}-03-12 we met" for y in range(1990, 2020)] + [f"sum of 1,234,{i:03d} units" for i in range(30)] + [f"see room 55512{i:02d} there" for i in range(30)]
+    clean += [f"hello paid with {4111111111110000 + i} thanks" for i in range(40) if not pii.luhn(str(4111111111110000 + i))] + [f"url?next_page_token=CAUQ{i:04d}aBcDeFgHiJkL1 x" for i in range(10)]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(lines + clean)), "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    unseen = [i for i in planted if not slow_spans(lines[i])]
+    hits = sum(spans[i] == planted[i] for i in unseen)
+    false = sum(bool(spans[i]) for i in range(len(lines), len(lines) + len(clean)))
+    assert hits >= 0.9 * len(unseen) and false <= 0.1 * hits, (hits, len(unseen), false, [lines[i] for i in unseen if spans[i] != planted[i]][:4], [(clean[i - len(lines)], spans[i]) for i in spans if i >= len(lines) and spans[i]][:4])
+    assert all(r["n_learned"] == (r["doc_id"] in unseen) for r in got if r["doc_id"] < len(lines) and spans[r["doc_id"]] == planted[r["doc_id"]])
+    assert sum(r["n_secrets"] for r in got) == 0
+
+
 def test_pii_candidates():
     t = "a 7 (456) 555-9999 b +12 34567 x123456y 4465758382889437 4465758382889437 [u@h], " + "9" * 70
     assert [t[a:b] for a, b in pii.candidates(t, [])] == ["7 (456) 555-9999", "(456) 555-9999", "555-9999", "+12 34567", "x123456y", "4465758382889437", "4465758382889437", "u@h", "9" * 70]
@@ -590,6 +617,34 @@ def test_pipeline_odd_rows(spark, docs, rows):
     assert sorted((str(r["doc_id"]), r["token_ids"]) for r in coded) == sorted((str(i), one.encode(t)) for i, t in texts)
 
 
+def test_stages_on_clashing_columns(spark, rows):
+    """Columns named as the stages name theirs pass through, or are left alone by the last one."""
+    import corpus_pipeline as p
+
+    given = spark.createDataFrame(rows[:40], DOCS).withColumns({c: F.lit(c) for c in ("position", "slot", "place", "at", "block", "__start", "n", "tokens", "fingerprint")})
+    for name, stage in p.STAGES:
+        out = stage(spark, common.durable(given, "clash"), SF)
+        if name != "encoding":
+            assert out.columns == given.columns and {r["position"] for r in out.collect()} == {"position"}, name
+        else:
+            assert sorted(r["position"] for r in out.collect()) == list(range(40))
+
+
+def test_schedule_in_parts(spark, monkeypatch):
+    """Parts of the fold join without a seam, whatever their size; a period or schedule that is too long is an error, or is not broadcast."""
+    shares = spark.createDataFrame([("sa", 7), ("sb", 40), ("sc", 101)], "__src string, p long")
+    order = lambda: [r["__src"] for r in mixing.schedule(shares).orderBy("slot").collect()]
+    whole = order()
+    monkeypatch.setattr(mixing, "FOLD", 9)
+    assert order() == whole and [whole.count(s) for s in ("sa", "sb", "sc")] == [7, 40, 101]
+    docs = spark.createDataFrame([(i, "t", "en", "ab"[i % 2], 1) for i in range(60)], DOCS)
+    weights = spark.createDataFrame([("a", 7), ("b", 13)], "source string, weight long")
+    with pytest.raises(ValueError):
+        mixing.mix(docs, weights, max_slots=19)
+    rows = lambda **more: sorted(map(str, mixing.mix(docs, weights, **more).select("__row.doc_id", "slot", "place").collect()))
+    assert rows(broadcast_bytes=0) == rows()
+
+
 def test_queries_without_sql(spark):
     """The registered queries that SQL can't express, against brute force on the whole table."""
     docs = {r["doc_id"]: r["text"] or "" for r in common.table(spark, SF, "documents").collect()}
