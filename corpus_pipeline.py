@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and repeated rows have a position each.
     """
     common.tune(spark)
-    placed = mixing.written_order(docs).select(F.struct("doc_id", "position").alias("at"), "text")
+    placed = mixing.written_order(docs, keep=("doc_id", "text")).select(F.struct("doc_id", "position").alias("at"), "text")
     found = bpe.encode_documents(placed, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, id_col="at")
     return found.select("at.doc_id", *found.columns[1:], "at.position")
 
