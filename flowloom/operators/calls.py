@@ -50,11 +50,14 @@ def summaries(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         inside = durable(inside.unionByName(fresh))
 
 
-def two_phases(plain: DataFrame, first: DataFrame, second: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(root, node, phase)``: what ``seeds(root, node)`` reach by ``plain`` and ``first`` edges (phase 0), and then, once a ``second`` one is taken, by ``plain`` and ``second`` ones (phase 1)."""
+def two_phases(plain: DataFrame, first: DataFrame, second: DataFrame, seeds: DataFrame, pooled: bool = False) -> DataFrame:
+    """``(root, node, phase)``: what ``seeds(root, node)`` reach by ``plain`` and ``first`` edges (phase 0), and then, once a ``second`` one is taken, by ``plain`` and ``second`` ones (phase 1).  Where all seeds have the root 0, ``pooled`` lets long rows condense."""
     at = lambda c, phase: F.struct(F.col(c).alias("node"), F.lit(phase).alias("phase")).alias(c)
     steps = [df.select(at("src", a), at("dst", b)) for df, a, b in ((plain, 0, 0), (plain, 1, 1), (first, 0, 0), (second, 0, 1), (second, 1, 1))]
-    found = graph.reach(reduce(DataFrame.unionByName, steps), seeds.select("root", at("node", 0)), doublings=DOUBLINGS)
+    steps = reduce(DataFrame.unionByName, steps)
+    if pooled:
+        steps = steps.select(F.lit(0).alias("root"), "src", "dst")
+    found = graph.reach(steps, seeds.select("root", at("node", 0)), doublings=DOUBLINGS)
     return found.select("root", "node.node", "node.phase")
 
 
@@ -87,7 +90,7 @@ def matched_participants(edges: DataFrame, sources: DataFrame, sinks: DataFrame)
     level, arguments, returns = _kinds(edges, through)
     one = F.lit(0).alias("root")
     ahead = two_phases(level, returns, arguments, sources.join(some, "node", "left_semi").select(one, "node"))
-    back = two_phases(*map(graph.backward, (level, arguments, returns)), sinks.join(some, "node", "left_semi").select(one, "node"))
+    back = two_phases(*map(graph.backward, (level, arguments, returns)), sinks.join(some, "node", "left_semi").select(one, "node"), pooled=True)
     least = lambda df, name: durable(df.groupBy("node").agg(F.min("phase").alias(name)))  # phase 0 may do all that phase 1 may
     ahead, back = least(ahead, "ahead"), least(back, "back")
     fits = "ahead = 0 or back = 0"

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import durable
-from ..schema import LOOPS, NODES, STATEMENTS, as_nodes
+from ..schema import LOOPS, STATEMENTS
 from . import graph
-from .tree import KEY, ancestors, parents
+from .desugar import ENTER, LEAVE, ONWARD, TRUE, completed, made_id, origin_id, what_is, with_finally_copies
+from .tree import KEY, ancestors, nearest, parents
 
 START, END = -1, -2
 #: Operators nested in a condition; more is an error.
@@ -26,30 +27,24 @@ def logical() -> Column:
     return F.col("kind").isin("Parentheses", "ControlParentheses") | F.coalesce(F.col("operator").isin("And", "Or", "Not"), F.lit(False))
 
 
-def completed(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with the condition that a ``for`` without one stands for: a literal true, named by the negated id of its loop."""
-    loops = nodes.where("kind = 'For'").select("file_id", F.col("node_id").alias("parent_id"), "pre", "depth", "owner")
-    parts = nodes.where("role in ('condition', 'init')").groupBy("file_id", "parent_id").agg(F.max(F.when(F.col("role") == "init", F.col("post"))).alias("after"), F.count_if(F.col("role") == "condition").alias("conditions"))
-    bare = loops.join(parts, ["file_id", "parent_id"], "left").where("coalesce(conditions, 0) = 0")
-    at = F.coalesce("after", "pre")
-    true = F.struct(F.lit("boolean").alias("type"), F.lit("true").alias("value"))
-    made = bare.select(
-        "file_id", (-F.col("parent_id") - 10).alias("node_id"), "parent_id", F.lit("condition").alias("role"), F.lit(0).alias("ordinal"), at.alias("pre"), at.alias("post"), (F.col("depth") + 1).alias("depth"),
-        F.lit("Literal").alias("kind"), F.lit("boolean").alias("type"), true.alias("literal"), "owner", F.lit("true").alias("text"),
-    )
-    return nodes.select(*NODES).unionByName(as_nodes(made))
-
-
 def units(nodes: DataFrame) -> DataFrame:
-    """What control flow visits: simple statements, and the leaves of conditions.
+    """What control flow visits: simple statements, and the leaves of conditions, of :func:`desugar.completed` trees.
 
     ``(file_id, node_id, pre, is_condition)``.  A leaf is what is left of a
-    condition below and, or, not and parentheses; a for-each and each
-    case that is no default are conditions of their own, and either value of a ternary is a unit.
+    condition below and, or, not and parentheses; each
+    case that is no default is a condition of its own, either value of a ternary is a unit, and so are a do, which enters its body, the body of a callable without
+    statements, and what has a body of its own inside an expression: a lambda, an anonymous class and the methods there.
     """
-    simple = nodes.where(F.col("kind").isin(*[k for k in STATEMENTS if k not in COMPOUND]) & F.col("role").isin("statement", "body", "true_part", "false_part", "init", "update", "resource") & ~F.col("role").isin("static_init"))
-    simple = simple.where("kind <> 'ForEach'").select(*KEY, "pre", F.lit(False).alias("is_condition"))
-    each = nodes.where("kind = 'ForEach' or (kind = 'Case' and coalesce(name, '') <> 'default')").select(*KEY, "pre", F.lit(True).alias("is_condition"))
+    roles = ("statement", "body", "true_part", "false_part", "init", "control", "update", "resource")
+    simple = nodes.where(F.col("kind").isin(*[k for k in STATEMENTS if k not in COMPOUND and k != "ForEach"]) & F.col("role").isin(*roles))
+    do = nodes.where("kind = 'DoWhile'")
+    filled = nodes.select("file_id", F.col("parent_id").alias("node_id")).distinct()
+    body = (F.col("kind") == "Block") & (F.col("role").isin("lambda_body", "static_init", "instance_init") | ((F.col("role") == "body") & (F.col("parent_kind") == "MethodDeclaration")))
+    empty = parents(nodes, "kind").where(body | ((F.col("kind") == "ClassBody") & (F.col("role") == "anonymous_body"))).join(filled, list(KEY), "left_anti")
+    bodies = nested_bodies(nodes).select("file_id", F.col("owner_id").alias("node_id"))
+    carriers = nodes.join(bodies, list(KEY), "left_semi")
+    plain = reduce(DataFrame.unionByName, [df.select(*KEY, "pre", F.lit(False).alias("is_condition")) for df in (simple, do, empty, carriers)])
+    cases = nodes.where("kind = 'Case' and coalesce(name, '') <> 'default'").select(*KEY, "pre", F.lit(True).alias("is_condition"))
     below = nodes.where("role = 'condition'").select(*KEY, "kind", "operator", "pre")
     leaves = [below.where(~logical())]
     for n in range(0, MAX_LEVELS, STRIDE):
@@ -65,90 +60,152 @@ def units(nodes: DataFrame) -> DataFrame:
         raise ValueError(f"a condition nests operators more than {MAX_LEVELS} levels deep")
     found = reduce(DataFrame.unionByName, leaves)
     values = parents(nodes, "kind").where("parent_kind = 'Ternary' and role in ('true_part', 'false_part')").select(*KEY, "pre", F.lit(False).alias("is_condition"))
-    return simple.unionByName(each).unionByName(values).unionByName(found.select(*KEY, "pre", F.lit(True).alias("is_condition"))).distinct()
+    every = reduce(DataFrame.unionByName, (plain, cases, values, found.select(*KEY, "pre", F.lit(True).alias("is_condition"))))
+    return every.groupBy(*KEY).agg(F.min("pre").alias("pre"), F.max("is_condition").alias("is_condition"))
+
+
+def nested_bodies(nodes: DataFrame) -> DataFrame:
+    """``(file_id, block_id, owner_id)``: bodies that run inside the graph around them, with what has them: the block of a lambda, the
+    body of an anonymous class (role ``anonymous_body``), and those of the methods there."""
+    p = parents(nodes, "kind", "role", "parent_id")
+    up = nodes.select("file_id", F.col("node_id").alias("parent_parent_id"), F.col("role").alias("outer_role"))
+    own = (F.col("kind") == "Block") & (F.col("role") == "lambda_body")
+    mine = (F.col("kind") == "ClassBody") & (F.col("role") == "anonymous_body")
+    method = (F.col("kind") == "Block") & (F.col("parent_kind") == "MethodDeclaration") & (F.col("outer_role") == "anonymous_body")
+    return p.join(up, ["file_id", "parent_parent_id"], "left").where(own | mine | F.coalesce(method, F.lit(False))).select("file_id", F.col("node_id").alias("block_id"), F.col("parent_id").alias("owner_id"))
 
 
 def graph_blocks(chain: DataFrame) -> DataFrame:
-    """``(file_id, node_id, block_id)``: the innermost body of a method, an initialiser or a lambda around each node, from its
-    ancestors and itself; each has a graph of its own."""
+    """``(file_id, node_id, block_id)``: the innermost body of a method, an initialiser, a lambda or an anonymous class around each node, from its
+    ancestors and itself."""
     method = chain.where("anc_kind = 'MethodDeclaration'").groupBy(*KEY).agg(F.min("up").alias("method_up"))
-    blocks = chain.where("anc_kind = 'Block'").join(method, list(KEY), "left")
-    own = blocks.where("anc_role in ('lambda_body', 'static_init', 'instance_init') or up = method_up - 1")
+    blocks = chain.where("anc_kind in ('Block', 'ClassBody')").join(method, list(KEY), "left")
+    own = blocks.where("anc_role in ('lambda_body', 'static_init', 'instance_init', 'anonymous_body') or (up = method_up - 1 and anc_kind = 'Block')")
     return own.groupBy(*KEY).agg(F.min_by("anc_id", "up").alias("block_id"))
 
 
 def build(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(units, edges)`` of every callable block: ``edges(file_id, graph_id, src, dst, branch)`` between units.
+    """``(units, edges)`` of every callable block: ``edges(file_id, graph_id, src, dst, branch, again, apart)`` between units.
 
     ``dst`` is :data:`END` where the block is left and ``src`` is :data:`START` where it is
-    entered.  Returns and throws leave; break and continue go by the nearest loop
-    (labels are not asked); a finally block follows its try body; catch bodies are
-    not visited; a local class is one unit; a lambda's body is a graph of its own.  Units inside a unit, those of its ternaries,
-    come before it.  All steps are equi-joins on (file, node),
-    and the nearest ancestor is an aggregate over the levels of the tree.
+    entered.  Returns and throws leave, through copies of the finally blocks around them; break and continue go by the nearest loop
+    (labels are not asked), through such copies too; catch bodies are
+    not visited; a local class is one unit; bodies inside expressions are spliced in.  Units inside a unit, those of its ternaries and its lambdas,
+    come before it.  ``again`` marks edges to the condition of a loop that has been entered: they lead to the outcome, not to what leads up to it.
+    ``apart`` marks those to the update of a ``for``, which begins a block of its own.  A continue there goes to the condition.
+    All steps are equi-joins on (file, node), and the nearest ancestor is an aggregate over the levels of the tree.
     """
-    nodes = durable(completed(nodes))
+    nodes = durable(with_finally_copies(completed(nodes)))
     u = durable(units(nodes))
     chain = durable(ancestors(nodes, u, include_self=True, columns=("kind", "role", "post")).join(u.select(*KEY, F.col("pre").alias("unit_pre")), list(KEY)))
     home = durable(graph_blocks(chain))
     top = chain.join(home, list(KEY)).where("anc_id = block_id").select(*KEY, F.col("up").alias("top"))
-    chain = durable(chain.join(top, list(KEY), "left").where("top is null or up <= top").drop("top"))  # a lambda's units are not its statement's
-
-    # the unit that a ternary's units are inside of, and what follows the ternary there: its next unit, or the unit itself
-    holds = nodes.where("kind not in ('ForEach', 'Case')").select(*KEY).join(u.select(*KEY), list(KEY), "left_semi").select("file_id", F.col("node_id").alias("anc_id"))
+    chain = durable(chain.join(top, list(KEY), "left").where("top is null or up <= top").drop("top"))  # the units of a nested body are not its statement's
+    shut = durable(chain.where("up > 0 and anc_kind = 'ClassDeclaration'").select(*KEY).distinct())  # what a local class declares is not run where it stands
+    if not shut.isEmpty():
+        u, chain, home = [durable(df.join(shut, list(KEY), "left_anti")) for df in (u, chain, home)]
+    entry, after, hosts = _inner_units(nodes, u, chain)
+    jumps, child = _jumps(nodes, entry)
+    steps = durable(chain.join(jumps, ["file_id", "anc_id"]))
+    follow = steps.where("jump is not null").groupBy(*KEY).agg(F.min_by(F.struct("jump", "again"), "up").alias("f")).select(*KEY, F.col("f.jump").alias("follow"), F.col("f.again").alias("again"))
+    plain = u.where("not is_condition").join(nodes.select(*KEY, "kind"), list(KEY)).join(follow, list(KEY), "left").join(after, list(KEY), "left")
+    begins = child.select(*KEY, F.lit("DoWhile").alias("kind"), F.coalesce("to_body", "to_condition").alias("begins"))
+    plain = plain.join(begins, [*KEY, "kind"], "left").withColumn("after", F.coalesce("begins", "after"))
+    plain = plain.withColumn("again", F.col("after").isNull() & F.coalesce("again", F.lit(False))).withColumn("follow", F.coalesce("after", "follow"))
+    jumping = ("Return", "Throw", "Break", "Continue")
+    none = F.lit(None).cast("string").alias("branch")
+    go = plain.where(~F.col("kind").isin(*jumping)).select("file_id", F.col("node_id").alias("src"), F.col("follow").alias("dst"), none, "again")
+    leave = _leaving(nodes, plain.where(F.col("kind").isin(*jumping)).select(*KEY, "kind"), steps, entry)
+    taken = _outcomes(nodes, u, steps, child, follow)
+    cases = _cases(u, steps, jumps, follow, entry)
+    first = home.join(hosts, list(KEY), "left_anti").join(u.select(*KEY, "pre"), list(KEY)).groupBy("file_id", F.col("block_id").alias("graph_id")).agg(F.min_by("node_id", "pre").alias("dst"))
+    start = first.select("file_id", "graph_id", F.lit(START).cast("bigint").alias("src"), "dst", none, F.lit(False).alias("again"))
+    inside = home.select("file_id", F.col("node_id").alias("src"), F.col("block_id").alias("graph_id"))
+    every = reduce(DataFrame.unionByName, (go, leave, taken, cases)).join(inside, ["file_id", "src"])
+    edges = durable(every.select("file_id", "graph_id", "src", F.coalesce("dst", F.lit(END)).cast("bigint").alias("dst"), "branch", "again").unionByName(start).distinct())
+    edges = _spliced(nodes, _without_onward(edges), inside)
+    updates = nodes.where("role = 'update'").groupBy("file_id", "parent_id").agg(F.min_by(F.struct("node_id", "kind"), "pre").alias("first")).where("first.kind <> 'Empty'").select("file_id", "first.node_id")
+    apart = updates.join(entry, list(KEY)).select("file_id", F.col("entry").alias("dst"), F.lit(True).alias("apart")).distinct()
+    told = u.where("is_condition").select("file_id", F.col("node_id").alias("dst"), F.lit(True).alias("asked"))
+    edges = edges.join(told, ["file_id", "dst"], "left").join(apart, ["file_id", "dst"], "left")
+    edges = edges.select("file_id", "graph_id", "src", "dst", "branch", (F.col("again") & F.coalesce("asked", F.lit(False))).alias("again"), F.coalesce("apart", F.lit(False)).alias("apart"))
+    return u.where(what_is(F.col("node_id")) != ONWARD), durable(edges.distinct())
+
+
+def _inner_units(nodes: DataFrame, u: DataFrame, chain: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(entry, after, hosts)``: where each node is entered; what follows a value or a body in the unit that it is inside of, which is its next
+    inner unit, or the unit itself; and the units that have inner ones."""
+    holds = nodes.where("kind not in ('Case', 'DoWhile')").select(*KEY).join(u.select(*KEY), list(KEY), "left_semi").select("file_id", F.col("node_id").alias("anc_id"))
     inner = durable(chain.where("up > 0").join(holds, ["file_id", "anc_id"], "left_semi").groupBy(*KEY).agg(F.min_by("anc_id", "up").alias("host"), F.first("unit_pre").alias("unit_pre")))
     hosts = inner.select("file_id", F.col("host").alias("node_id")).distinct()
     leafy = chain.join(hosts, list(KEY), "left_anti")
     entry = leafy.groupBy("file_id", "anc_id").agg(F.min_by("node_id", "unit_pre").alias("entry"), F.min_by(F.when(F.col("up") > 0, F.col("node_id")), F.when(F.col("up") > 0, F.col("unit_pre"))).alias("inner")).withColumnRenamed("anc_id", "node_id")
     values = chain.where("up = 0 and anc_role in ('true_part', 'false_part')").select(*KEY)
-    ends = chain.where("up = 1 and anc_kind = 'Ternary'").join(values, list(KEY), "left_semi").join(inner.select(*KEY, "host"), list(KEY))
-    ends = ends.select("file_id", "host", F.col("anc_post").alias("at"), F.lit(None).cast("bigint").alias("unit"), "node_id")
+    ends = chain.where("up = 1 and anc_kind = 'Ternary'").join(values, list(KEY), "left_semi").join(inner.select(*KEY, "host"), list(KEY)).select("file_id", "host", F.col("anc_post").alias("at"), "node_id")
+    bodies = chain.where("up = 0").join(nested_bodies(nodes).select("file_id", F.col("owner_id").alias("node_id")), list(KEY), "left_semi").join(inner.select(*KEY, "host"), list(KEY)).select("file_id", "host", F.col("anc_post").alias("at"), "node_id")
+    ends = ends.unionByName(bodies).select("file_id", "host", "at", F.lit(None).cast("bigint").alias("unit"), "node_id")
     starts = inner.join(entry, list(KEY)).select("file_id", "host", F.col("unit_pre").alias("at"), F.col("entry").alias("unit"), F.lit(None).cast("bigint").alias("node_id"))
     coming = Window.partitionBy("file_id", "host").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
     after = ends.unionByName(starts).withColumn("after", F.coalesce(F.first("unit", ignorenulls=True).over(coming), "host")).where("node_id is not null").select(*KEY, "after")
+    return entry, after, hosts
 
-    told = durable(parents(nodes, "kind", "operator", "role").join(entry, list(KEY), "left"))
 
-    slots = {r: F.max(F.when(F.col("role") == r, F.col("entry"))).alias(f"to_{r}") for r in ("condition", "body", "update", "true_part", "false_part", "right", "finally", "init")}
+def _jumps(nodes: DataFrame, entry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(jumps, child)``: where control goes behind each node, where that is told by its place, with what its surroundings are; and where the parts of each node are entered."""
+    told = durable(parents(nodes, "kind", "operator", "role").join(entry, list(KEY), "left"))
+    slots = {r: F.max(F.when(F.col("role") == r, F.col("entry"))).alias(f"to_{r}") for r in ("condition", "control", "body", "update", "true_part", "false_part", "right", "finally", "init")}
     child = told.groupBy("file_id", F.col("parent_id").alias("node_id")).agg(*slots.values())
     later = Window.partitionBy("file_id", "parent_id", "role").orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
-    up = child.withColumnRenamed("node_id", "parent_id")
     in_row = F.col("role").isin("statement", "init", "update", "resource")
-    # a case falls through to the body of the one behind it
+    # a case falls through to the body of the one behind it, a rule's case to nothing
     case_body = F.when(F.col("name") == "default", F.col("entry")).otherwise(F.col("inner"))
     info = (
         told.withColumn("next_entry", F.first(F.when(in_row, F.col("entry")), ignorenulls=True).over(later))
         .withColumn("next_case", F.first(F.when(F.col("kind") == "Case", F.col("entry")), ignorenulls=True).over(later))
         .withColumn("fall", F.first(F.when(F.col("kind") == "Case", case_body), ignorenulls=True).over(later))
-        .join(up, ["file_id", "parent_id"], "left")
-    )
-    loop_in_for = F.coalesce("to_condition", "to_body")
-    jump = (
-        F.when(in_row & F.col("next_entry").isNotNull(), F.col("next_entry"))
-        .when((F.col("kind") == "Case") & F.col("fall").isNotNull(), F.col("fall"))
-        .when((F.col("role") == "body") & F.col("parent_kind").isin("While", "DoWhile"), F.col("to_condition"))
-        .when((F.col("role") == "body") & (F.col("parent_kind") == "For"), F.coalesce("to_update", "to_condition", "to_body"))
-        .when(F.col("role").isin("update", "init") & (F.col("parent_kind") == "For"), loop_in_for)
-        .when((F.col("role") == "body") & (F.col("parent_kind") == "ForEach"), F.col("parent_id"))
-        .when((F.col("role") == "try_body") & F.col("to_finally").isNotNull(), F.col("to_finally"))
-        .when((F.col("role").isin("body", "lambda_body") & F.col("parent_kind").isin("MethodDeclaration", "Lambda")) | F.col("role").isin("static_init", "instance_init"), F.lit(END))
+        .join(child.withColumnRenamed("node_id", "parent_id"), ["file_id", "parent_id"], "left")
     )
+    loop = F.col("parent_kind")
+    # (where, whether the loop has been entered)
+    rules = [
+        (in_row & F.col("next_entry").isNotNull(), F.col("next_entry"), False),
+        ((F.col("kind") == "Case") & F.col("fall").isNotNull() & ~F.coalesce(F.array_contains("flags", "Rule"), F.lit(False)), F.col("fall"), False),
+        ((F.col("role") == "body") & (loop == "While"), F.col("to_condition"), True),
+        ((F.col("role") == "body") & (loop == "DoWhile"), F.col("to_condition"), False),
+        ((F.col("role") == "body") & (loop == "For") & F.col("to_update").isNotNull(), F.col("to_update"), False),
+        ((F.col("role") == "body") & loop.isin("For", "ForEach"), F.col("to_condition"), True),
+        ((F.col("role") == "update") & (loop == "For"), F.col("to_condition"), True),
+        (F.col("role").isin("init", "control") & loop.isin("For", "ForEach"), F.when(F.col("role") == "init", F.coalesce("to_control", "to_condition")).otherwise(F.col("to_condition")), False),
+        ((F.col("role") == "try_body") & F.col("to_finally").isNotNull(), F.col("to_finally"), False),
+        ((F.col("role").isin("body", "lambda_body") & loop.isin("MethodDeclaration", "Lambda")) | F.col("role").isin("static_init", "instance_init", "anonymous_body"), F.lit(END), False),
+    ]
+    jump, again = F.when(F.lit(False), F.lit(None).cast("bigint")), F.when(F.lit(False), F.lit(None).cast("boolean"))
+    for test, to, entered in rules:
+        jump, again = jump.when(test, to), again.when(test, F.lit(entered))
     around = {"role": "y_role", "parent_operator": "y_op", "parent_kind": "y_parent", "parent_id": "y_parent_id", "to_right": "y_right"}
-    jumps = durable(info.select("file_id", F.col("node_id").alias("anc_id"), jump.alias("jump"), *[F.col(c).alias(y) for c, y in around.items()], "next_case"))
-    steps = durable(chain.join(jumps, ["file_id", "anc_id"]))
-    follow = steps.where("jump is not null").groupBy(*KEY).agg(F.min_by("jump", "up").alias("follow"))
-
-    kinds = nodes.select(*KEY, "kind")
-    plain = u.where("not is_condition").join(kinds, list(KEY)).join(follow, list(KEY), "left").join(after, list(KEY), "left").withColumn("follow", F.coalesce("after", "follow"))
-    go = plain.where("kind not in ('Return', 'Throw', 'Break', 'Continue')").select("file_id", F.col("node_id").alias("src"), F.col("follow").alias("dst"), F.lit(None).cast("string").alias("branch"))
-    leave = plain.where("kind in ('Return', 'Throw')").select("file_id", F.col("node_id").alias("src"), F.lit(END).cast("bigint").alias("dst"), F.lit(None).cast("string").alias("branch"))
-    loop = steps.where(F.col("anc_kind").isin(*LOOPS, "Switch")).groupBy(*KEY).agg(F.min(F.when(F.col("anc_kind") != "Switch", F.col("up"))).alias("loop_up"), F.min("up").alias("break_up"))
-    off = plain.where("kind in ('Break', 'Continue')").select(*KEY, "kind").join(loop, list(KEY)).join(steps.where("jump is not null").select(*KEY, "up", "jump"), list(KEY))
-    broken = off.where("kind = 'Break' and up >= break_up").groupBy(*KEY).agg(F.min_by("jump", "up").alias("dst"))
-    again = off.where("kind = 'Continue' and up = loop_up - 1").groupBy(*KEY).agg(F.min_by("jump", "up").alias("dst"))
-    moved = broken.unionByName(again).select("file_id", F.col("node_id").alias("src"), "dst", F.lit(None).cast("string").alias("branch"))
-
-    # a leaf climbs to the operator or statement that its outcome decides; every "not" on the way turns the outcome round
+    return durable(info.select("file_id", F.col("node_id").alias("anc_id"), jump.alias("jump"), F.coalesce(again, F.lit(False)).alias("again"), *[F.col(c).alias(y) for c, y in around.items()], "next_case")), durable(child)
+
+
+def _leaving(nodes: DataFrame, units_: DataFrame, steps: DataFrame, entry: DataFrame) -> DataFrame:
+    """Edges from returns, throws, breaks and continues: each to the copy of the nearest finally block on its way, or to where it leads."""
+    copies = nodes.where("role like 'finally\\_%'").select("file_id", F.col("parent_id").alias("y_parent_id"), F.substring("role", 9, 99).alias("way"), "node_id").join(entry, list(KEY)).select("file_id", "y_parent_id", "way", F.col("entry").alias("through"))
+    way = F.when(F.col("kind") == "Break", "break").when(F.col("kind") == "Continue", "continue").otherwise("exit")
+    off = units_.withColumn("way", way)
+    climb = steps.join(off, list(KEY))
+    loop = climb.where(F.col("anc_kind").isin(*LOOPS, "Switch")).groupBy(*KEY).agg(F.min(F.when(F.col("anc_kind") != "Switch", F.col("up"))).alias("loop_up"), F.min("up").alias("break_up"))
+    climb = climb.join(loop, list(KEY), "left")
+    via = climb.where("y_role = 'try_body'").join(copies, ["file_id", "y_parent_id", "way"]).where(F.when(F.col("way") == "break", F.coalesce(F.col("up") < F.col("break_up"), F.lit(True))).when(F.col("way") == "continue", F.coalesce(F.col("up") < F.col("loop_up"), F.lit(True))).otherwise(F.lit(True)))
+    to_loop = nodes.where("role = 'condition'").select("file_id", F.col("parent_id").alias("y_parent_id"), "node_id").join(entry, list(KEY)).select("file_id", "y_parent_id", F.col("entry").alias("asks"))
+    climb = climb.join(to_loop, ["file_id", "y_parent_id"], "left").withColumn("jump", F.when((F.col("way") == "continue") & (F.col("up") == F.col("loop_up") - 1), F.col("asks")).otherwise(F.col("jump")))
+    there = climb.where("jump is not null").where(((F.col("way") == "break") & (F.col("up") >= F.col("break_up"))) | ((F.col("way") == "continue") & (F.col("up") == F.col("loop_up") - 1)))
+    both = via.select(*KEY, "up", F.col("through").alias("dst"), F.lit(False).alias("again")).unionByName(there.select(*KEY, "up", F.col("jump").alias("dst"), (F.col("again") | (F.col("way") == "continue")).alias("again")))
+    found = both.groupBy(*KEY).agg(F.min_by(F.struct("dst", "again"), "up").alias("to"))
+    met = off.join(found, list(KEY), "left").where("to is not null or way = 'exit'")
+    return met.select("file_id", F.col("node_id").alias("src"), F.coalesce("to.dst", F.lit(END)).cast("bigint").alias("dst"), F.lit(None).cast("string").alias("branch"), F.coalesce("to.again", F.lit(False)).alias("again"))
+
+
+def _outcomes(nodes: DataFrame, u: DataFrame, steps: DataFrame, child: DataFrame, follow: DataFrame) -> DataFrame:
+    """Edges from the leaves of conditions: each climbs to the operator or statement that its outcome decides; every "not" on the way turns the outcome round."""
     climb = steps.join(u.where("is_condition").select(*KEY), list(KEY), "left_semi")
     order = Window.partitionBy(*KEY).orderBy("up").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     self_op = nodes.select("file_id", F.col("node_id").alias("anc_id"), F.col("operator").alias("self_op"))
@@ -157,31 +214,73 @@ def build(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     decided = ((F.col("y_role") == "left") & (((F.col("y_op") == "And") & F.col("value")) | ((F.col("y_op") == "Or") & ~F.col("value")))) | (F.col("y_role") == "condition")
     stop = both.where(decided).groupBy(*KEY, "outcome").agg(F.min_by(F.struct("y_role", "y_parent", "y_parent_id", "y_right", "value"), "up").alias("s")).select(*KEY, "outcome", "s.*")
     owner = child.select("file_id", F.col("node_id").alias("y_parent_id"), "to_true_part", "to_false_part", "to_body", "to_condition", "to_update")
+    # a loop without a body goes on to its update, or asks again
+    asks = F.col("value") & F.col("y_parent").isin(*LOOPS) & F.col("to_body").isNull() & F.col("to_update").isNull() & (F.col("y_role") != "left")
     target = (
         F.when(F.col("y_role") == "left", F.col("y_right"))
         .when(F.col("value") & F.col("y_parent").isin("If", "Ternary"), F.col("to_true_part"))
         .when(~F.col("value") & F.col("y_parent").isin("If", "Ternary"), F.col("to_false_part"))
         .when(F.col("value"), F.coalesce("to_body", "to_update", "to_condition"))
     )
-    taken = stop.join(owner, ["file_id", "y_parent_id"], "left").join(follow, list(KEY), "left").select("file_id", F.col("node_id").alias("src"), F.coalesce(target, "follow").alias("dst"), F.when(F.col("outcome"), "true").otherwise("false").alias("branch"))
-    past = steps.where("anc_kind = 'Switch' and jump is not null").groupBy(*KEY).agg(F.min_by("jump", "up").alias("past"))
+    met = stop.join(owner, ["file_id", "y_parent_id"], "left").join(follow, list(KEY), "left").withColumn("target", target)
+    entered = F.when(F.col("target").isNull(), F.coalesce("again", F.lit(False))).otherwise(F.coalesce(asks, F.lit(False)))
+    return met.select("file_id", F.col("node_id").alias("src"), F.coalesce("target", "follow").alias("dst"), F.when(F.col("outcome"), "true").otherwise("false").alias("branch"), entered.alias("again"))
+
+
+def _cases(u: DataFrame, steps: DataFrame, jumps: DataFrame, follow: DataFrame, entry: DataFrame) -> DataFrame:
+    """Edges from the cases of a switch: into their bodies, and to the next case."""
+    past = steps.where("anc_kind = 'Switch' and jump is not null").groupBy(*KEY).agg(F.min_by(F.struct("jump", "again"), "up").alias("past"))
     own = (
-        told.where("kind in ('ForEach', 'Case')")
-        .select(*KEY, "kind", "inner")
+        steps.where("up = 0 and anc_kind = 'Case'").select(*KEY, "next_case")
         .join(u.where("is_condition").select(*KEY), list(KEY), "left_semi")
-        .join(follow, list(KEY), "left")
-        .join(jumps.select("file_id", F.col("anc_id").alias("node_id"), "next_case"), list(KEY))
-        .join(past, list(KEY), "left")
+        .join(entry.select(*KEY, "inner"), list(KEY), "left").join(follow, list(KEY), "left").join(past, list(KEY), "left")
+    )
+    kept = lambda c: F.coalesce(c, F.lit(False)).alias("again")
+    yes = own.select("file_id", F.col("node_id").alias("src"), F.coalesce("inner", "follow").alias("dst"), F.lit("true").alias("branch"), kept(F.col("inner").isNull() & F.col("again")))
+    no = own.select("file_id", F.col("node_id").alias("src"), F.coalesce("next_case", "past.jump", "follow").alias("dst"), F.lit("false").alias("branch"), kept(F.col("next_case").isNull() & F.coalesce("past.again", "again")))
+    return yes.unionByName(no)
+
+
+def _without_onward(edges: DataFrame) -> DataFrame:
+    """The edges past the made jumps at the ends of copied finally blocks: what led to one leads to where it goes."""
+    made = lambda c: what_is(F.col(c)) == ONWARD
+    onward = durable(edges.where(made("src")).select("file_id", F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("again").alias("to_again")))
+    if onward.isEmpty():
+        return edges
+    edges = edges.where(~made("src"))
+    while True:
+        met = edges.join(onward, ["file_id", "dst"], "left").select("file_id", "graph_id", "src", F.coalesce("to", "dst").alias("dst"), "branch", F.coalesce("to_again", "again").alias("again"))
+        edges = durable(met.distinct())
+        if edges.where(made("dst")).isEmpty():
+            return edges
+
+
+def is_gate(node: Column) -> Column:
+    """Whether a name stands for the start or end of a body inside another graph."""
+    return what_is(node).isin(ENTER, LEAVE)
+
+
+def _spliced(nodes: DataFrame, edges: DataFrame, inside: DataFrame) -> DataFrame:
+    """The graphs with those of nested bodies put in behind what has them, between a start and an end of their own."""
+    bodies = nested_bodies(nodes).select("file_id", F.col("owner_id").alias("src"), F.col("block_id"))
+    bodies = durable(bodies.join(inside.withColumnRenamed("graph_id", "outer"), ["file_id", "src"]).join(edges.where(F.col("src") == START).select("file_id", F.col("graph_id").alias("block_id")), ["file_id", "block_id"], "left_semi"))
+    if bodies.isEmpty():
+        return edges
+    root = durable(bodies.select("file_id", F.col("block_id").alias("graph_id"), F.col("outer").alias("root")))
+    while not root.join(root.select("file_id", F.col("graph_id").alias("root")), ["file_id", "root"], "left_semi").isEmpty():
+        further = root.select("file_id", F.col("graph_id").alias("root"), F.col("root").alias("further"))
+        root = durable(root.join(further, ["file_id", "root"], "left").select("file_id", "graph_id", F.coalesce("further", "root").alias("root")))
+    gate = lambda what: made_id(F.col("block_id"), what)
+    none, no = F.lit(None).cast("string").alias("branch"), F.lit(False).alias("again")
+    into = bodies.select("file_id", F.col("outer").alias("graph_id"), "src", gate(ENTER).alias("dst"), none, no)
+    past = edges.join(bodies.select("file_id", "src", "block_id"), ["file_id", "src"], "left").withColumn("src", F.when(F.col("block_id").isNotNull(), gate(LEAVE)).otherwise(F.col("src"))).drop("block_id")
+    mine = past.join(root.select("file_id", "graph_id", "root"), ["file_id", "graph_id"], "left").withColumn("block_id", F.col("graph_id"))
+    nested = F.col("root").isNotNull()
+    moved = mine.select(
+        "file_id", F.coalesce("root", "graph_id").alias("graph_id"), F.when(nested & (F.col("src") == START), gate(ENTER)).otherwise(F.col("src")).alias("src"), F.when(nested & (F.col("dst") == END), gate(LEAVE)).otherwise(F.col("dst")).alias("dst"), "branch", "again"
     )
-    yes = own.select("file_id", F.col("node_id").alias("src"), F.coalesce("inner", F.when(F.col("kind") == "Case", F.col("follow")).otherwise(F.col("node_id"))).alias("dst"), F.lit("true").alias("branch"))
-    no = own.select("file_id", F.col("node_id").alias("src"), F.when(F.col("kind") == "Case", F.coalesce("next_case", "past", "follow")).otherwise(F.col("follow")).alias("dst"), F.lit("false").alias("branch"))
-
-    first = home.join(hosts, list(KEY), "left_anti").join(u.select(*KEY, "pre"), list(KEY)).groupBy("file_id", F.col("block_id").alias("graph_id")).agg(F.min_by("node_id", "pre").alias("dst"))
-    start = first.select("file_id", "graph_id", F.lit(START).cast("bigint").alias("src"), "dst", F.lit(None).cast("string").alias("branch"))
-    inside = home.select("file_id", F.col("node_id").alias("src"), F.col("block_id").alias("graph_id"))
-    every = reduce(DataFrame.unionByName, (go, leave, moved, taken, yes, no))
-    edges = every.join(inside, ["file_id", "src"]).select("file_id", "graph_id", "src", F.coalesce("dst", F.lit(END)).cast("bigint").alias("dst"), "branch")
-    return u, durable(edges.unionByName(start).distinct())
+    into = into.join(root, ["file_id", "graph_id"], "left").withColumn("graph_id", F.coalesce("root", "graph_id")).drop("root")
+    return moved.unionByName(into)
 
 
 def _graph_key() -> Column:
@@ -196,26 +295,29 @@ def unit_reach(edges: DataFrame) -> DataFrame:
 
 
 def heads(edges: DataFrame) -> DataFrame:
-    """``(file_id, graph_id, node_id, head)``: the unit that leads each unit's row of units without a branch.
+    """``(file_id, graph_id, node_id, head, place)``: the unit that leads each unit's row of units without a branch, and how far behind it the unit is.
 
-    A unit leads when it is entered by a branch, from the start, or from
+    A unit leads when it is entered by a branch, from the start of a body, or from
     more than one place; the others join their predecessor's row, found by pointer doubling.
     """
     at = ["file_id", "graph_id"]
-    real = edges.where(F.col("dst") != END)
-    into = real.groupBy(*at, F.col("dst").alias("node_id")).agg(F.count("*").alias("n"), F.count_if((F.col("src") == START) | F.col("branch").isNotNull()).alias("hard"), F.max("src").alias("only"))
-    point = durable(into.select(*at, "node_id", F.when((F.col("n") > 1) | (F.col("hard") > 0), F.col("node_id")).otherwise(F.col("only")).alias("head")))
+    real = edges.where((F.col("dst") != END) & ~F.col("again"))
+    hard = F.col("apart") | (F.col("src") == START) | F.col("branch").isNotNull() | is_gate(F.col("src")) | is_gate(F.col("dst"))
+    into = real.groupBy(*at, F.col("dst").alias("node_id")).agg(F.count("*").alias("n"), F.count_if(hard).alias("hard"), F.max("src").alias("only"))
+    leads = (F.col("n") > 1) | (F.col("hard") > 0)
+    point = durable(into.select(*at, "node_id", F.when(leads, F.col("node_id")).otherwise(F.col("only")).alias("head"), F.when(leads, 0).otherwise(1).cast("bigint").alias("place")))
     longest = point.groupBy(*at).count().agg(F.max("count")).first()[0] or 0
     for _ in range(longest.bit_length() // 2 + 2):  # four times as far a round
-        jump = point.select(*at, F.col("node_id").alias("head"), F.col("head").alias("next"))
-        twice = point.join(jump, [*at, "head"]).select(*at, "node_id", F.col("next").alias("head"))
-        again = twice.select(*at, F.col("node_id").alias("head"), F.col("head").alias("next"))
-        moved = durable(twice.join(again, [*at, "head"]).select(*at, "node_id", "head", "next"))
-        point = moved.select(*at, "node_id", F.col("next").alias("head"))
+        jump = point.select(*at, F.col("node_id").alias("head"), F.col("head").alias("next"), F.col("place").alias("more"))
+        twice = point.join(jump, [*at, "head"]).select(*at, "node_id", F.col("next").alias("head"), (F.col("place") + F.col("more")).alias("place"))
+        again = twice.select(*at, F.col("node_id").alias("head"), F.col("head").alias("next"), F.col("place").alias("more"))
+        moved = durable(twice.join(again, [*at, "head"]).select(*at, "node_id", "head", "next", (F.col("place") + F.col("more")).alias("place")))
+        point = moved.select(*at, "node_id", F.col("next").alias("head"), "place")
         if moved.where("head <> next").isEmpty():
             return point
     # what has no leader after that many steps goes round in a loop that nothing enters
-    return moved.select(*at, "node_id", F.when(F.col("head") == F.col("next"), F.col("head")).otherwise(F.col("node_id")).alias("head"))
+    lost = F.col("head") != F.col("next")
+    return moved.select(*at, "node_id", F.when(lost, F.col("node_id")).otherwise(F.col("head")).alias("head"), F.when(lost, 0).otherwise(F.col("place")).cast("bigint").alias("place"))
 
 
 def live_heads(edges: DataFrame, point: DataFrame) -> DataFrame:
@@ -229,30 +331,41 @@ def live_heads(edges: DataFrame, point: DataFrame) -> DataFrame:
     return graph.reach(steps, seeds, doublings=3).where(F.col("node") != START).select("root.file_id", "root.graph_id", F.col("node").alias("head"))
 
 
+#: What a start or an end belongs to.
+GRAPH_TYPES = ("METHOD_BODY_OR_STATIC_INITIALIZER_OR_INSTANCE_INITIALIZER", "LAMBDA")
+
+
 def contract(u: DataFrame, edges: DataFrame, point: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(cfg_nodes, cfg_edges, block_units)``: units in a row without a branch, as :func:`heads` finds them, form a basic block.
 
     A condition's leaf is evaluated at the end of its block, and a condition node
-    follows it.  Blocks are named 2 * leader, condition nodes 2 * leaf + 1.
+    follows it.  Blocks, and the starts and ends of nested bodies, are named 2 * leader, condition nodes 2 * leaf + 1.  ``graph_type`` tells the start
+    and end of a nested body from those of the graph.  ``block_units`` has the units by their place in the block; a unit of a finally
+    block that was copied is in several.
     """
     at = ["file_id", "graph_id"]
     conditions = u.where("is_condition").select("file_id", "node_id")
-    blocks = point.groupBy(*at, "head").agg(F.count("*").alias("units"))
+    gate = is_gate(F.col("node_id"))
+    blocks = point.where(~gate).groupBy(*at, "head").agg(F.count("*").alias("units"))
     leaf = point.join(conditions, ["file_id", "node_id"])
     ends = edges.where((F.col("src") == START)).select(*at).distinct()
-    cfg_nodes = (
-        blocks.select(*at, (F.col("head") * 2).alias("cfg_id"), F.lit("block").alias("kind"), F.lit(None).cast("bigint").alias("guard_node_id"))
-        .unionByName(leaf.select(*at, (F.col("node_id") * 2 + 1).alias("cfg_id"), F.lit("condition").alias("kind"), F.col("node_id").alias("guard_node_id")))
-        .unionByName(ends.select(*at, F.lit(START).cast("bigint").alias("cfg_id"), F.lit("start").alias("kind"), F.lit(None).cast("bigint").alias("guard_node_id")))
-        .unionByName(ends.select(*at, F.lit(END).cast("bigint").alias("cfg_id"), F.lit("end").alias("kind"), F.lit(None).cast("bigint").alias("guard_node_id")))
-    )
-    named = point.select(*at, F.col("node_id").alias("src"), F.col("head").alias("src_head")).unionByName(ends.select(*at, F.lit(START).cast("bigint").alias("src"), F.lit(START).cast("bigint").alias("src_head")))
-    heads = point.select(*at, F.col("node_id").alias("dst"), F.col("head").alias("dst_head"))
-    met = edges.join(named, [*at, "src"]).join(heads, [*at, "dst"], "left").where("dst_head is null or src_head <> dst_head or dst = dst_head")
+    named = lambda df, cfg_id, kind, guard=F.lit(None).cast("bigint"), type_=0: df.select(*at, cfg_id.cast("bigint").alias("cfg_id"), kind.alias("kind"), guard.alias("guard_node_id"), F.lit(GRAPH_TYPES[type_]).alias("graph_type"))
+    cfg_nodes = reduce(DataFrame.unionByName, (
+        named(blocks, F.col("head") * 2, F.lit("block")),
+        named(leaf, F.col("node_id") * 2 + 1, F.lit("condition"), origin_id(F.col("node_id"))),
+        named(point.where(gate), F.col("node_id") * 2, F.when(what_is(F.col("node_id")) == ENTER, "start").otherwise("end"), type_=1),
+        named(ends, F.lit(START), F.lit("start")),
+        named(ends, F.lit(END), F.lit("end")),
+    ))
+    row = point.select(*at, F.col("node_id").alias("src"), F.col("head").alias("src_head")).unionByName(ends.select(*at, F.lit(START).cast("bigint").alias("src"), F.lit(START).cast("bigint").alias("src_head")))
+    lead = point.select(*at, F.col("node_id").alias("dst"), F.col("head").alias("dst_head"))
+    met = edges.join(row, [*at, "src"]).join(lead, [*at, "dst"], "left").where("again or dst_head is null or src_head <> dst_head or dst = dst_head")
     source = F.when(F.col("src") == START, F.lit(START)).when(F.col("branch").isNotNull(), F.col("src") * 2 + 1).otherwise(F.col("src_head") * 2)
-    between = met.select(*at, source.alias("src"), F.when(F.col("dst") == END, F.lit(END)).otherwise(F.col("dst_head") * 2).alias("dst"), "branch")
+    target = F.when(F.col("dst") == END, F.lit(END)).when(F.col("again"), F.col("dst") * 2 + 1).otherwise(F.col("dst_head") * 2)
+    between = met.select(*at, source.alias("src"), target.alias("dst"), "branch")
     inner = leaf.select(*at, (F.col("head") * 2).alias("src"), (F.col("node_id") * 2 + 1).alias("dst"), F.lit(None).cast("string").alias("branch"))
-    return cfg_nodes, between.unionByName(inner).distinct(), point.select(*at, F.col("node_id"), (F.col("head") * 2).alias("cfg_id"))
+    members = point.where(~gate).select(*at, origin_id(F.col("node_id")).alias("node_id"), (F.col("head") * 2).alias("cfg_id"), "place")
+    return cfg_nodes, between.unionByName(inner).distinct(), members
 
 
 def control_flow(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -286,7 +399,7 @@ def keep_edges(cfg_edges: DataFrame, cfg_nodes: DataFrame, nodes: DataFrame, bar
     """
     shut_true, shut_false = barrier(nodes) if barrier else (F.lit(False), F.lit(False))
     guard = nodes.select("file_id", F.col("node_id").alias("guard_node_id"), F.when(F.col("kind") == "Literal", F.col("literal.value")).alias("fixed"), shut_true.alias("shut_true"), shut_false.alias("shut_false"))
-    made = F.when(F.col("guard_node_id") < 0, "true")  # of a loop without a condition
+    made = F.when(what_is(F.col("guard_node_id")) == TRUE, "true")  # of a loop without a condition
     told = cfg_nodes.where("kind = 'condition'").join(guard, ["file_id", "guard_node_id"], "left").withColumn("fixed", F.coalesce("fixed", made)).select("file_id", "graph_id", F.col("cfg_id").alias("src"), "fixed", "shut_true", "shut_false")
     met = cfg_edges.join(told, ["file_id", "graph_id", "src"], "left")
     shut = F.when(F.col("fixed").isin("true", "false"), F.col("branch") != F.col("fixed")).when(F.col("branch") == "true", F.col("shut_true")).when(F.col("branch") == "false", F.col("shut_false"))
@@ -305,6 +418,40 @@ def reachable_members(blocks: DataFrame, block_units: DataFrame, nodes: DataFram
     return pairs.join(live, ["file_id", "anc_id"], "left_semi").select(*KEY).distinct()
 
 
+#: Kinds whose node is evaluated before its parts, those that are not entered, and those that are no members themselves.
+BEFORE, CLOSED, UNNAMED = ("Assignment", "Parentheses", "ControlParentheses"), ("ArrayAccess", "ClassDeclaration"), ("FieldAccess", "NewArray", "MemberReference", "CompoundAssignment", "Label")
+#: The places of the parts of a node; a part of another role comes first.
+LATER_ROLES = {"argument": 1, "right": 1, "variable": 1, "name": 1}
+
+
+def members(block_units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(file_id, graph_id, cfg_id, place, pos, node_id)``: what is evaluated in each block, by the unit's place in it and the order inside the unit.
+
+    A node's parts come before it: a receiver, the arguments, the call; the left side, the right side, the operator; the initializer, the declaration.  An
+    assignment, parentheses and a *not* come before what they hold, and the right side of an assignment before its variable.
+    What :func:`units` has as a unit of its own, or lies in a body inside, is left out of the unit around it; nodes that only steer, like a ternary, are no members.  Each node carries the places of its ancestors in their
+    parents up to its unit, and sorts by them.
+    """
+    whole = durable(completed(nodes))
+    before = F.col("kind").isin(*BEFORE) | F.coalesce(F.col("operator") == "Not", F.lit(False))
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in LATER_ROLES.items() for x in r]), F.col("role")), F.lit(0))
+    rank = F.when((F.col("parent_kind") == "CompoundAssignment") & (F.col("role") == "variable"), -1).otherwise(rank)
+    placed = parents(whole, "kind").withColumn("spot", (rank + 1).cast("bigint") * (1 << 32) + F.col("ordinal")).withColumn("before", before)
+    pairs = durable(ancestors(placed, include_self=True, columns=("kind", "spot", "before")))
+    at_unit = pairs.join(units(whole).select("file_id", F.col("node_id").alias("anc_id")), ["file_id", "anc_id"], "left_semi")
+    own = at_unit.groupBy(*KEY).agg(F.min("up").alias("unit_up"), F.min_by("anc_id", "up").alias("unit_id"))
+    inside = pairs.join(own, list(KEY)).where("up <= unit_up")
+    step = F.struct((-F.col("up")).alias("depth"), "anc_spot")
+    path = F.array_sort(F.collect_list(F.when(F.col("up") < F.col("unit_up"), step)))["anc_spot"]
+    told = inside.groupBy(*KEY, "unit_id").agg(path.alias("path"), F.max(F.when(F.col("up") == 0, F.col("anc_before"))).alias("first"), F.max(F.when(F.col("up") == 0, F.col("anc_kind"))).alias("kind"), F.max((F.col("up") > 0) & F.col("anc_kind").isin(*CLOSED, "Block", "ClassBody")).alias("closed"))
+    # nodes sort before or behind what lies under them
+    key = F.concat("path", F.array(F.when(F.col("first"), F.lit(-1)).otherwise(F.lit((1 << 63) - 1)).cast("bigint")))
+    shown = told.where(~F.col("closed") & ~F.col("kind").isin(*UNNAMED, "Block", "ClassBody", "DoWhile", "Empty", "Case", "Ternary")).withColumn("key", key)
+    pos = F.row_number().over(Window.partitionBy("file_id", "unit_id").orderBy("key")) - 1
+    ordered = shown.select("file_id", F.col("unit_id").alias("node_id"), F.col("node_id").alias("member"), pos.alias("pos"))
+    return block_units.join(ordered, list(KEY)).select("file_id", "graph_id", "cfg_id", "place", "pos", F.col("member").alias("node_id"))
+
+
 def all_nodes(cfg_edges: DataFrame) -> DataFrame:
     """``(file_id, graph_id, cfg_id)``: reached from the start, or leading to the end."""
     at = _graph_key().alias("root")
@@ -316,10 +463,10 @@ def all_nodes(cfg_edges: DataFrame) -> DataFrame:
 
 def invalid(cfg_nodes: DataFrame, cfg_edges: DataFrame) -> DataFrame:
     """Nodes that break a rule, with the rule: a block or start without exactly one successor, a
-    condition without one for each outcome, an end with one.  Empty for a sound graph."""
+    condition without one for each outcome, an end with one, but for that of a nested body, which goes on.  Empty for a sound graph."""
     out = cfg_edges.groupBy("file_id", "graph_id", F.col("src").alias("cfg_id")).agg(F.count("*").alias("n"), F.count_distinct("branch").alias("branches"))
     met = cfg_nodes.join(out, ["file_id", "graph_id", "cfg_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rule = F.when(F.col("kind").isin("block", "start") & (F.col("n") != 1), "one successor").when((F.col("kind") == "condition") & ((F.col("n") != 2) | (F.col("branches") != 2)), "two outcomes").when((F.col("kind") == "end") & (F.col("n") > 0), "no successor")
+    rule = F.when(F.col("kind").isin("block", "start") & (F.col("n") != 1), "one successor").when((F.col("kind") == "condition") & ((F.col("n") != 2) | (F.col("branches") != 2)), "two outcomes").when((F.col("kind") == "end") & (F.col("n") > F.when(F.col("graph_type") == GRAPH_TYPES[1], 1).otherwise(0)), "no successor")
     return met.withColumn("rule", rule).where("rule is not null").select("file_id", "graph_id", "cfg_id", "kind", "rule")
 
 
@@ -332,9 +479,9 @@ def check(cfg_nodes: DataFrame, cfg_edges: DataFrame) -> None:
 
 def numbered(cfg_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(file_id, graph_id, node_id, label)``: block leaders nL and conditions nC (operator), numbered in document order."""
-    at = F.when(F.col("kind") == "block", F.expr("cfg_id div 2")).otherwise(F.col("guard_node_id"))
+    at = F.when(F.col("kind") == "block", origin_id(F.expr("cfg_id div 2"))).otherwise(F.col("guard_node_id"))
     nodes = completed(nodes)
-    seen = cfg_nodes.where("kind in ('block', 'condition')").withColumn("node_id", at).join(nodes.select(*KEY, "pre", "operator"), list(KEY))
+    seen = cfg_nodes.where("kind in ('block', 'condition')").select("file_id", "graph_id", "kind", at.alias("node_id")).distinct().join(nodes.select(*KEY, "pre", "operator"), list(KEY))
     n = F.row_number().over(Window.partitionBy("file_id", "graph_id", "kind").orderBy("pre"))
     mark = F.when(F.col("kind") == "block", F.concat(n, F.lit("L"))).otherwise(F.concat(n, F.lit("C"), F.coalesce(F.concat(F.lit(" ("), "operator", F.lit(")")), F.lit(""))))
     return seen.select("file_id", "graph_id", "node_id", mark.alias("label"))

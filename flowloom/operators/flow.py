@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import durable
-from . import cfg, graph
+from . import cfg, desugar, graph
 from .calls import matched_participants
 from .models import call_arguments, declaration_of
 from .scope import flow_before
@@ -74,6 +74,12 @@ def value_edges(nodes: DataFrame) -> DataFrame:
     return into.unionByName(mixed).unionByName(through).unionByName(seen).unionByName(result).dropDuplicates(["file_id", "src", "dst"])
 
 
+def element_edges(nodes: DataFrame) -> DataFrame:
+    """What a for-each goes over, to its variable: a ``step`` for a flow specification."""
+    heads = nodes.where("role in ('control', 'iterable')").groupBy("file_id", "parent_id").agg(F.max(F.when(F.col("role") == "iterable", F.col("node_id"))).alias("src"), F.max(F.when(F.col("role") == "control", F.col("node_id"))).alias("dst"))
+    return heads.where("src is not null and dst is not null").select("file_id", "src", "dst")
+
+
 def taint_edges(nodes: DataFrame, through: tuple[str, ...]) -> DataFrame:
     """Operands of a string addition to it, and the receiver and arguments of calls that pass taint on."""
     p = parents(nodes, "kind", "operator", "type", "method_type")
@@ -98,8 +104,9 @@ def live_code(nodes: DataFrame, guard: Callable[[DataFrame], tuple[Column, Colum
     cfg_nodes, cfg_edges, units = cfg.control_flow(nodes)
     reached = cfg.reachable_blocks(cfg.keep_edges(cfg_edges, cfg_nodes, nodes, guard))
     live = units.join(reached, ["file_id", "graph_id", "cfg_id"], "left_semi").select(*KEY, F.lit(True).alias("live"))
-    chain = ancestors(nodes, include_self=True, columns=("kind", "role"))
-    unit = cfg.units(nodes).select(*KEY)
+    whole = durable(desugar.completed(nodes))
+    chain = ancestors(whole, include_self=True, columns=("kind", "role"))
+    unit = cfg.units(whole).select(*KEY)
     told = unit.join(cfg.graph_blocks(chain), list(KEY), "left_semi").join(live, list(KEY), "left").where("live is null").select("file_id", F.col("node_id").alias("anc_id"))
     dead = chain.join(told, ["file_id", "anc_id"], "left_semi").select(*KEY).distinct()
     return nodes.select(*KEY).join(dead, list(KEY), "left_anti")

@@ -10,6 +10,8 @@ from ..common import durable
 
 #: Ways out of a node up to which steps through it are joined to longer ones.
 FEW = 16
+#: Rounds of a frontier after which a walk that is not done condenses what is left.
+PATIENCE = 12
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, doublings: int = 0) -> DataFrame:
@@ -17,7 +19,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, doublings:
 
     A frontier that moves one edge at a time and never visits a pair twice, so
     cycles end; each round's frontier is checkpointed.  An edge table
-    with a ``root`` column is walked by that root alone.  Each of ``doublings`` first
+    with a ``root`` column is walked by that root alone, and what is left of it after :data:`PATIENCE` rounds is :func:`condensed`, so that
+    long rows of steps take rounds by the logarithm of their length.  Each of ``doublings`` first
     adds the edges of two steps, so that a round goes twice as far; only through nodes that :data:`FEW` edges
     leave at most, so that a hub does not pair all its ways in with all its ways out.
     """
@@ -42,11 +45,50 @@ def extend(edges: DataFrame, seeds: DataFrame, seen: DataFrame | None, max_round
         if new.isEmpty():
             return out
         out = out.unionByName(new)
+        if n + 1 == PATIENCE and len(on) == 2 and seen is None:
+            return condensed(steps, durable(out))
         if n % 16 == 15:
             out = durable(out)  # else its plan grows with the rounds
     raise RuntimeError("the closure did not end; raise max_rounds")
 
 
+def condensed(edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(root, node)``: what ``seen(root, node)`` reaches along ``edges(root, src, dst)``, in rounds by the logarithm of the length of rows.
+
+    A node that is entered from one place alone is reached if that place is, so it joins its region; rows of such nodes join at
+    once, by pointer doubling.  Edges inside a region go and those between two regions are one, so branches that meet again, and loops,
+    become such rows in the next round, and the rounds count how deep branches and loops nest.  What is reached stands by itself; what nothing
+    leads to goes.  In graphs that no structure made, each round still moves the frontier by an edge between regions.
+    """
+    at = ["root", "node"]
+    ends = lambda df, c: df.select("root", F.col(c).alias("node"))
+    edges = durable(edges.join(seen.withColumnRenamed("node", "dst"), ["root", "dst"], "left_anti"))
+    label = durable(ends(edges, "src").unionByName(ends(edges, "dst")).join(seen, at, "left_anti").distinct().withColumn("head", F.col("node")))
+    front, heads = durable(ends(edges.join(seen.withColumnRenamed("node", "src"), ["root", "src"], "left_semi"), "dst").distinct()), None
+    while not front.isEmpty():
+        heads = front if heads is None else durable(heads.unionByName(front))
+        inner = edges.join(heads.withColumnRenamed("node", "dst"), ["root", "dst"], "left_anti")
+        entered = ends(inner, "dst").unionByName(heads).distinct()
+        inner = durable(inner.join(entered.withColumnRenamed("node", "src"), ["root", "src"], "left_semi").select("root", "src", "dst"))
+        one = inner.groupBy("root", F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("head")).where("n = 1").select("root", "node", "head")
+        up = durable(one)
+        for _ in range(up.count().bit_length()):  # twice as far a round; rows that close on themselves are never done, and nothing enters them
+            jump = up.select("root", F.col("node").alias("head"), F.col("head").alias("further"))
+            moved = durable(up.join(jump, ["root", "head"], "left").select("root", "node", F.coalesce("further", "head").alias("head"), F.col("further").isNotNull().alias("open")))
+            up = moved.select("root", "node", "head")
+            if moved.where("open").isEmpty():
+                break
+        to = up.select("root", F.col("node").alias("x"), F.col("head").alias("y"))
+        swap = lambda df, c: df.join(to.withColumnRenamed("x", c), ["root", c], "left").withColumn(c, F.coalesce("y", c)).drop("y")
+        label = durable(swap(label, "head").select(*at, "head"))
+        edges = durable(swap(swap(inner, "src"), "dst").where("src <> dst").select("root", "src", "dst").distinct())
+        front = durable(ends(edges.join(heads.withColumnRenamed("node", "src"), ["root", "src"], "left_semi"), "dst").distinct().join(heads, at, "left_anti"))
+    if heads is None:
+        return seen
+    found = label.join(heads.withColumnRenamed("node", "head"), ["root", "head"], "left_semi").select(*at)
+    return seen.unionByName(found)
+
+
 def reach_layered(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """As :func:`reach` on a graph whose paths have ``depth`` edges at most: joins only, without a driver loop's actions."""
     steps = edges.select("src", "dst").distinct()
@@ -68,6 +110,7 @@ def participants(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth:
     one = F.lit(0).alias("root")
     go = (lambda e, s: reach_layered(e, s, depth)) if depth is not None else reach
     edges = durable(edges.select("src", "dst").distinct())
+    edges = edges if depth is not None else edges.select(one, "src", "dst")  # a single root, so that long rows condense
     ahead = durable(go(edges, sources.select(one, "node")).select("node"))
     live = durable(edges.join(ahead.withColumnRenamed("node", "src"), "src", "left_semi"))
     return go(backward(live), sinks.join(ahead, "node", "left_semi").select(one, "node")).select("node").distinct()

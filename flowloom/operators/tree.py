@@ -16,37 +16,34 @@ def parents(nodes: DataFrame, *columns: str) -> DataFrame:
     return nodes.join(up, ["file_id", "parent_id"], "left")
 
 
-#: Levels of joins in one plan; deeper trees are written in between.
-STRIDE = 8
-
-
 def ancestors(nodes: DataFrame, of: DataFrame | None = None, max_depth: int | None = None, include_self: bool = False, columns: tuple[str, ...] = ("kind", "role", "pre", "post", "depth")) -> DataFrame:
     """``(file_id, node_id, anc_id, up, anc_*)``: every ancestor of each node of ``of``, ``up`` levels above it.
 
-    Each node climbs its parent links, a level an equi-join, which a hot file splits,
-    where an interval join would compare all its nodes; what it has met travels with it as an array.
-    The tree's own depth says how many
-    levels there are; an ancestor above them, or beyond ``max_depth`` levels where that is given, is an error.
+    Ids alone climb, by equi-joins, which a hot file splits where an interval join would compare all its nodes: with the pairs of fewer than
+    2^k levels, and each node's ancestor 2^k levels up, a join gives the pairs of fewer than 2^(k+1).  So the rounds are the
+    logarithm of the depth, only what is a pair is ever shuffled, and what has met its root takes no further part.  The ``columns`` are joined at the end.
+    An ancestor beyond ``max_depth`` levels, itself the first, is an error where that is given.
     """
     of = nodes if of is None else of
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    levels = (deepest if deepest is not None else 0) + 1
-    levels = levels if max_depth is None else min(max_depth, levels)
-    met = F.struct(F.col("node_id").alias("anc_id"), *[F.col(c).alias(f"anc_{c}") for c in columns])
-    above = nodes.select("file_id", F.col("node_id").alias("next_id"), F.col("parent_id").alias("further_id"), met.alias("met"))
-    # a node at the root stays at its own id, where nothing is joined, so that no task gets all that have arrived
-    more = (F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.next_id") == F.col("b.next_id")) & F.col("climbs")
-    now = of.select("file_id", "node_id", F.col("node_id").alias("next_id"), F.lit(True).alias("climbs"), F.array().cast(f"array<{above.schema['met'].dataType.simpleString()}>").alias("path"))
-    for n in range(levels):
-        now = now.alias("a").join(above.alias("b"), more, "left").select(
-            "a.file_id", "a.node_id", F.coalesce("further_id", "a.node_id").alias("next_id"), F.col("further_id").isNotNull().alias("climbs"), F.when(F.col("met").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("met"))).alias("path")
-        )
-        if n % STRIDE == STRIDE - 1:
-            now = durable(now)
-    now = durable(now)
-    if not now.where("climbs").join(nodes.select("file_id", F.col("node_id").alias("next_id")), ["file_id", "next_id"], "left_semi").isEmpty():
-        raise ValueError(f"nodes have ancestors more than {levels - 1} levels above them; check their depth or raise max_depth")
-    out = now.select(*KEY, F.posexplode("path").alias("up", "met")).select(*KEY, "met.anc_id", "up", *[f"met.anc_{c}" for c in columns])
+    pairs = of.select(*KEY, F.struct(F.col("node_id").alias("anc_id"), F.lit(0).alias("up")).alias("at"))
+    known = nodes.select("file_id", F.col("node_id").alias("higher"))
+    above = nodes.select("file_id", F.col("node_id").alias("lower"), F.col("parent_id").alias("higher")).where("higher is not null").join(known, ["file_id", "higher"], "left_semi")
+    deepest, size, rounds = nodes.agg(F.max("depth")).first()[0] or 0, 1, 0
+    while size <= deepest or not above.isEmpty():  # what a depth does not tell climbs on
+        moved = F.when(F.col("higher").isNotNull(), F.struct(F.col("higher").alias("anc_id"), (F.col("at.up") + size).alias("up")))
+        met = pairs.join(above, (pairs["file_id"] == above["file_id"]) & (pairs["at.anc_id"] == above["lower"]), "left")
+        pairs = met.select(pairs["file_id"], "node_id", F.explode(F.array_compact(F.array("at", moved))).alias("at"))
+        above = above.join(above.select("file_id", F.col("lower").alias("higher"), F.col("higher").alias("further")), ["file_id", "higher"]).select("file_id", "lower", F.col("further").alias("higher"))
+        size, rounds = 2 * size, rounds + 1
+        if rounds % 2 == 0:
+            above = durable(above)
+        if rounds % 6 == 0:
+            pairs = durable(pairs)
+    pairs = pairs.select(*KEY, "at.anc_id", "at.up")
+    if max_depth is not None and not pairs.where(F.col("up") >= max_depth).isEmpty():
+        raise ValueError(f"nodes have ancestors more than {max_depth - 1} levels above them; raise max_depth")
+    met = nodes.select("file_id", F.col("node_id").alias("anc_id"), *[F.col(c).alias(f"anc_{c}") for c in columns])
+    out = pairs.join(met, ["file_id", "anc_id"]).select(*KEY, "anc_id", "up", *[f"anc_{c}" for c in columns]) if columns else pairs
     return out if include_self else out.where("up > 0")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cfg, flow, models, scope, search, traits
-from ..sources.customers import CONSTRUCTS, LIBRARY_IDS, METHOD_IDS, customer_nodes
+from ..operators import desugar
+from ..sources.customers import CONSTRUCTS, FLOWS, LIBRARY_IDS, METHOD_IDS, customer_nodes, numbered
 from ..sources.models import compiled
 
 
@@ -109,42 +110,62 @@ def customer_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow from take() through keep(..), declared once a file, to what is printed."""
+    """Flow from take() through keep(..), declared once a file, to what is printed; what other() gives goes through keep(..) too, and its prints are not marked."""
     return search.flow_between_methods(customer_nodes(spark, sf_dir), "shop.* take()", "shop.* print(..)", "Arguments", "Data")
 
 
+def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge of the graphs of :data:`FLOWS`: which block or condition leads to which, and on what outcome."""
+    _, cfg_edges, _ = cfg.control_flow(customer_nodes(spark, sf_dir, FLOWS))
+    return cfg_edges.where(F.col("graph_id") < LIBRARY_IDS)
+
+
+def customer_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is evaluated in the blocks of :data:`FLOWS`, by the unit's first node and the place in it."""
+    nodes = customer_nodes(spark, sf_dir, FLOWS)
+    _, _, units = cfg.control_flow(nodes)
+    found = cfg.members(units, nodes).where(F.col("graph_id") < LIBRARY_IDS)
+    return found.groupBy("file_id", "node_id").agg(F.max("pos").cast("bigint").alias("pos"), F.count("*").alias("copies"))
+
+
+def customer_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow from what a loop goes over, through its variable, to what is printed."""
+    spec = flow.FlowSpec(lambda n: (F.col("role") == "iterable") & (F.col("name") == "xs"), lambda n: (F.col("role") == "argument") & (F.col("name") == "x"), step=flow.element_edges)
+    return flow.local_marks(customer_nodes(spark, sf_dir, FLOWS), spec)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         customer_graphs, customer_drawings, customer_expressions, customer_statements, customer_guards, customer_calls, customer_variables, customer_callables, customer_accesses,
-        customer_operators, customer_receivers, customer_filled, customer_folds, customer_uris, customer_callbacks, customer_between,
+        customer_operators, customer_receivers, customer_filled, customer_folds, customer_uris, customer_callbacks, customer_between, customer_edges, customer_members, customer_elements,
     )
 }
 
 #: Blocks, conditions and exits that each construct adds to a graph.
-_GRAPH = {"if_else": (3, 1, 0), "if_and": (3, 2, 0), "while": (3, 1, 0), "do_while": (2, 1, 0), "for": (3, 1, 0), "for_each": (3, 1, 0), "switch": (5, 2, 0), "throw": (2, 1, 1), "expression": (3, 1, 0), "jumps": (7, 3, 0), "return": (2, 1, 1), "uri_guarded": (2, 1, 0), "uri_dead": (2, 1, 0)}
+_GRAPH = {"if_else": (3, 1, 0), "if_and": (3, 2, 0), "while": (2, 1, 0), "do_while": (2, 1, 0), "for": (3, 1, 0), "for_each": (2, 1, 0), "switch": (5, 2, 0), "throw": (2, 1, 1), "expression": (3, 1, 0), "jumps": (6, 3, 0), "return": (2, 1, 1), "uri_guarded": (2, 1, 0), "uri_dead": (2, 1, 0)}
 #: How many of what each construct has, the call of ``line`` before it included; of a key, one number, or the count and sums.
 _CALLS_ONLY = {"if_else": 4, "while": 3, "do_while": 3, "try": 4, "jumps": 5}
 _EXPRESSIONS = {k: {"MethodAccess": n} for k, n in _CALLS_ONLY.items()} | {
     "if_and": {"MethodAccess": 4, "BinaryExpr": 1}, "for": {"MethodAccess": 2, "VarAccess": 2, "Literal": 2, "BinaryExpr": 1, "ExprFallback": 1}, "for_each": {"MethodAccess": 2, "VarAccess": 1},
     "switch": {"MethodAccess": 4, "VarAccess": 1}, "throw": {"MethodAccess": 2, "ExprFallback": 1, "ClassInstanceExpr": 1}, "callback": {"MethodAccess": 3, "VarAccess": 2, "ExprFallback": 1},
     "expression": {"MethodAccess": 3, "ClassInstanceExpr": 1, "Literal": 3, "BinaryExpr": 1, "ExprFallback": 2}, "block": {"MethodAccess": 1, "ExprFallback": 2, "VarAccess": 2, "Literal": 1},
-    "varargs": {"MethodAccess": 2, "Literal": 2, "VarAccess": 1}, "return": {"MethodAccess": 2, "VarAccess": 1}, "between": {"MethodAccess": 4}, "uri": {"MethodAccess": 2, "Literal": 1},
+    "varargs": {"MethodAccess": 2, "Literal": 2, "VarAccess": 1}, "return": {"MethodAccess": 2, "VarAccess": 1}, "between": {"MethodAccess": 4}, "between_other": {"MethodAccess": 4}, "uri": {"MethodAccess": 2, "Literal": 1},
     "uri_guarded": {"MethodAccess": 3, "Literal": 4}, "uri_dead": {"MethodAccess": 2, "Literal": 2}, "frame": {"VarAccess": 1},
 }
-_FALLBACKS = {"if_else": 7, "if_and": 6, "while": 5, "do_while": 5, "for": 6, "for_each": 5, "switch": 7, "try": 8, "throw": 7, "callback": 4, "expression": 5, "block": 4, "jumps": 13, "varargs": 2, "return": 4, "between": 4, "uri": 2, "uri_guarded": 5, "uri_dead": 4, "frame": 2}
+_FALLBACKS = {"if_else": 7, "if_and": 6, "while": 5, "do_while": 5, "for": 6, "for_each": 5, "switch": 7, "try": 8, "throw": 7, "callback": 4, "expression": 5, "block": 4, "jumps": 13, "varargs": 2, "return": 4, "between": 4, "between_other": 4, "uri": 2, "uri_guarded": 5, "uri_dead": 4, "frame": 2}
 _STATEMENTS = {k: {"StmtFallback": n} | ({"ReturnStmt": 1} if k in ("return", "frame") else {}) for k, n in _FALLBACKS.items()}
 _GUARDS = {k: {"expression": n} for k, n in {"if_else": 1, "if_and": 3, "while": 1, "do_while": 1, "for": 1, "throw": 2, "expression": 1, "jumps": 3, "return": 1, "uri_guarded": 1, "uri_dead": 1}.items()} | {"switch": {"case": 3}}
 _CALLS = {k: {"MethodInvocation": (n, 0)} for k, n in (_CALLS_ONLY | {"if_and": 4, "for": 2, "for_each": 2, "switch": 4, "block": 1, "return": 2}).items()} | {
     "throw": {"MethodInvocation": (2, 0), "NewClass": (1, 0)}, "callback": {"MethodInvocation": (3, 2)}, "expression": {"MethodInvocation": (3, 0), "NewClass": (1, 1)}, "varargs": {"MethodInvocation": (2, 3)},
-    "between": {"MethodInvocation": (4, 2)}, "uri": {"MethodInvocation": (2, 1)}, "uri_guarded": {"MethodInvocation": (3, 3)}, "uri_dead": {"MethodInvocation": (2, 1)},
+    "between": {"MethodInvocation": (4, 2)}, "between_other": {"MethodInvocation": (4, 2)}, "uri": {"MethodInvocation": (2, 1)}, "uri_guarded": {"MethodInvocation": (3, 3)}, "uri_dead": {"MethodInvocation": (2, 1)},
 }
 _VARIABLES = {"for": {("LocalVariable", None): 1}, "for_each": {("LocalVariable", None): 1}, "callback": {("Parameter", 0): 1}, "expression": {("LocalVariable", None): 1}, "frame": {("Parameter", 0): 1}}
 _READ, _BOTH = (False, True), (True, True)
 _ACCESSES = {"for": {_READ: 1, _BOTH: 1}, "for_each": {_READ: 1}, "switch": {_READ: 1}, "callback": {_READ: 2}, "block": {_BOTH: 2}, "varargs": {_READ: 1}, "return": {_READ: 1}, "frame": {_READ: 1}}
 _OPERATORS = {"if_and": {"And": (1, 0)}, "for": {"LessThan": (1, 1)}, "expression": {"Addition": (1, 0)}}
 _RECEIVERS = {"callback": 1, "expression": 1, "uri_guarded": 1}
-_FILLED = {"callback": (2, 2), "expression": (1, 1), "varargs": (3, 1), "between": (2, 2), "uri": (1, 1), "uri_guarded": (2, 2), "uri_dead": (1, 1)}
+_FILLED = {"callback": (2, 2), "expression": (1, 1), "varargs": (3, 1), "between": (2, 2), "between_other": (2, 2), "uri": (1, 1), "uri_guarded": (2, 2), "uri_dead": (1, 1)}
 
 
 def _text(v) -> str:
@@ -193,7 +214,114 @@ _FOLDS = _BASE + """SELECT method, sum(n)::BIGINT AS n, sum(fixed)::BIGINT AS fi
     UNION ALL SELECT method, 1, (count(*) FILTER (c = {block}) = 1)::INT FROM c GROUP BY method
     UNION ALL SELECT DISTINCT concat('keep-', nation), 1, 0 FROM f) GROUP BY method""".format(**_FOLDED)
 
+#: The edges of each construct: E is the block that the call of ``line`` before it is in, N the one behind it, and END the method's end; "x?"
+#: is the condition x, "x'1" a copy of x that is made for exits ("2" breaks, "3" continues; "4" exits of a finally block inside another),
+#: "x<" and "x>" the start and end of the body that x has, "x!" what is made for the loop x, and "x#2" the second x.
+_EDGES = {
+    "try_return": "E a?, a? Return +, Return END, a? s -",
+    "try_nested": "E a?, a? Return +, Return b'1?, b'1? x'1 +, x'1 END, b'1? END -, a? s -, s b?, b? x +, x N, b? N -",
+    "try_break": "E a?, a? b +, b b?, b? Break +, Break N, b? c -, c c?, c? Continue +, Continue a?, c? s -, s a?, a? N -",
+    "try_inner": "E a?, a? b +, b b?, b? Break +, Break t, b? s -, s a?, a? t -",
+    "lambda": "E block#1<, block#1< s, s a?, a? Return +, Return block#1>, a? t -, t block#1>, block#1> run",
+    "lambdas": "E block#1<, block#1< s, s block#1>, block#1> Lambda#2, Lambda#2 block#2<, block#2< Lambda#3, Lambda#3 block#3<, block#3< t, t block#3>, block#3> go, go block#2>, block#2> run",
+    "anonymous": "E ClassBody<, ClassBody< f, f block#1<, block#1< s, s block#1>, block#1> g, g block#2<, block#2< a, a a?, a? t +, t block#2>, a? block#2> -, block#2> ClassBody>, ClassBody> run",
+    "for_each": "E ForEach!?, ForEach!? a +, a a?, a? Break +, Break N, a? b -, b b?, b? Continue +, Continue ForEach!?, b? print -, print ForEach!?, ForEach!? N -",
+    "for": "E a?, a? b +, b b?, b? Continue +, Continue a?, b? s -, s Unary, Unary a?, a? N -",
+    "do": "E s, s b?, b? Continue +, Continue a?, b? t -, t a?, a? s +, a? N -",
+    "else_if": "E a?, a? s +, s N, a? b -, b b?, b? t +, t N, b? x -, x N",
+    "or": "E a?, a? s +, a? b -, b b?, b? s -, b? N +, s N",
+    "loops": "E a?, a? b +, b b?, b? s +, s b?, b? t -, t a?, a? N -",
+    "rules": "E 1?, 1? s +, s N, 1? 2 -, 2 2?, 2? t +, t N, 2? x -, x N",
+    "falls": "E 1?, 1? s +, s t, 1? 2 -, 2 2?, 2? t +, t x, 2? x -",
+    "straight": "", "order": "", "cast": "",
+    "itself": "E InstanceOf?, InstanceOf? s +, s N, InstanceOf? N -",
+}
+
+
+#: What leads the block that goes on behind a construct, where no edge leads to N.
+_TAILS = {"try_return": "s", "try_inner": "t", "lambda": "run", "lambdas": "run", "anonymous": "run", "falls": "x"}
+
+
+#: What is evaluated in each unit of a construct, in order; "*2" tells how many blocks have the unit, "@3" what is made for a loop.
+_ORDER = {
+    "try_return": "a | n Return | s | t*2", "try_nested": "a | n Return | s | t*2 | b*2 | x*2", "try_break": "a | b | Break | c | Continue | s | t*3", "try_inner": "a | b | Break | s | t",
+    "lambda": "Lambda | s | a | n Return | t | run", "lambdas": "Lambda | s | Lambda#2 | Lambda#3 | t | go | run", "anonymous": "<constructor> | f | s | n Return | g | a | t | run",
+    "for_each": f"xs ForEach@{desugar.ITERATOR_CALL} ForEach@{desugar.ITERATOR} | x | ForEach@{desugar.ITERATOR_READ} ForEach@{desugar.HAS_NEXT} | a | Break | b | Continue | x#2 print", "for": "0 i | a | i#2 Unary | b | Continue | s",
+    "do": "s | b | Continue | t | a", "else_if": "a | s | b | t | x", "or": "a | b | s", "loops": "a | b | s | t", "rules": "s | t | x", "falls": "s | t | x", "straight": "s | a b Binary Assert | C",
+    "order": "Assignment q 1 g 2 f Parentheses r Binary v", "cast": "ArrayAccess TypeCast z", "itself": "this InstanceOf | super s",
+}
+
+
+def _place(construct: str, name: str) -> int:
+    """The number of a node of a construct by its name, literal or kind; the call of ``line`` is the first of all."""
+    name, _, nth = name.partition("#")
+    return numbered(FLOWS[construct], name)[int(nth or 1) - 1]
+
+
+def _end(construct: str, told: str) -> str:
+    """The SQL of an end of an edge, for a customer k."""
+    if told in ("E", "N", "END"):
+        return {"E": "'E', 0, 0, 0", "N": "'N', 0, 0, 0", "END": "'END', 0, 0, 0"}[told]
+    asks = told.endswith("?")
+    told = told.removesuffix("?")
+    name, _, way = told.partition("'")
+    digit = int(way or 0)
+    for sign, what in (("<", desugar.ENTER), (">", desugar.LEAVE), ("!", desugar.HAS_NEXT)):
+        if name.endswith(sign):
+            name, digit = name.removesuffix(sign), what * 64
+    return f"'', {_place(construct, name)}, {digit}, {int(asks)}"
+
+
+def _edges_sql() -> str:
+    order, rows = list(FLOWS), []
+    for construct, told in _EDGES.items():
+        for edge in filter(None, told.split(", ")):
+            src, dst, *way = edge.split(" ")
+            rows.append(f"({order.index(construct)}, {_end(construct, src)}, {_end(construct, dst)}, {({'+': chr(39) + 'true' + chr(39), '-': chr(39) + 'false' + chr(39)}[way[0]]) if way else 'NULL'})")
+    open_ = ", ".join(str(order.index(c)) for c, told in _EDGES.items() if not told)
+    tails = " ".join(f"WHEN {order.index(c)} THEN {_place(c, n)}" for c, n in _TAILS.items())
+    unit = lambda s: f"2 * (CASE WHEN {s}d = 0 THEN k * 64 + {s}j ELSE -((k * 64 + {s}j + 1) * 1024 + {s}d) END) + {s}c"
+    return _FLOW_BASE + f""", m(c, st, sj, sd, sc, dt, dj, dd, dc, branch) AS (VALUES {', '.join(rows)}),
+    -- the statements of a method, its return at the end; a block goes on over constructs without an edge
+    s AS (SELECT file_id, method, first, k, c, k * 64 AS unit FROM c UNION ALL SELECT file_id, method, first, NULL, NULL, {METHOD_IDS} + first * 8 + 3 FROM f),
+    o AS (SELECT *, lag(c) OVER w AS before, lag(k * 64 + CASE c {tails} END) OVER w AS tail FROM s WINDOW w AS (PARTITION BY method ORDER BY k NULLS LAST)),
+    l AS (SELECT *, last_value(CASE WHEN before IN ({open_}) THEN NULL ELSE coalesce(tail, unit) END IGNORE NULLS) OVER (PARTITION BY method ORDER BY k NULLS LAST) AS led FROM o),
+    n AS (SELECT *, lead(unit) OVER (PARTITION BY method ORDER BY k NULLS LAST) AS next FROM l),
+    e AS (SELECT file_id, first, CASE st WHEN 'E' THEN 2 * led ELSE {unit('s')} END AS src, CASE dt WHEN 'N' THEN 2 * next WHEN 'END' THEN {cfg.END} ELSE {unit('d')} END AS dst, branch FROM n JOIN m USING (c)
+      UNION ALL SELECT file_id, first, 2 * led, {cfg.END}, NULL FROM n WHERE k IS NULL
+      UNION ALL SELECT file_id, first, {cfg.START}, 2 * arg_min(unit, coalesce(k, 1e18)), NULL FROM n GROUP BY ALL)
+    SELECT file_id, {METHOD_IDS} + first * 8 + 1 AS graph_id, src, dst, branch FROM e"""
+
+
+_FLOW_BASE = _BASE.replace(f"c_custkey % {len(CONSTRUCTS)}", f"c_custkey % {len(FLOWS)}")
+
+
+def _members_sql() -> str:
+    rows = []
+    for n, (construct, told) in enumerate((c, _ORDER[c]) for c in FLOWS):
+        for unit in ["line", *told.split(" | ")]:
+            unit, _, copies = unit.partition("*")
+            for pos, name in enumerate(unit.split(" ")):
+                name, _, what = name.partition("@")
+                rows.append(f"({n}, {0 if name == 'line' else _place(construct, name)}, {int(what or 0)}, {pos}, {int(copies or 1)})")
+    return _FLOW_BASE + f""", m(c, j, what, pos, copies) AS (VALUES {', '.join(rows)})
+    SELECT file_id, CASE WHEN what = 0 THEN k * 64 + j ELSE -((k * 64 + j + 1) * 1024 + what * 64) END AS node_id, pos::BIGINT AS pos, copies::BIGINT AS copies FROM c JOIN m USING (c)
+    UNION ALL SELECT file_id, {METHOD_IDS} + first * 8 + x, 4 - x, 1 FROM f, (VALUES (3), (4)) v(x)"""
+
+
+def _elements_sql() -> str:
+    loop, read = list(FLOWS).index("for_each"), list(FLOWS).index("cast")
+    at = lambda name: _place("for_each", name)
+    loops = " UNION ALL ".join(f"SELECT file_id, k * 64 + {at(n)}, {a}, {b} FROM c WHERE c = {loop}" for n, a, b in (("xs", "true", "false"), ("x", "false", "false"), ("x#2", "false", "true")))
+    # another read of the list between two loops hands it on from one to the other
+    return _FLOW_BASE + f""", o AS (SELECT *, bool_or(c = {loop}) OVER (PARTITION BY method ORDER BY k) AS behind, bool_or(c = {loop}) OVER (PARTITION BY method ORDER BY k DESC) AS ahead FROM c)
+    SELECT file_id, k * 64 + {_place("cast", "xs")} AS node_id, false AS is_source, false AS is_sink FROM o WHERE c = {read} AND behind AND ahead UNION ALL {loops}"""
+
+
 SQL = {
+    "customer_edges": _edges_sql(),
+    "customer_members": _members_sql(),
+    "customer_elements": _elements_sql(),
     "customer_graphs": _graphs("bb, cn, ex, 0::BIGINT AS invalid"),
     "customer_drawings": _graphs("bb AS boxes, cn AS diamonds, 1 + bb + 2 * cn AS arrows, cn AS trues, cn AS falses"),
     "customer_expressions": _sums(_EXPRESSIONS, ("expr_kind",)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..common import durable
 from ..schema import as_nodes
 
 #: Ids of a customer's nodes start at 64 times its key, those of a method at this plus 8 times its first customer's key.
-METHOD_IDS, LIBRARY_IDS = 1 << 55, 1 << 56
+METHOD_IDS, LIBRARY_IDS = 1 << 48, 1 << 49
 
 
 def node(kind: str, role: str, *children: tuple, **columns) -> tuple:
@@ -69,12 +71,61 @@ CONSTRUCTS = {
     "varargs": call("log", "statement", literal("x", "argument", "java.lang.String"), name("n", "argument"), literal("2", "argument"), params=["java.lang.Object[]"], flags=("Varargs",)),
     "return": node("If", "statement", test("a"), block("true_part", node("Return", "statement", name("n", "expression")))),
     "between": call("print", "statement", call("keep", "argument", call("take", "argument", owner="shop.Lib", ret="int"), owner="shop.Lib", ret="int"), owner="shop.Lib"),
+    "between_other": call("print", "statement", call("keep", "argument", call("other", "argument", owner="shop.Lib", ret="int"), owner="shop.Lib", ret="int"), owner="shop.Lib"),
     "uri": uri("http://a"),
     "uri_guarded": node("If", "statement", call("replace", _A, literal("s", "select", "java.lang.String"), literal("a", "argument", "java.lang.String"), literal("b", "argument", "java.lang.String"), owner="java.lang.String", ret="java.lang.String", params=["java.lang.CharSequence"] * 2), block("true_part", uri("http://b"))),
     "uri_dead": node("If", "statement", literal("false", _A, "boolean"), block("true_part", uri("http://c"))),
 }
 
-_COLUMNS = {"name": "string", "operator": "string", "type": "string", "literal": "struct<type:string,value:string>", "method_type": "struct<declaring:string,name:string,params:array<string>,ret:string,flags:array<string>>"}
+X, RETURN = call("x"), node("Return", "statement", name("n", "expression"))
+
+
+def branch(of: str, then: tuple, *other: tuple) -> tuple:
+    return node("If", "statement", test(of), block("true_part", then), *[block("false_part", o) for o in other])
+
+
+def guarded(*body: tuple, last: tuple) -> tuple:
+    return node("Try", "statement", block("try_body", *body), block("catch_body", call("caught")), block("finally", last))
+
+
+def action(role: str, *body: tuple) -> tuple:
+    return node("Lambda", role, block("lambda_body", *body))
+
+
+def made(*methods: tuple[str, tuple]) -> tuple:
+    """A new object with methods of its own."""
+    inner = [node("MethodDeclaration", "statement", block("body", *body), name=n) for n, *body in methods]
+    return node("NewClass", "argument", node("ClassBody", "anonymous_body", *inner), name="<constructor>", method_type=("shop.Task", "<constructor>", [], "void", []))
+
+
+def rule(of: str, *body: tuple, flags: tuple[str, ...] = ("Rule",)) -> tuple:
+    return node("Case", "case", *body, name=of, flags=list(flags))
+
+
+#: Constructs that control leaves in several ways or that run others inside, for a set of programs of their own.
+FLOWS = {
+    "try_return": guarded(branch("a", RETURN), S, last=T),
+    "try_nested": guarded(guarded(branch("a", RETURN), S, last=T), last=branch("b", X)),
+    "try_break": node("While", "statement", test("a"), block("body", guarded(branch("b", BREAK), branch("c", CONTINUE), S, last=T))),
+    "try_inner": guarded(node("While", "statement", test("a"), block("body", branch("b", BREAK), S)), last=T),
+    "lambda": call("run", "statement", action("argument", S, branch("a", RETURN), T), params=["java.lang.Runnable"]),
+    "lambdas": call("run", "statement", action("argument", S), action("argument", call("go", "statement", action("argument", T))), params=["java.lang.Runnable"] * 2),
+    "anonymous": call("run", "statement", made(("f", S, RETURN), ("g", branch("a", T))), params=["shop.Task"]),
+    "for_each": node("ForEach", "statement", declared("x", "control"), name("xs", "iterable"), block("body", branch("a", BREAK), branch("b", CONTINUE), call("print", "statement", name("x", "argument"), owner="shop.Lib"))),
+    "for": node("For", "statement", declared("i", "init", literal("0", "initializer")), test("a"), node("Unary", "update", name("i", "operand"), operator="PostIncrement", type="int"), block("body", branch("b", CONTINUE), S)),
+    "do": node("DoWhile", "statement", block("body", S, branch("b", CONTINUE), T), test("a")),
+    "else_if": branch("a", S, branch("b", T, X)),
+    "or": node("If", "statement", node("Binary", _A, test("a", "left"), node("Unary", "right", test("b", "operand"), operator="Not"), operator="Or", type="boolean"), block("true_part", S)),
+    "loops": node("While", "statement", test("a"), block("body", node("While", "statement", test("b"), block("body", S)), T)),
+    "rules": node("Switch", "statement", name("n", "selector"), rule("1", S), rule("2", T), rule("default", X)),
+    "falls": node("Switch", "statement", name("n", "selector"), rule("1", S, flags=()), rule("2", T, flags=()), rule("default", X, flags=())),
+    "straight": block("statement", node("Synchronized", "statement", name("l", "lock"), block("body", S)), node("Assert", "statement", node("Binary", "assertion", test("a", "left"), test("b", "right"), operator="And")), node("ClassDeclaration", "statement", node("ClassBody", "class_body", declared("f", "statement")), name="C")),
+    "order": node("Assignment", "statement", name("v", "variable"), node("Binary", "assignment", call("f", "left", name("q", "select"), call("g", "argument", literal("1", "argument"), ret="int"), literal("2", "argument"), ret="int"), node("Parentheses", "right", name("r", "inner")), operator="Addition")),
+    "cast": declared("z", "statement", node("TypeCast", "initializer", node("ArrayAccess", "expression", name("xs", "indexed"), literal("4", "index")), type="int")),
+    "itself": node("If", "statement", node("InstanceOf", _A, node("FieldAccess", "expression", node("Identifier", "target", name="this"), name="f"), type="boolean"), block("true_part", call("s", "statement", node("Identifier", "select", name="super")))),
+}
+
+_COLUMNS = {"name": "string", "operator": "string", "type": "string", "literal": "struct<type:string,value:string>", "method_type": "struct<declaring:string,name:string,params:array<string>,ret:string,flags:array<string>>", "flags": "array<string>"}
 _SCHEMA = "c int, k int, up int, role string, ordinal int, tick int, tock int, down int, kind string, " + ", ".join(f"{n} {t}" for n, t in _COLUMNS.items())
 
 
@@ -100,16 +151,27 @@ def _flat(c: int, trees: list[tuple]) -> list[tuple]:
     return rows
 
 
-def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numbered(tree: tuple, wanted: str) -> list[int]:
+    """The numbers in a customer's rows of the nodes of a construct that have a name, or are literals, of the given text, or of such a kind (any block: ``block``)."""
+    rows = _flat(0, [call("line"), tree])
+    known = [c.split()[0] for c in re.split(r", (?=\w+ )", _SCHEMA)]
+    told = [dict(zip(known, r, strict=True)) for r in rows]
+    if wanted == "block":
+        return [r["k"] for r in told if r["kind"] == "Block" and r["role"] in ("lambda_body", "body")]
+    tests = (lambda r: r["name"] == wanted, lambda r: (r["literal"] or ("", ""))[1] == wanted, lambda r: r["kind"] == wanted)
+    return next(filter(None, ([r["k"] for r in told if t(r)] for t in tests)))
+
+
+def customer_nodes(spark: SparkSession, sf_dir: str, constructs: dict[str, tuple] = CONSTRUCTS) -> DataFrame:
     """``nodes``: each nation's file has a method ``segment`` for each market segment, whose customers, by key, are its
-    statements, as :data:`CONSTRUCTS` says; then it returns its parameter.  A method ``keep`` of the file returns its own.
+    statements, as ``constructs`` says; then it returns its parameter.  A method ``keep`` of the file returns its own.
     The constructs, a table of fixed size, are broadcast; what grows are the customers."""
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
     firsts = rows.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("first"))
     owner = F.concat_ws("-", "c_nationkey", "c_mktsegment")
-    shapes = spark.createDataFrame([r for c, tree in enumerate(CONSTRUCTS.values()) for r in _flat(c, [call("line"), tree])], _SCHEMA)
+    shapes = spark.createDataFrame([r for c, tree in enumerate(constructs.values()) for r in _flat(c, [call("line"), tree])], _SCHEMA)
     body = METHOD_IDS + F.col("first") * 8 + 1
-    numbered = rows.join(firsts, ["c_nationkey", "c_mktsegment"]).withColumn("c", (F.col("c_custkey") % len(CONSTRUCTS)).cast("int"))
+    numbered = rows.join(firsts, ["c_nationkey", "c_mktsegment"]).withColumn("c", (F.col("c_custkey") % len(constructs)).cast("int"))
     tick = F.col("first") * (1 << 32) + F.expr("row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey)") * 256
     told = numbered.withColumn("at", tick).join(F.broadcast(shapes), "c").select(
         "c_nationkey", owner.alias("owner"), (F.col("c_custkey") * 64 + F.col("k")).alias("node_id"), F.coalesce(F.col("c_custkey") * 64 + F.col("up"), body).alias("parent_id"), "role",
