@@ -148,6 +148,16 @@ def local_paths(nodes: DataFrame, spec: FlowSpec, depth: int, reachable: DataFra
     return found.select("source.file_id", F.col("source.node_id").alias("source_id"), F.transform("path", lambda x: x["node_id"]).alias("path"), F.col("sink.node_id").alias("sink_id"))
 
 
+def witnesses(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None = None) -> DataFrame:
+    """``(file_id, source_id, path, sink_id)``: one shortest path to each sink that a source of its file flows to, in code that counts as for
+    :func:`local_marks`; see :func:`graph.shortest_paths`."""
+    alive, edges = _local_graph(nodes, spec, reachable)
+    named = lambda c: F.struct(F.col("root").alias("file_id"), F.col(c).alias("node_id")).alias(c)
+    ends = [alive.where(test(alive)).select(F.struct("file_id", "node_id").alias("node")) for test in (spec.is_source, spec.is_sink)]
+    found = graph.shortest_paths(edges.select(named("src"), named("dst")), *ends)
+    return found.select("sink.file_id", F.col("source.node_id").alias("source_id"), F.transform("path", lambda x: x["node_id"]).alias("path"), F.col("sink.node_id").alias("sink_id"))
+
+
 def files_with_flow(nodes: DataFrame, marks: DataFrame, wanted: bool = True) -> DataFrame:
     """Files in which some node lies on a flow, or (``wanted=False``) none does."""
     return nodes.select("file_id").distinct().join(marks.select("file_id").distinct(), "file_id", "left_semi" if wanted else "left_anti")

@@ -78,15 +78,28 @@ def sink_shapes(used_models: DataFrame) -> DataFrame:
     return arg.unionByName(ret).distinct()
 
 
-def sink_nodes(call_args: DataFrame, shapes: DataFrame, kind: str) -> DataFrame:
-    """``(file_id, node_id)`` of the sinks of a kind, by its current or a former name."""
+def sink_nodes(call_args: DataFrame, shapes: DataFrame, kind: str, results: DataFrame | None = None) -> DataFrame:
+    """``(file_id, node_id)`` of the sinks of a kind, by its current or a former name.
+
+    Of a callback, what it returns is the sink: ``results(file_id, node_id, lambda_id)``, those of :func:`tree.lambda_results`.  Without
+    them, a model of a callback has no sinks.
+    """
     wanted = canonical_kinds(F.lit(kind))
     met = shapes.where(F.array_contains(wanted, F.col("kind")))
-    args = call_args.join(met.where("shape <> 'return'"), "method_type").where(call_args["position"] == met["position"]).select("file_id", "node_id")
+    given = call_args.join(met.where("shape <> 'return'").withColumnRenamed("position", "at").drop("kind"), "method_type").where("position = at").select("file_id", "node_id", "shape")
+    args = given.where("shape = 'argument'").select("file_id", "node_id")
+    if results is not None:
+        args = args.unionByName(given.where("shape = 'callback'").select("file_id", F.col("node_id").alias("lambda_id")).join(results, ["file_id", "lambda_id"]).select("file_id", "node_id"))
     calls = call_args.select("file_id", F.col("call_id").alias("node_id"), "method_type").distinct().join(met.where("shape = 'return'").select("method_type"), "method_type").select("file_id", "node_id")
     return args.unionByName(calls).distinct()
 
 
+def model_sinks(nodes: DataFrame, models: DataFrame, kind: str, types: DataFrame | None = None) -> DataFrame:
+    """``(file_id, node_id)`` of the sinks of a kind that models describe in ``nodes``: arguments, calls, and what callbacks return."""
+    args = call_arguments(nodes)
+    return sink_nodes(args.drop("kind"), sink_shapes(models_in_use(used_methods(args), models, types)), kind, lambda_results(nodes))
+
+
 def call_arguments(nodes: DataFrame) -> DataFrame:
     """``(file_id, call_id, position, node_id, method_type, kind)`` of every receiver (position -1) and argument."""
     kinds = nodes.select("file_id", "node_id", "kind")

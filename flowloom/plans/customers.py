@@ -128,6 +128,24 @@ def customer_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("file_id", "node_id").agg(F.max("pos").cast("bigint").alias("pos"), F.count("*").alias("copies"))
 
 
+#: A model of a sink in the form of the files: what the lambda that a list's forEach is given returns.
+RESULT_SINK = ("java.util", "List", True, "forEach", "", "Argument[0].ReturnValue", "sql-injection")
+
+
+def customer_callback_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lambdas return to a method that must not get just anything."""
+    known = compiled(spark.createDataFrame([RESULT_SINK], "package string, type string, subtypes boolean, name string, signature string, input string, kind string"))
+    return models.model_sinks(customer_nodes(spark, sf_dir), known, "sql-injection")
+
+
+def customer_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One path to each print of a loop's variable, from what a loop goes over."""
+    spec = flow.FlowSpec(lambda n: (F.col("role") == "iterable") & (F.col("name") == "xs"), lambda n: (F.col("role") == "argument") & (F.col("name") == "x"), step=flow.element_edges)
+    nodes = customer_nodes(spark, sf_dir, FLOWS)
+    found = flow.witnesses(nodes, spec, nodes)
+    return found.select("file_id", "source_id", "sink_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
 def customer_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow from what a loop goes over, through its variable, to what is printed."""
     spec = flow.FlowSpec(lambda n: (F.col("role") == "iterable") & (F.col("name") == "xs"), lambda n: (F.col("role") == "argument") & (F.col("name") == "x"), step=flow.element_edges)
@@ -138,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         customer_graphs, customer_drawings, customer_expressions, customer_statements, customer_guards, customer_calls, customer_variables, customer_callables, customer_accesses,
-        customer_operators, customer_receivers, customer_filled, customer_folds, customer_uris, customer_callbacks, customer_between, customer_edges, customer_members, customer_elements,
+        customer_operators, customer_receivers, customer_filled, customer_folds, customer_uris, customer_callbacks, customer_between, customer_edges, customer_members, customer_elements, customer_callback_sinks, customer_witnesses,
     )
 }
 
@@ -322,6 +340,9 @@ SQL = {
     "customer_edges": _edges_sql(),
     "customer_members": _members_sql(),
     "customer_elements": _elements_sql(),
+    "customer_callback_sinks": _BASE + _at("callback", 5),
+    "customer_witnesses": _FLOW_BASE + " SELECT file_id, k * 64 + {a} AS source_id, k * 64 + {c} AS sink_id, concat(k * 64 + {a}, ',', k * 64 + {b}, ',', k * 64 + {c}) AS path FROM c WHERE c = {n}".format(
+        a=_place("for_each", "xs"), b=_place("for_each", "x"), c=_place("for_each", "x#2"), n=list(FLOWS).index("for_each")),
     "customer_graphs": _graphs("bb, cn, ex, 0::BIGINT AS invalid"),
     "customer_drawings": _graphs("bb AS boxes, cn AS diamonds, 1 + bb + 2 * cn AS arrows, cn AS trues, cn AS falses"),
     "customer_expressions": _sums(_EXPRESSIONS, ("expr_kind",)),

@@ -216,6 +216,40 @@ def test_reach(spark, doublings):
     assert got == {(r, x) for r, _ in seeds for x in brute(r)}
 
 
+def test_shortest_paths(spark):
+    rng = random.Random(31)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(70)}
+    sources, sinks = rng.sample(range(40), 3), rng.sample(range(40), 12)
+    far = {s: 0 for s in sources}
+    todo = list(sources)
+    for x in todo:
+        for a, b in sorted(edges):
+            if a == x and b not in far:
+                far[b] = far[x] + 1
+                todo.append(b)
+    nodes = lambda xs: spark.createDataFrame([(x,) for x in xs], "node long")
+    got = {r["sink"]: (r["source"], r["path"]) for r in graph.shortest_paths(spark.createDataFrame(list(edges), "src long, dst long"), nodes(sources), nodes(sinks)).collect()}
+    assert set(got) == {s for s in sinks if s in far}
+    for sink, (source, path) in got.items():
+        assert path[0] == source and source in sources and path[-1] == sink and len(path) == far[sink] + 1 and all(e in edges for e in zip(path, path[1:]))
+    # a ladder has 2^30 paths
+    ladder = [e for k in range(30) for e in ((3 * k, 3 * k + 1), (3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 3), (3 * k + 2, 3 * k + 3))]
+    one = graph.shortest_paths(spark.createDataFrame(ladder, "src long, dst long"), nodes([0]), nodes([90])).collect()
+    assert len(one) == 1 and len(one[0]["path"]) == 61
+
+
+def test_callback_sinks(spark):
+    """What a lambda returns is the sink, whether its body is an expression or a block."""
+    schema = "package string, type string, subtypes boolean, name string, signature string, input string, kind string"
+    known = model_files.compiled(spark.createDataFrame([("a", "B", True, "run", "", "Argument[0].ReturnValue", "sql-injection"), ("a", "B", True, "run", "", "Argument[1]", "sql-injection")], schema))
+    block = ("Lambda", "argument", {}, [("Block", "lambda_body", {}, [if_(A, [ret("1")]), ret("2")])])
+    short = ("Lambda", "argument", {}, [call("s", "lambda_body")])
+    nodes = frame(spark, lower("f", method(call("run", "statement", block, lit(7, "argument")), call("run", "statement", short), call("run", "statement", ident("p", "argument")))))
+    rows = {r["node_id"]: r for r in nodes.collect()}
+    got = [rows[r["node_id"]] for r in models.model_sinks(nodes, known, "sql").collect()]
+    assert sorted(r["name"] or r["literal"]["value"] for r in got) == ["1", "2", "7", "s"]
+
+
 def test_condensed(spark, monkeypatch):
     """Random graphs, and long rows and ladders in few rounds."""
     monkeypatch.setattr(graph, "PATIENCE", 1)
