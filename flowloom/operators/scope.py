@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .traits import var_access
-from .tree import KEY, ancestors
+from .traits import field_key, var_access
+from .tree import KEY, ancestors, nearest
 
 
 def declarations(nodes: DataFrame) -> DataFrame:
@@ -26,6 +26,28 @@ def resolve(accesses: DataFrame, decls: DataFrame) -> DataFrame:
     return both.withColumn("decl_id", F.last("decl", ignorenulls=True).over(before)).where("node_id is not null").select(*KEY, "name", "owner", "pre", "decl_id")
 
 
+def resolve_fields(resolved: DataFrame, nodes: DataFrame, fields: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """``(file_id, node_id, owner, field_id)`` of accesses that no declaration explains: the field of that name of the type whose method or
+    body they are in, or the nearest one above it that has some.
+
+    ``fields(type, name, field_type)`` are declared ones, ``types(sub, super)`` the closure of the hierarchy; ``field_id`` is :func:`traits.field_key`.
+    A field of a type hides those of the types above it; where two unrelated types have one, the first by name is taken.
+    """
+    open_ = resolved.where("decl_id is null").select(*KEY, "name")
+    inner = F.col("anc_kind").isin("MethodDeclaration", "ClassDeclaration")
+    around = nearest(ancestors(nodes, open_, columns=("kind", "type", "method_type")).where(inner & (F.coalesce("anc_method_type.declaring", "anc_type").isNotNull())), F.lit(True), "type", "method_type", "kind")
+    at = around.select(*KEY, F.when(F.col("found_kind") == "MethodDeclaration", F.col("found_method_type.declaring")).otherwise(F.col("found_type")).alias("type"))
+    held = fields.select(F.col("type").alias("owner"), "name", "field_type")
+    own = held.withColumn("type", F.col("owner"))
+    if types is not None:
+        up = types.select(F.col("sub").alias("type"), F.col("super").alias("owner"))
+        own = own.unionByName(held.join(up, "owner").select(own.columns))
+        below = own.select("type", "name", F.col("owner").alias("sub")).join(types, "sub").select("type", "name", F.col("super").alias("owner"))
+        own = own.join(below, ["type", "name", "owner"], "left_anti")
+    first = own.groupBy("type", "name").agg(F.min(F.struct("owner", "field_type")).alias("f"))
+    return open_.join(at, list(KEY)).join(first, ["type", "name"]).select(*KEY, F.col("f.owner").alias("owner"), field_key(F.col("f.owner"), F.col("name"), F.col("f.field_type")).alias("field_id"))
+
+
 def accesses_in_scope(resolved: DataFrame, scopes: DataFrame) -> DataFrame:
     """Accesses inside ``scopes(file_id, scope_pre, scope_post, decl_id)`` that refer to its variable."""
     return resolved.join(scopes, ["file_id", "decl_id"]).where("scope_pre <= pre and scope_post >= pre").select(*KEY, "decl_id")

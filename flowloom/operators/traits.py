@@ -83,12 +83,32 @@ def statements(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("kind").isin(*STATEMENTS)).select(*KEY, "kind", F.when(F.col("kind") == "Return", "ReturnStmt").otherwise("StmtFallback").alias("stmt_kind"))
 
 
-def methods(nodes: DataFrame) -> DataFrame:
-    """Callables: method declarations, lambdas and initializer blocks, with a name and a return type (void where there is none)."""
-    name = first_of(((F.col("role") == "static_init"), F.lit("<clinit>")), ((F.col("role") == "instance_init"), F.lit("<obinit>")), ((F.col("kind") == "Lambda"), F.coalesce("method_type.name", F.lit("<lambda>"))), ((F.col("kind") == "MethodDeclaration"), F.col("name")))
+def methods(nodes: DataFrame, type_methods: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
+    """Callables: method declarations, lambdas and initializer blocks, with a name and a return type (void where there is none).
+
+    A lambda that does not say which method it implements takes the name from ``type_methods(type, name, arity, flags)``, by its type and how many
+    parameters it has, own and inherited over ``types(sub, super)``; see :func:`single_abstract_methods`.
+    """
+    if type_methods is not None:
+        given = nodes.where("role = 'parameter'").groupBy("file_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("arity"))
+        sam = single_abstract_methods(inherited_methods(type_methods, types)).select("type", "arity", F.col("name").alias("sam"))
+        nodes = nodes.join(given, list(KEY), "left").withColumn("arity", F.when(F.col("kind") == "Lambda", F.coalesce("arity", F.lit(0)))).join(sam.withColumn("arity", F.col("arity").cast("bigint")), ["type", "arity"], "left")
+    else:
+        nodes = nodes.withColumn("sam", F.lit(None).cast("string"))
+    name = first_of(((F.col("role") == "static_init"), F.lit("<clinit>")), ((F.col("role") == "instance_init"), F.lit("<obinit>")), ((F.col("kind") == "Lambda"), F.coalesce("method_type.name", "sam", F.lit("<lambda>"))), ((F.col("kind") == "MethodDeclaration"), F.col("name")))
     return nodes.where("kind in ('MethodDeclaration', 'Lambda') or role in ('static_init', 'instance_init')").select(*KEY, "kind", name.alias("method_name"), F.coalesce("method_type.ret", F.lit("void")).alias("return_type"))
 
 
+def inherited_methods(type_methods: DataFrame, types: DataFrame | None) -> DataFrame:
+    """``type_methods`` with those that types inherit, a default one in place of what it overrides."""
+    columns = ["type", "name", "arity", "flags"]
+    own = type_methods.select(*columns)
+    if types is not None:
+        own = own.unionByName(own.withColumnRenamed("type", "super").join(types, "super").select(F.col("sub").alias("type"), *columns[1:])).dropDuplicates(columns)
+    filled = own.where("array_contains(flags, 'Default')").select("type", "name", "arity").distinct()
+    return own.where("array_contains(flags, 'Default')").unionByName(own.where("not array_contains(flags, 'Default')").join(filled, ["type", "name", "arity"], "left_anti"))
+
+
 def single_abstract_methods(type_methods: DataFrame) -> DataFrame:
     """Of ``type_methods(type, name, arity, flags)``, the one that a lambda of that arity implements; none where several do."""
     open_ = type_methods.where("not array_contains(flags, 'Static') and not array_contains(flags, 'Default')")

@@ -146,6 +146,28 @@ def customer_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_id", "source_id", "sink_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
+#: Methods of a functional type and of the type above it: one is left to implement.
+ACTIONS = [("shop.Base", "run", 0, []), ("shop.Base", "stop", 0, []), ("shop.Base", "of", 0, ["Static"]), ("shop.Action", "stop", 0, ["Default"])]
+
+
+def customer_lambdas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callables by name, lambdas by the one method of their type that they implement."""
+    nodes = customer_nodes(spark, sf_dir, FLOWS)
+    known = spark.createDataFrame(ACTIONS, "type string, name string, arity int, flags array<string>")
+    above = spark.createDataFrame([("shop.Action", "shop.Base")], "sub string, super string")
+    return _counted(nodes, traits.methods(nodes, known, above), "kind", "method_name")
+
+
+def customer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accesses to fields that no program declares: nations are types below their regions, which have fields xs and q; nations have v, every other one q."""
+    nodes = customer_nodes(spark, sf_dir, FLOWS)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("shop.Lib"), "n_nationkey").alias("sub"), F.concat(F.lit("shop.Region"), "n_regionkey").alias("super"), (F.col("n_nationkey") % 2 == 0).alias("even"))
+    own = nation.select(F.col("sub").alias("type"), F.explode(F.when(F.col("even"), F.array(F.lit("q"), F.lit("v"))).otherwise(F.array(F.lit("v")))).alias("name"))
+    fields = own.unionByName(nation.select(F.col("super").alias("type"), F.explode(F.array(F.lit("q"), F.lit("xs"))).alias("name")).distinct()).withColumn("field_type", F.lit("int"))
+    found = scope.resolve(traits.var_access(nodes), scope.declarations(nodes))
+    return scope.resolve_fields(found, nodes, fields, nation.select("sub", "super"))
+
+
 def customer_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow from what a loop goes over, through its variable, to what is printed."""
     spec = flow.FlowSpec(lambda n: (F.col("role") == "iterable") & (F.col("name") == "xs"), lambda n: (F.col("role") == "argument") & (F.col("name") == "x"), step=flow.element_edges)
@@ -156,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         customer_graphs, customer_drawings, customer_expressions, customer_statements, customer_guards, customer_calls, customer_variables, customer_callables, customer_accesses,
-        customer_operators, customer_receivers, customer_filled, customer_folds, customer_uris, customer_callbacks, customer_between, customer_edges, customer_members, customer_elements, customer_callback_sinks, customer_witnesses,
+        customer_operators, customer_receivers, customer_filled, customer_folds, customer_uris, customer_callbacks, customer_between, customer_edges, customer_members, customer_elements, customer_callback_sinks, customer_witnesses, customer_lambdas, customer_fields,
     )
 }
 
@@ -340,6 +362,11 @@ SQL = {
     "customer_edges": _edges_sql(),
     "customer_members": _members_sql(),
     "customer_elements": _elements_sql(),
+    "customer_lambdas": _FLOW_BASE + ", m(c, kind, method_name, n) AS (VALUES " + ", ".join(f"({list(FLOWS).index(c)}, '{k}', '{name}', {n})" for c, k, name, n in (("lambda", "Lambda", "run", 1), ("lambdas", "Lambda", "run", 3), ("anonymous", "MethodDeclaration", "f", 1), ("anonymous", "MethodDeclaration", "g", 1))) + """)
+        SELECT method, kind, method_name, sum(n)::BIGINT AS n FROM c JOIN m USING (c) GROUP BY ALL UNION ALL SELECT method, 'MethodDeclaration', 'segment', 1 FROM f UNION ALL SELECT DISTINCT concat('keep-', nation), 'MethodDeclaration', 'keep', 1 FROM f""",
+    "customer_fields": _FLOW_BASE + ", m(c, j, name) AS (VALUES " + ", ".join(f"({list(FLOWS).index(c)}, {_place(c, n)}, '{n}')" for c, n in (("for_each", "xs"), ("cast", "xs"), ("order", "q"), ("order", "v"))) + """),
+        t AS (SELECT file_id, k * 64 + j AS node_id, name, CASE WHEN name = 'v' OR (name = 'q' AND nation % 2 = 0) THEN concat('shop.Lib', nation) ELSE concat('shop.Region', n_regionkey) END AS owner FROM c JOIN m USING (c) JOIN nation ON n_nationkey = nation)
+        SELECT file_id, node_id, owner, md5(concat(owner, '#', name, '#int')) AS field_id FROM t""",
     "customer_callback_sinks": _BASE + _at("callback", 5),
     "customer_witnesses": _FLOW_BASE + " SELECT file_id, k * 64 + {a} AS source_id, k * 64 + {c} AS sink_id, concat(k * 64 + {a}, ',', k * 64 + {b}, ',', k * 64 + {c}) AS path FROM c WHERE c = {n}".format(
         a=_place("for_each", "xs"), b=_place("for_each", "x"), c=_place("for_each", "x#2"), n=list(FLOWS).index("for_each")),

@@ -89,7 +89,7 @@ def guarded(*body: tuple, last: tuple) -> tuple:
 
 
 def action(role: str, *body: tuple) -> tuple:
-    return node("Lambda", role, block("lambda_body", *body))
+    return node("Lambda", role, block("lambda_body", *body), type="shop.Action")
 
 
 def made(*methods: tuple[str, tuple]) -> tuple:

@@ -250,6 +250,24 @@ def test_callback_sinks(spark):
     assert sorted(r["name"] or r["literal"]["value"] for r in got) == ["1", "2", "7", "s"]
 
 
+def test_types_tell_lambdas_and_fields(spark):
+    types = spark.createDataFrame([("a.Low", "a.Mid"), ("a.Low", "a.Top"), ("a.Mid", "a.Top")], "sub string, super string")
+    flags = "type string, name string, arity int, flags array<string>"
+    known = spark.createDataFrame([("a.Top", "run", 0, []), ("a.Top", "stop", 0, []), ("a.Mid", "stop", 0, ["Default"]), ("a.Top", "two", 1, []), ("a.Low", "other", 1, [])], flags)
+    lam = lambda type_, *given: ("Lambda", "argument", {"type": type_}, [("VariableDeclaration", "parameter", {"name": g}, []) for g in given] + [call("s", "lambda_body")])
+    program = ("MethodDeclaration", "root", {"name": "m", "method_type": ("a.Low", "m", [], "void", [])}, [("Block", "body", {}, [call("go", "statement", lam("a.Low"), lam("a.Top"), lam("a.Low", "x"), lam("a.Top", "x"), ident("f", "argument"), ident("g", "argument"), ident("h", "argument"))])])
+    nodes = frame(spark, lower("m", program))
+    names = [r["method_name"] for r in traits.methods(nodes, known, types).where("kind = 'Lambda'").orderBy("node_id").collect()]
+    assert names == ["run", "<lambda>", "<lambda>", "two"]  # two are open in a.Top; two of one parameter in a.Low
+    assert {r["method_name"] for r in traits.methods(nodes).where("kind = 'Lambda'").collect()} == {"<lambda>"}
+    fields = spark.createDataFrame([("a.Top", "f", "int"), ("a.Mid", "f", "int"), ("a.Top", "g", "long")], "type string, name string, field_type string")
+    found = scope.resolve(traits.var_access(nodes), scope.declarations(nodes))
+    rows = {r["node_id"]: r["name"] for r in nodes.collect()}
+    got = {rows[r["node_id"]]: (r["owner"], r["field_id"]) for r in scope.resolve_fields(found, nodes, fields, types).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"f": "a.Mid", "g": "a.Top"}
+    assert {rows[r["node_id"]] for r in scope.resolve_fields(found, nodes, fields).collect()} == set()
+
+
 def test_condensed(spark, monkeypatch):
     """Random graphs, and long rows and ladders in few rounds."""
     monkeypatch.setattr(graph, "PATIENCE", 1)
