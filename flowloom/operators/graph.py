@@ -106,8 +106,13 @@ def backward(edges: DataFrame) -> DataFrame:
 
 
 def participants(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int | None = None) -> DataFrame:
-    """``(node)``: what lies on a path from ``sources(node)`` to ``sinks(node)``: reached forwards and, along edges that are, backwards."""
+    """``(node)``: what lies on a path from ``sources(node)`` to ``sinks(node)``: reached forwards and, along edges that are, backwards.
+
+    The walk begins where there are fewer nodes, and the way back takes only edges that it has met.
+    """
     one = F.lit(0).alias("root")
+    if sinks.count() < sources.count():
+        edges, sources, sinks = backward(edges), sinks, sources
     go = (lambda e, s: reach_layered(e, s, depth)) if depth is not None else reach
     edges = durable(edges.select("src", "dst").distinct())
     edges = edges if depth is not None else edges.select(one, "src", "dst")  # a single root, so that long rows condense
