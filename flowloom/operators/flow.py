@@ -138,6 +138,20 @@ def local_marks(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None =
     return marked.select(F.col("root").alias("file_id"), F.col("node").alias("node_id"), F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
 
 
+def local_summaries(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None = None) -> DataFrame:
+    """``(file_id, source_id, node_id, is_sink)``: for each source apart, what lies on its flows to the sinks of its file, in code that counts as for
+    :func:`local_marks`; sources without a sink have no rows."""
+    alive, edges = _local_graph(nodes, spec, reachable)
+    at = F.struct("file_id", "node_id")
+    named = lambda c: F.struct(F.col("root").alias("file_id"), F.col(c).alias("node_id")).alias(c)
+    steps = durable(edges.select(named("src"), named("dst")))
+    sources, sinks = alive.where(spec.is_source(alive)).select(at.alias("root"), at.alias("node")), alive.where(spec.is_sink(alive)).select(at.alias("node"), F.lit(True).alias("is_sink"))
+    ahead = durable(graph.reach(steps, sources, doublings=2))
+    back = graph.reach(graph.backward(steps), ahead.join(sinks, "node", "left_semi").select("root", "node"), doublings=2)
+    on = ahead.join(back, ["root", "node"], "left_semi").join(sinks, "node", "left")
+    return on.select("root.file_id", F.col("root.node_id").alias("source_id"), "node.node_id", F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
+
+
 def local_paths(nodes: DataFrame, spec: FlowSpec, depth: int, reachable: DataFrame | None = None) -> DataFrame:
     """``(file_id, source_id, path, sink_id)``: the simple paths of ``depth`` steps at most from a source to a sink of its file, in code
     that counts as for :func:`local_marks`.  A source that is a sink is a path of one node."""

@@ -158,6 +158,12 @@ def customer_lambdas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(nodes, traits.methods(nodes, known, above), "kind", "method_name")
 
 
+def customer_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accesses to the instance itself, by what they are part of."""
+    nodes = customer_nodes(spark, sf_dir, FLOWS)
+    return _counted(nodes, traits.expressions(nodes).where("expr_kind = 'InstanceAccess'"), "role")
+
+
 def customer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accesses to fields that no program declares: nations are types below their regions, which have fields xs and q; nations have v, every other one q."""
     nodes = customer_nodes(spark, sf_dir, FLOWS)
@@ -168,6 +174,13 @@ def customer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.resolve_fields(found, nodes, fields, nation.select("sub", "super"))
 
 
+def customer_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each loop's list, how much lies on its own flows to prints, and how many of them are prints: its loop and those behind it that read the list again."""
+    spec = flow.FlowSpec(lambda n: (F.col("role") == "iterable") & (F.col("name") == "xs"), lambda n: (F.col("role") == "argument") & (F.col("name") == "x"), step=flow.element_edges)
+    nodes = customer_nodes(spark, sf_dir, FLOWS)
+    return flow.local_summaries(nodes, spec, nodes).groupBy("file_id", "source_id").agg(F.count("*").alias("participants"), F.count_if("is_sink").alias("sinks"))
+
+
 def customer_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow from what a loop goes over, through its variable, to what is printed."""
     spec = flow.FlowSpec(lambda n: (F.col("role") == "iterable") & (F.col("name") == "xs"), lambda n: (F.col("role") == "argument") & (F.col("name") == "x"), step=flow.element_edges)
@@ -178,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         customer_graphs, customer_drawings, customer_expressions, customer_statements, customer_guards, customer_calls, customer_variables, customer_callables, customer_accesses,
-        customer_operators, customer_receivers, customer_filled, customer_folds, customer_uris, customer_callbacks, customer_between, customer_edges, customer_members, customer_elements, customer_callback_sinks, customer_witnesses, customer_lambdas, customer_fields,
+        customer_operators, customer_receivers, customer_filled, customer_folds, customer_uris, customer_callbacks, customer_between, customer_edges, customer_members, customer_elements, customer_callback_sinks, customer_witnesses, customer_lambdas, customer_fields, customer_instances, customer_summaries,
     )
 }
 
@@ -364,6 +377,10 @@ SQL = {
     "customer_elements": _elements_sql(),
     "customer_lambdas": _FLOW_BASE + ", m(c, kind, method_name, n) AS (VALUES " + ", ".join(f"({list(FLOWS).index(c)}, '{k}', '{name}', {n})" for c, k, name, n in (("lambda", "Lambda", "run", 1), ("lambdas", "Lambda", "run", 3), ("anonymous", "MethodDeclaration", "f", 1), ("anonymous", "MethodDeclaration", "g", 1))) + """)
         SELECT method, kind, method_name, sum(n)::BIGINT AS n FROM c JOIN m USING (c) GROUP BY ALL UNION ALL SELECT method, 'MethodDeclaration', 'segment', 1 FROM f UNION ALL SELECT DISTINCT concat('keep-', nation), 'MethodDeclaration', 'keep', 1 FROM f""",
+    "customer_instances": _FLOW_BASE + f"""SELECT method, role, count(*) AS n FROM c, (VALUES ('target'), ('select')) v(role) WHERE c = {list(FLOWS).index("itself")} GROUP BY ALL""",
+    "customer_summaries": _FLOW_BASE + f""", o AS (SELECT *, bool_or(c = {list(FLOWS).index("for_each")}) OVER (PARTITION BY method ORDER BY k DESC) AS ahead FROM c)
+        SELECT a.file_id, a.k * 64 + {_place("for_each", "xs")} AS source_id, sum(CASE WHEN b.c = {list(FLOWS).index("for_each")} THEN 3 ELSE 1 END)::BIGINT AS participants, count(*) FILTER (b.c = {list(FLOWS).index("for_each")}) AS sinks
+        FROM c a JOIN o b ON a.method = b.method AND b.k >= a.k AND (b.c = {list(FLOWS).index("for_each")} OR (b.c = {list(FLOWS).index("cast")} AND b.ahead)) WHERE a.c = {list(FLOWS).index("for_each")} GROUP BY ALL""",
     "customer_fields": _FLOW_BASE + ", m(c, j, name) AS (VALUES " + ", ".join(f"({list(FLOWS).index(c)}, {_place(c, n)}, '{n}')" for c, n in (("for_each", "xs"), ("cast", "xs"), ("order", "q"), ("order", "v"))) + """),
         t AS (SELECT file_id, k * 64 + j AS node_id, name, CASE WHEN name = 'v' OR (name = 'q' AND nation % 2 = 0) THEN concat('shop.Lib', nation) ELSE concat('shop.Region', n_regionkey) END AS owner FROM c JOIN m USING (c) JOIN nation ON n_nationkey = nation)
         SELECT file_id, node_id, owner, md5(concat(owner, '#', name, '#int')) AS field_id FROM t""",
