@@ -30,7 +30,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, doublings:
 def extend(edges: DataFrame, seeds: DataFrame, seen: DataFrame | None, max_rounds: int = 1000, doublings: int = 0) -> DataFrame:
     """As :func:`reach`, without the pairs of ``seen(root, node)``, which are neither given back nor walked on from."""
     on = ["root", "src"] if "root" in edges.columns else ["src"]
-    steps = edges.select(*on, "dst").distinct()
+    plain = steps = edges.select(*on, "dst").distinct()
     for _ in range(doublings):
         many = steps.groupBy(*on).count().where(F.col("count") > FEW)
         narrow = steps.join(many, on, "left_anti")
@@ -46,7 +46,7 @@ def extend(edges: DataFrame, seeds: DataFrame, seen: DataFrame | None, max_round
             return out
         out = out.unionByName(new)
         if n + 1 == PATIENCE and len(on) == 2 and seen is None:
-            return condensed(steps, durable(out))
+            return condensed(plain, durable(out))  # longer steps would give nodes more ways in
         if n % 16 == 15:
             out = durable(out)  # else its plan grows with the rounds
     raise RuntimeError("the closure did not end; raise max_rounds")
