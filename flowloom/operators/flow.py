@@ -138,18 +138,52 @@ def local_marks(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None =
     return marked.select(F.col("root").alias("file_id"), F.col("node").alias("node_id"), F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
 
 
+def _summary_pairs(steps: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """``(root, node, is_sink)``: what lies on the flows along ``steps(src, dst)`` from each of ``sources(node)`` to ``sinks(node)``."""
+    ahead = durable(graph.reach(steps, sources.select(F.col("node").alias("root"), "node"), doublings=2))
+    back = graph.reach(graph.backward(steps), ahead.join(sinks, "node", "left_semi").select("root", "node"), doublings=2)
+    return ahead.join(back, ["root", "node"], "left_semi").join(sinks.withColumn("is_sink", F.lit(True)), "node", "left").withColumn("is_sink", F.coalesce("is_sink", F.lit(False)))
+
+
+def _summary_graph(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps between nodes that are named with their file, sources and sinks."""
+    alive, edges = _local_graph(nodes, spec, reachable)
+    named = lambda c: F.struct(F.col("root").alias("file_id"), F.col(c).alias("node_id")).alias(c)
+    ends = [alive.where(test(alive)).select(F.struct("file_id", "node_id").alias("node")).distinct() for test in (spec.is_source, spec.is_sink)]
+    return durable(edges.select(named("src"), named("dst")).distinct()), *ends
+
+
 def local_summaries(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None = None) -> DataFrame:
     """``(file_id, source_id, node_id, is_sink)``: for each source apart, what lies on its flows to the sinks of its file, in code that counts as for
     :func:`local_marks`; sources without a sink have no rows."""
-    alive, edges = _local_graph(nodes, spec, reachable)
-    at = F.struct("file_id", "node_id")
-    named = lambda c: F.struct(F.col("root").alias("file_id"), F.col(c).alias("node_id")).alias(c)
-    steps = durable(edges.select(named("src"), named("dst")))
-    sources, sinks = alive.where(spec.is_source(alive)).select(at.alias("root"), at.alias("node")), alive.where(spec.is_sink(alive)).select(at.alias("node"), F.lit(True).alias("is_sink"))
-    ahead = durable(graph.reach(steps, sources, doublings=2))
-    back = graph.reach(graph.backward(steps), ahead.join(sinks, "node", "left_semi").select("root", "node"), doublings=2)
-    on = ahead.join(back, ["root", "node"], "left_semi").join(sinks, "node", "left")
-    return on.select("root.file_id", F.col("root.node_id").alias("source_id"), "node.node_id", F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
+    on = _summary_pairs(*_summary_graph(nodes, spec, reachable))
+    return on.select("root.file_id", F.col("root.node_id").alias("source_id"), "node.node_id", "is_sink")
+
+
+def local_summary_counts(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None = None) -> DataFrame:
+    """``(file_id, source_id, participants, sinks)``: how many rows :func:`local_summaries` has for each source, and how many of them are sinks.
+
+    Where flow only branches out, what a source reaches is a tree, and the counts are sums over it (:func:`graph.subtree_sums`), so that a long row of
+    sources is not expanded into all pairs.  Sources whose flow meets itself again have their nodes counted one by one.
+    """
+    steps, sources, sinks = _summary_graph(nodes, spec, reachable)
+    met = steps.groupBy(F.col("dst").alias("node")).count().where("count > 1").select("node")
+    one = F.lit(0).alias("root")
+    knotted = durable(graph.reach(graph.backward(steps).select(one, "src", "dst"), met.select(one, "node")).select("node"))
+    free = durable(steps.join(knotted.withColumnRenamed("node", "src"), "src", "left_anti"))
+    sinks = durable(sinks)
+    every = free.select(F.col("src").alias("node")).unionByName(free.select(F.col("dst").alias("node"))).unionByName(sources).distinct()
+    flagged = every.join(sinks.withColumn("amount", F.lit(1)), "node", "left").withColumn("amount", F.coalesce("amount", F.lit(0)).cast("bigint"))
+    jumps, endless = graph.tree_jumps(free.select(F.col("dst").alias("node"), F.col("src").alias("before")))
+    reached = graph.subtree_sums(jumps, flagged)
+    on = graph.subtree_sums(jumps, reached.select("node", (F.col("amount") > 0).cast("bigint").alias("amount")))
+    odd = knotted.unionByName(endless).distinct()
+    told = sources.join(odd, "node", "left_anti").join(on.withColumnRenamed("amount", "participants"), "node").join(reached.withColumnRenamed("amount", "sinks"), "node").where("sinks > 0")
+    left = durable(sources.join(odd, "node", "left_semi"))
+    if not left.isEmpty():
+        pairs = _summary_pairs(steps, left, sinks).groupBy(F.col("root").alias("node")).agg(F.count("*").alias("participants"), F.count_if("is_sink").alias("sinks"))
+        told = told.unionByName(pairs)
+    return told.select("node.file_id", F.col("node.node_id").alias("source_id"), "participants", "sinks")
 
 
 def local_paths(nodes: DataFrame, spec: FlowSpec, depth: int, reachable: DataFrame | None = None) -> DataFrame:

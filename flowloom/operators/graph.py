@@ -89,6 +89,30 @@ def condensed(edges: DataFrame, seen: DataFrame) -> DataFrame:
     return seen.unionByName(found)
 
 
+def tree_jumps(before: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """``(jumps, endless)`` of ``before(node, before)``, where one place at most leads to a node: the nodes 1, 2, 4, ... steps before each, as far as there
+    are some, and ``endless(node)`` of what a loop leads to."""
+    up = durable(before.where("before is not null").select("node", "before"))
+    jumps, most = [], up.count().bit_length()
+    while not up.isEmpty():
+        if len(jumps) > most:
+            return jumps, up.select("node")
+        jumps.append(up)
+        up = durable(up.join(up.select(F.col("node").alias("before"), F.col("before").alias("further")), "before").select("node", F.col("further").alias("before")))
+    return jumps, up.select("node")
+
+
+def subtree_sums(jumps: list[DataFrame], amounts: DataFrame) -> DataFrame:
+    """``(node, amount)``: the sum of ``amounts(node, amount)`` over each node and what it leads to, in trees of :func:`tree_jumps`.
+
+    After a round with the nodes 2^k steps before, a sum holds what lies fewer than 2^(k+1) steps behind; every node has one row in each round.
+    """
+    for up in jumps:
+        further = up.join(amounts, "node").select(F.col("before").alias("node"), "amount")
+        amounts = durable(amounts.unionByName(further).groupBy("node").agg(F.sum("amount").alias("amount")))
+    return amounts
+
+
 def reach_layered(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """As :func:`reach` on a graph whose paths have ``depth`` edges at most: joins only, without a driver loop's actions."""
     steps = edges.select("src", "dst").distinct()

@@ -178,7 +178,7 @@ def customer_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each loop's list, how much lies on its own flows to prints, and how many of them are prints: its loop and those behind it that read the list again."""
     spec = flow.FlowSpec(lambda n: (F.col("role") == "iterable") & (F.col("name") == "xs"), lambda n: (F.col("role") == "argument") & (F.col("name") == "x"), step=flow.element_edges)
     nodes = customer_nodes(spark, sf_dir, FLOWS)
-    return flow.local_summaries(nodes, spec, nodes).groupBy("file_id", "source_id").agg(F.count("*").alias("participants"), F.count_if("is_sink").alias("sinks"))
+    return flow.local_summary_counts(nodes, spec, nodes)
 
 
 def customer_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
