@@ -14,7 +14,7 @@ from .calls import matched_participants
 from .models import call_arguments, declaration_of
 from .scope import flow_before
 from .traits import var_access
-from .tree import KEY, ancestors, lambda_results, nearest, parents
+from .tree import KEY, ancestors, chains, lambda_results, nearest_in, parents
 
 
 def nothing(nodes: DataFrame) -> Column:
@@ -231,7 +231,7 @@ def return_edges(returns: DataFrame, calls: DataFrame) -> DataFrame:
 def returned_values(nodes: DataFrame) -> DataFrame:
     """``(file_id, node_id, method_type)``: expressions that a method declaration returns; those of lambdas are not among them."""
     value = parents(nodes, "kind").where("parent_kind = 'Return'").select(*KEY, "parent_id")
-    owner = nearest(ancestors(nodes, value, columns=("kind", "method_type")), F.col("anc_kind").isin("Lambda", "MethodDeclaration"), "kind", "method_type")
+    owner = nearest_in(chains(nodes, value, columns=("kind", "method_type")), lambda a: a["anc_kind"].isin("Lambda", "MethodDeclaration"), "kind", "method_type")
     return owner.where("found_kind = 'MethodDeclaration' and found_method_type is not null").select(*KEY, F.col("found_method_type").alias("method_type"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CALLS, STATEMENTS
-from .tree import KEY, ancestors, nearest, parents
+from .tree import KEY, ancestors, chains, nearest_in, parents
 
 #: Parent kind and role in which an identifier is a name, not an access to a variable (null: any role).
 NOT_VARIABLES = [
@@ -117,12 +117,14 @@ def single_abstract_methods(type_methods: DataFrame) -> DataFrame:
 
 def variables(nodes: DataFrame) -> DataFrame:
     """Declared variables as Parameter (with its position), Field or LocalVariable."""
-    scope = F.col("anc_kind").isin("MethodDeclaration", "Lambda", "ClassDeclaration", "ClassBody")
-    found = nearest(ancestors(nodes, nodes.where("kind = 'VariableDeclaration'"), columns=("kind", "role")), scope, "kind")
-    place = Window.partitionBy("file_id", "parent_id", "role").orderBy("pre")
+    declared = nodes.where("kind = 'VariableDeclaration'")
+    found = nearest_in(chains(nodes, declared, columns=("kind",)), lambda a: a["anc_kind"].isin("MethodDeclaration", "Lambda", "ClassDeclaration", "ClassBody"), "kind")
+    place = Window.partitionBy("file_id", "parent_id").orderBy("pre")
+    parameter = F.coalesce(F.col("role") == "parameter", F.lit(False))
+    placed = declared.where(parameter).withColumn("position", F.row_number().over(place) - 1)
     kind = first_of((F.col("role") == "parameter", F.lit("Parameter")), (F.col("found_kind").isin("ClassDeclaration", "ClassBody"), F.lit("Field")), (F.lit(True), F.lit("LocalVariable")))
-    position = F.when(F.col("role") == "parameter", F.row_number().over(place) - 1)
-    return nodes.where("kind = 'VariableDeclaration'").withColumn("position", position).join(found, list(KEY), "left").select(*KEY, "name", "owner", kind.alias("variable_kind"), "position", F.array_contains("flags", "Varargs").alias("is_varargs"), F.col("found_id").alias("callable_id"))
+    every = declared.where(~parameter).withColumn("position", F.lit(None).cast("int")).unionByName(placed)
+    return every.join(found, list(KEY), "left").select(*KEY, "name", "owner", kind.alias("variable_kind"), "position", F.array_contains("flags", "Varargs").alias("is_varargs"), F.col("found_id").alias("callable_id"))
 
 
 def guards(nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cfg, flow, scope, search, traits, tree
@@ -11,19 +11,18 @@ from ..sources.programs import EVENT_PROGRAM, event_nodes
 VALUE = 100
 
 
-def _key(df: DataFrame, *columns: str) -> DataFrame:
+def _key(df: DataFrame, *columns: Column | str) -> DataFrame:
     return df.select("file_id", "node_id", *columns)
 
 
 def ancestor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many ancestors each node has, and how many of them are blocks."""
-    pairs = tree.ancestors(event_nodes(spark, sf_dir), columns=("kind",))
-    return pairs.groupBy("file_id", "node_id").agg(F.count("*").alias("n"), F.count_if(F.col("anc_kind") == "Block").alias("blocks"))
+    chained = tree.chains(event_nodes(spark, sf_dir), columns=("kind",)).where(F.size("chain") > 0)
+    return _key(chained, F.size("chain").cast("long").alias("n"), F.size(F.filter("chain", lambda a: a["anc_kind"] == "Block")).cast("long").alias("blocks"))
 
 
 def enclosing_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = tree.ancestors(event_nodes(spark, sf_dir), columns=("kind",))
-    return _key(tree.nearest(pairs, F.col("anc_kind") == "If"), "found_id")
+    return _key(tree.nearest_in(tree.chains(event_nodes(spark, sf_dir), columns=("kind",)), lambda a: a["anc_kind"] == "If"), "found_id")
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +148,7 @@ def branch_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The innermost block that holds all views of a user, by the shortest path of blocks."""
     nodes = event_nodes(spark, sf_dir)
     views = nodes.where("kind = 'MethodInvocation'").select(F.col("owner").alias("group"), "file_id", "node_id")
-    return tree.common_block(views, tree.ancestors(nodes, columns=("kind",)))
+    return tree.common_block(views, nodes)
 
 
 def _sql(query: str, more: str = "") -> str:

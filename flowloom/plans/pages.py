@@ -17,15 +17,15 @@ def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest landmark around each link."""
     nodes = page_nodes(spark, sf_dir)
-    pairs = tree.ancestors(nodes, nodes.where("kind = 'a'"), columns=("kind",))
-    return tree.nearest(pairs, F.col("anc_kind").isin("nav", "article", "footer", "body"), "kind").select("file_id", "node_id", "found_id", F.col("found_kind").alias("landmark"))
+    chained = tree.chains(nodes, nodes.where("kind = 'a'"), columns=("kind",))
+    return tree.nearest_in(chained, lambda a: a["anc_kind"].isin("nav", "article", "footer", "body"), "kind").select("file_id", "node_id", "found_id", F.col("found_kind").alias("landmark"))
 
 
 def page_outermost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outermost element below the body around each link."""
     nodes = page_nodes(spark, sf_dir)
-    pairs = tree.ancestors(nodes, nodes.where("kind = 'a'"), columns=("kind",))
-    return tree.outermost(pairs, ~F.col("anc_kind").isin("html", "body")).select("file_id", "node_id", "found_id")
+    chained = tree.chains(nodes, nodes.where("kind = 'a'"), columns=("kind",))
+    return tree.outermost_in(chained, lambda a: ~a["anc_kind"].isin("html", "body")).select("file_id", "node_id", "found_id")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,11 @@
 import random
 from dataclasses import dataclass, field
 
-import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import flow, graph
+from flowloom.operators import flow, tree
 from flowloom.schema import as_nodes
+from flowloom.sources import dom
 
 
 @dataclass(frozen=True)
@@ -64,3 +64,26 @@ def test_summary_counts_where_flows_meet_and_go_round(spark):
     knots = [(20, 21), (20, 22), (21, 23), (22, 23), (23, 24), (25, 26), (26, 25), (26, 27), (28, 28), (28, 29), (30, 20), (30, 31), (31, 32)]
     steps, sources, sinks = trees + knots, [0, 3, 7, 20, 22, 24, 26, 27, 28, 30, 31, 33], [5, 11, 17, 19, 24, 27, 29, 32, 33]
     assert _summary(*_given(spark, 40, steps, sources, sinks)) == _counted(steps, sources, sinks)
+
+
+def test_ancestors_take_a_row_a_node(spark):
+    """What is asked of ancestors is asked of one row a node, in which no node stands twice."""
+    rows = [("f", 0, None, "MethodDeclaration"), ("f", 1, 0, "Block"), ("f", 2, 1, "If"), ("f", 3, 2, "Block"), ("f", 4, 3, "Identifier"), ("f", 9, 77, "Identifier"), ("g", 4, None, "If"), ("g", 5, 4, "Block")]
+    nodes = as_nodes(spark.createDataFrame(rows, "file_id string, node_id bigint, parent_id bigint, kind string"))
+    got = {(r["file_id"], r["node_id"]): [(a["anc_id"], a["up"], a["anc_kind"]) for a in r["chain"]] for r in tree.chains(nodes, include_self=True, columns=("kind",)).collect()}
+    assert len(got) == len(rows) and got["f", 4] == [(4, 0, "Identifier"), (3, 1, "Block"), (2, 2, "If"), (1, 3, "Block"), (0, 4, "MethodDeclaration")]
+    assert got["f", 9] == [(9, 0, "Identifier")] and got["g", 5] == [(5, 0, "Block"), (4, 1, "If")]
+    found = lambda df: {(r["file_id"], r["node_id"]): r["found_id"] for r in df.collect()}
+    chained = tree.chains(nodes, nodes.where("kind = 'Identifier'"), columns=("kind",))
+    block = lambda a: a["anc_kind"] == "Block"
+    assert found(tree.nearest_in(chained, block)) == {("f", 4): 3} and found(tree.outermost_in(chained, block)) == {("f", 4): 1}
+
+
+def test_tags_leave_a_task_in_small_batches(spark, tmp_path, monkeypatch):
+    """A task holds a bounded number of tags, not those of all the pages that it gets at once."""
+    monkeypatch.setattr(dom, "TAGS_A_BATCH", 7)
+    html = "<html><body>" + "<p><a>x</a>" * 5 + "</body></html>"
+    spark.createDataFrame([(i, html) for i in range(20)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    assert len(dom.elements(html)) == 12
+    got = dom.page_nodes(spark, str(tmp_path)).groupBy("file_id").count().collect()
+    assert len(got) == 20 and {r["count"] for r in got} == {12}
