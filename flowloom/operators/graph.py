@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,12 +139,26 @@ def participants(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth:
     one = F.lit(0).alias("root")
     if sinks.count() < sources.count():
         edges, sources, sinks = backward(edges), sinks, sources
-    go = (lambda e, s: reach_layered(e, s, depth)) if depth is not None else reach
-    edges = durable(edges.select("src", "dst").distinct())
-    edges = edges if depth is not None else edges.select(one, "src", "dst")  # a single root, so that long rows condense
-    ahead = durable(go(edges, sources.select(one, "node")).select("node"))
+    if depth is not None:
+        met, ahead = _met_layered(edges, sources, depth)
+        return reach_layered(backward(met), sinks.join(ahead, "node", "left_semi").select(one, "node"), depth).select("node").distinct()
+    edges = durable(edges.select("src", "dst").distinct()).select(one, "src", "dst")  # a single root, so that long rows condense
+    ahead = durable(reach(edges, sources.select(one, "node")).select("node"))
     live = durable(edges.join(ahead.withColumnRenamed("node", "src"), "src", "left_semi"))
-    return go(backward(live), sinks.join(ahead, "node", "left_semi").select(one, "node")).select("node").distinct()
+    return reach(backward(live), sinks.join(ahead, "node", "left_semi").select(one, "node")).select("node").distinct()
+
+
+def _met_layered(edges: DataFrame, sources: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """``(edges, ahead)``: the ``edges(src, dst)`` that a walk of ``depth`` steps from ``sources(node)`` takes, and the nodes that it meets.
+
+    Each step keeps the edges that it takes, so what the walk does not meet is neither made distinct nor written.
+    """
+    level, taken = sources.select("node").distinct(), []
+    for _ in range(depth):
+        taken.append(durable(edges.select("src", "dst").join(level.withColumnRenamed("node", "src"), "src", "left_semi").distinct()))
+        level = taken[-1].select(F.col("dst").alias("node")).distinct()
+    met = reduce(DataFrame.unionByName, taken).distinct()
+    return met, durable(met.select(F.col("dst").alias("node")).unionByName(sources.select("node")).distinct())
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -180,10 +196,10 @@ def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int) ->
     A source that is a sink is a path of one node.  Only edges on some such
     path are followed, so the paths kept at a level all lead on.
     """
-    edges = durable(edges.select("src", "dst").distinct())
+    edges = edges.select("src", "dst")
     live = durable(participants(edges, sources, sinks, depth))
     kept = edges.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    kept = durable(kept)
+    kept = durable(kept.distinct())
     level = sources.join(live, "node", "left_semi").select("node", F.array("node").alias("path")).distinct()
     out = level
     for _ in range(depth):

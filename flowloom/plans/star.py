@@ -20,9 +20,12 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges without returned lines, customers of a segment, parts of a brand."""
-    line = t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("node")).distinct()
-    edges = programs.star_edges(spark, sf_dir).where("kind <> 'from'")
-    edges = edges.join(line.withColumnRenamed("node", "dst"), "dst", "left_anti").join(line.withColumnRenamed("node", "src"), "src", "left_anti")
+    orders = t(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"), F.lit("orders").alias("kind"))
+    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # what names a line: all rows of that name stay or go
+    line = t(spark, sf_dir, "lineitem").groupBy(*key).agg(F.max(F.coalesce(F.col("l_returnflag") == "R", F.lit(False))).alias("returned")).where("not returned")
+    l, o, p = programs.line_name(), F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")
+    steps = F.array(F.struct(o.alias("src"), l.alias("dst"), F.lit("has").alias("kind")), F.struct(l.alias("src"), p.alias("dst"), F.lit("of").alias("kind")))
+    edges = orders.unionByName(line.select(F.inline(steps)))
     sources = t(spark, sf_dir, "customer").where(F.col("c_mktsegment") == SEGMENT).select(F.concat(F.lit("c"), "c_custkey").alias("node"))
     sinks = t(spark, sf_dir, "part").where(F.col("p_brand") == BRAND).select(F.concat(F.lit("p"), "p_partkey").alias("node"))
     return edges, sources, sinks

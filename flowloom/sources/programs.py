@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import durable
@@ -59,10 +59,14 @@ def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def line_name() -> Column:
+    return F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey")
+
+
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer → order → line → {part, supplier} as ``(src, dst, kind)``; repeated rows make repeated edges."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l", F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey"))
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l", line_name())
     return (
         orders.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"), F.lit("orders").alias("kind"))
         .unionByName(line.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.col("l").alias("dst"), F.lit("has").alias("kind")))

@@ -5,7 +5,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from flowloom.operators import flow, tree
+from flowloom.operators import flow, graph, tree
 from flowloom.schema import as_nodes
 from flowloom.sources import dom
 
@@ -87,3 +87,27 @@ def test_tags_leave_a_task_in_small_batches(spark, tmp_path, monkeypatch):
     assert len(dom.elements(html)) == 12
     got = dom.page_nodes(spark, str(tmp_path)).groupBy("file_id").count().collect()
     assert len(got) == 20 and {r["count"] for r in got} == {12}
+
+
+def test_layered_walks_write_only_what_they_meet(spark, monkeypatch):
+    rows = []
+    kept = graph.durable
+
+    def durable(df):
+        out = kept(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "durable", durable)
+    far = [(f"x{i}", f"y{i}") for i in range(500)]
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("b", "d"), ("e", "c")] + far, "src string, dst string")
+    ends = lambda *names: spark.createDataFrame([(n,) for n in names], "node string")
+    got = {r["node"] for r in graph.participants(edges, ends("a"), ends("c"), depth=2).collect()}
+    assert got == {"a", "b", "c"} and max(rows) < 10
+
+
+def test_no_climb_without_lambdas(spark, monkeypatch):
+    rows = [(0, None, "MethodDeclaration"), (1, 0, "Block"), (2, 1, "Return"), (3, 2, "Identifier")]
+    nodes = as_nodes(spark.createDataFrame([("f", *r) for r in rows], "file_id string, node_id bigint, parent_id bigint, kind string"))
+    monkeypatch.setattr(tree, "chains", None)
+    assert tree.lambda_results(nodes).count() == 0
