@@ -64,14 +64,15 @@ def value_edges(nodes: DataFrame) -> DataFrame:
     the reads that see it, the right side of a compound assignment to its variable, through casts
     and parentheses, from a ternary's branches, and from a lambda's result to the lambda.
     """
-    p = parents(nodes, "kind")
-    into = p.where("(parent_kind = 'VariableDeclaration' and role = 'initializer') or (parent_kind = 'Assignment' and role = 'assignment')").select("file_id", F.col("node_id").alias("src"), F.col("parent_id").alias("dst"), F.lit("write").alias("kind"))
+    whole = F.when(F.col("parent_kind").isin("TypeCast", "Parentheses") | ((F.col("parent_kind") == "Ternary") & F.col("role").isin("true_part", "false_part")), "through")
+    held = F.when(((F.col("parent_kind") == "VariableDeclaration") & (F.col("role") == "initializer")) | ((F.col("parent_kind") == "Assignment") & (F.col("role") == "assignment")), "write")
+    direct = parents(nodes, "kind").withColumn("step", F.coalesce(held, whole)).where("step is not null").select("file_id", F.col("node_id").alias("src"), F.col("parent_id").alias("dst"), F.col("step").alias("kind"))
+    compound = nodes.where("kind = 'CompoundAssignment'").select("file_id", F.col("node_id").alias("parent_id"))
     target = nodes.where("role = 'variable' and kind = 'Identifier'").select("file_id", "parent_id", F.col("node_id").alias("dst"))
-    mixed = p.where("parent_kind = 'CompoundAssignment' and role = 'assignment'").select("file_id", "parent_id", F.col("node_id").alias("src")).join(target, ["file_id", "parent_id"]).select("file_id", "src", "dst", F.lit("write").alias("kind"))
-    through = p.where("parent_kind in ('TypeCast', 'Parentheses') or (parent_kind = 'Ternary' and role in ('true_part', 'false_part'))").select("file_id", F.col("node_id").alias("src"), F.col("parent_id").alias("dst"), F.lit("through").alias("kind"))
+    mixed = nodes.where("role = 'assignment'").select("file_id", "parent_id", F.col("node_id").alias("src")).join(compound, ["file_id", "parent_id"], "left_semi").join(target, ["file_id", "parent_id"]).select("file_id", "src", "dst", F.lit("write").alias("kind"))
     seen = flow_before(nodes).select("file_id", F.col("seen_id").alias("src"), F.col("node_id").alias("dst"), F.lit("read").alias("kind"))
     result = lambda_results(nodes).select("file_id", F.col("node_id").alias("src"), F.col("lambda_id").alias("dst"), F.lit("result").alias("kind"))
-    return into.unionByName(mixed).unionByName(through).unionByName(seen).unionByName(result).dropDuplicates(["file_id", "src", "dst"])
+    return direct.unionByName(mixed).unionByName(seen).unionByName(result).dropDuplicates(["file_id", "src", "dst"])
 
 
 def element_edges(nodes: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import durable
 from .traits import field_key, var_access
-from .tree import KEY, ancestors, nearest
+from .tree import KEY, ancestors, chains, nearest
 
 
 def declarations(nodes: DataFrame) -> DataFrame:
@@ -90,8 +91,10 @@ def _visible(nodes: DataFrame, with_reads: bool) -> DataFrame:
     binding before it, and the latest of the answers wins.  That is one window
     over bindings and questions for each name and block.
     """
-    blocks = ancestors(nodes, nodes.where("kind in ('VariableDeclaration', 'Identifier')"), columns=("kind",)).where("anc_kind in ('Block', 'MethodDeclaration', 'Lambda')")
-    access = var_access(nodes)
+    named = nodes.where("kind in ('VariableDeclaration', 'Identifier')")
+    around = F.filter("chain", lambda a: a["anc_kind"].isin("Block", "MethodDeclaration", "Lambda"))
+    blocks = durable(chains(nodes, named, columns=("kind",)).select(*KEY, F.transform(around, lambda a: a["anc_id"]).alias("around")).where(F.size("around") > 0))
+    access = durable(var_access(nodes))
     stmt = nodes.where("kind = 'Assignment'").select("file_id", F.col("node_id").alias("parent_id"), F.col("post").alias("at"))
     bindings = nodes.where("kind = 'VariableDeclaration'").select(*KEY, "name", "owner", F.col("post").alias("at"), F.col("node_id").alias("seen_id")).unionByName(
         access.where("role = 'variable' and not is_rvalue").join(stmt, ["file_id", "parent_id"]).select(*KEY, "name", "owner", "at", F.col("parent_id").alias("seen_id"))
@@ -99,10 +102,10 @@ def _visible(nodes: DataFrame, with_reads: bool) -> DataFrame:
     reads = access.where("is_rvalue")
     if with_reads:
         bindings = bindings.unionByName(reads.select(*KEY, "name", "owner", F.col("pre").alias("at"), F.col("node_id").alias("seen_id")))
-    inner = blocks.groupBy(*KEY).agg(F.min_by("anc_id", "up").alias("anc_id"))
+    inner = blocks.select(*KEY, F.col("around")[0].alias("anc_id"))
     # a read asks before it binds
     bound = bindings.join(inner, list(KEY)).select("file_id", "name", "owner", "anc_id", (F.col("at") * 2 + 1).alias("at"), "seen_id", F.lit(None).cast("bigint").alias("read_id"))
-    asked = reads.join(blocks, list(KEY)).select("file_id", "name", "owner", "anc_id", (F.col("pre") * 2).alias("at"), F.lit(None).cast("bigint").alias("seen_id"), F.col("node_id").alias("read_id"))
+    asked = reads.join(blocks, list(KEY)).withColumn("anc_id", F.explode("around")).select("file_id", "name", "owner", "anc_id", (F.col("pre") * 2).alias("at"), F.lit(None).cast("bigint").alias("seen_id"), F.col("node_id").alias("read_id"))
     before = Window.partitionBy("file_id", "owner", "name", "anc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.last(F.when(F.col("seen_id").isNotNull(), F.struct("at", "seen_id")), ignorenulls=True).over(before)
     answers = bound.unionByName(asked).withColumn("seen", seen).where("read_id is not null and seen is not null")
