@@ -27,6 +27,8 @@ HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)\b[^>]*?(/?)>")
 #: Tags of a page are numbered below this.
 TAGS_A_PAGE = 1 << 32
+#: Tags that a task holds before it hands them on; a page more.
+TAGS_A_BATCH = 1 << 14
 
 _ROW = "page_id long, pos long, parent long, post long, depth int, kind string, tag string"
 _RULE = {start: (ends, within) for starts, ends, within in ENDS for start in starts}
@@ -61,16 +63,25 @@ def elements(html: str) -> list[list]:
     return out
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _ROW.split(", ")])
+
+
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``nodes`` of every page: an element a start tag, of whatever name and depth.  A page is a row, so no page meets another."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("html", F.lit("")), HIDDEN, "").alias("h"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *e) for i, h in zip(b.column("page_id").to_pylist(), b.column("h").to_pylist()) for e in elements(h)]
+            rows = []
+            for i, h in zip(b.column("page_id"), b.column("h")):
+                rows += [(i.as_py(), *e) for e in elements(h.as_py())]
+                if len(rows) >= TAGS_A_BATCH:
+                    yield _batch(rows)
+                    rows = []
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _ROW.split(", ")])
+                yield _batch(rows)
 
     found = pages.mapInArrow(go, _ROW)
     return as_nodes(
