@@ -111,3 +111,14 @@ def test_no_climb_without_lambdas(spark, monkeypatch):
     nodes = as_nodes(spark.createDataFrame([("f", *r) for r in rows], "file_id string, node_id bigint, parent_id bigint, kind string"))
     monkeypatch.setattr(tree, "chains", None)
     assert tree.lambda_results(nodes).count() == 0
+
+
+def test_short_walks_make_no_longer_steps(spark, monkeypatch):
+    """Steps of two steps are made only for walks that are not done after a few rounds."""
+    made = []
+    twice = graph._twice
+    monkeypatch.setattr(graph, "_twice", lambda steps, on: made.append(1) or twice(steps, on))
+    edges = lambda n: spark.createDataFrame([(i, i + 1) for i in range(n)] * 2, "src long, dst long")
+    seed = spark.createDataFrame([(0, 0)], "root long, node long")
+    assert graph.reach(edges(2), seed, doublings=2).count() == 3 and not made
+    assert graph.reach(edges(9), seed, doublings=2).count() == 10 and len(made) == 2
