@@ -14,7 +14,7 @@ from .calls import matched_participants
 from .models import call_arguments, declaration_of
 from .scope import flow_before
 from .traits import var_access
-from .tree import KEY, ancestors, chains, lambda_results, nearest_in, parents
+from .tree import KEY, chains, lambda_results, nearest_in, parents
 
 
 def nothing(nodes: DataFrame) -> Column:
@@ -104,12 +104,15 @@ def live_code(nodes: DataFrame, guard: Callable[[DataFrame], tuple[Column, Colum
     nodes = durable(nodes)
     cfg_nodes, cfg_edges, units = cfg.control_flow(nodes)
     reached = cfg.reachable_blocks(cfg.keep_edges(cfg_edges, cfg_nodes, nodes, guard))
-    live = units.join(reached, ["file_id", "graph_id", "cfg_id"], "left_semi").select(*KEY, F.lit(True).alias("live"))
+    live = units.join(reached, ["file_id", "graph_id", "cfg_id"], "left_semi").select(*KEY).distinct()
     whole = durable(desugar.completed(nodes))
-    chain = ancestors(whole, include_self=True, columns=("kind", "role"))
-    unit = cfg.units(whole).select(*KEY)
-    told = unit.join(cfg.graph_blocks(chain), list(KEY), "left_semi").join(live, list(KEY), "left").where("live is null").select("file_id", F.col("node_id").alias("anc_id"))
-    dead = chain.join(told, ["file_id", "anc_id"], "left_semi").select(*KEY).distinct()
+    unit = cfg.units(whole).select(*KEY).join(live, list(KEY), "left_anti")
+    told = durable(unit)
+    if told.isEmpty():
+        return nodes.select(*KEY)
+    chain = durable(chains(whole, include_self=True, columns=("kind", "role")))
+    told = chain.join(told, list(KEY), "left_semi").where(cfg.graph_block().isNotNull()).select("file_id", F.col("node_id").alias("anc_id"))
+    dead = chain.select(*KEY, F.explode(F.col("chain")["anc_id"]).alias("anc_id")).join(told, ["file_id", "anc_id"], "left_semi").select(*KEY).distinct()
     return nodes.select(*KEY).join(dead, list(KEY), "left_anti")
 
 

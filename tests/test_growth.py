@@ -3,6 +3,7 @@
 import random
 from dataclasses import dataclass, field
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators import flow, graph, tree
@@ -122,3 +123,32 @@ def test_short_walks_make_no_longer_steps(spark, monkeypatch):
     seed = spark.createDataFrame([(0, 0)], "root long, node long")
     assert graph.reach(edges(2), seed, doublings=2).count() == 3 and not made
     assert graph.reach(edges(9), seed, doublings=2).count() == 10 and len(made) == 2
+
+
+def test_only_doubted_nodes_are_walked(spark, monkeypatch):
+    """Of a long program whose edges lead onward, only dead code and what is entered from behind is walked."""
+    walked = []
+    reach = graph.reach
+    monkeypatch.setattr(graph, "reach", lambda edges, seeds, **kw: walked.append(edges.count()) or reach(edges, seeds, **kw))
+    row = [(-1, 0, True)] + [(i, i + 1, True) for i in range(200)]
+    behind = [(50, 300, False), (300, 40, True), (400, 401, True), (401, 120, True), (402, 403, False), (403, 402, True)]
+    edges = spark.createDataFrame([(0, *e) for e in row + behind], "root int, src long, dst long, early boolean")
+    got = {r["node"] for r in graph.unreached(edges, -1).collect()}
+    assert got == {400, 401, 402, 403} and max(walked) <= 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unreached_in_any_order(spark, seed):
+    """Whatever the order, and where doubts do not end, what is not reached is the same."""
+    rnd = random.Random(seed)
+    steps = {(rnd.randrange(25), rnd.randrange(25)) for _ in range(24)} | {(i, i + 1) for i in range(30, 50)} | {(-1, 0), (-1, 3)}
+    place = {i: rnd.randrange(12) if seed else i for i in range(60)}
+    rows = [(0, a, b, a == -1 or place[a] < place[b]) for a, b in steps]
+    seen, todo = {-1}, [-1]
+    while todo:
+        new = {b for a, b in steps if a == todo[-1]} - seen
+        todo.pop()
+        seen |= new
+        todo += new
+    got = {r["node"] for r in graph.unreached(spark.createDataFrame(rows, "root int, src long, dst long, early boolean"), -1).collect()}
+    assert got == {x for e in steps for x in e} - seen
