@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import flow, graph, tree
+from flowloom.operators import cfg, flow, graph, tree
 from flowloom.schema import as_nodes
 from flowloom.sources import dom
 
@@ -152,3 +152,48 @@ def test_unreached_in_any_order(spark, seed):
         todo += new
     got = {r["node"] for r in graph.unreached(spark.createDataFrame(rows, "root int, src long, dst long, early boolean"), -1).collect()}
     assert got == {x for e in steps for x in e} - seen
+
+
+def _rows_of_units(edges):
+    """The leader of each unit that some edge enters, and how far behind it the unit is, by walking back."""
+    into = {}
+    for src, dst, hard in edges:
+        into.setdefault(dst, []).append((src, hard))
+    out = {}
+    for node in into:
+        at, n = node, 0
+        while len(into[at]) == 1 and not into[at][0][1] and n <= len(into):
+            at, n = into[at][0][0], n + 1
+        out[node] = (node, 0) if n > len(into) else (at, n)
+    return out
+
+
+@pytest.mark.parametrize("span", [18, 3])
+def test_units_join_their_row_at_once(spark, monkeypatch, span):
+    """A row in the order of evaluation is one run a stretch; units elsewhere, and loops that nothing enters, find theirs as before."""
+    steps = [(cfg.START, 1, False), *[(n, n + 1, False) for n in range(1, 30)], (12, 40, True), (40, 35, False), (35, 41, False), (50, 51, False), (51, 52, False), (52, 50, False)]
+    edges = spark.createDataFrame([("f", 0, a, b, "true" if hard else None, False, False, b) for a, b, hard in steps], "file_id string, graph_id bigint, src bigint, dst bigint, branch string, again boolean, apart boolean, dst_at bigint")
+    written = []
+    keep = cfg.durable
+    monkeypatch.setattr(cfg, "SPAN", span, raising=False)
+    monkeypatch.setattr(cfg, "durable", lambda df: written.append(1) or keep(df))
+    got = {r["node_id"]: (r["head"], r["place"]) for r in cfg.heads(edges).collect()}
+    assert got == _rows_of_units([(a, b, hard or a == cfg.START) for a, b, hard in steps])
+    straight = edges.where("src < 12")
+    written.clear()
+    assert {(r["head"], r["place"]) for r in cfg.heads(straight).collect()} == {(1, n) for n in range(12)}
+    assert span < 18 or len(written) == 2  # no doubling
+
+
+def test_only_what_holds_the_wanted_climbs(spark, monkeypatch):
+    """Statements that hold other nodes than those asked for have no chain of their own to be doubled."""
+    rows = [("f", 0, None, "Method"), ("f", 1, 0, "Block")] + [("f", 10 * n, 1, "Statement") for n in range(1, 21)] + [("f", 10 * n + 1, 10 * n, "Name") for n in range(1, 21)]
+    nodes = as_nodes(spark.createDataFrame(rows, "file_id string, node_id bigint, parent_id bigint, kind string"))
+    written = []
+    keep = tree.durable
+    monkeypatch.setattr(tree, "durable", lambda df: written.append(df.count()) or keep(df))
+    wanted = nodes.where("kind = 'Statement'")
+    got = {r["node_id"]: [a["anc_id"] for a in r["chain"]] for r in tree.chains(nodes, wanted, columns=("kind",)).collect()}
+    assert got == {10 * n: [1, 0] for n in range(1, 21)} and set(written) == {2}
+    kept = tree.chains(nodes, wanted, include_self=True, columns=("kind",), keep=("kind",), only=F.col("kind") == "Method").collect()
+    assert {(r["kind"], tuple((a["anc_id"], a["up"]) for a in r["chain"])) for r in kept} == {("Statement", ((0, 2),))} and len(kept) == 20
