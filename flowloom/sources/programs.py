@@ -50,7 +50,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The programs of :data:`EVENT_PROGRAM` as a ``nodes`` table."""
     sql = EVENT_PROGRAM.replace("{k}", "get_json_object(props, '$.k')").replace("FROM events)", "FROM {events})")
-    flat = spark.sql(sql + "SELECT * FROM nodes", events=events(spark, sf_dir))
+    # the rows are numbered once, not for each kind of node
+    rows, shape = sql.split(",\ns AS (", 1)
+    placed = durable(spark.sql(rows + " SELECT * FROM g", events=events(spark, sf_dir)))
+    flat = spark.sql("WITH s AS (" + shape.replace("FROM g", "FROM {placed}") + "SELECT * FROM nodes", placed=placed)
     call = F.struct(F.lit("shop.Events").alias("declaring"), F.lit("view").alias("name"), F.array(F.lit("double")).alias("params"), F.lit("void").alias("ret"), F.array(F.lit("Static")).alias("flags"))
     return durable(as_nodes(
         flat.withColumn("literal", F.when(F.col("literal_value").isNotNull(), F.struct(F.lit("double").alias("type"), F.col("literal_value").alias("value"))))
