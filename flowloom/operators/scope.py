@@ -92,8 +92,8 @@ def _visible(nodes: DataFrame, with_reads: bool) -> DataFrame:
     over bindings and questions for each name and block.
     """
     named = nodes.where("kind in ('VariableDeclaration', 'Identifier')")
-    around = F.filter("chain", lambda a: a["anc_kind"].isin("Block", "MethodDeclaration", "Lambda"))
-    blocks = durable(chains(nodes, named, columns=("kind",)).select(*KEY, F.transform(around, lambda a: a["anc_id"]).alias("around")).where(F.size("around") > 0))
+    holds = F.col("kind").isin("Block", "MethodDeclaration", "Lambda")
+    blocks = durable(chains(nodes, named, columns=("kind",), keep=(), only=F.coalesce(holds, F.lit(False))).select(*KEY, F.transform("chain", lambda a: a["anc_id"]).alias("around")).where(F.size("around") > 0))
     access = durable(var_access(nodes))
     stmt = nodes.where("kind = 'Assignment'").select("file_id", F.col("node_id").alias("parent_id"), F.col("post").alias("at"))
     bindings = nodes.where("kind = 'VariableDeclaration'").select(*KEY, "name", "owner", F.col("post").alias("at"), F.col("node_id").alias("seen_id")).unionByName(

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import cfg, flow, graph, tree
+from flowloom.operators import cfg, flow, graph, scope, tree
 from flowloom.schema import as_nodes
 from flowloom.sources import dom
 
@@ -197,3 +197,15 @@ def test_only_what_holds_the_wanted_climbs(spark, monkeypatch):
     assert got == {10 * n: [1, 0] for n in range(1, 21)} and set(written) == {2}
     kept = tree.chains(nodes, wanted, include_self=True, columns=("kind",), keep=("kind",), only=F.col("kind") == "Method").collect()
     assert {(r["kind"], tuple((a["anc_id"], a["up"]) for a in r["chain"])) for r in kept} == {("Statement", ((0, 2),))} and len(kept) == 20
+
+
+def test_lookups_climb_with_blocks_alone(spark, monkeypatch):
+    """What is visible is asked of blocks: the expressions around a read are in no chain that is written."""
+    rows = [("f", 0, None, "MethodDeclaration", "root", 0, 99), ("f", 1, 0, "Block", "body", 1, 98), ("f", 2, 1, "VariableDeclaration", "statement", 2, 4), ("f", 3, 1, "Return", "statement", 5, 97)]
+    rows += [("f", n, n - 1, "Parentheses", "inner", n + 10, 90 - n) for n in range(4, 12)] + [("f", 12, 11, "Identifier", "inner", 22, 23)]
+    nodes = as_nodes(spark.createDataFrame(rows, "file_id string, node_id bigint, parent_id bigint, kind string, role string, pre bigint, post bigint").withColumn("name", F.when(F.col("node_id").isin(2, 12), "x")).withColumn("owner", F.lit("m")))
+    written = set()
+    keep = tree.durable
+    monkeypatch.setattr(tree, "durable", lambda df: written.update(a["anc_kind"] for r in df.collect() for a in r["chain"]) or keep(df))
+    assert [(r["node_id"], r["seen_id"]) for r in scope.flow_before(nodes).collect()] == [(12, 2)]
+    assert written == {"Block", "MethodDeclaration"}
