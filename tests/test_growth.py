@@ -209,3 +209,16 @@ def test_lookups_climb_with_blocks_alone(spark, monkeypatch):
     monkeypatch.setattr(tree, "durable", lambda df: written.update(a["anc_kind"] for r in df.collect() for a in r["chain"]) or keep(df))
     assert [(r["node_id"], r["seen_id"]) for r in scope.flow_before(nodes).collect()] == [(12, 2)]
     assert written == {"Block", "MethodDeclaration"}
+
+
+def test_members_take_a_row_a_node(spark, monkeypatch):
+    """What a unit evaluates is told by each node's chain, not by a row for each ancestor."""
+    rows = [("f", 0, None, "MethodDeclaration", "root", 0, 99), ("f", 1, 0, "Block", "body", 1, 98), ("f", 2, 1, "Return", "statement", 2, 97)]
+    rows += [("f", n, n - 1, "Parentheses", "inner", n, 97 - n) for n in range(3, 20)] + [("f", 20, 19, "Identifier", "inner", 20, 21)]
+    nodes = as_nodes(spark.createDataFrame(rows, "file_id string, node_id bigint, parent_id bigint, kind string, role string, pre bigint, post bigint").withColumn("ordinal", F.lit(0)))
+    blocks = spark.createDataFrame([("f", 1, 4, 0, 2)], "file_id string, graph_id bigint, cfg_id bigint, place bigint, node_id bigint")
+    written = []
+    keep = cfg.durable
+    monkeypatch.setattr(cfg, "durable", lambda df: written.append(df.count()) or keep(df))
+    assert [r["node_id"] for r in cfg.members(blocks, nodes).orderBy("pos").collect()] == [*range(3, 21), 2]
+    assert max(written) <= 21
