@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import durable
-from . import cfg, desugar, graph
+from . import cfg, graph
 from .calls import matched_participants
 from .models import call_arguments, declaration_of
 from .scope import flow_before
@@ -99,31 +99,69 @@ def _rooted(df: DataFrame) -> DataFrame:
 
 
 def live_code(nodes: DataFrame, guard: Callable[[DataFrame], tuple[Column, Column]] | None = None) -> DataFrame:
-    """``(file_id, node_id)`` of all nodes but those that control flow never reaches: after a return, behind a literal
-    condition or behind a barrier guard, and what lies inside.  What belongs to no body is live."""
+    """``(file_id, node_id)`` of all nodes but :func:`dead_code`."""
     nodes = durable(nodes)
-    cfg_nodes, cfg_edges, units = cfg.control_flow(nodes)
-    reached = cfg.reachable_blocks(cfg.keep_edges(cfg_edges, cfg_nodes, nodes, guard))
-    live = units.join(reached, ["file_id", "graph_id", "cfg_id"], "left_semi").select(*KEY).distinct()
-    whole = durable(desugar.completed(nodes))
-    unit = cfg.units(whole).select(*KEY).join(live, list(KEY), "left_anti")
-    told = durable(unit)
-    if told.isEmpty():
-        return nodes.select(*KEY)
-    chain = durable(chains(whole, include_self=True, columns=("kind", "role")))
-    told = chain.join(told, list(KEY), "left_semi").where(cfg.graph_block().isNotNull()).select("file_id", F.col("node_id").alias("anc_id"))
-    dead = chain.select(*KEY, F.explode(F.col("chain")["anc_id"]).alias("anc_id")).join(told, ["file_id", "anc_id"], "left_semi").select(*KEY).distinct()
-    return nodes.select(*KEY).join(dead, list(KEY), "left_anti")
+    return nodes.select(*KEY).join(dead_code(nodes, nodes, guard), list(KEY), "left_anti")
 
 
-def _local_graph(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The nodes that count, and the steps ``(root, src, dst)`` between them."""
-    keep = durable(live_code(nodes, spec.is_barrier_guard) if reachable is None else reachable.select(*KEY).distinct())
-    alive = nodes.join(keep, list(KEY), "left_semi")
-    edges = _rooted(spec.edges(nodes)).select("root", "src", "dst")
+def dead_code(nodes: DataFrame, of: DataFrame, guard: Callable[[DataFrame], tuple[Column, Column]] | None = None) -> DataFrame:
+    """``(file_id, node_id)`` of those of ``of(file_id, node_id)`` that control flow never reaches: after a return, behind a literal
+    condition or behind a barrier guard, and what lies inside.  What belongs to no body is live.
+
+    Only what is asked for climbs to its units.
+    """
+    whole, live = cfg.live_units(nodes, guard)
+    wanted = whole.join(of.select(*KEY).distinct(), list(KEY), "left_semi")
+    chained = chains(whole, wanted, include_self=True, columns=("kind", "role", "is_condition"), keep=())
+    units = F.explode(F.filter("chain", lambda a: a["anc_is_condition"].isNotNull()))
+    up = chained.select(*KEY, "chain", units.alias("unit"))
+    inside = up.select(*KEY, F.col("unit.anc_id").alias("unit_id"), F.filter("chain", lambda a: a["up"] >= F.col("unit.up")).alias("chain")).where(cfg.graph_block().isNotNull())
+    return inside.join(live.select("file_id", F.col("node_id").alias("unit_id")), ["file_id", "unit_id"], "left_anti").select(*KEY).distinct()
+
+
+def _steps(nodes: DataFrame, spec: FlowSpec) -> DataFrame:
+    return _rooted(spec.edges(nodes)).select("root", "src", "dst")
+
+
+def _among(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """The steps between nodes of ``keep(file_id, node_id)``."""
     for end in ("src", "dst"):
         edges = edges.join(keep.select(F.col("file_id").alias("root"), F.col("node_id").alias(end)), ["root", end], "left_semi")
-    return alive, durable(edges)
+    return durable(edges)
+
+
+def _ends(nodes: DataFrame, spec: FlowSpec) -> list[DataFrame]:
+    """Sources and sinks, as ``(root, node)``."""
+    return [nodes.where(test(nodes)).select(F.col("file_id").alias("root"), F.col("node_id").alias("node")) for test in (spec.is_source, spec.is_sink)]
+
+
+def _between(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """``(root, node)`` on the flows along ``edges(root, src, dst)`` from sources to sinks."""
+    ahead = graph.reach(edges, sources, doublings=2)
+    live = edges.join(ahead.withColumnRenamed("node", "src"), ["root", "src"], "left_semi")
+    back = graph.reach(graph.backward(live), sinks.join(ahead, ["root", "node"], "left_semi"), doublings=2)
+    return ahead.join(back, ["root", "node"], "left_semi")
+
+
+def _flows(nodes: DataFrame, spec: FlowSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(edges, on, dead)``: the steps, what lies on flows along them, and what of that is :func:`dead_code`.
+
+    Dead code takes flows away and adds none, so only what lies on a flow is asked whether it is dead.
+    """
+    edges = durable(_steps(nodes, spec))
+    on = durable(_between(edges, *_ends(nodes, spec)).select(F.col("root").alias("file_id"), F.col("node").alias("node_id")))
+    return edges, on, durable(dead_code(nodes, on, spec.is_barrier_guard))
+
+
+def _local_graph(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The nodes that count, and the steps ``(root, src, dst)`` between them."""
+    if reachable is None:
+        nodes = durable(nodes)
+        edges, on, dead = _flows(nodes, spec)
+        keep = durable(on.join(dead, list(KEY), "left_anti"))
+    else:
+        edges, keep = _steps(nodes, spec), durable(reachable.select(*KEY).distinct())
+    return nodes.join(keep, list(KEY), "left_semi"), _among(edges, keep)
 
 
 def local_marks(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None = None) -> DataFrame:
@@ -131,13 +169,16 @@ def local_marks(nodes: DataFrame, spec: FlowSpec, reachable: DataFrame | None =
 
     Only code in ``reachable(file_id, node_id)`` counts; None stands for :func:`live_code` under the specification's barrier guards.
     """
-    alive, edges = _local_graph(nodes, spec, reachable)
-    sources = alive.where(spec.is_source(alive)).select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
-    sinks = alive.where(spec.is_sink(alive)).select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
-    ahead = graph.reach(edges, sources, doublings=2)
-    live = edges.join(ahead.withColumnRenamed("node", "src"), ["root", "src"], "left_semi")
-    back = graph.reach(graph.backward(live), sinks.join(ahead, ["root", "node"], "left_semi"), doublings=2)
-    on = ahead.join(back, ["root", "node"], "left_semi")
+    if reachable is None:
+        alive = nodes = durable(nodes)
+        edges, on, dead = _flows(nodes, spec)
+        if not dead.isEmpty():
+            keep = durable(on.join(dead, list(KEY), "left_anti"))
+            alive, edges, on = nodes.join(keep, list(KEY), "left_semi"), _among(edges, keep), None
+    else:
+        (alive, edges), on = _local_graph(nodes, spec, reachable), None
+    sources, sinks = _ends(alive, spec)
+    on = _between(edges, sources, sinks) if on is None else on.select(F.col("file_id").alias("root"), F.col("node_id").alias("node"))
     marked = on.join(sources.withColumn("is_source", F.lit(True)), ["root", "node"], "left").join(sinks.withColumn("is_sink", F.lit(True)), ["root", "node"], "left")
     return marked.select(F.col("root").alias("file_id"), F.col("node").alias("node_id"), F.coalesce("is_source", F.lit(False)).alias("is_source"), F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
 
