@@ -25,6 +25,8 @@ SPAN = 18
 PEELS = 2
 #: Levels of operators in one plan.
 STRIDE = 4
+#: Kinds that let control flow go on to all that is inside and behind them, but for what is fixed or shut.
+PLAIN = ("MethodDeclaration", "Block", "If", "VariableDeclaration", "Assignment", "CompoundAssignment", "MethodInvocation", "NewClass", "Identifier", "Literal", "Binary", "Unary", "Parentheses", "ControlParentheses", "TypeCast", "FieldAccess", "ArrayAccess")
 COMPOUND = ("Block", "If", "While", "DoWhile", "For", "Try", "Synchronized", "Switch", "Label")
 
 
@@ -565,6 +567,12 @@ def reachable_blocks(kept: DataFrame) -> DataFrame:
     return unit_reach(kept).withColumnRenamed("node_id", "cfg_id")
 
 
+def may_stop(nodes: DataFrame, barrier: Callable[[DataFrame], tuple[Column, Column]] | None = None) -> Column:
+    """Whether a node can keep control flow from something in its file; where none does, all code is reached."""
+    shut = reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in (barrier(nodes) if barrier else ())], F.lit(False))
+    return ~F.coalesce(F.col("kind").isin(*PLAIN), F.lit(False)) | F.coalesce(F.col("literal.value").isin("true", "false"), F.lit(False)) | shut
+
+
 def reachable_members(blocks: DataFrame, block_units: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every tree node evaluated in a reachable block: its units and what lies inside them."""
     live = block_units.join(blocks, ["file_id", "graph_id", "cfg_id"], "left_semi").select("file_id", F.col("node_id").alias("anc_id"))

@@ -108,9 +108,12 @@ def dead_code(nodes: DataFrame, of: DataFrame, guard: Callable[[DataFrame], tupl
     """``(file_id, node_id)`` of those of ``of(file_id, node_id)`` that control flow never reaches: after a return, behind a literal
     condition or behind a barrier guard, and what lies inside.  What belongs to no body is live.
 
-    Only what is asked for climbs to its units.
+    Control flow is built for the files that have some of ``of`` and something that can stop it, and only what is asked for climbs to its units.
     """
-    whole, live = cfg.live_units(nodes, guard)
+    files = durable(nodes.where(cfg.may_stop(nodes, guard)).select("file_id").distinct().join(of.select("file_id").distinct(), "file_id", "left_semi"))
+    if files.isEmpty():
+        return files.join(of.select(*KEY), "file_id").select(*KEY)
+    whole, live = cfg.live_units(durable(nodes.join(files, "file_id", "left_semi")), guard)
     wanted = whole.join(of.select(*KEY).distinct(), list(KEY), "left_semi")
     chained = chains(whole, wanted, include_self=True, columns=("kind", "role", "is_condition"), keep=())
     units = F.explode(F.filter("chain", lambda a: a["anc_is_condition"].isNotNull()))
