@@ -30,6 +30,14 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """One side of a join whose sides both grow with the input, so that both shuffle whatever size Spark expects.
+
+    Spark sizes an exploded table by its input and a file by its compressed bytes, so it may broadcast what is a hundred times larger; the driver would hold all of it.
+    """
+    return df.hint("merge")
+
+
 def packed(df: DataFrame, **named: str | Column) -> DataFrame:
     """All columns of ``df`` in one struct ``__row`` beside the named expressions, so that no input name can clash."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__row"), *[(F.col(f"`{v}`") if isinstance(v, str) else v).alias(k) for k, v in named.items()])
@@ -58,10 +66,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large-star: larger neighbours of u (and u's own side) move to u's smallest neighbour
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = durable(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        edges = durable(both.where("v > u").join(growing(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # small-star: u and its smaller neighbours move to the smallest of them
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        moved = edges.join(growing(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = durable(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
         now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(pmod(xxhash64(v, u), 1000003))")).first())
         if now == before:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, packed, text_of
+from .common import components, durable, growing, packed, text_of
 
 SEED, SHINGLE = 42, 3
 STEP = 200_000
@@ -87,18 +87,18 @@ def near_links(nodes: DataFrame, small: int = 32) -> DataFrame:
     flipped = halves.where(_even(F.col("own"))).select("side", F.explode(_flips(F.col("own"), 1)).alias("v"), "fp", F.lit(False).alias("exact"))
     emitted = exact.unionByName(flipped)
     crowd = emitted.groupBy("side", "v").agg(F.count("*").alias("n"), F.count_if("exact").alias("n0")).where("n > 1 and n0 > 0")
-    met = durable(emitted.join(crowd.drop("n"), ["side", "v"]), "met")
+    met = durable(emitted.join(growing(crowd.drop("n")), ["side", "v"]), "met")
 
     few = met.where(F.col("n0") <= small)
     a, b = few.where("exact").select("side", "v", F.col("fp").alias("a")), few.select("side", "v", F.col("fp").alias("b"), "exact")
-    direct = a.join(b, ["side", "v"]).where("a <> b and (not exact or a < b)").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3).select("a", "b")
+    direct = a.join(growing(b), ["side", "v"]).where("a <> b and (not exact or a < b)").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3).select("a", "b")
 
     many = met.where(F.col("n0") > small).withColumn("rest", _half(F.col("fp"), 1 - F.col("side")))
     one = many.select("side", "v", "fp", "exact", F.explode(F.concat(F.array("rest"), _flips(F.col("rest"), 1))).alias("w"))
     two = many.where("exact").where(_even(F.col("rest"))).select("side", "v", "fp", F.lit(False).alias("exact"), F.explode(_flips(F.col("rest"), 2)).alias("w"))
     points = one.unionByName(two)
     centre = points.where("exact").groupBy("side", "v", "w").agg(F.min("fp").alias("a"))
-    starred = points.select("side", "v", "w", F.col("fp").alias("b")).join(centre, ["side", "v", "w"]).where("a <> b").select("a", "b")
+    starred = points.select("side", "v", "w", F.col("fp").alias("b")).join(growing(centre), ["side", "v", "w"]).where("a <> b").select("a", "b")
     return direct.unionByName(starred).distinct()
 
 
@@ -107,10 +107,10 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, small: int) -> DataFra
     prints = durable(fingerprints(docs, id_col, text_col), "prints")
     nodes = durable(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
     roots = components(near_links(nodes.select("fp"), small))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(growing(roots), nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = durable(named.join(lowest, "root").select("fp", "root", "component_id"), "labels")
-    return prints.join(label, "fp").select("id", "md5", "fp", "root", "component_id")
+    label = durable(named.join(growing(lowest), "root").select("fp", "root", "component_id"), "labels")
+    return prints.join(growing(label), "fp").select("id", "md5", "fp", "root", "component_id")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 32) -> DataFrame:

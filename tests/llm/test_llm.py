@@ -178,6 +178,18 @@ def test_simhash_links(spark, small):
         assert roots.get(p, p) == min(prints[j] for j in group[i])
 
 
+def test_simhash_broadcasts_nothing_that_grows(spark, docs, monkeypatch):
+    """Spark sizes exploded variants and compressed files too low: no join of simhash may leave it the choice."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (simhash, common):
+        monkeypatch.setattr(module, "durable", lambda df, what, write=module.durable: (plans.append(plan(df)), write(df, what))[1])
+    found = simhash.near_components(docs)
+    assert found.count() > 0
+    plans.append(plan(found))
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5), (5, 5)]
