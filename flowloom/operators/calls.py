@@ -25,28 +25,31 @@ def level_edges(edges: DataFrame) -> DataFrame:
     return edges.where("kind not in ('argument', 'return')").select("src", "dst")
 
 
-def summaries(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(inside, through)``.
+def summaries(edges: DataFrame, named: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(inside, through)`` of distinct ``edges`` that are read from files.
 
     ``inside(root, node)``: what each parameter reaches in its method, calls that come back included.
-    ``through(src, dst, parameter, result)``: an argument, the call that its parameter's value comes back to, and by what.
+    ``through(src, dst, parameter, result)``: an argument, the call that its parameter's value comes back to, and, where ``named``, by what.
     A round joins the parameters that have come to reach a result with the calls on both sides, by method and call, and goes on from the new
     edges alone; there are as many rounds as calls are nested in what is found.
     """
     level = durable(level_edges(edges).distinct())
-    enter = durable(edges.where("kind = 'argument'").select(F.col("src").alias("argument"), F.col("dst").alias("parameter"), "call").distinct())
-    leave = durable(edges.where("kind = 'return'").select(F.col("src").alias("result"), F.col("dst").alias("back"), "call").distinct())
+    enter = edges.where("kind = 'argument'").select(F.col("src").alias("argument"), F.col("dst").alias("parameter"), "call")
+    leave = edges.where("kind = 'return'").select(F.col("src").alias("result"), F.col("dst").alias("back"), "call")
+    told = ["src", "dst", "parameter", "result"] if named else ["src", "dst"]
     fresh = graph.reach(level, enter.select(F.col("parameter").alias("root"), F.col("parameter").alias("node")), doublings=DOUBLINGS)
     inside, through = fresh, None
     while True:
         done = fresh.select(F.col("root").alias("parameter"), F.col("node").alias("result"))
-        found = done.join(leave, "result").join(enter, ["parameter", "call"]).select(F.col("argument").alias("src"), F.col("back").alias("dst"), "parameter", "result").distinct()
-        new = durable(found if through is None else found.join(through, ["src", "dst", "parameter", "result"], "left_anti"))
-        through = new if through is None else durable(through.unionByName(new))
+        found = done.join(leave, "result").join(enter, ["parameter", "call"]).select(F.col("argument").alias("src"), F.col("back").alias("dst"), "parameter", "result").select(told).distinct()
+        new = durable(found if through is None else found.join(through, told, "left_anti"))
         if new.isEmpty():
-            return inside, through
-        begun = inside.withColumnRenamed("node", "src").join(new.select("src", "dst").distinct(), "src").select("root", F.col("dst").alias("node"))
+            return inside, new if through is None else through
+        through = new if through is None else durable(through.unionByName(new))
+        begun = inside.withColumnRenamed("node", "src").join(new.select("src", "dst"), "src").select("root", F.col("dst").alias("node"))
         fresh = durable(graph.extend(level.unionByName(through.select("src", "dst")), begun, inside))
+        if fresh.isEmpty():  # no parameter's value gets further, so no call comes back anew
+            return inside, through
         inside = durable(inside.unionByName(fresh))
 
 
@@ -63,7 +66,7 @@ def two_phases(plain: DataFrame, first: DataFrame, second: DataFrame, seeds: Dat
 
 def _kinds(edges: DataFrame, through: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Steps that stay in a method or come back to it, arguments, and returns."""
-    level = durable(level_edges(edges).unionByName(through.select("src", "dst")).distinct())
+    level = level_edges(edges).unionByName(through.select("src", "dst"))
     return level, *[edges.where(f"kind = '{k}'").select("src", "dst") for k in ("argument", "return")]
 
 
@@ -71,8 +74,12 @@ def matched_reach(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(source, node)`` of what each of ``sources(node)`` reaches where a flow that entered a method by a call leaves it by
     that call alone, and one that started inside may return to every caller.  What a matched call passes through counts."""
     edges = durable(edges.select("src", "dst", "kind", "call").distinct())
-    level, arguments, returns = _kinds(edges, summaries(edges)[1])
-    return two_phases(level, returns, arguments, sources.select(F.col("node").alias("root"), "node")).select(F.col("root").alias("source"), "node").distinct()
+    level, arguments, returns = _kinds(edges, summaries(edges, named=False)[1])
+    # up through returns, then down through arguments: a walk each, so that no step is held for either phase
+    up = graph.reach(level.unionByName(returns), sources.select(F.col("node").alias("root"), "node"), doublings=DOUBLINGS, stored=True)
+    entered = up.withColumnRenamed("node", "src").join(arguments, "src").select("root", F.col("dst").alias("node"))
+    down = graph.reach(level.unionByName(arguments), entered, doublings=DOUBLINGS, stored=True)
+    return up.unionByName(down).select(F.col("root").alias("source"), "node").distinct()
 
 
 def matched_participants(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -88,6 +95,7 @@ def matched_participants(edges: DataFrame, sources: DataFrame, sinks: DataFrame)
     edges = durable(edges.select("src", "dst", "kind", "call").distinct())
     inside, through = summaries(edges)
     level, arguments, returns = _kinds(edges, through)
+    level = durable(level.distinct())
     one = F.lit(0).alias("root")
     ahead = two_phases(level, returns, arguments, sources.join(some, "node", "left_semi").select(one, "node"))
     back = two_phases(*map(graph.backward, (level, arguments, returns)), sinks.join(some, "node", "left_semi").select(one, "node"), pooled=True)

@@ -20,7 +20,7 @@ PATIENCE = 3
 DOUBTS = 6
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, doublings: int = 0) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, doublings: int = 0, stored: bool = False) -> DataFrame:
     """``(root, node)``: what each ``seeds(root, node)`` reaches along ``edges(src, dst)``, itself included.
 
     A frontier that moves one edge at a time and never visits a pair twice, so
@@ -28,18 +28,19 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, doublings:
     with a ``root`` column is walked by that root alone, and what is left of it after :data:`PATIENCE` rounds is :func:`condensed`, so that
     long rows of steps take rounds by the logarithm of their length.  Without such a column each of ``doublings``, where a walk is not done after :data:`SHORT` rounds and two
     more for each, adds the edges of two steps, so that a round goes twice as far; only through nodes that :data:`FEW` edges
-    leave at most, so that a hub does not pair all its ways in with all its ways out.
+    leave at most, so that a hub does not pair all its ways in with all its ways out.  Edges that are ``stored`` are read from files and not written once more.
     """
-    return extend(edges, seeds, None, max_rounds, doublings)
+    return extend(edges, seeds, None, max_rounds, doublings, stored)
 
 
-def extend(edges: DataFrame, seeds: DataFrame, seen: DataFrame | None, max_rounds: int = 1000, doublings: int = 0) -> DataFrame:
+def extend(edges: DataFrame, seeds: DataFrame, seen: DataFrame | None, max_rounds: int = 1000, doublings: int = 0, stored: bool = False) -> DataFrame:
     """As :func:`reach`, without the pairs of ``seen(root, node)``, which are neither given back nor walked on from."""
     on = ["root", "src"] if "root" in edges.columns else ["src"]
-    plain = steps = durable(edges.select(*on, "dst"))  # a round's pairs are distinct whether its steps are or not
     known = lambda df: df if seen is None else df.join(seen, ["root", "node"], "left_anti")
-    new = durable(known(seeds.select("root", "node").distinct()))
-    out = new
+    new = out = durable(known(seeds.select("root", "node").distinct()))
+    if seen is not None and new.isEmpty():
+        return out
+    plain = steps = edges.select(*on, "dst") if stored else durable(edges.select(*on, "dst"))  # a round's pairs are distinct whether its steps are or not
     for n in range(max_rounds):
         if len(on) == 1 and n in [SHORT + 2 * k for k in range(doublings)]:
             steps = _twice(steps, on)

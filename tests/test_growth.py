@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import cfg, flow, graph, scope, tree
+from flowloom.operators import calls, cfg, flow, graph, scope, tree
 from flowloom.schema import as_nodes
 from flowloom.sources import dom
 
@@ -264,3 +264,15 @@ def test_control_flow_is_asked_of_flows_alone(spark, monkeypatch):
     monkeypatch.setattr(flow, "chains", lambda nodes, of, **kw: climbed.append(of.count()) or chains(nodes, of, **kw))
     fixed = _program(spark, ("VariableDeclaration", "x", None), ("If", None, "false"), ("VariableDeclaration", "y", None), ("MethodInvocation", "f", None))
     assert marks(fixed) == {(10, True, False), (41, False, True)} and made and climbed == [3]
+
+
+def test_matched_calls_write_a_call_once(spark, monkeypatch):
+    """Of many callers of one method, few are asked: the steps are not written for each phase and each round of summaries."""
+    n, rows = 60, []
+    given = [(i, 1000, "argument", i) for i in range(n)] + [(1000, 1001, "local", None)] + [(1001, 2000 + i, "return", i) for i in range(n)]
+    for module in (calls, graph):
+        monkeypatch.setattr(module, "durable", lambda df, write=module.durable: (rows.append((out := write(df)).count()), out)[1])
+    edges = spark.createDataFrame(given, "src long, dst long, kind string, call long")
+    got = {tuple(r) for r in calls.matched_reach(edges, spark.createDataFrame([(0,), (7,)], "node long")).collect()}
+    assert got == {(s, x) for s in (0, 7) for x in (s, 1000, 1001, 2000 + s)}
+    assert sum(rows) < 4 * n  # the edges, and a summary for each call
