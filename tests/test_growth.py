@@ -1,6 +1,7 @@
 """Steps whose work grows with their input: the same results without all pairs, and in fewer rows."""
 
 import random
+import re
 from dataclasses import dataclass, field
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import calls, cfg, flow, graph, scope, tree
 from flowloom.schema import as_nodes
-from flowloom.sources import dom
+from flowloom.sources import customers, dom
 
 
 @dataclass(frozen=True)
@@ -276,3 +277,12 @@ def test_matched_calls_write_a_call_once(spark, monkeypatch):
     got = {tuple(r) for r in calls.matched_reach(edges, spark.createDataFrame([(0,), (7,)], "node long")).collect()}
     assert got == {(s, x) for s in (0, 7) for x in (s, 1000, 1001, 2000 + s)}
     assert sum(rows) < 4 * n  # the edges, and a summary for each call
+
+
+def test_what_follows_is_found_in_one_pass(spark, monkeypatch):
+    """A window from a row to the end of its partition is gone through anew for each row: quadratic in the statements of a body."""
+    plans = []
+    monkeypatch.setattr(cfg, "durable", lambda df, write=cfg.durable: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    cfg.build(customers.customer_nodes(spark, "/root/testdata/sf0.001", customers.FLOWS))
+    assert any("rowframe, unboundedpreceding" in p.lower() for p in plans)
+    assert not [p for p in plans if re.search(r"rowframe, [^u][^,]*, unboundedfollowing", p.lower())]
